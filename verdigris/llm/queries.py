@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.llm.common import load, new_path
+from verdigris.llm.common import load, new_path, staged
 
 
 def op1_token_orc(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -29,6 +29,12 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.digest(decontaminate.contamination(load(spark, sf_dir, "documents").select("doc_id", "text"), load(spark, sf_dir, "benchmark")))
 
 
+def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import matroska
+
+    return matroska.features(staged(matroska.store(load(spark, sf_dir, "documents")), "media"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
