@@ -62,7 +62,7 @@ def block(track: int, at: int, frames: list[bytes], lacing: int, kind: int = SIM
         head += bytes([len(frames) - 1])
     if lacing == XIPH:
         head += b"".join(b"\xff" * (n // 255) + bytes([n % 255]) for n in sizes[:-1])
-    elif lacing == EBML_LACING:
+    elif lacing == EBML_LACING and len(frames) > 1:
         head += vint(sizes[0])
         for a, b in zip(sizes, sizes[1:-1], strict=False):
             w = next(w for w in range(1, 9) if abs(b - a) < 1 << (7 * w - 1))
