@@ -35,6 +35,14 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(staged(matroska.store(load(spark, sf_dir, "documents")), "media"))
 
 
+def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import quality
+
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, load(spark, sf_dir, "labels"), quality.grade(), 3)
+    return quality.score(docs, model).drop("text")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
