@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from verdigris.llm.common import load, new_path, staged
 
@@ -35,6 +36,15 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(staged(matroska.store(load(spark, sf_dir, "documents")), "media"))
 
 
+def op8_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import language
+
+    docs = load(spark, sf_dir, "documents")
+    model = language.train(docs.where(language.fold("doc_id", 5) != 0))
+    held_out = F.coalesce(language.fold("doc_id", 5) == 0, F.lit(False)).alias("held_out")
+    return language.predict(docs.select("doc_id", "text", held_out), model).drop("text")
+
+
 def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm import quality
 
