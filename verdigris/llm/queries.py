@@ -24,6 +24,12 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(load(spark, sf_dir, "documents"))
 
 
+def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import lines
+
+    return lines.deduplicated(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm import jaccard
 
