@@ -36,6 +36,14 @@ def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return jaccard.similar_groups(load(spark, sf_dir, "documents"))
 
 
+def op5_class_ngrams(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import class_lm, language
+
+    held_out = F.coalesce(language.fold("doc_id", 7) == 2, F.lit(False)).alias("held_out")
+    docs = load(spark, sf_dir, "documents").select("doc_id", "text", held_out)
+    return class_lm.score(docs, class_lm.learn(docs.where("not held_out")))
+
+
 def op6_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm import licenses
 
