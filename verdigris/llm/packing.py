@@ -27,8 +27,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import as_bytes, slices, staged
-from verdigris.llm.encoding import encoder
+from verdigris.llm.common import slices, staged
+from verdigris.llm.encoding import encoder, with_end
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int, local_rank long"
 
@@ -39,13 +39,13 @@ def token_pieces(docs: DataFrame, *, size: int = 2048, tokenizer: str = "word_bp
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end, shard = encoder(tokenizer, kind), np.array([end_id], "<u4").tobytes(), TaskContext.get().partitionId()
+        enc, shard = encoder(tokenizer, kind), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
         for b in slices(batches):
-            ids = [x + end for x in enc.encode(as_bytes(b.column(1)))]
-            total = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
+            ids, cuts = with_end(*enc.encode(b.column(1)), end_id)
+            total = np.diff(cuts)
             n = -(-total // size)
-            row = np.repeat(np.arange(len(ids)), n)
+            row = np.repeat(np.arange(len(n)), n)
             piece = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
             start = piece * size
             length = np.minimum(total[row] - start, size)
@@ -55,12 +55,12 @@ def token_pieces(docs: DataFrame, *, size: int = 2048, tokenizer: str = "word_bp
             rank = np.empty(len(row), np.int64)
             rank[order] = seen[run] + np.arange(len(run)) - first
             seen += np.bincount(length, minlength=size + 1)
-            parts = [ids[i][4 * s : 4 * (s + k)] for i, s, k in zip(row, start, length, strict=True)]
-            out = [b.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(map(zlib.crc32, parts), pa.int64()), pa.array(np.full(len(row), shard), pa.int32()), pa.array(rank)]
+            at = cuts[:-1][row] + start
+            crcs = [zlib.crc32(ids[i : i + k]) for i, k in zip(at, length, strict=True)]
+            out = [b.column(0).take(pa.array(row)), pa.array(piece, pa.int32()), pa.array(start), pa.array(length), pa.array(crcs, pa.int64()), pa.array(np.full(len(row), shard), pa.int32()), pa.array(rank)]
             names = ["doc_id", "piece", "start", "length", "ids_crc32", "shard", "local_rank"]
             if keep_ids:
-                values = pa.Array.from_buffers(pa.int32(), int(length.sum()), [None, pa.py_buffer(b"".join(parts))])
-                out.append(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(length)]), pa.int32()), values))
+                out.append(pa.ListArray.from_arrays(pa.array(np.append(at, len(ids)), pa.int32()), pa.array(ids.view(np.int32))))
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names=names)
 

@@ -20,8 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import as_bytes, slices
-from verdigris.llm.encoding import encoder
+from verdigris.llm.common import slices
+from verdigris.llm.encoding import encoder, with_end
 
 SCHEMA = "doc_id long, shard int, local_start long, n_tokens long, ids array<int>"
 
@@ -32,14 +32,13 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str = "byte_bpe_50k.j
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, end, at, shard = encoder(tokenizer, kind), np.array([end_id], "<u4").tobytes(), 0, TaskContext.get().partitionId()
+        enc, at, shard = encoder(tokenizer, kind), 0, TaskContext.get().partitionId()
         for b in slices(batches):
-            ids = [x + end for x in enc.encode(as_bytes(b.column(1)))]
-            n = np.fromiter((len(x) // 4 for x in ids), np.int64, len(ids))
-            ends = np.cumsum(n)
-            values = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(ids))])
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], ends]), pa.int32()), values)
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(ids), shard), pa.int32()), pa.array(at + ends - n), pa.array(n), lists], names=["doc_id", "shard", "local_start", "n_tokens", "ids"])
+            ids, cuts = with_end(*enc.encode(b.column(1)), end_id)
+            n, ends = np.diff(cuts), cuts[1:]
+            values = pa.array(ids.view(np.int32))
+            lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), values)
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), shard), pa.int32()), pa.array(at + ends - n), pa.array(n), lists], names=["doc_id", "shard", "local_start", "n_tokens", "ids"])
             at += int(ends[-1])
 
     rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
