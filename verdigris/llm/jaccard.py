@@ -161,22 +161,23 @@ def node_rows(docs: DataFrame, k: int, similarity: float, light: int, common: tu
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, similarity: float, name: str) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar: a's set meets b's sets one after the other, b's in portions."""
-    share = similarity
-    needed = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
+    """Those of the pairs (a, b) whose sets are similar: a's set meets b's sets one after the other, b's in portions of
+    about 256.  Each set is made from its text and goes straight to the places where it is needed."""
+    portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("portions"))
+    dealt = pairs.join(portions, "a").select("a", F.pmod(F.xxhash64("b"), "portions").alias("portion"), "b")
+    mine = dealt.select(F.col("a").alias("node"), "a", "portion", F.lit(None).cast("long").alias("b")).distinct()
+    theirs = dealt.select(F.col("b").alias("node"), "a", "portion", "b")
+    places = mine.union(theirs).groupBy("node").agg(F.collect_list(F.struct("a", "portion", "b")).alias("places"))
+    ids = staged(places.join(nodes, "node").select("places", F.col("doc_id").alias("id"), "hash"), f"{name}-places")
+    few = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    rows = docs.join(F.broadcast(ids) if few else ids, F.xxhash64("text").eqNullSafe(F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("places", "text")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_set(x, k).tobytes() for x in as_bytes(b.column(1))], pa.binary())], names=["node", "own"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_set(x, k).tobytes() for x in as_bytes(b.column(1))], pa.binary())], names=["places", "own"])
 
-    ids = staged(needed.join(nodes, "node").select("node", F.col("doc_id").alias("id"), "hash"), f"{name}-ids")
-    few = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    rows = docs.join(F.broadcast(ids) if few else ids, F.xxhash64("text").eqNullSafe(F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
-    sets = staged(rows.mapInArrow(sets_of, "node long, own binary"), name)
-    portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("portions"))
-    dealt = pairs.join(portions, "a").select("a", "b", F.pmod(F.xxhash64("b"), "portions").alias("portion"))
-    mine = dealt.select("a", "portion").distinct().join(sets.withColumnRenamed("node", "a"), "a").select("a", "portion", F.lit(None).cast("long").alias("b"), "own")
-    theirs = dealt.join(sets.withColumnRenamed("node", "b"), "b").select("a", "portion", "b", "own")
+    made = rows.mapInArrow(sets_of, "places array<struct<a: long, portion: long, b: long>>, own binary")
+    made = made.select(F.explode("places").alias("at"), "own").select("at.a", "at.portion", "at.b", "own")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.empty(0, np.uint64)
@@ -188,12 +189,12 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, simila
                     own = s
                     continue
                 both = len(np.intersect1d(own, s, assume_unique=True))
-                if 100 * both >= round(100 * share) * (len(own) + len(s) - both):
+                if 100 * both >= round(100 * similarity) * (len(own) + len(s) - both):
                     a.append(x)
                     b.append(y)
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
-    met = mine.union(theirs).repartition("a", "portion").sortWithinPartitions("a", "portion", F.col("b").asc_nulls_first())
+    met = made.repartition("a", "portion").sortWithinPartitions("a", "portion", F.col("b").asc_nulls_first())
     return staged(met.mapInArrow(compare, "a long, b long"), f"{name}-links")
 
 
@@ -269,10 +270,13 @@ def similar_groups(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, id_c
     hubs = staged(hub_members(rows), "hubs")
     info = rows.where("counts is not null").join(hubs.select("node").distinct(), "node", "left_semi")
     info = staged(info.groupBy("node").agg(F.first("n").alias("n"), F.first("counts").alias("counts")), "info")
-    nodes = rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("x")).select("node", "x.doc_id", "x.hash")
+    nodes = staged(rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("x")).select("node", "x.doc_id", "x.hash"), "ids")
 
-    pairs = hubs.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    pairs = pairs.join(info.select(F.col("node").alias("a"), "n", "counts"), "a").join(info.select(F.col("node").alias("b"), F.col("n").alias("m"), F.col("counts").alias("others")), "b")
+    hub_pairs = hubs.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    # by size first, so that fewer rows carry the wide counts
+    sized = hub_pairs.join(info.select(F.col("node").alias("a"), "n"), "a").join(info.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
+    sized = sized.where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
+    pairs = sized.join(info.select(F.col("node").alias("a"), "counts"), "a").join(info.select(F.col("node").alias("b"), F.col("counts").alias("others")), "b")
     first = verified(texts, nodes, staged(plausible(pairs, similarity), "pairs"), k, similarity, "sets")
     found = components(first, "a", "b", "contracted")
     members = hubs.join(found, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
