@@ -82,24 +82,32 @@ class Bank:
                 gate[band, values[band] >> np.uint64(48)] = True
             self.tables[size] = (members, values, gate)
 
-    def scan(self, run: np.ndarray) -> dict[int, list[tuple[int, int, float]]]:
-        """template → (first shingle, last shingle, containment) of each occurrence."""
-        found: dict[int, set[int]] = defaultdict(set)
-        starts = {size: np.arange(0, len(run), size) for size in self.tables}
-        for band in range(self.bands):
-            h = (run ^ self.xor[band]) * self.odd[band]
+    def scan(self, runs: list[np.ndarray]) -> dict[tuple[int, int], list[tuple[int, int, float]]]:
+        """(text, template) → (first shingle, last shingle, containment) of each occurrence; runs: the texts' shingles."""
+        length = np.array([len(r) for r in runs], np.int64)
+        begin = np.cumsum(length) - length
+        every = np.concatenate(runs)
+        windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        for size in self.tables:
+            blocks = -(-length // size)
+            text = np.repeat(np.arange(len(runs)), blocks)
+            place = np.arange(len(text)) - np.repeat(np.cumsum(blocks) - blocks, blocks)
+            windows[size] = text, place, begin[text] + place * size
+        found: dict[tuple[int, int], set[int]] = defaultdict(set)
+        for band in range(self.bands if len(every) else 0):
+            h = (every ^ self.xor[band]) * self.odd[band]
             for size, (members, values, gate) in self.tables.items():
-                least = h if size == 1 else np.minimum.reduceat(h, starts[size])
-                if len(least) > 1:
-                    least = np.minimum(least[:-1], least[1:])
+                text, place, starts = windows[size]
+                least = h if size == 1 else np.minimum.reduceat(h, starts)
+                least = np.append(np.where(text[1:] == text[:-1], np.minimum(least[:-1], least[1:]), least[:-1]), least[-1])
                 for w in np.flatnonzero(gate[band, least >> np.uint64(48)]).tolist():
                     for m, v in zip(members, values[band], strict=True):
                         if least[w] == v:
-                            found[m].add(w)
+                            found[int(text[w]), m].add(int(place[w]))
         out = {}
-        for m, windows in found.items():
-            size, own, hits = len(self.sets[m]), self.sets[m], []
-            for w in sorted(windows):
+        for (t, m), places in found.items():
+            run, size, own, hits = runs[t], len(self.sets[m]), self.sets[m], []
+            for w in sorted(places):
                 part = run[w * size : (w + 2) * size]
                 share = len(np.intersect1d(part, own)) / size
                 if share >= self.containment:
@@ -110,7 +118,7 @@ class Bank:
                     else:
                         hits.append((a, b, share))
             if hits:
-                out[m] = hits
+                out[t, m] = hits
         return out
 
 
@@ -126,12 +134,11 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, *, con
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bank = Bank(held.value, containment, miss)
         for b in slices(batches):
+            texts = [words_of(x) for x in as_bytes(b.column(1))]
             rows, source = [], []
-            for i, text in enumerate(as_bytes(b.column(1))):
-                words = words_of(text)
-                for m, hits in sorted(bank.scan(shingle_run(words)).items()) if words else ():
-                    source.append(i)
-                    rows.append((m, bank.names[m], len(hits), max(h[2] for h in hits), hits[0][0], min(hits[0][1] + SHINGLE, len(words)) - 1))
+            for (i, m), hits in sorted(bank.scan([shingle_run(x) for x in texts]).items()):
+                source.append(i)
+                rows.append((m, bank.names[m], len(hits), max(h[2] for h in hits), hits[0][0], min(hits[0][1] + SHINGLE, len(texts[i])) - 1))
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(source)), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
