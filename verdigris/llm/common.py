@@ -81,6 +81,7 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
             end = max(start + at_least, int(np.searchsorted(size, base + limit, "right")))
             yield batch.slice(start, end - start)
             start = end
+        pa.default_memory_pool().release_unused()
 
 
 class WordHash(dict):
@@ -160,6 +161,15 @@ def components(links: DataFrame, src: str, dst: str, name: str = "components", m
     return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
 
 
+def narrow_batches(spark: SparkSession, most: int = 2000) -> None:
+    """Rows of whole texts are wide: fewer of them in an Arrow batch bound what a worker and its JVM hold at once."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    now = int(spark.conf.get(key))
+    if not 0 < now <= most:
+        spark.conf.set(key, most)
+
+
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
+    narrow_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 

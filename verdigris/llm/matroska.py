@@ -298,7 +298,7 @@ def store(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "tex
     """doc_id, n_bytes and the media column."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches):
+        for b in slices(batches, limit=1 << 20):
             texts = as_bytes(b.column(1))
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array([mux(padded(x)) for x in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
 
@@ -309,7 +309,7 @@ def features(stored: DataFrame) -> DataFrame:
     names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "media"):
+        for b in slices(batches, "media", 1 << 20):
             rows = []
             for data in b.column(2).to_pylist():
                 media = parse(data)
