@@ -12,13 +12,14 @@ from __future__ import annotations
 
 import os
 from array import array
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Units in a worker's cache; as many more may wait in the elder one.  The size costs memory and saves time, no more.
-CACHE_UNITS = 400_000
+#: Units in a worker's cache, about 150 bytes each; a full cache is emptied, which costs time and no results.
+CACHE_UNITS = 800_000
 _CUT = "\x01"
 _PUNCTUATION = r"([A-Za-z0-9])([!-&(-/:-@\[-`{-~])"
 _open: dict[tuple[str, str], "UnitEncoder"] = {}
@@ -50,28 +51,37 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
         self.kind = kind
-        self.young: dict[str, bytes] = {}
-        self.elder: dict[str, bytes] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        """place: a unit's number; its ids are values[start[number]:][:size[number]]."""
+        self.place: dict[str, int] = {}
+        self.start, self.size, self.values, self.filled = np.zeros(1 << 16, np.int64), np.zeros(1 << 16, np.int64), np.zeros(1 << 18, np.uint32), 0
 
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _known(self, units: list[str]) -> list[bytes | None]:
-        """The units' ids; None for those that can't stand alone.  A full cache becomes the elder one."""
-        found = list(map(self.young.get, units))
-        gaps = [i for i, x in enumerate(found) if x is None]
-        if len(self.young) + len(gaps) > CACHE_UNITS:
-            self.young, self.elder = {u: x for u, x in zip(units, found, strict=True) if x is not None}, self.young
-        new = []
-        for i in gaps:
-            found[i] = x = self.elder.get(units[i])
-            if x is not None:
-                self.young[units[i]] = x
-            elif stands_alone(units[i]):
-                new.append(i)
-        for i, x in zip(new, self._ids([units[i] for i in new]), strict=True):
-            found[i] = self.young[units[i]] = x
-        return found
+    def _places(self, units: list[str]) -> np.ndarray:
+        """The units' numbers; −1 for those that can't stand alone."""
+        if len(self.place) > CACHE_UNITS:
+            self._clear()
+        out = np.fromiter(map(self.place.get, units, repeat(-1)), np.int64, len(units))
+        gaps = [i for i in np.flatnonzero(out < 0).tolist() if stands_alone(units[i])]
+        if gaps:
+            made = self._ids([units[i] for i in gaps])
+            size = np.fromiter(map(len, made), np.int64, len(made)) // 4
+            n, end = len(self.place), self.filled + int(size.sum())
+            while n + len(made) > len(self.start):
+                self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
+            while end > len(self.values):
+                self.values = np.append(self.values, np.zeros_like(self.values))
+            self.values[self.filled : end] = np.frombuffer(b"".join(made), np.uint32)
+            self.size[n : n + len(made)] = size
+            self.start[n : n + len(made)] = self.filled + np.cumsum(size) - size
+            self.filled = end
+            self.place.update(zip([units[i] for i in gaps], range(n, n + len(made)), strict=True))
+            out[gaps] = np.arange(n, n + len(made))
+        return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, as unsigned 32-bit integers, and where each text's begin and end; a null is empty."""
@@ -84,14 +94,12 @@ class UnitEncoder:
         coded = lists.values[rows[0] : rows[-1]].dictionary_encode()
         rows -= rows[0]
         codes, units = coded.indices.to_numpy(), coded.dictionary.to_pylist()
-        known = self._known(units)
-        loose = np.fromiter((x is None for x in known), bool, len(known))
-        values = np.frombuffer(b"".join(x or b"" for x in known), np.uint32)
-        size = np.fromiter((len(x or b"") // 4 for x in known), np.int64, len(known))
-        first = np.cumsum(size) - size
+        at = self._places(units)
+        loose = at < 0
+        first, size = self.start[at], np.where(loose, 0, self.size[at])
         each = size[codes]
         end = np.cumsum(each)
-        ids = values[np.repeat(first[codes] - (end - each), each) + np.arange(end[-1] if len(end) else 0)]
+        ids = self.values[np.repeat(first[codes] - (end - each), each) + np.arange(end[-1] if len(end) else 0)]
         ends = np.concatenate([[0], end])[rows]
         own = pc.match_substring(texts, _CUT).to_numpy(zero_copy_only=False)
         if loose.any() or own.any():
