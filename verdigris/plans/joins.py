@@ -181,9 +181,9 @@ def j17(t: Tables) -> DataFrame:
     return t.feedback().select("dedup_key").join(joined, "dedup_key", "left")
 
 
-@query("j18_cosine_pairs", """WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.8""")
+@query("j18_cosine_pairs", """WITH n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings) SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id < b.vec_id WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.5""")
 def j18(t: Tables) -> DataFrame:
-    return similarity.cosine_pairs(t.embeddings.select("vec_id", "embedding"), "vec_id", "embedding", 0.8)
+    return similarity.cosine_pairs(t.embeddings.select("vec_id", "embedding"), "vec_id", "embedding", 0.5)
 
 
 @query("j19_minhash_candidates")
