@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import tempfile
 import uuid
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -84,6 +87,23 @@ def slices(batches: Iterable[pa.RecordBatch], text: str = "text", limit: int = S
         pa.default_memory_pool().release_unused()
 
 
+_held: dict[str, Callable[[], object]] = {}
+
+
+def holds(name: str, clear: Callable[[], object] | None = None) -> None:
+    """Says that this worker now needs the cache `name`: all others, left by earlier operators, are emptied."""
+    others = [n for n in _held if n != name]
+    for n in others:
+        _held.pop(n)()
+    if clear:
+        _held[name] = clear
+    if others:
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 class WordHash(dict):
     """bytes → 64-bit hash, cached up to CACHE_WORDS words."""
 
@@ -94,6 +114,8 @@ class WordHash(dict):
         return value
 
     def of(self, words: list[bytes]) -> np.ndarray:
+        if "words" not in _held:
+            holds("words", self.clear)
         return np.fromiter(map(self.__getitem__, words), np.uint64, len(words))
 
 

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import as_bytes, mix, rolling, slices
+from verdigris.llm.common import as_bytes, holds, mix, rolling, slices
 
 #: Bytes that belong to words stay, with A-Z lowered; all others become a space.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -163,6 +163,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k:
 
     def matcher(index: bytes | None, first: bool):
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            holds("index")
             table = pickle.loads(index.value if hasattr(index, "value") else index) if index is not None else None
             for b in slices(batches, text_column):
                 counts, spans, items = [], [], []

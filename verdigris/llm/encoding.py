@@ -18,8 +18,12 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
+from verdigris.llm.common import holds
+
 #: Units in a worker's cache, about 150 bytes each; a full cache is emptied, which costs time and no results.
-CACHE_UNITS = 800_000
+CACHE_UNITS = 500_000
+#: Units that the library encodes as one text.
+JOINED = 500
 _CUT = "\x01"
 _PUNCTUATION = r"([A-Za-z0-9])([!-&(-/:-@\[-`{-~])"
 _open: dict[tuple[str, str], "UnitEncoder"] = {}
@@ -51,6 +55,11 @@ class UnitEncoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
         self.kind = kind
+        # by token: whether a unit begins there (byte) or a word ends there (word)
+        vocabulary = self.tokenizer.get_vocab()
+        self.mark = np.zeros(max(vocabulary.values()) + 1, bool)
+        for token, number in vocabulary.items():
+            self.mark[number] = token.startswith("Ġ") if kind == "byte" else token.endswith("</w>")
         self._clear()
 
     def _clear(self) -> None:
@@ -61,6 +70,31 @@ class UnitEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [array("I", x.ids).tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _many(self, units: list[str]) -> tuple[np.ndarray, list[str], np.ndarray]:
+        """All ids, the units in the order of their ids, and each one's number of ids.
+
+        Units whose ends show in the ids (those with a space before them, or of letters alone) are encoded JOINED at a
+        time; where the marks don't fit the units, as some letters fall apart in lower case, one after the other."""
+        joins = [u[0] == " " if self.kind == "byte" else u.strip(" ").isalpha() and u[0] == " " for u in units]
+        fit = [u for u, j in zip(units, joins, strict=True) if j]
+        chunks = [fit[i : i + JOINED] for i in range(0, len(fit), JOINED)]
+        ids, order, sizes = [], [], []
+        alone = [u for u, j in zip(units, joins, strict=True) if not j]
+        for chunk, made in zip(chunks, self.tokenizer.encode_batch_fast(["".join(c) for c in chunks], add_special_tokens=False), strict=True):
+            got = np.array(made.ids, np.uint32)
+            marks = np.flatnonzero(self.mark[got])
+            cuts = np.append(marks, len(got)) if self.kind == "byte" else np.concatenate([[0], marks + 1])
+            if len(cuts) == len(chunk) + 1 and cuts[0] == 0 and cuts[-1] == len(got):
+                ids.append(got)
+                order += chunk
+                sizes.append(np.diff(cuts))
+            else:
+                alone += chunk
+        single = self._ids(alone)
+        ids.append(np.frombuffer(b"".join(single), np.uint32))
+        sizes.append(np.fromiter(map(len, single), np.int64, len(single)) // 4)
+        return np.concatenate(ids), order + alone, np.concatenate(sizes)
+
     def _places(self, units: list[str]) -> np.ndarray:
         """The units' numbers; −1 for those that can't stand alone."""
         if len(self.place) > CACHE_UNITS:
@@ -68,19 +102,18 @@ class UnitEncoder:
         out = np.fromiter(map(self.place.get, units, repeat(-1)), np.int64, len(units))
         gaps = [i for i in np.flatnonzero(out < 0).tolist() if stands_alone(units[i])]
         if gaps:
-            made = self._ids([units[i] for i in gaps])
-            size = np.fromiter(map(len, made), np.int64, len(made)) // 4
-            n, end = len(self.place), self.filled + int(size.sum())
+            ids, made, size = self._many([units[i] for i in gaps])
+            n, end = len(self.place), self.filled + len(ids)
             while n + len(made) > len(self.start):
                 self.start, self.size = np.append(self.start, np.zeros_like(self.start)), np.append(self.size, np.zeros_like(self.size))
             while end > len(self.values):
                 self.values = np.append(self.values, np.zeros_like(self.values))
-            self.values[self.filled : end] = np.frombuffer(b"".join(made), np.uint32)
+            self.values[self.filled : end] = ids
             self.size[n : n + len(made)] = size
             self.start[n : n + len(made)] = self.filled + np.cumsum(size) - size
             self.filled = end
-            self.place.update(zip([units[i] for i in gaps], range(n, n + len(made)), strict=True))
-            out[gaps] = np.arange(n, n + len(made))
+            self.place.update(zip(made, range(n, n + len(made)), strict=True))
+            out[gaps] = np.fromiter((self.place[units[i]] for i in gaps), np.int64, len(gaps))
         return out
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
@@ -138,6 +171,7 @@ def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray
 def encoder(name: str, kind: str) -> UnitEncoder:
     """One per worker process and tokenizer."""
     path = tokenizer_file(name)
+    holds(f"encoder {path} {kind}", lambda: _open.pop((path, kind), None))
     if (path, kind) not in _open:
         _open[path, kind] = UnitEncoder(path, kind)
     return _open[path, kind]

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import CACHE_WORDS, as_bytes, slices
+from verdigris.llm.common import CACHE_WORDS, as_bytes, holds, slices
 
 BITS = 18
 _EDGE = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
@@ -151,6 +151,7 @@ def score(docs: DataFrame, model: Model | None, *, threshold: float = 0.5, text_
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
+        holds("tokens", _tokens.clear)
         for b in slices(batches, text_column):
             if model is None:
                 made = [pa.nulls(b.num_rows, pa.float64()), pa.nulls(b.num_rows, pa.float64()), pa.array([False] * b.num_rows)]
