@@ -67,6 +67,32 @@ def coefficients(perms: int, seed: int) -> tuple[list[int], list[int]]:
     return rng.integers(1, P, perms).tolist(), rng.integers(0, P, perms).tolist()
 
 
+def byte_shingles(text: str | None) -> np.ndarray:
+    """Sorted distinct base-257 hashes of all 5 bytes."""
+    raw = np.frombuffer((text or "").encode(), np.uint8).astype(np.int64)
+    if len(raw) < 5:
+        return np.empty(0, np.int64)
+    h = raw[: len(raw) - 4].copy()
+    for k in range(1, 5):
+        h = h * 257 + raw[k : len(raw) - 4 + k]
+    return np.unique(h)
+
+
+def shingle_sets(df: DataFrame, key: str, text: str) -> DataFrame:
+    """key, s: the distinct byte shingles of whole texts, in time linear in their length."""
+    import pyarrow as pa
+
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            sets = [byte_shingles(t) for t in b.column(1).to_pylist()]
+            cuts = np.concatenate([[0], np.cumsum([len(s) for s in sets])])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate(sets) if sets else np.empty(0, np.int64)))], names=[key, "s"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, s array<long>")
+
+
 def minhash(df: DataFrame, key: str, text: str, perms: int = 128, seed: int = 17) -> DataFrame:
     """key, signature: min over byte 5-grams of (a·h + b) mod 2³¹ − 1, in an Arrow map (no shuffle); none below 5 bytes."""
     import pyarrow as pa
@@ -79,14 +105,10 @@ def minhash(df: DataFrame, key: str, text: str, perms: int = 128, seed: int = 17
         for batch in batches:
             made = []
             for t in batch.column(1).to_pylist():
-                raw = np.frombuffer((t or "").encode(), np.uint8).astype(np.uint64)
-                if len(raw) < 5:
+                h = byte_shingles(t).astype(np.uint64) % np.uint64(P)
+                if not len(h):
                     made.append(None)
                     continue
-                h = raw[: len(raw) - 4].copy()
-                for k in range(1, 5):
-                    h = h * np.uint64(257) + raw[k : len(raw) - 4 + k]
-                h = np.unique(h) % np.uint64(P)
                 made.append(np.concatenate([((x[i : i + 16, None] * h + y[i : i + 16, None]) % np.uint64(P)).min(1) for i in range(0, perms, 16)]).astype(np.int64))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=[key, "signature"])
 
