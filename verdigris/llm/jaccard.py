@@ -36,8 +36,8 @@ from pyspark.sql import functions as F
 
 from verdigris.llm.common import WORDS, as_bytes, components, mix, shingles, slices, staged
 
-#: Entries of the table of common shingles: 16 bytes each.  Others count as rare, which costs time and no results.
-MOST_COMMON = 1 << 20
+#: Entries of the table of common shingles: 9 bytes each.  Others count as rare, which costs time and no results.
+MOST_COMMON = 1 << 21
 #: Rows up to which a list of ids is broadcast; a longer one is joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 BLOCK = 2048
@@ -52,9 +52,10 @@ def text_set(text: bytes, k: int) -> np.ndarray:
     return shingles(WORDS.of(text.lower().split()), k)
 
 
-def census(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, dict[int, int]]:
-    """Shingles that several documents of a slice have, sorted, with their counts (the most frequent ones, at most
-    MOST_COMMON of them), and the number of sets of each size; sizes over 128 count as 128."""
+def census(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, float, dict[int, int]]:
+    """Shingles that several documents of a slice have, sorted, with the levels of their counts (eighths of a power of two;
+    the most frequent ones, at most MOST_COMMON of them), the sum of these counts, and the number of sets of each size;
+    sizes over 128 count as 128."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[tuple[np.ndarray, np.ndarray]] = []
@@ -86,15 +87,15 @@ def census(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, dict[int,
 
     counts = staged(texts.select("text").mapInArrow(count, "sort int, key long, n long").groupBy("sort", "key").agg(F.sum("n").alias("n")), "census")
     level = F.floor(F.log2("n") * 8)
-    least, held = 1 << 30, 0
-    for r in counts.where("sort = 0").groupBy(level.cast("int").alias("level")).agg(F.count("*").alias("n")).orderBy(F.desc("level")).collect():  # some hundred levels
+    least, held, scanned = 1 << 30, 0, 0.0
+    for r in counts.where("sort = 0").groupBy(level.cast("int").alias("level")).agg(F.count("*").alias("n"), F.sum("n").alias("total")).orderBy(F.desc("level")).collect():  # some hundred levels
         if held + r.n > MOST_COMMON:
             break
-        least, held = r.level, held + r.n
-    found = counts.where((F.col("sort") == 0) & (level >= least)).select("key", "n").toPandas()
+        least, held, scanned = r.level, held + r.n, scanned + r.total
+    found = counts.where((F.col("sort") == 0) & (level >= least)).select("key", F.least(level, F.lit(255)).cast("short").alias("level")).toPandas()
     keys = found["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], found["n"].to_numpy(np.int64)[order], {r.key: r.n for r in counts.where("sort = 1 and key > 0 and n > 0").collect()}
+    return keys[order], found["level"].to_numpy(np.uint8)[order], scanned, {r.key: r.n for r in counts.where("sort = 1 and key > 0 and n > 0").collect()}
 
 
 def boundary(sizes: dict[int, int], scanned: float, similarity: float) -> int:
@@ -264,8 +265,8 @@ def across(members: DataFrame, info: DataFrame, similarity: float) -> DataFrame:
 def similar_groups(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id of every row; similarity is a whole number of hundredths, over one half."""
     texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    keys, times, sizes = census(texts, k)
-    light = boundary(sizes, float(times.sum()), similarity)
+    keys, times, scanned, sizes = census(texts, k)
+    light = boundary(sizes, scanned, similarity)
     rows = staged(node_rows(texts, k, similarity, light, (keys, times)), "nodes")
     hubs = staged(hub_members(rows), "hubs")
     info = rows.where("counts is not null").join(hubs.select("node").distinct(), "node", "left_semi")

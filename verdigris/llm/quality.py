@@ -96,10 +96,12 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, *, l2: floa
         return None
     y = np.array([r[0] for r in rows])
     at = np.concatenate([r[1] for r in rows])
-    value = np.concatenate([r[2] for r in rows]).astype(np.float64)
+    value = np.concatenate([r[2] for r in rows])
     starts = np.cumsum([0] + [len(r[1]) for r in rows])[:-1]
-    row = np.repeat(np.arange(len(rows)), [len(r[1]) for r in rows])
+    row = np.repeat(np.arange(len(rows), dtype=np.int32), [len(r[1]) for r in rows])
     used, at = np.unique(at, return_inverse=True)
+    at = at.astype(np.int32)
+    del rows
     share = (np.array([(y >= k).sum() for k in range(1, grades)]) + 0.5) / (len(y) + 1)
     # thresholds as the first one and the logarithms of the gaps, so they stay in order
     first = -np.log(share / (1 - share))
@@ -139,7 +141,9 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, *, mo
     texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
     found = texts.join(F.broadcast(chosen), "id").select("grade", "text").mapInArrow(rows, "grade int, slots binary, vals binary").collect()
     found.sort(key=lambda r: (r.grade, r.slots, r.vals))  # the order of rows must not matter
-    return fit([(r.grade, np.frombuffer(r.slots, np.int32), np.frombuffer(r.vals, np.float32)) for r in found], grades, **options)
+    rows = [(r.grade, np.frombuffer(r.slots, np.int32), np.frombuffer(r.vals, np.float32)) for r in found]
+    del found
+    return fit(rows, grades, **options)
 
 
 def score(docs: DataFrame, model: Model | None, *, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
