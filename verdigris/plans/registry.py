@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from verdigris.plans import base, filters, joins  # noqa: F401
+from verdigris.plans import aggregates, base, composites, decisions, filters, joins, sampling, scalars, sets, sources, streams, windows  # noqa: F401
 
 FLAGSHIP = "j01_accepted_by_category"
 
