@@ -17,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from verdigris import reachable
+
 #: Most bytes of text that a Python worker handles at once (a single longer text still comes whole).
 SLICE_BYTES = 4 << 20
 #: Most entries of a per-worker word cache; a full cache is emptied, which costs time and no results.
@@ -185,6 +187,7 @@ def components(links: DataFrame, src: str, dst: str, name: str = "components", m
 
 def narrow_batches(spark: SparkSession, most: int = 2000) -> None:
     """Rows of whole texts are wide: fewer of them in an Arrow batch bound what a worker and its JVM hold at once."""
+    reachable(spark)
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
     now = int(spark.conf.get(key))
     if not 0 < now <= most:

@@ -48,7 +48,8 @@ def stands_alone(unit: str) -> bool:
 class UnitEncoder:
     """kind: `byte` for a byte-level tokenizer that keeps spaces, `word` for one that drops white space and case."""
 
-    def __init__(self, path: str, kind: str):
+    def __init__(self, path: str, kind: str, most: int = CACHE_UNITS):
+        self.most = most
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -97,7 +98,7 @@ class UnitEncoder:
 
     def _places(self, units: list[str]) -> np.ndarray:
         """The units' numbers; −1 for those that can't stand alone."""
-        if len(self.place) > CACHE_UNITS:
+        if len(self.place) > self.most:
             self._clear()
         out = np.fromiter(map(self.place.get, units, repeat(-1)), np.int64, len(units))
         gaps = [i for i in np.flatnonzero(out < 0).tolist() if stands_alone(units[i])]
@@ -168,10 +169,10 @@ def with_end(ids: np.ndarray, ends: np.ndarray, end_id: int) -> tuple[np.ndarray
     return out, ends + np.arange(len(ends))
 
 
-def encoder(name: str, kind: str) -> UnitEncoder:
-    """One per worker process and tokenizer."""
+def encoder(name: str, kind: str, most: int = CACHE_UNITS) -> UnitEncoder:
+    """One per worker process and tokenizer; `most` bounds its cache."""
     path = tokenizer_file(name)
     holds(f"encoder {path} {kind}", lambda: _open.pop((path, kind), None))
     if (path, kind) not in _open:
-        _open[path, kind] = UnitEncoder(path, kind)
+        _open[path, kind] = UnitEncoder(path, kind, most)
     return _open[path, kind]

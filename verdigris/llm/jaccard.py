@@ -13,7 +13,7 @@ The boundary is the one of least cost: subsets to write against list entries to
 sizes and the measured repetition of shingles.
 
 Candidates never become all pairs of a list.  Each list has a hub, its member with the most common shingles.  First each
-member is held against its hubs; the components of these links contract the lists.  Then, only where a hub's members
+member is held against its nearest hubs; the components of these links contract the lists.  Then, only where a hub's members
 still are in several components, members of different components are compared by size and by 256 counts of their shingles
 (half the sum of differences bounds the overlap), and what passes is verified on the sets.  Both steps verify by exact
 intersection.  Pairs within a component are never made, and no link between components is lost.
@@ -41,6 +41,8 @@ MOST_COMMON = 1 << 21
 #: Rows up to which a list of ids is broadcast; a longer one is joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 BLOCK = 2048
+#: Hubs that a node is held against in the first step, which only spares work in the second, whole one.
+FIRST_HUBS = 2
 
 
 def least_overlap(n: int, similarity: float) -> int:
@@ -206,11 +208,11 @@ def may_be_similar(n: np.ndarray, m: np.ndarray, counts: np.ndarray, others: np.
 
 
 def hub_members(rows: DataFrame) -> DataFrame:
-    """(hub, node), the hub itself too, for every list of several nodes."""
+    """(hub, node, lists: how many they share), the hub itself too, for every list of several nodes."""
     entries = rows.where("size(keys) > 0").select("node", "rank", F.explode("keys").alias("key"))
     lists = Window.partitionBy("key")
     least, low, high = F.min(F.struct("rank", "node")).over(lists), F.min("node").over(lists), F.max("node").over(lists)
-    return entries.select("node", least["node"].alias("hub"), (low != high).alias("several")).where("several").select("hub", "node").distinct()
+    return entries.select("node", least["node"].alias("hub"), (low != high).alias("several")).where("several").groupBy("hub", "node").agg(F.count("*").alias("lists"))
 
 
 def plausible(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -273,10 +275,13 @@ def similar_groups(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, id_c
     info = staged(info.groupBy("node").agg(F.first("n").alias("n"), F.first("counts").alias("counts")), "info")
     nodes = staged(rows.where("node is not null").groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "hash")).alias("x")).select("node", "x.doc_id", "x.hash"), "ids")
 
-    hub_pairs = hubs.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    hub_pairs = hubs.where("hub <> node").select(F.col("hub").alias("a"), F.col("node").alias("b"), "lists")
     # by size first, so that fewer rows carry the wide counts
     sized = hub_pairs.join(info.select(F.col("node").alias("a"), "n"), "a").join(info.select(F.col("node").alias("b"), F.col("n").alias("m")), "b")
     sized = sized.where(F.least("n", "m") >= similarity * F.greatest("n", "m") - 1e-9)
+    # a node meets the hubs that it shares most lists with; the second step settles what these leave open
+    nearest = F.row_number().over(Window.partitionBy("b").orderBy(F.desc("lists"), "a"))
+    sized = sized.withColumn("place", nearest).where(F.col("place") <= FIRST_HUBS)
     pairs = sized.join(info.select(F.col("node").alias("a"), "counts"), "a").join(info.select(F.col("node").alias("b"), F.col("counts").alias("others")), "b")
     first = verified(texts, nodes, staged(plausible(pairs, similarity), "pairs"), k, similarity, "sets")
     found = components(first, "a", "b", "contracted")

@@ -39,9 +39,9 @@ def token_pieces(docs: DataFrame, *, size: int = 2048, tokenizer: str = "word_bp
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        enc, shard = encoder(tokenizer, kind), TaskContext.get().partitionId()
+        enc, shard = encoder(tokenizer, kind, 300_000), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
-        for b in slices(batches):
+        for b in slices(batches, limit=2 << 20):
             ids, cuts = with_end(*enc.encode(b.column(1)), end_id)
             total = np.diff(cuts)
             n = -(-total // size)
