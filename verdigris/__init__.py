@@ -1,0 +1,12 @@
+"""Feedback-corpus analytics and training-data operators on Spark."""
+
+from __future__ import annotations
+
+from pathlib import Path
+
+
+def reachable(spark) -> None:
+    """Lets Python workers on this machine import the package wherever the driver was started; clusters ship it by --py-files."""
+    root, held = str(Path(__file__).resolve().parent.parent), spark.sparkContext.environment
+    if root not in held.get("PYTHONPATH", "").split(":"):
+        held["PYTHONPATH"] = ":".join(x for x in (root, held.get("PYTHONPATH", "")) if x)
