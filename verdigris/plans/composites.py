@@ -175,3 +175,29 @@ def n25(t: Tables) -> DataFrame:
     """Hits in their order with their documents; stale hits drop out."""
     hits = t.spark.range(50).select(F.col("id").alias("place"), (F.col("id") * 7 % 300).alias("doc_id"))
     return F.broadcast(hits).join(t.documents, "doc_id").select("place", "doc_id", "lang").orderBy("place")
+
+
+def until_settled(step, cap: int) -> int:
+    """Calls step() until it says that nothing was new, at most cap times; the number of calls."""
+    for n in range(1, cap + 1):
+        if not step():
+            return n
+    return cap
+
+
+@query("n20_sweep", "SELECT count(DISTINCT session_id) AS sampled, CAST(ceil(count(DISTINCT session_id) / greatest(10, ceil(count(DISTINCT session_id) / 4))) + 1 AS INTEGER) AS passes FROM turns", "turns")
+def n20(t: Tables) -> DataFrame:
+    """Sampling a quarter of the sessions at a time until a pass finds none; what is done is a written table."""
+    from verdigris.operators.dedup import shared
+    from verdigris.operators.sampling import draw
+
+    every = t.turns().select("session_id").distinct()
+    done, size = [t.spark.createDataFrame([], "session_id string")], max(10, -(-every.count() // 4))
+
+    def step() -> bool:
+        new = shared(every.join(done[0], "session_id", "left_anti").orderBy(draw(9, F.col("session_id")), "session_id").limit(size), "sampled")
+        done[0] = shared(done[0].union(new), "done")
+        return new.limit(1).count() > 0
+
+    passes = until_settled(step, 1000)
+    return done[0].agg(F.count("*").alias("sampled"), F.lit(passes).alias("passes"))

@@ -154,3 +154,15 @@ def m20(t: Tables) -> DataFrame:
     """Evidence only: it never chooses."""
     hits = search.bm25(t.documents, "doc_id", ["text"], "the and of", 50)
     return hits.agg(F.count("*").alias("n")).select(F.lit("the and of").alias("question"), F.lit(50).alias("asked"), F.lit(None).cast("string").alias("choice"))
+
+
+def promoted(metric, incumbent, floor: float):
+    """Strictly better than the incumbent and over the floor; a value that is no number, or none, fails closed."""
+    known = lambda c: c.isNotNull() & ~F.isnan(c)
+    return F.coalesce(known(metric) & known(incumbent) & (metric > incumbent) & (metric >= floor), F.lit(False))
+
+
+@query("m05_promotion_bars", "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN FALSE ELSE candidate > base AND candidate >= 0.5 END AS promoted FROM scored", "scored")
+def m05(t: Tables) -> DataFrame:
+    candidate = F.when(F.col("doc_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("candidate"))
+    return scored(t).select("doc_id", promoted(candidate, F.col("base"), 0.5).alias("promoted"))
