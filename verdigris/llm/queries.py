@@ -27,7 +27,7 @@ def op2_pattern_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm import lines
 
-    return lines.deduplicated(load(spark, sf_dir, "documents").select("doc_id", "text"))
+    return lines.deduplicated(load(spark, sf_dir, "documents").select("doc_id", "text"), min_words=1)
 
 
 def op4_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
