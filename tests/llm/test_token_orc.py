@@ -8,14 +8,13 @@ from verdigris.llm import token_orc
 from verdigris.llm.common import new_path
 from verdigris.llm.encoding import encoder, tokenizer_file
 
-ODD = ["", " ", "a  b", "a \n b", " lead", "trail ", "x  y  z", "it's we'll 'tis", "\n\n\n", "a\tb c", "<|endoftext|> x", "naïve ÉCOLE ß Σίσυφος", "1234 56,7 !!! ...", "é ́x", "\x1c \x1f a", "x " * 3000, "a  " * 50 + "b", "a\x01b c", "x!'s y's, z''s", "l\nm\n\nn\n", "\n", "a\n b", "a \nb.c,d", "1,234.5%", "t\u00a0 u\u3000v", "<|startoftext|>a.b"]
+ODD = ["", " ", "a  b", "a \n b", " lead", "trail ", "x  y  z", "it's we'll 'tis", "\n\n\n", "a\tb c", "<|endoftext|> x", "naïve ÉCOLE ß Σίσυφος", "1234 56,7 !!! ...", "é ́x", "\x1c \x1f a", "x " * 3000, "a  " * 50 + "b", "a\x01b c", "x!'s y's, z''s", "l\nm\n\nn\n", "\n", "a\n b", "a \nb.c,d", "1,234.5%", "t\u00a0 u\u3000v", "<|startoftext|>a.b", "a<|endoftext|>", "\t<|ENDOFTEXT|> b", "x\n<|endoftext|>\n<|startoftext|>  y", "<|endoftext |> <|end", "Ⓐ<|EndOfText|>"]
 
 
 def whole(name, texts):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokenizer_file(name))
-    t.encode_special_tokens = True
     return [t.encode(x, add_special_tokens=False).ids for x in texts]
 
 

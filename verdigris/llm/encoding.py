@@ -5,7 +5,8 @@ goes on: before a single space between two other characters (the space belongs t
 sides of a single line feed between two other characters, and between an ASCII letter or digit and ASCII punctuation
 other than the apostrophe.  So the ids of a text are those of its units in a row.  Cutting and finding the distinct units
 are Arrow kernels; the library sees each unit that the worker's cache doesn't hold.  Where white space stands otherwise,
-units stay together.  Tests hold this against encoding whole texts.
+units stay together, and a text that holds the string of a special token goes to the library whole, for the library takes
+such a string for the token.  Tests hold this against encoding whole texts.
 """
 
 from __future__ import annotations
@@ -54,7 +55,7 @@ class UnitEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # the strings of special tokens are ordinary text
+        self.added = [x.content for x in self.tokenizer.get_added_tokens_decoder().values()]
         self.kind = kind
         # by token: whether a unit begins there (byte) or a word ends there (word)
         vocabulary = self.tokenizer.get_vocab()
@@ -119,7 +120,7 @@ class UnitEncoder:
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids in a row, as unsigned 32-bit integers, and where each text's begin and end; a null is empty."""
-        texts = pc.fill_null(texts, "")
+        texts = raw = pc.fill_null(texts, "")
         if self.kind == "word":
             texts = pc.ascii_lower(texts)
         cut = pc.replace_substring(pc.replace_substring(texts, " ", _CUT + " "), "\n", f"{_CUT}\n{_CUT}")
@@ -136,11 +137,13 @@ class UnitEncoder:
         ids = self.values[np.repeat(first[codes] - (end - each), each) + np.arange(end[-1] if len(end) else 0)]
         ends = np.concatenate([[0], end])[rows]
         own = pc.match_substring(texts, _CUT).to_numpy(zero_copy_only=False)
+        for token in self.added:  # in both forms: lower-casing must not make a special token either
+            own = own | pc.match_substring(raw, token).to_numpy(zero_copy_only=False) | pc.match_substring(texts, token).to_numpy(zero_copy_only=False)
         if loose.any() or own.any():
             odd = np.add.reduceat(loose[codes], rows[:-1]) > 0 if len(codes) else own
             parts = np.split(ids, ends[1:-1])
             for i in np.flatnonzero(odd | own):
-                runs = [texts[i].as_py()] if own[i] else self._runs([units[c] for c in codes[rows[i] : rows[i + 1]]])
+                runs = [raw[i].as_py()] if own[i] else self._runs([units[c] for c in codes[rows[i] : rows[i + 1]]])
                 parts[i] = np.frombuffer(b"".join(self._ids(runs)), np.uint32)
             ids, ends = np.concatenate(parts), np.concatenate([[0], np.cumsum([len(x) for x in parts])])
         return ids, ends

@@ -13,7 +13,7 @@ this runs on the driver in bounded time and memory.
 Ranks within a length come from each shard's own running counts plus the counts of earlier shards, so that no length,
 however common, meets in one task.
 
-Defined cases: a null or empty text is its end token alone; repeated rows are documents of their own; an empty table
+Defined cases: a null or empty text is its end token alone; texts of any length are taken whole, in pieces; repeated rows and ids are documents of their own; an empty table
 gives an empty result; other columns are left out; equal histograms give equal plans.
 """
 

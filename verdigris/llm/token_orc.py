@@ -7,7 +7,7 @@ encoding, keeps statistics for each `row_index_stride` rows and a Bloom filter o
 columns asked for, `positions` adds each document's place in the whole id sequence, and `lookup` fetches documents by id.
 
 Defined cases: a null or empty text has the end id alone; rows of equal ids are all kept, in the order of their texts'
-hashes; null ids come first; an empty table gives an empty table with the schema; other columns are left out.
+hashes (texts of one hash in any order); null ids come first; texts of any length are taken whole; an empty table gives an empty table with the schema; other columns are left out.
 """
 
 from __future__ import annotations
