@@ -9,13 +9,16 @@ import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
+from operator import add
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from verdigris import reachable
 
@@ -23,6 +26,8 @@ from verdigris import reachable
 SLICE_BYTES = 4 << 20
 #: Most entries of a per-worker word cache; a full cache is emptied, which costs time and no results.
 CACHE_WORDS = 400_000
+#: Bytes, as `row_bytes` counts them, up to which a table is broadcast.
+MOST_BROADCAST = 24 << 20
 
 _staged: list[str] = []
 
@@ -67,6 +72,38 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def row_bytes(schema: T.StructType) -> Column:
+    """About how many bytes a row takes in a broadcast table."""
+
+    def of(kind: T.DataType, c: Column) -> Column:
+        if isinstance(kind, T.StructType):
+            return reduce(add, (of(f.dataType, c[f.name]) for f in kind.fields), F.lit(16))
+        if isinstance(kind, T.ArrayType):
+            return F.coalesce(F.size(c), F.lit(0)) * 24 + 16
+        if isinstance(kind, (T.StringType, T.BinaryType)):
+            return F.coalesce(F.octet_length(c), F.lit(0)) + 16
+        return F.lit(8)
+
+    return reduce(add, (of(f.dataType, F.col(f"`{f.name}`")) for f in schema.fields), F.lit(32)).cast("long")
+
+
+def small(df: DataFrame) -> DataFrame:
+    """df (a stored table: it is read here), to be broadcast if its bytes (counted) are few; else joins shuffle it."""
+    return F.broadcast(df) if (df.select(row_bytes(df.schema).alias("b")).agg(F.sum("b")).first()[0] or 0) <= MOST_BROADCAST else df
+
+
+def spread_join(rows: DataFrame, side: DataFrame, key: str, often: int = 100_000) -> DataFrame:
+    """rows ⋈ side on key.  side (a stored table) has a row for each key and its number of rows, `times`, which the
+    result leaves out.  Keys of more than `often` rows, and of a 2,000th of all, are few and are broadcast, so none
+    meets in one task."""
+    most, total = side.agg(F.max("times"), F.sum("times")).first()
+    often = max(often, (total or 0) // 2000)
+    if (most or 0) <= often:
+        return rows.join(side.drop("times"), key)
+    hot = F.broadcast(side.where(F.col("times") > often).drop("times"))
+    return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(side.where(F.col("times") <= often).drop("times"), key))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8; a null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
