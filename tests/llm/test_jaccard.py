@@ -2,7 +2,7 @@ import random
 import re
 from collections import defaultdict
 
-from verdigris.llm import jaccard
+from verdigris.llm import common, jaccard
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -75,7 +75,8 @@ def test_given_documents(spark, sf_dir):
 
 
 def test_blocks_and_unbroadcast_ids(spark, monkeypatch):
-    monkeypatch.setattr(jaccard, "MOST_BROADCAST", 3)
+    monkeypatch.setattr(common, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(jaccard, "OFTEN", 1)
     monkeypatch.setattr(jaccard, "MOST_COMMON", 10)
     monkeypatch.setattr(jaccard, "BLOCK", 5)
     rows = variants(9, 250, [7, 30, 80])
@@ -87,3 +88,22 @@ def test_the_boundary_follows_cost():
     assert jaccard.boundary({5: 1000}, 50_000, 0.8) >= 5
     assert jaccard.boundary({}, 0, 0.8) >= 1
     assert [jaccard.least_overlap(n, 0.8) for n in (1, 2, 3, 4, 5, 10)] == [1, 2, 3, 4, 4, 8]
+
+
+def test_one_row_of_each_group_stays(spark):
+    """Repeated ids, repeated rows, null ids and texts, clashing and dotted names."""
+    u = "u v w x y z " * 3
+    t = "a b c d e f g h i j"
+    rows = [(1, t), (2, t), (2, u), (3, u + "x"), (7, t), (7, t), (None, t), (4, None), (4, None), (5, ""), (6, "only here and nowhere else at all"), (6, "only here and nowhere else at all"), (None, "null id alone in its own group yes")]
+    docs = spark.createDataFrame([(i, x, "m", k, 0) for k, (i, x) in enumerate(rows)], ["doc_id", "text", "node", "a.b", "hash"]).repartition(3)
+    got = jaccard.representatives(docs)
+    assert got.columns == docs.columns
+    kept = sorted(((r.doc_id, r.text) for r in got.collect()), key=str)
+    assert kept == sorted([(1, t), (2, u), (4, None), (4, None), (5, ""), (6, rows[10][1]), (None, rows[12][1])], key=str)
+    assert jaccard.representatives(docs.where("false")).count() == 0
+
+
+def test_ids_of_any_kind(spark):
+    docs = spark.createDataFrame([("b", "a b c d e f"), ("a", "A b c d e f"), ("c", "other"), (None, "a b c d e f"), (None, "third")], "doc_id string, text string")
+    got = sorted(((r.doc_id, r.component_id) for r in jaccard.similar_groups(docs).collect()), key=str)
+    assert got == sorted([("a", "a"), ("b", "a"), ("c", "c"), (None, "a"), (None, None)], key=str)

@@ -6,7 +6,6 @@ import atexit
 import contextlib
 import ctypes
 import gc
-import tempfile
 import uuid
 from collections.abc import Callable, Iterable, Iterator
 from functools import reduce
@@ -20,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris import reachable
+from verdigris import reachable, shared_dir
 
 #: Most bytes of text that a Python worker handles at once (a single longer text still comes whole).
 SLICE_BYTES = 4 << 20
@@ -32,19 +31,6 @@ MOST_BROADCAST = 24 << 20
 _staged: list[str] = []
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that the driver and all executors share: spark.checkpoint.dir, or one of our own where it is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="verdigris-")
-        spark.sparkContext.setCheckpointDir(found)
-    elif not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
 def new_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder; it is removed when the driver ends."""
     path = f"{shared_dir(spark)}/verdigris/{name}-{uuid.uuid4().hex}"
@@ -104,6 +90,11 @@ def spread_join(rows: DataFrame, side: DataFrame, key: str, often: int = 100_000
     return rows.join(hot, key).unionByName(rows.join(hot.select(key), key, "left_anti").join(side.where(F.col("times") <= often).drop("times"), key))
 
 
+def numbered(df: DataFrame, fields: list[T.StructField]) -> DataFrame:
+    """These columns of df as c0, c1 …: a map over Arrow batches can't take names with dots."""
+    return df.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)))
+
+
 def as_bytes(column: pa.Array) -> list[bytes]:
     """The column's texts as UTF-8; a null is empty."""
     return [x or b"" for x in column.cast(pa.binary()).to_pylist()]

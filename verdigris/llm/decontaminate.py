@@ -6,11 +6,14 @@ words has a kept hash in common, wherever it lies: the kept one depends on the s
 and each meeting is extended to both sides word by word; a match of `window` words or more counts.  Items shorter than
 the window have no span of that length: they are looked for as a whole, by the hash of all their words, then compared.
 
-The benchmark is the stated query set.  It is taken in blocks of at most `block_bytes` of text, one block's index at a
-time goes to the executors, and each block meets all documents in the same pass; documents are never shuffled or grouped.
-
-Defined cases: null and wordless texts have no words and no hits; null and wordless items occur nowhere; items of equal
-text all count; repeated documents are rows of their own; an empty benchmark hits nothing; other columns stay.
+The benchmark is the stated query set.  It is taken in blocks of about `block_bytes` of text, so the driver holds one block
+at a time; each block's index is broadcast and meets every slice of texts in one pass.  A worker holds all indexes while
+they take `held_bytes` or less, and else one at a time.  Documents are never shuffled or grouped.
+
+Defined cases: null and wordless texts have no words and no hits; null and wordless items, and items without an id, occur
+nowhere; items of equal text all count, of equal ids too; item ids may be of any type that sorts; texts of any length are
+taken whole; repeated documents are rows of their own; an empty benchmark hits nothing; other columns stay, but for those
+named n_words, hit_spans and hit_items, which are replaced.
 """
 
 from __future__ import annotations
@@ -24,8 +27,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
-from verdigris.llm.common import as_bytes, holds, mix, rolling, slices
+from verdigris.llm.common import SLICE_BYTES, as_bytes, holds, mix, numbered, rolling, slices
 
 #: Bytes that belong to words stay, with A-Z lowered; all others become a space.
 _TO_WORDS = bytes(c + 32 if 65 <= c <= 90 else c if c >= 128 or 48 <= c <= 57 or 97 <= c <= 122 else 32 for c in range(256))
@@ -65,7 +69,7 @@ def winnow(h: np.ndarray, w: int) -> np.ndarray:
 class Index:
     """Fingerprints of a block of items."""
 
-    def __init__(self, items: list[tuple[int, list[bytes]]], k: int, window: int):
+    def __init__(self, items: list[tuple[object, list[bytes]]], k: int, window: int):
         self.k, self.window, self.vocabulary = k, window, Vocabulary()
         self.ids, self.items = [], []
         for item, words in items:
@@ -86,7 +90,7 @@ class Index:
         self.sorted = np.sort(np.fromiter(self.prints, np.uint64, len(self.prints)))
         self.sorted_short = {n: np.sort(np.fromiter(x, np.uint64, len(x))) for n, x in self.short.items()}
 
-    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set[int]]:
+    def match(self, words: list[bytes]) -> tuple[list[tuple[int, int]], set]:
         """Word spans [start, end) that some item's windows cover, and the items."""
         own = np.fromiter(map(self.vocabulary.__getitem__, words), np.int64, len(words))
         spans, items = [], set()
@@ -137,10 +141,10 @@ def merged(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
-def blocks(benchmark: DataFrame, block_bytes: int, id_column: str, text_column: str) -> Iterator[list[tuple[int, list[bytes]]]]:
+def blocks(benchmark: DataFrame, block_bytes: int, id_column: str, text_column: str) -> Iterator[list[tuple[object, list[bytes]]]]:
     """The items with words, a bounded block at a time; the driver never holds more than one."""
     held, size = [], 0
-    for item, text in benchmark.select(F.col(id_column).cast("long"), F.col(text_column)).toLocalIterator():
+    for item, text in benchmark.select(F.col(f"`{id_column}`"), F.col(f"`{text_column}`")).toLocalIterator():
         words = words_of((text or "").encode())
         if words and item is not None:
             held.append((item, words))
@@ -152,39 +156,40 @@ def blocks(benchmark: DataFrame, block_bytes: int, id_column: str, text_column:
         yield held
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = 5, block_bytes: int = 8 << 20, text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = 10, k: int = 5, block_bytes: int = 8 << 20, held_bytes: int = 256 << 20, text_column: str = "text", item_id: str = "item_id", item_text: str = "text") -> DataFrame:
     """docs with n_words, hit_spans (array of disjoint word spans) and hit_items (sorted item ids)."""
     if not 1 <= k <= window:
         raise ValueError("k must lie between 1 and the window")
     own = [f for f in docs.schema.fields if f.name not in ("n_words", "hit_spans", "hit_items")]
-    spans_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-    schema = T.StructType([*own, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("hit_items", T.ArrayType(T.LongType()))])
-    n = len(own)
-
-    def matcher(index: bytes | None, first: bool):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            holds("index")
-            table = pickle.loads(index.value if hasattr(index, "value") else index) if index is not None else None
-            for b in slices(batches, text_column):
-                counts, spans, items = [], [], []
-                for j, text in enumerate(as_bytes(b.column(b.schema.get_field_index(text_column)))):
-                    words = words_of(text)
-                    s, i = table.match(words) if table else ([], set())
-                    if not first:
-                        s += [(x["start"], x["end"]) for x in b.column(n + 1)[j].as_py()]
-                        i |= set(b.column(n + 2)[j].as_py())
-                    counts.append(len(words))
-                    spans.append([{"start": x, "end": y} for x, y in merged(s)])
-                    items.append(sorted(i))
-                yield pa.RecordBatch.from_arrays([*b.columns[:n], pa.array(counts, pa.int64()), pa.array(spans, spans_type), pa.array(items, pa.list_(pa.int64()))], names=schema.fieldNames())
-
-        return run
-
-    out, first = docs.select(*(F.col(f"`{f.name}`") for f in own)), True
+    spans_type, item_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])), benchmark.schema[item_id].dataType
+    schema = T.StructType([*own, T.StructField("n_words", T.LongType()), T.StructField("hit_spans", T.ArrayType(T.StructType([T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))), T.StructField("hit_items", T.ArrayType(item_type))])
+    items_type, names = pa.list_(to_arrow_type(item_type)), schema.fieldNames()
+    broadcast = docs.sparkSession.sparkContext.broadcast
+    size, indexes = 0, []
     for block in blocks(benchmark, block_bytes, item_id, item_text):
-        index = docs.sparkSession.sparkContext.broadcast(pickle.dumps(Index(block, k, window)))
-        out, first = out.mapInArrow(matcher(index, first), schema), False
-    return out.mapInArrow(matcher(None, True), schema) if first else out
+        made = pickle.dumps(Index(block, k, window))
+        size += 4 * len(made)  # about what it takes in memory
+        indexes.append(broadcast(made))
+    at, keep = [f.name for f in own].index(text_column), size <= held_bytes
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        holds("index")
+        tables = [pickle.loads(x.value) for x in indexes] if keep else ()
+        for b in slices(batches, f"c{at}", SLICE_BYTES if keep else 8 * SLICE_BYTES):
+            texts = as_bytes(b.column(at))
+            spans, items = [[] for _ in texts], [set() for _ in texts]
+            counts = [0] * len(texts) if indexes else [len(words_of(x)) for x in texts]
+            for table in tables or (pickle.loads(x.value) for x in indexes):
+                for j, text in enumerate(texts):
+                    words = words_of(text)
+                    counts[j] = len(words)
+                    more, which = table.match(words)
+                    spans[j] += more
+                    items[j] |= which
+            hit = [[{"start": x, "end": y} for x, y in merged(s)] for s in spans]
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(counts, pa.int64()), pa.array(hit, spans_type), pa.array([sorted(i) for i in items], items_type)], names=names)
+
+    return numbered(docs, own).mapInArrow(run, schema)
 
 
 def digest(found: DataFrame) -> DataFrame:

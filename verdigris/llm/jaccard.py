@@ -34,13 +34,14 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import WORDS, as_bytes, components, mix, shingles, slices, staged
+from verdigris.llm.common import WORDS, as_bytes, components, mix, shingles, slices, small, staged
 
 #: Entries of the table of common shingles: 9 bytes each.  Others count as rare, which costs time and no results.
 MOST_COMMON = 1 << 21
-#: Rows up to which a list of ids is broadcast; a longer one is joined by a shuffle.
-MOST_BROADCAST = 1_000_000
+#: Nodes of a hub that meet another block of its nodes in one task.
 BLOCK = 2048
+#: Nodes of a list, of the 1 in 64 that are counted beforehand, from which on it may be dealt over many tasks.
+OFTEN = 200
 #: Hubs that a node is held against in the first step, which only spares work in the second, whole one.
 FIRST_HUBS = 2
 
@@ -122,6 +123,7 @@ def node_rows(docs: DataFrame, k: int, similarity: float, light: int, common: tu
     """doc_id, hash (of the text), n, node (a hash of the set), rank (smaller: more of its shingles are common), keys and
     counts (empty and null where the task has met the node before)."""
     table = docs.sparkSession.sparkContext.broadcast(common)
+    kind = docs.schema["doc_id"].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words, times = table.value
@@ -160,27 +162,24 @@ def node_rows(docs: DataFrame, k: int, similarity: float, light: int, common: tu
             counts = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() if len(x) else None for s, (x, _) in zip(sets, made, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array([int(32 * (1 - c)) for _, c in made], pa.int32()), lists, pa.array(counts, pa.binary())], names=["doc_id", "hash", "n", "node", "rank", "keys", "counts"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, "doc_id long, hash long, n long, node long, rank int, keys array<long>, counts binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, f"doc_id {kind}, hash long, n long, node long, rank int, keys array<long>, counts binary")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, similarity: float, name: str) -> DataFrame:
     """Those of the pairs (a, b) whose sets are similar: a's set meets b's sets one after the other, b's in portions of
     about 256.  Each set is made from its text and goes straight to the places where it is needed."""
     portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("portions"))
-    dealt = pairs.join(portions, "a").select("a", F.pmod(F.xxhash64("b"), "portions").alias("portion"), "b")
+    dealt = staged(pairs.join(portions, "a").select("a", F.pmod(F.xxhash64("b"), "portions").alias("portion"), "b"), f"{name}-dealt")
     mine = dealt.select(F.col("a").alias("node"), "a", "portion", F.lit(None).cast("long").alias("b")).distinct()
-    theirs = dealt.select(F.col("b").alias("node"), "a", "portion", "b")
-    places = mine.union(theirs).groupBy("node").agg(F.collect_list(F.struct("a", "portion", "b")).alias("places"))
-    ids = staged(places.join(nodes, "node").select("places", F.col("doc_id").alias("id"), "hash"), f"{name}-places")
-    few = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    rows = docs.join(F.broadcast(ids) if few else ids, F.xxhash64("text").eqNullSafe(F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("places", "text")
+    places = staged(mine.union(dealt.select(F.col("b").alias("node"), "a", "portion", "b")), f"{name}-places")
+    needed = staged(places.select("node").distinct().join(nodes, "node").select("node", F.col("doc_id").alias("id"), "hash"), f"{name}-needed")
+    rows = docs.join(small(needed), F.xxhash64("text").eqNullSafe(F.col("hash")) & F.col("doc_id").eqNullSafe(F.col("id"))).select("node", "text")
 
     def sets_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_set(x, k).tobytes() for x in as_bytes(b.column(1))], pa.binary())], names=["places", "own"])
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_set(x, k).tobytes() for x in as_bytes(b.column(1))], pa.binary())], names=["node", "own"])
 
-    made = rows.mapInArrow(sets_of, "places array<struct<a: long, portion: long, b: long>>, own binary")
-    made = made.select(F.explode("places").alias("at"), "own").select("at.a", "at.portion", "at.b", "own")
+    made = rows.mapInArrow(sets_of, "node long, own binary").join(small(places), "node").select("a", "portion", "b", "own")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.empty(0, np.uint64)
@@ -208,11 +207,22 @@ def may_be_similar(n: np.ndarray, m: np.ndarray, counts: np.ndarray, others: np.
 
 
 def hub_members(rows: DataFrame) -> DataFrame:
-    """(hub, node, lists: how many they share), the hub itself too, for every list of several nodes."""
+    """(hub, node, lists: how many they share), the hub itself too, for every list of several nodes.
+
+    A list's rows are sorted in one task, but for lists that hold many of the nodes (counted on one node in 64): of these,
+    2,000 at most, the hubs come from counts that tasks combine first, and go to all tasks."""
     entries = rows.where("size(keys) > 0").select("node", "rank", F.explode("keys").alias("key"))
+    seen = entries.where(F.pmod("node", F.lit(64)) == 0).groupBy("key").agg(F.count("*").alias("times")).where(F.col("times") >= OFTEN)
+    seen = staged(seen, "hot-lists")
+    total = rows.where("size(keys) > 0").agg(F.sum(F.size("keys"))).first()[0] or 0
+    hot = F.broadcast(seen.where(F.col("times") >= total // 64 // 2000).select("key"))
     lists = Window.partitionBy("key")
     least, low, high = F.min(F.struct("rank", "node")).over(lists), F.min("node").over(lists), F.max("node").over(lists)
-    return entries.select("node", least["node"].alias("hub"), (low != high).alias("several")).where("several").groupBy("hub", "node").agg(F.count("*").alias("lists"))
+    cold = entries.join(hot, "key", "left_anti").select("node", least["node"].alias("hub"), (low != high).alias("several")).where("several").select("hub", "node")
+    warm = entries.join(hot, "key")
+    first = F.min_by("node", F.shiftleft(F.col("rank").cast("long"), 57).bitwiseOR(F.shiftrightunsigned("node", 7)))
+    hubs = staged(warm.groupBy("key").agg(first.alias("hub")), "hot-hubs")
+    return cold.union(warm.join(F.broadcast(hubs), "key").select("hub", "node")).groupBy("hub", "node").agg(F.count("*").alias("lists"))
 
 
 def plausible(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -264,9 +274,9 @@ def across(members: DataFrame, info: DataFrame, similarity: float) -> DataFrame:
     return rows.groupBy("hub", "i", "j").applyInArrow(pairs, "a long, b long").distinct()
 
 
-def similar_groups(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_shingles, component_id of every row; similarity is a whole number of hundredths, over one half."""
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+def grouped(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
+    """doc_id, hash (of the text), n, component of every row; rows of one component are linked.  Null without words."""
+    texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
     keys, times, scanned, sizes = census(texts, k)
     light = boundary(sizes, scanned, similarity)
     rows = staged(node_rows(texts, k, similarity, light, (keys, times)), "nodes")
@@ -289,7 +299,34 @@ def similar_groups(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, id_c
     second = verified(texts, nodes, staged(across(staged(members, "members"), info, similarity), "pairs"), k, similarity, "sets")
     found = components(first.union(second), "a", "b", "groups")
 
-    own = nodes.select("node", "doc_id").join(found, "node", "left").select("node", "doc_id", F.coalesce("component", "node").alias("component"))
-    least = own.groupBy("component").agg(F.min("doc_id").alias("component_id"))
-    own = own.join(least, "component").select("node", "component_id")
-    return rows.select("doc_id", "n", "node").join(own, "node", "left").select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"))
+    # most nodes are in no link: only the others are looked up
+    found = small(staged(found.where("node <> component"), "components"))
+    return rows.select("doc_id", "hash", "n", "node").join(found, "node", "left").select("doc_id", "hash", "n", F.coalesce("component", "node").alias("component"))
+
+
+def similar_groups(docs: DataFrame, **options) -> DataFrame:
+    """doc_id, n_shingles, component_id (the component's smallest id) of every row; similarity is a whole number of hundredths, over one half."""
+    rows = staged(grouped(docs, **options), "grouped")
+    # rows that share their component with others; the rest are their own
+    least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("times")).where("times > 1")
+    least = small(staged(least, "component-ids").select("component", "component_id"))
+    return rows.join(least, "component", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def representatives(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
+    """docs with one row of each component: the one with the smallest id (nulls last), then text hash; of rows that are
+    equal in both, one.  Rows without words all stay."""
+    rows = staged(grouped(docs, id_column=id_column, text_column=text_column, **options).where("component is not null"), "grouped")
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
+    best = rows.groupBy("component").agg(F.min(place).alias("best"), F.count("*").alias("times")).where("times > 1")
+    best = small(staged(best.select("component", "best"), "best"))
+    met = rows.join(best, "component").select("doc_id", "hash", (place == F.col("best")).alias("stays"))
+    met = staged(met.groupBy("doc_id", "hash").agg(F.max("stays").alias("stays"), F.count("*").alias("times")), "met")
+    own, text = F.col(f"`{id_column}`"), F.col(f"`{text_column}`")
+    same = own.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
+    of = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"))
+    kept = docs.join(small(of(met.where("not stays or times > 1"))), same & text.isNotNull(), "left_anti")
+    again = small(of(met.where("stays and times > 1")))
+    first = F.row_number().over(Window.partitionBy("__id", "__hash").orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in docs.columns))))
+    one = docs.join(again, same & text.isNotNull()).withColumn("__first", first).where("__first = 1")
+    return kept.union(one.select(*(F.col(f"`{c}`") for c in docs.columns)))

@@ -12,8 +12,8 @@ Up to 7 languages get the exhaustive code; more get words of 15 or 10·log2(lang
 the largest least distance.
 
 Defined cases: rows with a null language or text teach nothing; a null text, one without a letter, and any text if nothing
-was learned are `und` with score 0; ties go to the language that comes first by name; repeated rows count again; other
-columns stay.
+was learned are `und` with score 0; texts of any length are taken whole; ties go to the language that comes first by name;
+repeated rows count again; other columns stay, but for those named lang_pred, score and ambiguous, which are replaced.
 """
 
 from __future__ import annotations
@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import as_bytes, slices
+from verdigris.llm.common import as_bytes, numbered, slices
 
 BITS = 14
 UNKNOWN = "und"
@@ -121,13 +121,13 @@ def predict(docs: DataFrame, model: Model | None, *, gap: float = 0.2, scale: fl
     added = ("lang_pred", "score", "ambiguous")
     own = [f for f in docs.schema.fields if f.name not in added]
     schema = T.StructType([*own, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("ambiguous", T.BooleanType())])
-    held = docs.sparkSession.sparkContext.broadcast(model)
+    held, at = docs.sparkSession.sparkContext.broadcast(model), [f.name for f in own].index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
-        for b in slices(batches, text_column):
+        for b in slices(batches, f"c{at}"):
             langs, scores, unsure = [UNKNOWN] * b.num_rows, [0.0] * b.num_rows, [False] * b.num_rows
-            texts = b.column(b.schema.get_field_index(text_column)).to_pylist()
+            texts = b.column(at).to_pylist()
             known = [i for i, t in enumerate(texts) if model is not None and t and any(map(str.isalpha, t))]
             for start in range(0, len(known), 128):
                 part = known[start : start + 128]
@@ -139,7 +139,7 @@ def predict(docs: DataFrame, model: Model | None, *, gap: float = 0.2, scale: fl
                     langs[i], scores[i], unsure[i] = model.languages[k], float(s), bool(s - second < gap)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(unsure, pa.bool_())], names=schema.fieldNames())
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in own)).mapInArrow(run, schema)
+    return numbered(docs, own).mapInArrow(run, schema)
 
 
 def fold(id_column: str, folds: int) -> Column:

@@ -9,7 +9,8 @@ must be `containment` or more.  Verified windows of a template that touch are on
 
 Templates are a stated, bounded query set (`most_templates`); documents are never shuffled: the scan is a map.
 
-Defined cases: null and wordless texts and templates match nothing; equal templates under two names both match; repeated
+Defined cases: null and wordless texts and templates match nothing; texts of any length are taken whole; ids may be of any
+type; equal templates under two names both match; repeated
 documents each have their rows; an empty table gives an empty result; other columns are left out.
 """
 
@@ -142,5 +143,5 @@ def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, *, con
             if rows:
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(source)), *(pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True))], names=names)
 
-    texts = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return texts.mapInArrow(run, "doc_id long, template int, license string, occurrences long, containment double, first_word long, last_word long")
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    return texts.mapInArrow(run, f"doc_id {texts.schema['doc_id'].dataType.simpleString()}, template int, license string, occurrences long, containment double, first_word long, last_word long")

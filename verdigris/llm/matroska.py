@@ -7,8 +7,10 @@ timestamp and byte range, besides tracks and cues.  `packet_table` does that for
 reader fetch frames without parsing again.
 
 The payload of a text: its UTF-8 with bytes 0 after it up to a positive multiple of 64; a null text is empty.  Equal
-texts give equal files.  Broken media raise ValueError; `packet_table` gives no rows for null or empty media.  Repeated
-rows stay, an empty table gives an empty one, other columns stay where they can.
+texts give equal files; texts of any length are taken whole.  `parse` raises ValueError for broken media.  In a column,
+broken media give one row that names the `error`, its other values null; null media have null values and no error in
+`features` and no row in `packet_table`, as empty media have none there.  Repeated rows stay, an empty table gives an
+empty one; other columns stay, but for those that have a name of the result's.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from verdigris.llm.common import as_bytes, slices
 
@@ -168,6 +172,8 @@ def as_int(data: bytes, a: int, b: int) -> int:
 
 
 def as_float(data: bytes, a: int, b: int) -> float:
+    if b - a not in (0, 4, 8):
+        raise ValueError(f"a number of {b - a} bytes")
     return 0.0 if a == b else struct.unpack(">f" if b - a == 4 else ">d", data[a:b])[0]
 
 
@@ -181,6 +187,8 @@ def frames_of(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple
     lacing = flags >> 1 & 3
     if not lacing:
         return track, rel, flags, [(at, end - at)]
+    if at >= end:
+        raise ValueError("a lace without a count")
     n, at = data[at] + 1, at + 1
     if lacing == FIXED:
         if (end - at) % n:
@@ -190,10 +198,12 @@ def frames_of(data: bytes, at: int, end: int) -> tuple[int, int, int, list[tuple
         sizes = []
         for i in range(n - 1):
             if lacing == XIPH:
-                size = 0
-                while data[at] == 255:
-                    size, at = size + 255, at + 1
-                size, at = size + data[at], at + 1
+                run = at
+                while at < end and data[at] == 255:
+                    at += 1
+                if at >= end:
+                    raise ValueError("broken lace sizes")
+                size, at = 255 * (at - run) + data[at], at + 1
             else:
                 size, top, at = read_vint(data, at, end)
                 if i:
@@ -273,7 +283,7 @@ def parse(data: bytes) -> Media:
                                 elif k3 == CUE_TRACK_POSITIONS:
                                     got = {k4: as_int(data, t, u) for k4, _, t, u in elements(data, r, s)}
                                     media.cues.append((time, got.get(CUE_TRACK, 0), segment + got.get(CUE_CLUSTER_POSITION, 0)))
-    if any(at not in set(media.clusters) for *_, at in media.cues):
+    if {at for *_, at in media.cues} - set(media.clusters):
         raise ValueError("a cue doesn't point at a cluster")
     return media
 
@@ -294,45 +304,70 @@ def feature(media: Media, payload: bytes) -> str:
     return f"clusters={len(media.clusters)} blocks={media.blocks} packets={len(media.packets)} cues={len(media.cues)} ms={media.duration:.0f} rms={rms:.4f} crossings={crossings}"
 
 
-def store(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, n_bytes and the media column."""
+def _mapped(df: DataFrame, drop: list[str], inputs: dict[str, str], outputs: str, rows) -> DataFrame:
+    """df's columns but `drop` and those of `outputs`, then `outputs`.
+
+    inputs: column → its name for `rows`, which gets a batch of them and gives, for output rows, the place of their input
+    row, and the output columns."""
+    made = T.StructType.fromDDL(outputs)
+    fields = [f for f in df.schema.fields if f.name not in {*drop, *made.fieldNames()}]
+    schema = T.StructType([*fields, *made.fields])
+    n, kinds = len(fields), [to_arrow_type(f.dataType) for f in made.fields]
+    own = df.select(*(F.col(f"`{f.name}`").alias(f"c{i}") for i, f in enumerate(fields)), *(F.col(f"`{c}`").alias(a) for c, a in inputs.items()))
+    wide = next(iter(inputs.values()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, limit=1 << 20):
-            texts = as_bytes(b.column(1))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(map(len, texts), pa.int64()), pa.array([mux(padded(x)) for x in texts], pa.binary())], names=["doc_id", "n_bytes", "media"])
+        for b in slices(batches, wide, 1 << 20):
+            source, columns = rows(b)
+            at = pa.array(source, pa.int64())
+            yield pa.RecordBatch.from_arrays([*(b.column(i).take(at) for i in range(n)), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))], names=schema.fieldNames())
 
-    return docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text")).mapInArrow(run, "doc_id long, n_bytes long, media binary")
+    return own.mapInArrow(run, schema)
 
 
-def features(stored: DataFrame) -> DataFrame:
-    names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
+def store(docs: DataFrame, *, text_column: str = "text") -> DataFrame:
+    """docs with n_bytes and media in place of the text."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, "media", 1 << 20):
-            rows = []
-            for data in b.column(2).to_pylist():
-                media = parse(data)
-                payload = payload_of(data, media)
-                rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(media, payload)))
-            cols = [pa.array(c, k) for c, k in zip(zip(*rows, strict=True), (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()), strict=True)]
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *cols], names=names)
+    def rows(b: pa.RecordBatch) -> tuple:
+        texts = as_bytes(b.column(b.num_columns - 1))
+        return range(len(texts)), [[len(x) for x in texts], [mux(padded(x)) for x in texts]]
 
-    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string")
+    return _mapped(docs, [text_column], {text_column: "text"}, "n_bytes long, media binary", rows)
 
 
-def packet_table(df: DataFrame, *, id_column: str = "doc_id", media_column: str = "media") -> DataFrame:
-    """A row for each packet: id, track, timestamp_ns, byte_offset, byte_length, cluster, block, lace, keyframe."""
-    kind = df.schema[id_column].dataType.simpleString()
-    names = [id_column, "track", "timestamp_ns", "byte_offset", "byte_length", "cluster", "block", "lace", "keyframe"]
+def features(stored: DataFrame, *, media_column: str = "media") -> DataFrame:
+    """stored with what its media hold in place of them: payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256, feature, error."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in slices(batches, media_column):
-            for i, data in enumerate(b.column(1).to_pylist()):
-                got = parse(data).packets if data else []
-                if got:
-                    cols = [[getattr(p, n) for p in got] for n in ("track", "timestamp_ns", "offset", "length", "cluster", "block", "lace", "keyframe")]
-                    ids = b.column(0).take(pa.array([i] * len(got)))
-                    yield pa.RecordBatch.from_arrays([ids, *(pa.array(c, pa.bool_() if n == "keyframe" else pa.int64()) for c, n in zip(cols, names[1:], strict=True))], names=names)
-
-    return df.select(id_column, media_column).mapInArrow(run, f"`{id_column}` {kind}, track long, timestamp_ns long, byte_offset long, byte_length long, cluster long, block long, lace long, keyframe boolean")
+    def row(data: bytes | None) -> tuple:
+        if data is None:
+            return (None,) * 7
+        try:
+            media = parse(data)
+        except ValueError as e:
+            return (None, None, None, len(data), hashlib.sha256(data).hexdigest(), None, str(e))
+        payload = payload_of(data, media)
+        return len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(data), hashlib.sha256(data).hexdigest(), feature(media, payload), None
+
+    def rows(b: pa.RecordBatch) -> tuple:
+        made = [row(x) for x in b.column(b.num_columns - 1).to_pylist()]
+        return range(len(made)), list(zip(*made, strict=True))
+
+    return _mapped(stored, [media_column], {media_column: "media"}, "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, error string", rows)
+
+
+def packet_table(df: DataFrame, *, media_column: str = "media") -> DataFrame:
+    """A row for each packet: df's other columns, track, timestamp_ns, byte_offset, byte_length, cluster, block, lace, keyframe, error."""
+    names = ("track", "timestamp_ns", "offset", "length", "cluster", "block", "lace", "keyframe")
+
+    def rows(b: pa.RecordBatch) -> tuple:
+        source, out = [], []
+        for i, data in enumerate(b.column(b.num_columns - 1).to_pylist()):
+            try:
+                made = [(*(getattr(p, n) for n in names), None) for p in (parse(data).packets if data else [])]
+            except ValueError as e:
+                made = [(*[None] * len(names), str(e))]
+            source += [i] * len(made)
+            out += made
+        return source, list(zip(*out, strict=True)) if out else [[]] * (len(names) + 1)
+
+    return _mapped(df, [media_column], {media_column: "media"}, "track long, timestamp_ns long, byte_offset long, byte_length long, cluster long, block long, lace long, keyframe boolean, error string", rows)

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import slices, staged
 from verdigris.llm.encoding import encoder, with_end
 
-PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long, shard int, local_rank long"
+PIECES = "piece int, start long, length long, ids_crc32 long, shard int, local_rank long"
 
 
 def token_pieces(docs: DataFrame, *, size: int = 2048, tokenizer: str = "word_bpe_49k.json", kind: str = "word", end_id: int = 0, keep_ids: bool = False, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
@@ -64,8 +64,8 @@ def token_pieces(docs: DataFrame, *, size: int = 2048, tokenizer: str = "word_bp
                 names.append("ids")
             yield pa.RecordBatch.from_arrays(out, names=names)
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(cut, PIECES + ", ids array<int>" * keep_ids)
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    return rows.mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + PIECES + ", ids array<int>" * keep_ids)
 
 
 def patterns(lengths: np.ndarray, size: int) -> np.ndarray:

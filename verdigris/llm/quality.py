@@ -11,7 +11,8 @@ rows; a rating table with fewer is used whole.  Scoring covers all texts and is
 
 Defined cases: of several ratings of a document the lowest counts; ratings with nulls and of unknown documents are left
 out; a null or wordless text gets grade 0 and probability 0; without any rating, probabilities are null and nothing is
-rejected; repeated documents are scored each; other columns stay.
+rejected; texts of any length are taken whole; repeated documents are scored each; ids may be of any type; other columns
+stay, but for those named expected_grade, p_best and rejected, which are replaced.
 """
 
 from __future__ import annotations
@@ -26,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import CACHE_WORDS, as_bytes, holds, slices
+from verdigris.llm.common import CACHE_WORDS, as_bytes, holds, numbered, slices
 
 BITS = 18
 _EDGE = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
@@ -128,17 +129,17 @@ def fit(rows: list[tuple[int, np.ndarray, np.ndarray]], grades: int, *, l2: floa
 
 def train(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, *, most_rows: int = 12_000, id_column: str = "doc_id", text_column: str = "text", **options) -> Model | None:
     """ratings: rows with the id column; grade: 0 … grades − 1."""
-    rated = ratings.select(F.col(id_column).cast("long").alias("id"), grade.cast("int").alias("grade")).where("id is not null and grade is not null")
+    rated = ratings.select(F.col(id_column).cast(docs.schema[id_column].dataType).alias("id"), grade.cast("int").alias("grade")).where("id is not null and grade is not null")
     rated = rated.groupBy("id").agg(F.min("grade").alias("grade"))
     chosen = rated.orderBy(F.xxhash64("id"), "id").limit(most_rows)
-    chosen = docs.sparkSession.createDataFrame(chosen.toPandas(), chosen.schema)  # most_rows at most: ids and grades
+    chosen = docs.sparkSession.createDataFrame([tuple(r) for r in chosen.collect()], chosen.schema)  # most_rows at most: ids and grades
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             made = [features(x) for x in as_bytes(b.column(1))]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s, _ in made], pa.binary()), pa.array([x.tobytes() for _, x in made], pa.binary())], names=["grade", "slots", "vals"])
 
-    texts = docs.select(F.col(id_column).cast("long").alias("id"), F.col(text_column).alias("text"))
+    texts = docs.select(F.col(id_column).alias("id"), F.col(text_column).alias("text"))
     found = texts.join(F.broadcast(chosen), "id").select("grade", "text").mapInArrow(rows, "grade int, slots binary, vals binary").collect()
     found.sort(key=lambda r: (r.grade, r.slots, r.vals))  # the order of rows must not matter
     rows = [(r.grade, np.frombuffer(r.slots, np.int32), np.frombuffer(r.vals, np.float32)) for r in found]
@@ -152,21 +153,22 @@ def score(docs: DataFrame, model: Model | None, *, threshold: float = 0.5, text_
     own = [f for f in docs.schema.fields if f.name not in added]
     schema = T.StructType([*own, T.StructField("expected_grade", T.DoubleType()), T.StructField("p_best", T.DoubleType()), T.StructField("rejected", T.BooleanType())])
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
+    at = [f.name for f in own].index(text_column)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         holds("tokens", _tokens.clear)
-        for b in slices(batches, text_column):
+        for b in slices(batches, f"c{at}"):
             if model is None:
                 made = [pa.nulls(b.num_rows, pa.float64()), pa.nulls(b.num_rows, pa.float64()), pa.array([False] * b.num_rows)]
             else:
-                got = [features(x) for x in as_bytes(b.column(b.schema.get_field_index(text_column)))]
+                got = [features(x) for x in as_bytes(b.column(at))]
                 some = np.array([len(s) > 0 for s, _ in got], bool)
                 tails = model.tails(np.array([float(model.weights[s] @ x) for s, x in got])) * some[:, None]
                 made = [pa.array(tails.sum(1)), pa.array(tails[:, -1]), pa.array(tails[:, -1] < threshold)]
             yield pa.RecordBatch.from_arrays([*b.columns, *made], names=schema.fieldNames())
 
-    return docs.select(*(F.col(f"`{f.name}`") for f in own)).mapInArrow(run, schema)
+    return numbered(docs, own).mapInArrow(run, schema)
 
 
 def grade() -> Column:

@@ -59,7 +59,7 @@ def op7_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     from verdigris.llm import matroska
 
-    return matroska.features(staged(matroska.store(load(spark, sf_dir, "documents")), "media"))
+    return matroska.features(staged(matroska.store(load(spark, sf_dir, "documents").select("doc_id", "text")), "media"))
 
 
 def op8_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import slices
 from verdigris.llm.encoding import encoder, with_end
 
-SCHEMA = "doc_id long, shard int, local_start long, n_tokens long, ids array<int>"
+COLUMNS = "shard int, local_start long, n_tokens long, ids array<int>"
 
 
 def write_tokens(docs: DataFrame, path: str, *, tokenizer: str = "byte_bpe_50k.json", kind: str = "byte", end_id: int = 2, stripe_mb: int = 64, row_index_stride: int = 1000, bloom_fpp: float = 0.01, id_column: str = "doc_id", text_column: str = "text") -> None:
@@ -41,20 +41,20 @@ def write_tokens(docs: DataFrame, path: str, *, tokenizer: str = "byte_bpe_50k.j
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(np.full(len(n), shard), pa.int32()), pa.array(at + ends - n), pa.array(n), lists], names=["doc_id", "shard", "local_start", "n_tokens", "ids"])
             at += int(ends[-1])
 
-    rows = docs.select(F.col(id_column).cast("long").alias("doc_id"), F.col(text_column).alias("text"))
+    rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
     order = [F.col("doc_id"), F.xxhash64("text")]
-    tokens = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(encode, SCHEMA)
+    tokens = rows.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(encode, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {COLUMNS}")
     tokens.write.format("orc").options(**{"compression": "zstd", "orc.stripe.size": stripe_mb << 20, "orc.row.index.stride": row_index_stride, "orc.bloom.filter.columns": "doc_id", "orc.bloom.filter.fpp": bloom_fpp}).save(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
     """The stored rows; columns that a query doesn't name are not read."""
-    return spark.read.schema(SCHEMA).orc(path)
+    return spark.read.orc(path)
 
 
-def lookup(spark: SparkSession, path: str, doc_ids: list[int]) -> DataFrame:
+def lookup(spark: SparkSession, path: str, doc_ids: list) -> DataFrame:
     """Documents by id; ORC skips files, stripes and row groups by statistics and Bloom filters."""
-    return read_tokens(spark, path).where(F.col("doc_id").isin([int(x) for x in doc_ids]))
+    return read_tokens(spark, path).where(F.col("doc_id").isin(list(doc_ids)))
 
 
 def positions(spark: SparkSession, path: str) -> DataFrame:
@@ -73,6 +73,7 @@ def digests(spark: SparkSession, path: str) -> DataFrame:
             sums = [zlib.crc32(values[i:j]) for i, j in zip(cuts[:-1], cuts[1:], strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), b.column(2), pa.array(np.diff(cuts).astype(np.int64)), pa.array(sums, pa.int64())], names=["doc_id", "shard", "local_start", "n_tokens", "ids_crc32"])
 
-    read = read_tokens(spark, path).select("doc_id", "shard", "local_start", "ids").mapInArrow(crc, "doc_id long, shard int, local_start long, n_tokens long, ids_crc32 long")
+    read = read_tokens(spark, path).select("doc_id", "shard", "local_start", "ids")
+    read = read.mapInArrow(crc, f"doc_id {read.schema['doc_id'].dataType.simpleString()}, shard int, local_start long, n_tokens long, ids_crc32 long")
     # one row a file: its size is bounded by the number of files
     return read.join(F.broadcast(positions(spark, path)), "shard").select("doc_id", (F.col("base") + F.col("local_start")).alias("start"), "n_tokens", "ids_crc32")
