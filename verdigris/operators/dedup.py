@@ -10,15 +10,12 @@ from verdigris.operators import similarity
 
 def shared(df: DataFrame, name: str) -> DataFrame:
     """df written to the folder that driver and executors share, and read again: its lineage ends."""
-    import tempfile
     import uuid
 
+    from verdigris import shared_dir
+
     spark = df.sparkSession
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not folder:
-        folder = tempfile.mkdtemp(prefix="verdigris-")
-        spark.sparkContext.setCheckpointDir(folder)
-    path = f"{folder.rstrip('/')}/verdigris/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_dir(spark)}/verdigris/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
@@ -42,18 +39,51 @@ def labelled(nodes: DataFrame, links: DataFrame, key: str, most: int = 60) -> Da
     raise RuntimeError("components did not settle")
 
 
-def collapse(docs: DataFrame, key: str, text: str, threshold: float = 0.8) -> DataFrame:
-    """key, component, representative (the row of a component with the smallest hash).
-
-    Candidates share a MinHash band; the exact Jaccard of their byte 5-grams decides."""
-    pairs = shared(similarity.lsh_pairs(similarity.minhash(docs, key, text), key), "pairs")
+def similar_sets(docs: DataFrame, pairs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """Those of the pairs (a, b) whose byte 5-grams have that Jaccard similarity."""
     needed = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
     sets = shared(similarity.shingle_sets(docs.join(needed, key, "left_semi"), key, text), "sets")
     rows = pairs.join(sets.select(F.col(key).alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col(key).alias("b"), F.col("s").alias("y")), "b")
-    links = rows.where(similarity.shingle_jaccard(F.col("x"), F.col("y")) >= threshold).select("a", "b")
-    out = labelled(docs.select(key), links, key)
-    best = out.groupBy("component").agg(F.min(F.struct(F.xxhash64(key), F.col(key).alias("k")))["k"].alias("representative"))
-    return out.join(best, "component").select(key, "component", "representative")
+    return shared(rows.where(similarity.shingle_jaccard(F.col("x"), F.col("y")) >= threshold).select("a", "b"), "links")
+
+
+def lexical_links(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """Links whose components are those of all pairs that share a MinHash band and have the similarity.
+
+    First each row is held against the smallest row of its buckets; then rows of a bucket that this leaves in different
+    components are held against each other, so a family whose smallest row is far from some of its members loses none."""
+    bands = shared(similarity.banded(similarity.minhash(docs, key, text), key), "bands")
+    first = similar_sets(docs, shared(similarity.bucket_stars(bands, key), "pairs"), key, text, threshold)
+    found = labelled(docs.select(key), first, key).select(key, "component")
+    rows = shared(bands.join(found, key), "open-bands")
+    still = rows.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("band", "hash")
+    rows = shared(rows.join(still, ["band", "hash"]), "open-rows")
+    other = rows.select("band", "hash", F.col(key).alias("b"), F.col("component").alias("d"))
+    across = rows.withColumnRenamed(key, "a").join(other, ["band", "hash"]).where((F.col("a") < F.col("b")) & (F.col("component") != F.col("d"))).select("a", "b").distinct()
+    return first.union(similar_sets(docs, shared(across, "across"), key, text, threshold))
+
+
+def collapse(docs: DataFrame, key: str, text: str, threshold: float = 0.8, *, embedder=None, vectors: DataFrame | None = None, cosine: float = 0.92) -> DataFrame:
+    """key, component, representative (the row of a component with the smallest hash), marginal.
+
+    Candidates share a MinHash band; the exact Jaccard of their byte 5-grams decides.  With vectors (key, embedding), or
+    an embedder (texts → matrix) that makes them, rows of that cosine or more are linked too; `marginal` says that a row
+    is removed by these links alone."""
+    from verdigris.operators import extend
+
+    lexical = lexical_links(docs, key, text, threshold)
+    best = F.min(F.struct(F.xxhash64(key), F.col(key).alias("k")))["k"]
+
+    def kept(links: DataFrame) -> DataFrame:
+        out = labelled(docs.select(key), links, key)
+        return out.join(out.groupBy("component").agg(best.alias("representative")), "component").select(key, "component", "representative")
+
+    if vectors is None and embedder is None:
+        return kept(lexical).withColumn("marginal", F.lit(False))
+    vectors = extend.encoded(docs, key, text, embedder) if vectors is None else vectors
+    links = similarity.cosine_pairs(vectors.select(F.col(key), F.col(vectors.columns[1]).alias("v")), key, "v", cosine)
+    alone = kept(lexical).select(key, (F.col(key) == F.col("representative")).alias("before"))
+    return kept(lexical.union(links)).join(alone, key).select(key, "component", "representative", (F.col("before") & (F.col(key) != F.col("representative"))).alias("marginal"))
 
 
 def contained(items: DataFrame, item: str, item_text: str, docs: DataFrame, text: str, block: int = 8 << 20) -> DataFrame:

@@ -115,11 +115,25 @@ def minhash(df: DataFrame, key: str, text: str, perms: int = 128, seed: int = 17
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, signature array<long>")
 
 
-def lsh_pairs(signed: DataFrame, key: str, bands: int = 32) -> DataFrame:
-    """(a, b) of rows with an equal band.  A band's bucket is a star around its smallest row, not all its pairs."""
-    size = F.size("signature")
-    rows = (size / bands).cast("int")
+def banded(signed: DataFrame, key: str, bands: int = 32) -> DataFrame:
+    """key, band, hash: a row for each band of a signature."""
+    rows = (F.size("signature") / bands).cast("int")
     keys = F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda i: F.struct(i.alias("band"), F.xxhash64(F.slice("signature", i * rows + 1, rows)).alias("hash")))
-    banded = signed.where("signature is not null").select(key, F.explode(keys).alias("k")).select(key, "k.band", "k.hash")
-    hub = banded.groupBy("band", "hash").agg(F.min(key).alias("a"), F.count("*").alias("n")).where("n > 1")
-    return banded.join(hub, ["band", "hash"]).where(F.col("a") < F.col(key)).select("a", F.col(key).alias("b")).distinct()
+    return signed.where("signature is not null").select(key, F.explode(keys).alias("k")).select(key, "k.band", "k.hash")
+
+
+def bucket_stars(bands: DataFrame, key: str) -> DataFrame:
+    """(a, b): each row of a bucket with the bucket's smallest row."""
+    hub = bands.groupBy("band", "hash").agg(F.min(key).alias("a"), F.count("*").alias("n")).where("n > 1")
+    return bands.join(hub, ["band", "hash"]).where(F.col("a") < F.col(key)).select("a", F.col(key).alias("b")).distinct()
+
+
+def lsh_pairs(signed: DataFrame, key: str, bands: int = 32) -> DataFrame:
+    """(a, b), a < b, of all rows with an equal band.  Rows of one signature are one row here, held against their smallest
+    only: copies don't become pairs of each other."""
+    alike = signed.where("signature is not null").groupBy("signature").agg(F.min(key).alias(key))
+    rows = banded(alike, key, bands)
+    other = rows.select("band", "hash", F.col(key).alias("b"))
+    pairs = rows.withColumnRenamed(key, "a").join(other, ["band", "hash"]).where("a < b").select("a", "b")
+    copies = signed.join(alike.select("signature", F.col(key).alias("a")), "signature").where(F.col("a") < F.col(key)).select("a", F.col(key).alias("b"))
+    return pairs.union(copies).distinct()

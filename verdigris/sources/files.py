@@ -16,13 +16,9 @@ REGISTRY = "path string, mtime timestamp"
 
 def folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder that driver and executors share."""
-    import tempfile
+    from verdigris import shared_dir
 
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="verdigris-")
-        spark.sparkContext.setCheckpointDir(found)
-    return f"{found.rstrip('/')}/verdigris/{name}-{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/verdigris/{name}-{uuid.uuid4().hex}"
 
 
 def _path(spark: SparkSession, path: str):

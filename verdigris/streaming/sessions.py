@@ -13,33 +13,44 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-KEEP = 4000
-
-
 def timers(ttl_ms: int | None) -> str:
     return GroupStateTimeout.ProcessingTimeTimeout if ttl_ms else GroupStateTimeout.NoTimeout
 
 
-def due_turns(turns: DataFrame, ttl_ms: int | None = 86_400_000, keep: int = KEEP) -> DataFrame:
+def due_turns(turns: DataFrame, ttl_ms: int | None = 86_400_000) -> DataFrame:
     """session_id, turn_count, target: for each batch that brings a session more turns, its last completed turn (the last
-    but one), once.  turns: session_id, turn (stream).  Only the newest `keep` turns of a session count."""
+    but one), once.  turns: session_id, turn (stream), where a repeated turn counts once.
+
+    The state is the ranges of turns that were seen, [first, last] each: one range for a session without gaps, whatever
+    its length, so neither the count nor the target is cut short."""
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         if state.hasTimedOut:
             state.remove()
             return
-        seen = list(state.get[0]) if state.exists else []
-        done = state.get[1] if state.exists else 0
-        new = sorted({*seen, *(int(x) for b in batches for x in b["turn"])})
-        total = len(new)
+        first, last, done = (list(x) if isinstance(x, (list, tuple)) else x for x in state.get) if state.exists else ([], [], 0)
+        ranges = sorted([*zip(first, last, strict=True), *((t, t) for t in {int(x) for b in batches for x in b["turn"]})])
+        joined: list[list[int]] = []
+        for a, b in ranges:
+            if joined and a <= joined[-1][1] + 1:
+                joined[-1][1] = max(joined[-1][1], b)
+            else:
+                joined.append([a, b])
+        total = sum(b - a + 1 for a, b in joined)
         if total >= 2 and total != done:
-            yield pd.DataFrame({"session_id": [key[0]], "turn_count": [total], "target": [new[-2]]})
+            a, b = joined[-1]
+            yield pd.DataFrame({"session_id": [key[0]], "turn_count": [total], "target": [b - 1 if b > a else joined[-2][1]]})
             done = total
-        state.update((new[-keep:], done))
+        state.update(([a for a, _ in joined], [b for _, b in joined], done))
         if ttl_ms:
             state.setTimeoutDuration(ttl_ms)
 
-    return turns.groupBy("session_id").applyInPandasWithState(step, "session_id string, turn_count long, target long", "seen array<long>, done long", "append", timers(ttl_ms))
+    return turns.groupBy("session_id").applyInPandasWithState(step, "session_id string, turn_count long, target long", "first array<long>, last array<long>, done long", "append", timers(ttl_ms))
+
+
+def arrivals(entries: DataFrame) -> DataFrame:
+    """Live entries of main sessions, stamped with their arrival; sidechains are left out (batch or stream)."""
+    return entries.where("not coalesce(isSidechain, false)").withColumn("arrived_at", F.current_timestamp())
 
 
 def debounced(events: DataFrame, silence_ms: int = 2000) -> DataFrame:
