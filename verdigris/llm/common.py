@@ -180,6 +180,69 @@ def shingles(words: np.ndarray, k: int) -> np.ndarray:
     return np.unique(rolling(words, k) if len(words) >= k else rolling(words, len(words)) ^ np.uint64(len(words)))
 
 
+_BASE = 0x9E3779B97F4A7C15
+_powers = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+
+
+def text_bytes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """The bytes of all texts in a row, and where each begins and the last ends."""
+    cuts = np.frombuffer(texts.buffers()[1], np.int32)[texts.offset : texts.offset + len(texts) + 1].astype(np.int64)
+    return np.frombuffer(texts.buffers()[2] or b"", np.uint8)[cuts[0] : cuts[-1]], cuts - cuts[0]
+
+
+def word_spans(letter: np.ndarray, cuts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Begin and end of every run of letters; texts, which begin at the cuts, follow each other without a break."""
+    first, last = letter.copy(), letter.copy()
+    first[1:] &= ~letter[:-1]
+    last[:-1] &= ~letter[1:]
+    inner = cuts[1:-1]
+    inner = inner[(inner > 0) & (inner < len(letter))]
+    first[inner] |= letter[inner]
+    last[inner - 1] |= letter[inner - 1]
+    return np.flatnonzero(first), np.flatnonzero(last) + 1
+
+
+def span_hashes(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of each span of bytes: differences of running sums of bytes times powers of an odd number."""
+    n = len(data) + 1
+    if len(_powers[0]) < n:
+        for i, base in enumerate((_BASE, pow(_BASE, -1, 1 << 64))):
+            steps = np.full(n, base, np.uint64)
+            steps[0] = 1
+            _powers[i] = np.multiply.accumulate(steps)
+    sums = np.zeros(n, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _powers[0][: n - 1], out=sums[1:])
+    return mix((sums[end] - sums[begin]) * _powers[1][begin])
+
+
+class HashIndex:
+    """Places of 64-bit hashes in an array of distinct ones, by open addressing; −1 for others."""
+
+    def __init__(self, keys: np.ndarray):
+        bits = max(8, int(4 * len(keys)).bit_length())
+        self.keys, self.shift, self.mask = keys, np.uint64(64 - bits), (1 << bits) - 1
+        self.slots = np.full(1 << bits, -1, np.int32)
+        todo, slot = np.arange(len(keys), dtype=np.int32), (keys >> self.shift).astype(np.int64)
+        while len(todo):
+            free = self.slots[slot] < 0
+            self.slots[slot[free]] = todo[free]
+            left = self.slots[slot] != todo
+            todo, slot = todo[left], (slot[left] + 1) & self.mask
+
+    def of(self, h: np.ndarray) -> np.ndarray:
+        out = np.full(len(h), -1, np.int32)
+        if not len(self.keys):
+            return out
+        at, slot = np.arange(len(h)), (h >> self.shift).astype(np.int64)
+        while len(at):
+            got = self.slots[slot]
+            same = (got >= 0) & (self.keys[got] == h[at])
+            out[at[same]] = got[same]
+            on = (got >= 0) & ~same
+            at, slot = at[on], (slot[on] + 1) & self.mask
+        return out
+
+
 def components(links: DataFrame, src: str, dst: str, name: str = "components", most: int = 100) -> DataFrame:
     """Connected components of links (src, dst) as rows (node, component = its smallest node); nodes without links don't occur.
 
