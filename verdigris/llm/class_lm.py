@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import HashIndex, holds, mix, slices, span_hashes, staged, text_bytes, word_spans
+from verdigris.llm.common import HashIndex, holds, mix, slices, span_hashes, staged, text_bytes, trimmed, word_spans
 
 #: Stands for the end token among the words' hashes.
 END = 0
@@ -96,7 +96,7 @@ def word_counts(texts: DataFrame) -> DataFrame:
         if ends:
             yield batch(np.array([END], np.uint64), np.zeros(1, np.int16), np.array([ends]))
 
-    return texts.select("text").mapInArrow(count, "h long, sig short, n long").groupBy("h").agg(F.max("sig").alias("sig"), F.sum("n").alias("n"))
+    return texts.select("text").mapInArrow(trimmed(count), "h long, sig short, n long").groupBy("h").agg(F.max("sig").alias("sig"), F.sum("n").alias("n"))
 
 
 @dataclass
@@ -207,13 +207,13 @@ def unit_bigrams(texts: DataFrame, vocabulary: Vocabulary, parts: int) -> tuple[
         if blocks:
             yield done()
 
-    made = staged(texts.select("text").mapInArrow(count, "part int, unit int, data binary, size long"), "contexts")
+    made = staged(texts.select("text").mapInArrow(trimmed(count), "part int, unit int, data binary, size long"), "contexts")
     rows = made.where("unit >= 0").select("unit", F.col("data").alias("row"))
     out = np.zeros((size, size), np.int64)
-    for r in rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(add, "unit int, row binary").collect():  # a row for each unit
+    for r in rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(trimmed(add), "unit int, row binary").collect():  # a row for each unit
         out[r.unit] = np.frombuffer(zlib.decompress(r.row), np.int64)
     blocks = made.where("part >= 0").select("part", "data", "size").repartition("part").sortWithinPartitions("part")
-    return out, staged(blocks.mapInArrow(merge, "words binary, cuts binary, before binary, after binary"), "word-contexts")
+    return out, staged(blocks.mapInArrow(trimmed(merge), "words binary, cuts binary, before binary, after binary"), "word-contexts")
 
 
 def _phi(x: np.ndarray) -> np.ndarray:
@@ -285,7 +285,7 @@ def best_classes(contexts: DataFrame, vocabulary: Vocabulary, table: np.ndarray)
                 gain[:, k - 1] = -np.inf  # the end's own
                 yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(gain.argmax(1), pa.int16())], names=["word", "class"])
 
-    found = contexts.mapInArrow(run, "word int, class short").toPandas()  # a row for each word of the vocabulary
+    found = contexts.mapInArrow(trimmed(run), "word int, class short").toPandas()  # a row for each word of the vocabulary
     own = vocabulary.own.copy()
     own[found["word"].to_numpy()] = found["class"].to_numpy()
     return own
@@ -306,7 +306,7 @@ def class_bigrams(texts: DataFrame, vocabulary: Vocabulary, classes: int) -> np.
         yield pa.RecordBatch.from_arrays([pa.array(some, pa.int32()), pa.array(table[some])], names=["cell", "n"])
 
     out = np.zeros(classes * classes, np.int64)
-    for r in texts.select("text").mapInArrow(count, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # classes squared
+    for r in texts.select("text").mapInArrow(trimmed(count), "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect():  # classes squared
         out[r.cell] = r.n
     return out.reshape(classes, classes)
 
@@ -423,7 +423,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             row += k
 
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, known long, base double, total double, rare array<struct<h: long, times: long, unseen: double>>"
-    part = staged(docs.select("doc_id", "text", "held_out").mapInArrow(run, schema), "text-scores")
+    part = staged(docs.select("doc_id", "text", "held_out").mapInArrow(trimmed(run), schema), "text-scores")
     rare = part.where("size(rare) > 0").select("row", F.explode("rare").alias("r")).select("row", "r.h", "r.times", "r.unseen")
     met = rare.join(counts, "h", "left")
     more = met.groupBy("row").agg(

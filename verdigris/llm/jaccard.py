@@ -14,13 +14,14 @@ sizes and the measured repetition of shingles.
 
 Candidates never become all pairs of a list.  Each list has a hub, its member with the most common shingles.  First each
 member is held against its nearest hubs; the components of these links contract the lists.  Then, only where a hub's members
-still are in several components, members of different components are compared by size and by 256 counts of their shingles
-(half the sum of differences bounds the overlap), and what passes is verified on the sets.  Both steps verify by exact
+still are in several components, members of different components are compared by size and by 256 counts of their shingles,
+large sets by 2,048 more (half the sum of differences bounds the overlap), and what passes is verified on the sets.  Both steps verify by exact
 intersection.  Pairs within a component are never made, and no link between components is lost.
 
-Defined cases: null and wordless texts have an empty set and stay alone; a text of fewer than k words is one shingle;
-repeated ids are rows of one document id, which links only by text; an empty table gives an empty result; other columns
-are left out.
+Defined cases: null and wordless texts have an empty set and stay alone; a text of fewer than k words is one shingle; texts
+of any length are taken whole; repeated ids are rows of one document id, which links only by text; ids may be of any type
+that sorts, and a null id is no component's smallest but where all are null; an empty table gives an empty result; other
+columns are left out (`representatives` keeps them).
 """
 
 from __future__ import annotations
@@ -34,10 +35,12 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import WORDS, as_bytes, components, mix, shingles, slices, small, staged
+from verdigris.llm.common import WORDS, as_bytes, components, mix, shingles, slices, small, staged, trimmed
 
 #: Entries of the table of common shingles: 9 bytes each.  Others count as rare, which costs time and no results.
 MOST_COMMON = 1 << 21
+#: Finer counts of large sets, which 256 counts tell apart badly.
+WIDE, WIDE_SET = 2048, 1500
 #: Nodes of a hub that meet another block of its nodes in one task.
 BLOCK = 2048
 #: Nodes of a list, of the 1 in 64 that are counted beforehand, from which on it may be dealt over many tasks.
@@ -88,7 +91,7 @@ def census(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, float, dic
             yield batch(0, *merged())
         yield batch(1, np.arange(129), sizes)
 
-    counts = staged(texts.select("text").mapInArrow(count, "sort int, key long, n long").groupBy("sort", "key").agg(F.sum("n").alias("n")), "census")
+    counts = staged(texts.select("text").mapInArrow(trimmed(count), "sort int, key long, n long").groupBy("sort", "key").agg(F.sum("n").alias("n")), "census")
     level = F.floor(F.log2("n") * 8)
     least, held, scanned = 1 << 30, 0, 0.0
     for r in counts.where("sort = 0").groupBy(level.cast("int").alias("level")).agg(F.count("*").alias("n"), F.sum("n").alias("total")).orderBy(F.desc("level")).collect():  # some hundred levels
@@ -119,6 +122,24 @@ def boundary(sizes: dict[int, int], scanned: float, similarity: float) -> int:
     return best
 
 
+def profile(s: np.ndarray) -> bytes:
+    """256 counts of a set's shingles by their top bits; sets from WIDE_SET shingles on add WIDE finer ones."""
+    count = lambda bits: np.minimum(np.bincount((s >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits), 255).astype(np.uint8).tobytes()
+    return count(8) + (count(WIDE.bit_length() - 1) if len(s) >= WIDE_SET else b"")
+
+
+def narrow(profiles: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(x[:256] for x in profiles), np.uint8).reshape(-1, 256)
+
+
+def finer(a: bytes, b: bytes, n: int, m: int, similarity: float) -> bool:
+    """False where the finer counts of two large sets rule similarity out."""
+    if len(a) == 256 or len(b) == 256:
+        return True
+    x, y = (np.frombuffer(c, np.uint8, offset=256) for c in (a, b))
+    return bool(may_be_similar(np.int64(n), np.int64(m), x, y, similarity))
+
+
 def node_rows(docs: DataFrame, k: int, similarity: float, light: int, common: tuple[np.ndarray, np.ndarray]) -> DataFrame:
     """doc_id, hash (of the text), n, node (a hash of the set), rank (smaller: more of its shingles are common), keys and
     counts (empty and null where the task has met the node before)."""
@@ -159,10 +180,10 @@ def node_rows(docs: DataFrame, k: int, similarity: float, light: int, common: tu
                 met.clear()
             cuts = np.concatenate([[0], np.cumsum([len(x) for x, _ in made])])
             lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pa.array(np.concatenate([x for x, _ in made]).view(np.int64)))
-            counts = [np.minimum(np.bincount((s >> np.uint64(56)).astype(np.int64), minlength=256), 255).astype(np.uint8).tobytes() if len(x) else None for s, (x, _) in zip(sets, made, strict=True)]
+            counts = [profile(s) if len(x) else None for s, (x, _) in zip(sets, made, strict=True)]
             yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array([len(s) for s in sets], pa.int64()), pa.array(node, pa.int64()), pa.array([int(32 * (1 - c)) for _, c in made], pa.int32()), lists, pa.array(counts, pa.binary())], names=["doc_id", "hash", "n", "node", "rank", "keys", "counts"])
 
-    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(run, f"doc_id {kind}, hash long, n long, node long, rank int, keys array<long>, counts binary")
+    return docs.select("doc_id", "text", F.xxhash64("text").alias("hash")).mapInArrow(trimmed(run), f"doc_id {kind}, hash long, n long, node long, rank int, keys array<long>, counts binary")
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, similarity: float, name: str) -> DataFrame:
@@ -179,7 +200,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, simila
         for b in slices(batches):
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array([text_set(x, k).tobytes() for x in as_bytes(b.column(1))], pa.binary())], names=["node", "own"])
 
-    made = rows.mapInArrow(sets_of, "node long, own binary").join(small(places), "node").select("a", "portion", "b", "own")
+    made = rows.mapInArrow(trimmed(sets_of), "node long, own binary").join(small(places), "node").select("a", "portion", "b", "own")
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = np.empty(0, np.uint64)
@@ -197,7 +218,7 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, simila
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     met = made.repartition("a", "portion").sortWithinPartitions("a", "portion", F.col("b").asc_nulls_first())
-    return staged(met.mapInArrow(compare, "a long, b long"), f"{name}-links")
+    return staged(met.mapInArrow(trimmed(compare), "a long, b long"), f"{name}-links")
 
 
 def may_be_similar(n: np.ndarray, m: np.ndarray, counts: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
@@ -231,11 +252,14 @@ def plausible(pairs: DataFrame, similarity: float) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(i).to_pylist()), np.uint8).reshape(-1, 256) for i in (3, 5))
-                keep = may_be_similar(b.column(2).to_numpy(), b.column(4).to_numpy(), x, y, similarity)
+                x, y = (b.column(i).to_pylist() for i in (3, 5))
+                n, m = b.column(2).to_numpy(), b.column(4).to_numpy()
+                keep = may_be_similar(n, m, narrow(x), narrow(y), similarity)
+                for i in np.flatnonzero(keep & (np.minimum(n, m) >= WIDE_SET)).tolist():
+                    keep[i] = finer(x[i], y[i], n[i], m[i], similarity)
                 yield b.select(["a", "b"]).filter(pa.array(keep))
 
-    return pairs.select("a", "b", "n", "counts", "m", "others").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b", "n", "counts", "m", "others").mapInArrow(trimmed(run), "a long, b long")
 
 
 def across(members: DataFrame, info: DataFrame, similarity: float) -> DataFrame:
@@ -254,7 +278,8 @@ def across(members: DataFrame, info: DataFrame, similarity: float) -> DataFrame:
         group = group.combine_chunks().sort_by("n")
         n, component, block = (group[c].to_numpy() for c in ("n", "component", "block"))
         node = group["node"].to_numpy()
-        counts = np.frombuffer(b"".join(group["counts"].to_pylist()), np.uint8).reshape(-1, 256)
+        profiles = group["counts"].to_pylist()
+        counts = narrow(profiles)
         same_block = group["i"][0].as_py() == group["j"][0].as_py()
         kinds, at = np.unique(component, return_inverse=True)
         weight = np.bincount(at)[at]
@@ -266,6 +291,8 @@ def across(members: DataFrame, info: DataFrame, similarity: float) -> DataFrame:
             y = np.arange(x + 1, end)
             y = y[(component[y] != component[x]) & (same_block | (block[y] != block[x]))]
             y = y[may_be_similar(n[y], n[x], counts[y], counts[x], similarity)] if len(y) else y
+            if n[x] >= WIDE_SET:
+                y = np.array([i for i in y.tolist() if finer(profiles[x], profiles[i], n[x], n[i], similarity)], np.int64)
             lighter = (weight[y] < weight[x]) | ((weight[y] == weight[x]) & (node[y] < node[x]))
             a.append(np.where(lighter, node[y], node[x]))
             b.append(np.where(lighter, node[x], node[y]))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import slices, staged
+from verdigris.llm.common import slices, staged, trimmed
 from verdigris.llm.encoding import encoder, with_end
 
 PIECES = "piece int, start long, length long, ids_crc32 long, shard int, local_rank long"
@@ -65,7 +65,7 @@ def token_pieces(docs: DataFrame, *, size: int = 2048, tokenizer: str = "word_bp
             yield pa.RecordBatch.from_arrays(out, names=names)
 
     rows = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
-    return rows.mapInArrow(cut, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + PIECES + ", ids array<int>" * keep_ids)
+    return rows.mapInArrow(trimmed(cut), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, " + PIECES + ", ids array<int>" * keep_ids)
 
 
 def patterns(lengths: np.ndarray, size: int) -> np.ndarray:
