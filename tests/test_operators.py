@@ -12,8 +12,9 @@ from verdigris.functions import formats, hashing
 from verdigris.functions import text as T
 from verdigris.operators import dedup, extend, gate, metrics, sampling, similarity, temporal
 from verdigris.plans.sampling import mmr
-from verdigris.plans.windows import confidence_sequence
+from verdigris.plans.windows import anchored_split, confidence_sequence
 from verdigris.sources import files
+from verdigris.sources.store import Conflict, TableStore
 from verdigris.streaming import sessions as S
 
 
@@ -62,21 +63,71 @@ def test_hash_split_equals_python(spark):
     assert got == [int(hashlib.sha256(k.encode()).hexdigest(), 16) % 10_000 for k in keys]
 
 
-def test_selection():
-    options = ["a", "a, b", "c"]
-    assert formats.pick(None, options, False) == ([], False)
-    assert formats.pick("a, b", options, False) == ([1], False)
-    assert formats.pick("z", options, False) == ([], True)
-    assert formats.pick("a, b, c", options, True) == ([1, 2], False)
-    assert formats.pick("", options, True) == ([], False)
-    assert formats.pick("c, other", options, True) == ([2], True)
-
-
-def test_ask_rewrite():
-    raw = "x Ask(questions=[{'question': 'Go?', 'header': 'H', 'options': [{'label': 'Yes (Recommended)'}, {\"label\": \"No\"}]}]) y"
-    assert formats.ask_text(raw) == "x [assistant asked: H] Go?\n- Yes\n- No\n(recommended: Yes) y"
-    assert formats.ask_text("Ask(questions=[{'question': 'Half of i…(+40ch)") == "[assistant asked] Half of i…"
-    assert formats.ask_text("Ask(questions=[])") == "Ask(questions=[])"
+def of_row(spark, column, **values):
+    row = spark.createDataFrame([tuple(v[1] for v in values.values())], ", ".join(f"{k} {v[0]}" for k, v in values.items()))
+    return row.select(column.alias("x")).first().x
+
+
+def picks_by_search(answer, options, multi):
+    """All ways to read an answer as labels, longest labels first."""
+    last = {o: i for i, o in enumerate(options)}
+    if answer is None:
+        return [], False
+    if not multi:
+        return ([last[answer]], False) if answer in last else ([], True)
+    out = []
+    while answer:
+        fit = [o for o in last if o and (answer == o or answer.startswith(o + ", "))]
+        if not fit:
+            return out, True
+        out.append(last[max(fit, key=len)])
+        answer = answer[len(max(fit, key=len)) + 2 :]
+    return out, False
+
+
+def test_selection(spark):
+    rng, rows = random.Random(2), []
+    for _ in range(300):
+        options = [rng.choice(["a", "b", "a, b", "c.d", "(x", "Keep \\E it", "q", "b, c.d", "A"]) for _ in range(rng.randint(0, 5))]
+        said = [rng.choice([*options, "zz"]) if options else "zz" for _ in range(rng.randint(0, 3))]
+        rows.append((rng.choice([", ".join(said), *options, "", ", ".join(said) + ", and more", None]), options, rng.random() < 0.7))
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, answer string, options array<string>, multi boolean")
+    for r in df.select("i", formats.selection(F.col("answer"), F.col("options"), F.col("multi")).alias("s")).collect():
+        assert (r.s.picks, r.s.custom) == picks_by_search(*rows[r.i]), rows[r.i]
+
+
+def test_ask_rewrite(spark):
+    def read(text):
+        return of_row(spark, formats.ask_blocks(F.col("t")), t=("string", text))
+
+    clipped = "assistant: fine\nAskUserQuestion([{'question': 'Which part first?', 'header': 'Part', 'multiSelect': False, 'options': [{'label': 'One'}, {'label': 'Two + three (Recommended)'}, {'label': 'Fo…(+31ch))"
+    assert read(clipped) == "assistant: fine\n[assistant asked: Part] Which part first?\n- One\n- Two + three\n(recommended: Two + three)"
+    assert read("AskUserQuestion([{'question': 'Half of i…(+40ch))") == "[assistant asked] Half of i…"
+    assert read("AskUserQuestion(<cut before any field>") == "AskUserQuestion(<cut before any field>"
+    assert read("no asks here\n") == "no asks here\n" and read(None) is None
+    two = "x AskUserQuestion([{'question': 'A?', 'header': 'P', 'options': [{'label': 'x'}]}, {'question': 'B?', 'header': 'Q', 'options': [{'label': 'y'}]}])"
+    assert read(two) == "x [assistant asked: P] A?\n[assistant asked: Q] B?"
+    quoted = "AskUserQuestion([{'question': \"What does 'this' show?\", 'header': 'It\\'s', 'options': [{'label': 'Fl…(+9ch))"
+    assert read(quoted) == "[assistant asked: It's] What does 'this' show?"
+
+
+def test_review_formats(spark):
+    def read(text, *registry):
+        got = of_row(spark, formats.review_comments(F.col("t"), registry or formats.REVIEW_FORMATS), t=("string", text))
+        return [tuple(c) for c in got]
+
+    assert read("see\nIn src/a.py:L10-12: drop the guard\nIn a/b.py:L5: fix this\nIn Makefile:L3: no\nIn short: nothing") == [("src/a.py", 10, 12, "drop the guard"), ("a/b.py", 5, None, "fix this"), ("Makefile", 3, None, "no")]
+    assert read("In src/x.py: whole file") == [("src/x.py", None, None, "whole file")]
+    assert read("- file: p/m.py:42\n- theme: t\n- claim: leaks a handle\n- suggestion: close it") == [("p/m.py", 42, None, "leaks a handle close it")]
+    assert read("- file: a.py:7\n- suggestion: extract it") == [("a.py", 7, None, "extract it")]
+    streams = "intro\n### W1 [BUG] — Broken  \nFIX: mend it\nwords\nTests: add one\n### Ab-2 [DEBT]— Other\n### not a header\nFIX: of none"
+    assert read(streams) == [(None, None, None, "W1 [BUG] Broken FIX: mend it Tests: add one"), (None, None, None, "Ab-2 [DEBT] Other")]
+    assert read('{"path": "a.py", "lines": "3-9", "problem": "bad", "fix": "do"}') == [("a.py", 3, 9, "bad do")]
+    assert read('{"confirmedHigh": [{"file": "b.py", "line": 4, "why": "w"}, {"file": "c.py"}]}') == [("b.py", 4, None, "w")]
+    assert read('[{"message": "m"}, {"x": 1}]') == [(None, None, None, "m")]
+    assert read(None) == [] and read("") == [] and read("{not json") == []
+    shout = formats.CallableFormat("shout", lambda t: [("f", 1, 2, w) for w in t.split() if w.isupper()])
+    assert read("In a.py:L1: NO", shout) == [("f", 1, 2, "NO")]
 
 
 def test_auc_edges_and_delong(spark):
@@ -177,9 +228,7 @@ def test_import_findings_and_frozen(spark, tmp_path):
     files.freeze(df, f"{p}/f")
     with pytest.raises(ValueError, match="frozen"):
         files.freeze(df.union(df), f"{p}/f")
-    (tmp_path / "f" / "rows.jsonl").write_text("{}\n")
-    for crc in (tmp_path / "f").glob(".*.crc"):
-        crc.unlink()
+    (tmp_path / "f" / "rows" / "part-more.txt").write_text("{}\n")
     with pytest.raises(ValueError, match="changed"):
         files.read_frozen(spark, f"{p}/f", "id long, text string")
 
@@ -217,3 +266,144 @@ def test_judges_and_encoders(spark):
 
     assert extend.encoded(df, "doc_id", "text", Lengths()).first().embedding == [1.0, 1.0]
     assert isinstance(extend.score(df, "text", extend.LengthGate()).toPandas(), pd.DataFrame)
+
+
+def test_due_turns_of_long_sessions_and_late_ones(spark, tmp_path):
+    """Past 4,000 turns the count goes on, each target comes once, and repeated or late turns count once."""
+    parts = [range(4100), [4100], [4100, 4101], [5000], [4102], [7]]
+    for i, part in enumerate(parts):
+        spark.createDataFrame([("s", t) for t in part], "session_id string, turn long").coalesce(1).write.parquet(f"{tmp_path}/in/{i}")
+    stream = spark.readStream.schema("session_id string, turn long").option("maxFilesPerTrigger", 1).option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    got = sorted((r.turn_count, r.target) for r in S.drain(S.due_turns(stream, None), str(tmp_path)).collect())
+    assert got[-1] == (4104, 4102) and len(got) <= 5 and (4101, 4099) in got
+
+
+def test_debounce_waits_for_silence(spark, tmp_path):
+    import time
+
+    spark.createDataFrame([("a",), ("a",), ("b",)], "session_id string").coalesce(1).write.parquet(f"{tmp_path}/in/0")
+    stream = spark.readStream.schema("session_id string").option("recursiveFileLookup", "true").parquet(f"{tmp_path}/in")
+    q = S.debounced(stream, 500).writeStream.format("memory").queryName("quiet").outputMode("append").trigger(processingTime="300 milliseconds").option("checkpointLocation", f"{tmp_path}/c").start()
+    try:
+        end = time.time() + 60
+        while time.time() < end and spark.table("quiet").count() < 2:
+            time.sleep(0.5)
+        assert sorted(map(tuple, spark.table("quiet").collect())) == [("a", 2), ("b", 1)]
+    finally:
+        q.stop()
+
+
+def test_table_store(spark, tmp_path):
+    store = TableStore(spark, str(tmp_path))
+    rows = spark.createDataFrame([(1, "queued"), (2, "done")], "id long, state string")
+    assert store.write("t", rows) == 1 and store.append("t", rows) == 2
+    assert store.update("t", F.col("state") == "queued", {"state": F.lit("claimed")}) == 2
+    assert store.update("t", F.col("state") == "queued", {"state": F.lit("claimed")}) == 0
+    assert store.version("t") == 3 and store.read("t", 1).count() == 2
+    with pytest.raises(Conflict):
+        store.write("t", rows, after=1)
+    with pytest.raises(KeyError):
+        store.read("none")
+
+
+def test_files_by_size_and_name(spark, tmp_path):
+    for name, n in (("b.jsonl", 40_000), ("a.jsonl", 32_768), ("small.jsonl", 32_767), ("agent-1.jsonl", 50_000), ("c.txt", 50_000)):
+        (tmp_path / name).write_bytes(b"x" * n)
+    assert [r.path.rsplit("/", 1)[1] for r in files.candidates(spark, str(tmp_path)).collect()] == ["a.jsonl", "b.jsonl"]
+
+
+def test_receipts_and_frozen_sets(spark, tmp_path):
+    rows = spark.createDataFrame([(i, f"t{i}") for i in range(20)], "id long, text string")
+    files.write_with_receipt(rows, f"{tmp_path}/r", {"digest": "d", "quarantined": 1})
+    back, receipt = files.read_with_receipt(spark, f"{tmp_path}/r")
+    assert receipt == {"digest": "d", "quarantined": 1} and back.count() == 20
+    rows.write.parquet(f"{tmp_path}/bare")
+    with pytest.raises(ValueError):
+        files.read_with_receipt(spark, f"{tmp_path}/bare")
+    first = files.freeze(rows, f"{tmp_path}/f")
+    assert files.freeze(rows.repartition(3).orderBy(F.desc("id")), f"{tmp_path}/f") == first
+    with pytest.raises(ValueError):
+        files.freeze(rows.limit(3), f"{tmp_path}/f")
+    spark.createDataFrame([("{}",)], "value string").write.mode("append").text(f"{tmp_path}/f/rows")
+    with pytest.raises(ValueError):
+        files.read_frozen(spark, f"{tmp_path}/f", rows.schema)
+
+
+def test_anchors(spark):
+    e = spark.createDataFrame([("s", 0, i, r, f"e{i}") for i, r in enumerate(["user", "assistant", "user", "assistant"])], "session_id string, turn int, seq int, role string, name string")
+    read = lambda a: tuple(anchored_split(e, spark.createDataFrame([("s", 0, a)], "session_id string, turn int, anchor string")).first())[2:]
+    assert read("e2") == (["e0", "e1"], ["e2", "e3"])
+    assert read("e0") == read("e1") == ([], ["e0", "e1", "e2", "e3"])
+    with pytest.raises(Exception, match="no anchor"):
+        read("e9")
+
+
+def test_a_family_whose_smallest_row_is_far_from_some(spark):
+    """Members drift from a core; groups must be those of all pairs that share a band."""
+    rng, docs = random.Random(11), []
+    core = [rng.choice("abcdefghij") * rng.randint(2, 6) + str(rng.randint(0, 99)) for _ in range(60)]
+    for i in range(150):
+        w = list(core)
+        for _ in range(rng.randint(0, 9)):
+            w[rng.randrange(60)] = "x" + str(rng.randint(0, 9999))
+        docs.append((i, " ".join(w)))
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(3)
+    sets = {i: set(similarity.byte_shingles(t).tolist()) for i, t in docs}
+    root = {i: i for i, _ in docs}
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for r in similarity.lsh_pairs(similarity.minhash(df, "doc_id", "text"), "doc_id").collect():
+        if len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b]) >= 0.8:
+            root[max(find(r.a), find(r.b))] = min(find(r.a), find(r.b))
+    assert {r.doc_id: r.component for r in dedup.collapse(df, "doc_id", "text").collect()} == {i: find(i) for i in root}
+    assert len(set(map(find, root))) > 1
+
+
+def test_vectors_on_top_of_text(spark):
+    docs = spark.createDataFrame([(1, "the first text of all"), (2, "the first text of all"), (3, "quite another one"), (4, "nothing like it here")], "doc_id long, text string")
+
+    class Turned:
+        def encode(self, texts):
+            return np.array([[1.0, 0.01 * len(t)] if "text" in t or "another" in t else [0.0, 1.0] for t in texts])
+
+    got = {r.doc_id: r for r in dedup.collapse(docs, "doc_id", "text", embedder=Turned()).collect()}
+    assert got[1].component == got[2].component == got[3].component == 1 and got[4].component == 4
+    assert sum(r.marginal for r in got.values()) == 1
+    plain = dedup.collapse(docs, "doc_id", "text").collect()
+    assert {r.doc_id: r.component for r in plain} == {1: 1, 2: 1, 3: 3, 4: 4} and not any(r.marginal for r in plain)
+
+
+def test_running_sums(spark):
+    rng = random.Random(6)
+    rows = [(rng.choice([rng.random(), 0.5, float("nan"), None]) if i % 5 else None, rng.randint(0, 9)) for i in range(400)]
+    n = spark.createDataFrame(rows, "s double, n long").groupBy("s").agg(F.sum("n").alias("n"))
+    for down in (False, True):
+        got = metrics.running(n, "s", ["n"], descending=down).collect()
+        key = lambda s: (0, 0) if s is None else (2, 0) if s != s else (1, s)
+        upto, want = 0, {}
+        for r in sorted(got, key=lambda r: key(r.s), reverse=down):
+            want[key(r.s)] = upto
+            upto += r.n
+        assert all(want[key(r.s)] == r.n_before for r in got) and len(got) > 80
+    assert metrics.running(n.where("false"), "s", ["n"]).collect() == []
+
+
+def test_nearest_ranges(spark):
+    rng = random.Random(9)
+    ranges = [(f"k{i}", lo := rng.randint(0, 10_000), lo + rng.choice([0, 5, 300])) for i in range(40)] + [("far", 90_000, 90_100)]
+    points = sorted({rng.randint(-500, 11_000) for _ in range(200)} | {89_000, 95_000})
+    got = {r.at: r.key for r in temporal.nearest_ranges(spark.createDataFrame([(p,) for p in points], "at long"), spark.createDataFrame(ranges, "key string, lo long, hi long"), "at", "lo", "hi", "key", width=1000).collect()}
+    assert got == {p: min((0 if lo <= p <= hi else lo - p if p < lo else p - hi, k) for k, lo, hi in ranges)[1] for p in points}
+
+
+def test_drafters_and_planners(spark):
+    df = spark.createDataFrame([(1, "one two"), (2, None), (3, "x")], "id long, text string")
+    stub = extend.StubDrafter()
+    assert sorted(map(tuple, extend.drafted(df, "id", "text", stub, stub).collect())) == [(1, "one", "one!"), (2, None, None), (3, "x", "x!")]
+    assert extend.planned(df, "id", lambda d: d.where("id > 1").select("id"), lambda d: d.withColumn("k", F.lit(1))).count() == 2
+    with pytest.raises(ValueError):
+        extend.planned(df, "id", lambda d: d.select("text"), lambda d: d)

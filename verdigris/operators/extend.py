@@ -20,6 +20,14 @@ class Gate(Protocol):
     def score(self, text: str) -> float: ...
 
 
+class Drafter(Protocol):
+    def draft(self, context: str) -> str | None: ...
+
+
+class Refiner(Protocol):
+    def refine(self, context: str, draft: str) -> str | None: ...
+
+
 class LengthGate:
     """A deterministic stand-in: the text's length in thousands, at most 1."""
 
@@ -77,3 +85,41 @@ def judged(df: DataFrame, key: str, judge: Callable[[object, str], str], breaker
             yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(verdicts, pa.string())], names=[key, "verdict"])
 
     return df.select(key, df.columns[1]).mapInArrow(run, f"{key} {kind}, verdict string")
+
+
+class StubDrafter:
+    """A deterministic stand-in: the first word is the draft, refined by a mark; nothing for an empty context."""
+
+    def draft(self, context: str) -> str | None:
+        return context.split()[0] if context.split() else None
+
+    def refine(self, context: str, draft: str) -> str | None:
+        return f"{draft}!"
+
+
+def drafted(df: DataFrame, key: str, context: str, drafter: Drafter, refiner: Refiner | None = None) -> DataFrame:
+    """key, draft, final: a draft for each context, refined if there is a refiner; none where the drafter has none or fails."""
+    kind = df.schema[key].dataType.simpleString()
+
+    def one(text: str) -> tuple[str | None, str | None]:
+        try:
+            draft = drafter.draft(text)
+            return draft, draft if draft is None or refiner is None else refiner.refine(text, draft)
+        except Exception:  # whatever an outside model raises leaves its row without a draft
+            return None, None
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            made = [one(x or "") for x in b.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([d for d, _ in made], pa.string()), pa.array([f for _, f in made], pa.string())], names=[key, "draft", "final"])
+
+    return df.select(key, context).mapInArrow(run, f"{key} {kind}, draft string, final string")
+
+
+def planned(pending: DataFrame, key: str, planner: Callable[[DataFrame], DataFrame], classify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """What `classify` makes of the rows that `planner` chooses; both are functions of DataFrames that keep the key.
+    A planner may choose among the pending rows only."""
+    chosen = planner(pending)
+    if key not in chosen.columns:
+        raise ValueError(f"the planner lost {key}")
+    return classify(pending.join(chosen.select(key).distinct(), key, "left_semi"))

@@ -1,7 +1,8 @@
 """Ranking and calibration metrics over scored rows.
 
-Ranks come from counts by distinct score, so that the only ordered window runs over distinct scores, pre-aggregated; a
-window over all rows would bring them to one task.
+Ranks come from counts by distinct score.  These are dealt into ranges between approximate quantiles; running sums are
+taken within each range and what the ranges before add up to, a row for each range, is broadcast.  So no task sees all of
+the scores, however many of them are distinct.
 """
 
 from __future__ import annotations
@@ -13,18 +14,34 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+RANGES = 64
+
+
+def running(rows: DataFrame, order: str, sums: list[str], *, descending: bool = False) -> DataFrame:
+    """rows (one for each value of `order`) with `<c>_before` for each of the sums: c added up over the rows before it."""
+    edges = sorted(set(rows.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double"))).select(F.col(order).cast("double").alias(order)).approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.01)))
+    place = sum((F.col(order) > F.lit(e)).cast("int") for e in edges) if edges else F.lit(0)
+    dealt = rows.withColumn("__range", F.coalesce(place, F.lit(0)) * (-1 if descending else 1))
+    by = F.desc(order) if descending else F.col(order)
+    inner = Window.partitionBy("__range").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    outer = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges alone
+    zero = lambda c: F.coalesce(c, F.lit(0))
+    whole = dealt.groupBy("__range").agg(*(F.sum(c).alias(f"__{c}") for c in sums))
+    whole = whole.select("__range", *(zero(F.sum(f"__{c}").over(outer)).alias(f"__{c}") for c in sums))
+    own = dealt.select("*", *(zero(F.sum(c).over(inner)).alias(f"__own_{c}") for c in sums)).join(F.broadcast(whole), "__range")
+    return own.select(*rows.columns, *((F.col(f"__{c}") + F.col(f"__own_{c}")).alias(f"{c}_before") for c in sums))
+
+
 def by_score(rows: DataFrame, label: str, score: str) -> DataFrame:
     """s, pos, neg for each distinct score; with how many positives and negatives lie below it."""
     n = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label)).alias("pos"), F.count_if(~F.col(label)).alias("neg"))
-    w = Window.orderBy("s").rowsBetween(Window.unboundedPreceding, -1)
-    return n.select("s", "pos", "neg", F.coalesce(F.sum("pos").over(w), F.lit(0)).alias("pos_below"), F.coalesce(F.sum("neg").over(w), F.lit(0)).alias("neg_below"))
+    return running(n, "s", ["pos", "neg"]).withColumnsRenamed({"pos_before": "pos_below", "neg_before": "neg_below"})
 
 
 def mid_ranks(rows: DataFrame, score: str) -> DataFrame:
     """rows with mid_rank: the mean rank of equal scores."""
     n = rows.groupBy(F.col(score).alias("__s")).agg(F.count("*").alias("__n"))
-    w = Window.orderBy("__s").rowsBetween(Window.unboundedPreceding, -1)
-    ranks = n.select("__s", (F.coalesce(F.sum("__n").over(w), F.lit(0)) + (F.col("__n") + 1) / 2).alias("mid_rank"))
+    ranks = running(n, "__s", ["__n"]).select("__s", (F.col("__n_before") + (F.col("__n") + 1) / 2).alias("mid_rank"))
     return rows.join(ranks, F.col(score) == F.col("__s")).drop("__s")
 
 
@@ -65,8 +82,8 @@ def delong(rows: DataFrame, label: str, base: str, candidate: str, key: str) ->
 def average_precision(rows: DataFrame, label: str, score: str) -> DataFrame:
     """Step sum of precision over distinct thresholds; null without positives."""
     n = rows.groupBy(F.col(score).alias("s")).agg(F.count_if(F.col(label)).alias("pos"), F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("s"))
-    steps = n.select("pos", (F.sum("pos").over(w) / F.sum("n").over(w)).alias("precision"))
+    upto = lambda c: F.col(f"{c}_before") + F.col(c)
+    steps = running(n, "s", ["pos", "n"], descending=True).select("pos", (upto("pos") / upto("n")).alias("precision"))
     return steps.agg(F.try_divide(F.sum(F.col("pos") * F.col("precision")), F.sum("pos").cast("double")).alias("average_precision"))
 
 
@@ -111,6 +128,5 @@ def hanley_mcneil(auc: Column, pos: Column, neg: Column) -> Column:
 def kth_largest(rows: DataFrame, score: str, k: Column | int) -> DataFrame:
     """One row, threshold: the k-th largest score, found on counts by distinct score."""
     n = rows.groupBy(F.col(score).alias("s")).agg(F.count("*").alias("n"))
-    w = Window.orderBy(F.desc("s"))
     k = F.lit(k) if isinstance(k, int) else k
-    return n.withColumn("upto", F.sum("n").over(w)).where(F.col("upto") >= k).agg(F.max("s").alias("threshold"))
+    return running(n, "s", ["n"], descending=True).where(F.col("n_before") + F.col("n") >= k).agg(F.max("s").alias("threshold"))

@@ -6,7 +6,7 @@ never meet; a window then picks the match.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.operators.latest import first_by
@@ -49,3 +49,28 @@ def nearest(left: DataFrame, right: DataFrame, keys: list[str], at: str, other:
     """Each left row with the nearest right row within the radius, ties to the smaller `other`; unmatched rows are dropped."""
     near = band_join(left, right, keys, at, other, radius, radius)
     return first_by(near, [row], [F.abs(F.col(other) - F.col(at)), F.col(other)])
+
+
+def nearest_ranges(points: DataFrame, ranges: DataFrame, at: str, lo: str, hi: str, key: str, width: int = 86_400_000_000) -> DataFrame:
+    """at, key: for each distinct point the range that holds it, else the one whose edge is nearest; of equals the smallest key.
+
+    Time is cut into buckets of `width`.  A range that holds a point is found in the buckets that it covers.  The nearest
+    edge on a side is in the point's own bucket or is the outermost of the nearest bucket on that side that has any; these
+    outermost edges, a row for each bucket, are the only ordered window."""
+    b = lambda c: F.floor(F.col(c) / width)
+    p = points.select(F.col(at).alias("at"), b(at).alias("b"))
+    r = ranges.select(F.col(key).alias("key"), F.col(lo).alias("lo"), F.col(hi).alias("hi"))
+    covered = r.select("key", "lo", "hi", F.explode(F.sequence(b("lo"), b("hi"))).alias("b"))
+    inside = p.join(covered, "b").where("at >= lo and at <= hi").select("at", F.lit(0).cast("long").alias("d"), "key")
+    after = r.select("key", F.col("lo").alias("edge"), b("lo").alias("b"))
+    before = r.select("key", F.col("hi").alias("edge"), b("hi").alias("b"))
+    same = p.join(after.withColumn("later", F.lit(True)).union(before.withColumn("later", F.lit(False))), "b")
+    same = same.where("if(later, edge > at, edge < at)").select("at", F.abs(F.col("edge") - F.col("at")).alias("d"), "key")
+    outer = after.groupBy("b").agg(F.min(F.struct("edge", "key")).alias("first"))
+    last = before.groupBy("b").agg(F.min(F.struct((-F.col("edge")).alias("edge"), "key")).alias("last"))
+    days = p.select("b").distinct().join(outer, "b", "full").join(last, "b", "full")
+    up, down = Window.orderBy("b").rowsBetween(1, Window.unboundedFollowing), Window.orderBy("b").rowsBetween(Window.unboundedPreceding, -1)
+    days = days.select("b", F.first("first", ignorenulls=True).over(up).alias("next"), F.last("last", ignorenulls=True).over(down).alias("prior"))
+    met = p.join(days, "b")
+    far = met.select("at", (F.col("next.edge") - F.col("at")).alias("d"), F.col("next.key").alias("key")).union(met.select("at", F.col("at") + F.col("prior.edge"), "prior.key")).where("key is not null")
+    return inside.union(same).union(far).groupBy("at").agg(F.min(F.struct("d", "key"))["key"].alias(key))

@@ -110,8 +110,9 @@ def a13(t: Tables) -> DataFrame:
 @query("a14_floor_deciles", """WITH r AS (SELECT score, row_number() OVER (ORDER BY score) - 1 AS i, count(*) OVER () AS n FROM moments) SELECT CAST(q AS INTEGER) AS q, (SELECT max(score) FROM r WHERE i = least(n - 1, n * q // 10)) AS score FROM range(1, 10) x(q)""", "moments")
 def a14(t: Tables) -> DataFrame:
     """sorted[min(n − 1, ⌊n·q/10⌋)], from counts by distinct score."""
-    n = t.moments().groupBy("score").agg(F.count("*").alias("n"))
-    upto = n.select("score", F.sum("n").over(Window.orderBy("score")).alias("upto"), F.sum("n").over(Window.partitionBy()).alias("total"), "n")
+    n = metrics.running(t.moments().groupBy("score").agg(F.count("*").alias("n")), "score", ["n"])
+    total = t.moments().agg(F.count("*").alias("total"))
+    upto = n.select("score", (F.col("n_before") + F.col("n")).alias("upto"), "n").join(F.broadcast(total), F.lit(True))
     at = F.transform(F.sequence(F.lit(1), F.lit(9)), lambda q: F.struct(q.alias("q"), F.least(F.col("total") - 1, F.floor(F.col("total") * q / 10)).alias("i")))
     inside = F.filter(at, lambda x: (x["i"] < F.col("upto")) & (x["i"] >= F.col("upto") - F.col("n")))
     return upto.select("score", F.explode(inside).alias("x")).select("x.q", "score")
@@ -149,10 +150,10 @@ def a18(t: Tables) -> DataFrame:
     return t.moments().agg(F.count("*").alias("scored"), F.count_distinct("session_id").alias("sessions"), F.count_if(F.col("score") >= 0.8).alias("fired"), F.count_if(F.col("kind") == "error").alias("steered"), F.count_if(F.col("kind") == "signup").alias("expired"))
 
 
-@query("a19_profile", """WITH l AS (SELECT lang AS category, doc_id, split_part(text, E'\\n', 1) AS line FROM documents), k AS (SELECT category, lower(regexp_replace(regexp_replace(trim(line), '\\s+', ' ', 'g'), '\\.+$', '')) AS key, count(*) AS support, max(doc_id) AS latest, min_by(line, doc_id) AS line FROM l GROUP BY 1, 2)
+@query("a19_profile", """WITH l AS (SELECT lang AS category, doc_id, text AS line FROM documents), k AS (SELECT category, lower(regexp_replace(regexp_replace(trim(line, E' \\n\\t\\r'), '\\s+', ' ', 'g'), '\\.+$', '')) AS key, count(*) AS support, max(doc_id) AS latest, min_by(line, doc_id) AS line FROM l GROUP BY 1, 2)
  SELECT category, key, support, line, CAST(row_number() OVER (PARTITION BY category ORDER BY support DESC, latest DESC) AS INTEGER) AS place FROM k QUALIFY place <= 12""")
 def a19(t: Tables) -> DataFrame:
-    line = t.documents.select(F.col("lang").alias("category"), "doc_id", F.substring_index("text", "\n", 1).alias("line"))
+    line = t.documents.select(F.col("lang").alias("category"), "doc_id", F.col("text").alias("line"))
     k = line.groupBy("category", T.direction_key(F.col("line")).alias("key")).agg(F.count("*").alias("support"), F.max("doc_id").alias("latest"), F.min_by("line", "doc_id").alias("line"))
     place = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("support"), F.desc("latest")))
     return k.withColumn("place", place).where("place <= 12").select("category", "key", "support", "line", "place")
@@ -202,14 +203,20 @@ def a24(t: Tables) -> DataFrame:
 def dataset_digest(rows: DataFrame, *columns: str) -> DataFrame:
     """16 hex digits of sha256 over the sorted digests of the rows; a row's text is its columns, NULs between.
 
-    Digests are sorted and joined by their first byte in 256 parts, whose digests are digested again."""
+    A tree: digests are sorted and joined in 65,536 parts by their first four digits, these parts' digests in 256 by two
+    digits, and these once more."""
     one = F.sha2(F.concat_ws("\u0000", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in columns)), 256)
-    parts = rows.select(one.alias("h")).groupBy(F.substring("h", 1, 2).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"))
-    whole = F.array_sort(F.collect_list(F.struct("part", "h")))
-    return parts.agg(F.substring(F.sha2(F.array_join(F.transform(whole, lambda x: x["h"]), "\n"), 256), 1, 16).alias("digest"))
+    level = rows.select(one.alias("h")).groupBy(F.substring("h", 1, 4).alias("part")).agg(F.sha2(F.array_join(F.array_sort(F.collect_list("h")), "\n"), 256).alias("h"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("part", "h"))), lambda x: x["h"]), "\n"), 256)
+    level = level.groupBy(F.substring("part", 1, 2).alias("top")).agg(joined.alias("h")).withColumnRenamed("top", "part")
+    return level.agg(F.substring(joined, 1, 16).alias("digest"))
 
 
-@query("a25_dataset_digest", """WITH h AS (SELECT sha256(session_id || chr(0) || turn || chr(0) || text) AS h FROM turns), p AS (SELECT substr(h, 1, 2) AS part, sha256(string_agg(h, E'\\n' ORDER BY h)) AS h FROM h GROUP BY 1) SELECT substr(sha256(string_agg(h, E'\\n' ORDER BY part)), 1, 16) AS digest FROM p""", "turns")
+#: The tree in the oracle's dialect, over h(h).
+TREE = "p4 AS (SELECT substr(h, 1, 4) AS part, sha256(string_agg(h, E'\\n' ORDER BY h)) AS h FROM h GROUP BY 1), p2 AS (SELECT substr(part, 1, 2) AS part, sha256(string_agg(h, E'\\n' ORDER BY part)) AS h FROM p4 GROUP BY 1), p AS (SELECT substr(sha256(string_agg(h, E'\\n' ORDER BY part)), 1, 16) AS digest FROM p2)"
+
+
+@query("a25_dataset_digest", f"WITH h AS (SELECT sha256(session_id || chr(0) || turn || chr(0) || text) AS h FROM turns), {TREE} SELECT digest FROM p", "turns")
 def a25(t: Tables) -> DataFrame:
     return dataset_digest(t.turns(), "session_id", "turn", "text")
 

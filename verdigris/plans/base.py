@@ -52,7 +52,7 @@ class Tables:
         d = self.documents
         one = d.selectExpr("doc_id", "'r1' as prompt_version", "'m1' as model", "doc_id * 2 as refined_at", "explode(sequence(0, cast(doc_id % 3 as int))) as pair_index", "text")
         two = d.where("doc_id % 4 = 0").selectExpr("doc_id", "'r2'", "'m1'", "doc_id * 2 + 1", "explode(sequence(0, cast((doc_id div 4) % 2 as int)))", "text")
-        return one.union(two).selectExpr("cast(doc_id as string) as dedup_key", "prompt_version", "model", "refined_at", "pair_index", "concat(pair_index, ':', substring(text, 1, 40)) as direction", "substring(text, 41, 30) as verbatim")
+        return one.union(two).selectExpr("cast(doc_id as string) as dedup_key", "prompt_version", "model", "refined_at", "pair_index", "concat(pair_index, ':', text) as direction", "reverse(text) as verbatim")
 
 
 #: The same entities in the oracle's dialect, as common table expressions.
@@ -67,7 +67,7 @@ CTE = {
     "SELECT CAST(doc_id AS VARCHAR), 'judge', 'v2', toxic = 0, (doc_id + 3) % 11, doc_id * 10 + 5, doc_id * 4 + 1 FROM labels WHERE doc_id % 2 = 0 UNION ALL "
     "SELECT CAST(doc_id AS VARCHAR), 'judge', 'v2', quality = 0, (doc_id + 5) % 11, doc_id * 10 + 5, doc_id * 4 + 2 FROM labels WHERE doc_id % 10 = 0 UNION ALL "
     "SELECT CAST(doc_id AS VARCHAR), 'auditor', 'v1', toxic = 0, (doc_id + 1) % 11, doc_id * 10 + 7, doc_id * 4 + 3 FROM labels WHERE doc_id % 3 = 0))",
-    "pairs": "pairs AS (SELECT CAST(doc_id AS VARCHAR) AS dedup_key, prompt_version, model, refined_at, pair_index, pair_index || ':' || substr(text, 1, 40) AS direction, substr(text, 41, 30) AS verbatim FROM ("
+    "pairs": "pairs AS (SELECT CAST(doc_id AS VARCHAR) AS dedup_key, prompt_version, model, refined_at, pair_index, pair_index || ':' || text AS direction, reverse(text) AS verbatim FROM ("
     "SELECT doc_id, 'r1' AS prompt_version, 'm1' AS model, doc_id * 2 AS refined_at, CAST(unnest(range(0, doc_id % 3 + 1)) AS INTEGER) AS pair_index, text FROM documents UNION ALL "
     "SELECT doc_id, 'r2', 'm1', doc_id * 2 + 1, CAST(unnest(range(0, (doc_id // 4) % 2 + 1)) AS INTEGER), text FROM documents WHERE doc_id % 4 = 0))",
     "latest": "latest AS (SELECT * FROM verdicts QUALIFY row_number() OVER (PARTITION BY dedup_key, role ORDER BY prompt_version DESC, judged_at DESC, id DESC) = 1)",

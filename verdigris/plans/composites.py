@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.functions import hashing
 from verdigris.functions import text as T
-from verdigris.operators import latest, metrics
+from verdigris.operators import dedup, latest, metrics, search
 from verdigris.plans import aggregates, joins
+from verdigris.plans.decisions import HITS
 from verdigris.plans.base import Tables, query, scored, sessions
 
 
@@ -22,19 +24,24 @@ def n01(t: Tables) -> DataFrame:
     return typed.unionByName(apart)
 
 
-@query("n02_steer_type_rows", "SELECT f.dedup_key, '<user>' || chr(10) || substr(f.text, 1, 50) AS text, j.category FROM feedback f JOIN judged j USING (dedup_key) WHERE f.id % 10 = 0", "feedback", "judged")
+@query("n02_steer_type_rows")
 def n02(t: Tables) -> DataFrame:
+    """Role-blocked text of each judged row, one of each group of near-duplicates."""
     j = latest.latest_verdict(t.verdicts(), "judge").select("dedup_key", "category")
-    blocks = T.flatten(F.array(F.struct(F.lit("user").alias("role"), F.substring("text", 1, 50).alias("content"))))
-    return t.feedback().where("id % 10 = 0").join(j, "dedup_key").select("dedup_key", blocks.alias("text"), "category")
+    blocks = T.flatten(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))))
+    rows = t.feedback().join(j, "dedup_key").select("dedup_key", blocks.alias("text"), "category")
+    kept = dedup.collapse(rows, "dedup_key", "text").where("dedup_key = representative").select("dedup_key")
+    return rows.join(kept, "dedup_key").select("dedup_key", "text", "category")
 
 
-@query("n03_pick_rows", "SELECT dedup_key, CAST(id % 5 AS INTEGER) AS chosen FROM feedback WHERE id % 5 < 3", "feedback")
+@query("n03_pick_rows")
 def n03(t: Tables) -> DataFrame:
-    """Single choices on the menu with two options at least."""
+    """Single choices on the menu with two options at least, of the test split, one of each group of near-duplicates."""
     options = F.array(*map(F.lit, "abc"))
     at = (F.array_position(options, F.element_at(F.array(*map(F.lit, "abcde")), (F.col("id") % 5 + 1).cast("int"))) - 1).cast("int")
-    return t.feedback().select("dedup_key", options.alias("options"), at.alias("chosen")).where("chosen >= 0 and size(options) >= 2").select("dedup_key", "chosen")
+    rows = t.feedback().where(hashing.split_of(F.col("session_id")) == "test").select("dedup_key", "text", options.alias("options"), at.alias("chosen")).where("chosen >= 0 and size(options) >= 2")
+    kept = dedup.collapse(rows.select("dedup_key", "text"), "dedup_key", "text").where("dedup_key = representative").select("dedup_key")
+    return rows.join(kept, "dedup_key").select("dedup_key", "chosen")
 
 
 @query("n04_visible_turns", "SELECT session_id, CAST(CASE WHEN messages[-1].role = 'assistant' THEN len(messages) ELSE len(messages) - 1 END AS INTEGER) AS visible FROM sessions", "sessions")
@@ -50,10 +57,10 @@ def n05(t: Tables) -> DataFrame:
     return t.events.select("event_id", F.when(F.col("event_id") % 2 == 0, asked).otherwise("none").alias("block"))
 
 
-@query("n06_preference_pairs", "SELECT o_orderkey, l_linenumber, o_orderpriority || '>' || l_returnflag AS chosen, o_orderstatus || '>' || l_linestatus AS rejected FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority IS NOT NULL AND l_returnflag IS NOT NULL AND o_orderstatus IS NOT NULL AND l_linestatus IS NOT NULL AND o_orderkey < 500")
+@query("n06_preference_pairs", "SELECT o_orderkey, l_linenumber, o_orderpriority || '>' || l_returnflag AS chosen, o_orderstatus || '>' || l_linestatus AS rejected FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority IS NOT NULL AND l_returnflag IS NOT NULL AND o_orderstatus IS NOT NULL AND l_linestatus IS NOT NULL")
 def n06(t: Tables) -> DataFrame:
     sides = ["o_orderpriority", "l_returnflag", "o_orderstatus", "l_linestatus"]
-    rows = t.orders.where("o_orderkey < 500").join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).dropna(subset=sides)
+    rows = t.orders.join(t.lineitem, F.col("o_orderkey") == F.col("l_orderkey")).dropna(subset=sides)
     return rows.select("o_orderkey", "l_linenumber", F.concat_ws(">", "o_orderpriority", "l_returnflag").alias("chosen"), F.concat_ws(">", "o_orderstatus", "l_linestatus").alias("rejected"))
 
 
@@ -143,10 +150,10 @@ def n19(t: Tables) -> DataFrame:
     return wide.join(scored(t).select("doc_id", "label"), "doc_id")
 
 
-@query("n21_label_queue", "SELECT 0 AS part, doc_id AS seq, substr(d.text, 1, 20) AS text FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1 UNION ALL SELECT 1, item_id, substr(text, 1, 20) FROM benchmark")
+@query("n21_label_queue", "SELECT 0 AS part, doc_id AS seq, d.text AS text FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1 UNION ALL SELECT 1, item_id, text FROM benchmark")
 def n21(t: Tables) -> DataFrame:
-    a = t.labels.where("quality = 1").join(t.documents, "doc_id").select(F.lit(0).alias("part"), F.col("doc_id").alias("seq"), F.substring("text", 1, 20).alias("text"))
-    return a.unionByName(t.benchmark.select(F.lit(1).alias("part"), F.col("item_id").alias("seq"), F.substring("text", 1, 20).alias("text"))).orderBy("part", "seq")
+    a = t.labels.where("quality = 1").join(t.documents, "doc_id").select(F.lit(0).alias("part"), F.col("doc_id").alias("seq"), "text")
+    return a.unionByName(t.benchmark.select(F.lit(1).alias("part"), F.col("item_id").alias("seq"), "text")).orderBy("part", "seq")
 
 
 @query("n22_complete_or_nothing", "SELECT event_id FROM moments WHERE kind = 'view' AND (SELECT bool_and(props IS NOT NULL) FROM moments WHERE kind = 'view')", "moments")
@@ -156,13 +163,13 @@ def n22(t: Tables) -> DataFrame:
     return rows.join(F.broadcast(gate), F.col("whole")).select("event_id")
 
 
-@query("n23_trajectory", """SELECT session_id, turn // 2 AS step, max(CASE WHEN role = 'user' THEN substr(text, 1, 30) END) AS prompt, string_agg(substr(text, 1, 20), ' ' ORDER BY turn) FILTER (role = 'assistant') AS prose, CAST(sum(CASE WHEN length(text) % 3 = 0 AND role = 'user' THEN 1 ELSE 0 END) > 0 AS BOOLEAN) AS steered FROM turns WHERE regexp_matches(text, '\\S') GROUP BY 1, 2""", "turns")
+@query("n23_trajectory", """SELECT session_id, turn // 2 AS step, max(CASE WHEN role = 'user' THEN text END) AS prompt, string_agg(text, ' ' ORDER BY turn) FILTER (role = 'assistant') AS prose, CAST(sum(CASE WHEN length(text) % 3 = 0 AND role = 'user' THEN 1 ELSE 0 END) > 0 AS BOOLEAN) AS steered FROM turns WHERE regexp_matches(text, '\\S') GROUP BY 1, 2""", "turns")
 def n23(t: Tables) -> DataFrame:
     user = F.col("role") == "user"
-    said = F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", F.substring("text", 1, 20).alias("x")))))
+    said = F.array_sort(F.collect_list(F.when(F.col("role") == "assistant", F.struct("turn", F.col("text").alias("x")))))
     joined = F.when(F.size(said) > 0, F.array_join(F.transform(said, lambda x: x["x"]), " "))
     rows = t.turns().where(T.strip(F.col("text")) != "")
-    return rows.groupBy("session_id", F.floor(F.col("turn") / 2).cast("long").alias("step")).agg(F.max(F.when(user, F.substring("text", 1, 30))).alias("prompt"), joined.alias("prose"), (F.count_if(user & (F.length("text") % 3 == 0)) > 0).alias("steered"))
+    return rows.groupBy("session_id", F.floor(F.col("turn") / 2).cast("long").alias("step")).agg(F.max(F.when(user, F.col("text"))).alias("prompt"), joined.alias("prose"), (F.count_if(user & (F.length("text") % 3 == 0)) > 0).alias("steered"))
 
 
 @query("n24_strict_cut", "SELECT event_id, round(1 - score, 9) AS fire, 1 - score > 1 - 0.1 AS fires FROM moments", "moments")
@@ -170,11 +177,12 @@ def n24(t: Tables) -> DataFrame:
     return t.moments().select("event_id", F.round(1 - F.col("score"), 9).alias("fire"), (1 - F.col("score") > 0.9).alias("fires"))
 
 
-@query("n25_hydrated_hits", "SELECT p AS place, d.doc_id, d.lang FROM (SELECT unnest(range(0, 50)) AS p) x JOIN documents d ON d.doc_id = (x.p * 7) % 300")
+@query("n25_hydrated_hits", "WITH " + HITS + " SELECT CAST(row_number() OVER (ORDER BY round(score, 9) DESC, h.doc_id) AS INTEGER) AS place, h.doc_id, d.lang FROM hits h JOIN documents d ON d.doc_id = h.doc_id")
 def n25(t: Tables) -> DataFrame:
-    """Hits in their order with their documents; stale hits drop out."""
-    hits = t.spark.range(50).select(F.col("id").alias("place"), (F.col("id") * 7 % 300).alias("doc_id"))
-    return F.broadcast(hits).join(t.documents, "doc_id").select("place", "doc_id", "lang").orderBy("place")
+    """Hits of a search in their order with their documents; stale hits drop out.  The hits are the limit's at most."""
+    hits = search.bm25(t.documents, "doc_id", ["text"], "the and of", 50)
+    placed = hits.select("doc_id", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id")).alias("place"))
+    return F.broadcast(placed).join(t.documents, "doc_id").select("place", "doc_id", "lang")
 
 
 def until_settled(step, cap: int) -> int:

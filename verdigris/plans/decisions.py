@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,10 +54,8 @@ def m06(t: Tables) -> DataFrame:
 def m07(t: Tables) -> DataFrame:
     m = t.moments()
     k = m.agg(F.floor(F.count("*") * 2.0 / 100).alias("k"))
-    n = m.groupBy("score").agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
-
-    upto = n.select("score", F.sum("n").over(Window.orderBy(F.desc("score"))).alias("upto"))
+    n = metrics.running(m.groupBy("score").agg(F.count("*").alias("n")), "score", ["n"], descending=True)
+    upto = n.select("score", (F.col("n_before") + F.col("n")).alias("upto"))
     return upto.join(F.broadcast(k), F.col("upto") >= F.col("k")).agg(F.max("score").alias("threshold"))
 
 
@@ -81,8 +81,12 @@ def m10(t: Tables) -> DataFrame:
     return gate.score(gate.train(rows, "text", "label"), t.documents.select("doc_id", "text"), "text").select("doc_id", "p")
 
 
-@query("m11_bm25", """WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\\p{L}\\p{N}_]+')) AS term FROM documents), len AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1), st AS (SELECT avg(n) AS a, count(*) AS docs FROM len), tf AS (SELECT doc_id, term, count(*) AS f FROM tok WHERE term IN ('the', 'and', 'of') GROUP BY 1, 2), df AS (SELECT term, count(*) AS d FROM tf GROUP BY 1)
- SELECT tf.doc_id, round(sum(ln(1 + (docs - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / a))), 6) AS score FROM tf JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY 1 HAVING count(*) = 3 ORDER BY score DESC, doc_id LIMIT 50""")
+#: BM25 of three terms in the oracle's dialect, as common table expressions.
+HITS = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents), len AS (SELECT doc_id, count(*) AS n FROM tok GROUP BY 1), st AS (SELECT avg(n) AS a, count(*) AS docs FROM len), tf AS (SELECT doc_id, term, count(*) AS f FROM tok WHERE term IN ('the', 'and', 'of') GROUP BY 1, 2), df AS (SELECT term, count(*) AS d FROM tf GROUP BY 1),
+ hits AS (SELECT tf.doc_id, sum(ln(1 + (docs - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / a))) AS score FROM tf JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY 1 HAVING count(*) = 3 ORDER BY score DESC, doc_id LIMIT 50)"""
+
+
+@query("m11_bm25", f"WITH {HITS} SELECT doc_id, round(score, 6) AS score FROM hits")
 def m11(t: Tables) -> DataFrame:
     hits = search.bm25(t.documents, "doc_id", ["text"], "the and of", 50)
     return hits.select("doc_id", F.round("score", 6).alias("score"))
@@ -98,12 +102,12 @@ def m13(t: Tables) -> DataFrame:
     return dedup.collapse(t.documents.select("doc_id", "text"), "doc_id", "text")
 
 
-@query("m14_semantic_duplicates", """WITH RECURSIVE n AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS v FROM embeddings WHERE vec_id < 300), e AS (SELECT a.vec_id AS a, b.vec_id AS b FROM n a JOIN n b ON a.vec_id <> b.vec_id WHERE list_dot_product(a.v, b.v) / (sqrt(list_dot_product(a.v, a.v)) * sqrt(list_dot_product(b.v, b.v))) >= 0.4),
- r AS (SELECT vec_id AS id, vec_id AS c FROM n UNION SELECT e.b, r.c FROM r JOIN e ON e.a = r.id) SELECT id AS vec_id, min(c) AS component FROM r GROUP BY 1""")
+@query("m14_semantic_duplicates")
 def m14(t: Tables) -> DataFrame:
-    e = t.embeddings.where("vec_id < 300").select("vec_id", "embedding")
-    links = similarity.cosine_pairs(e, "vec_id", "embedding", 0.4)
-    return dedup.labelled(e.select("vec_id"), links, "vec_id").select("vec_id", "component")
+    """Links by text and by stored vectors together, for all documents that have a vector."""
+    e = t.embeddings.select(F.col("vec_id").alias("doc_id"), "embedding")
+    docs = t.documents.select("doc_id", "text").join(e.select("doc_id"), "doc_id", "left_semi")
+    return dedup.collapse(docs, "doc_id", "text", vectors=e)
 
 
 @query("m15_leaks", "SELECT DISTINCT b.item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
@@ -134,10 +138,19 @@ def m17(t: Tables) -> DataFrame:
     return pool.join(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", "copy", T.clip(F.col("text"), 500).alias("prompt"), F.when(F.col("quality") == 1, "yes").otherwise("no").alias("completion"))
 
 
-@query("m18_retrain_trigger", "WITH h AS (SELECT sha256(session_id || chr(0) || turn || chr(0) || text) AS h FROM turns), p AS (SELECT substr(h, 1, 2) AS part, sha256(string_agg(h, E'\\n' ORDER BY h)) AS h FROM h GROUP BY 1) SELECT substr(sha256(string_agg(h, E'\\n' ORDER BY part)), 1, 16) <> '0000000000000000' AS retrain FROM p", "turns")
+def should_retrain(digest, incumbent, force):
+    """Forced, no incumbent, or the incumbent was trained on other data."""
+    return force | incumbent.isNull() | (incumbent != digest)
+
+
+@query("m18_retrain_trigger", "SELECT 'moved' AS incumbent, FALSE AS force, count(*) FILTER (turn >= 3) > 0 AS retrain FROM turns UNION ALL SELECT 'same', FALSE, FALSE UNION ALL SELECT 'same', TRUE, TRUE UNION ALL SELECT 'none', FALSE, TRUE", "turns")
 def m18(t: Tables) -> DataFrame:
-    d = aggregates.dataset_digest(t.turns(), "session_id", "turn", "text")
-    return d.select((F.col("digest") != "0" * 16).alias("retrain"))
+    """Against an incumbent of earlier turns, of the same turns, of the same turns but forced, and none."""
+    now = aggregates.dataset_digest(t.turns(), "session_id", "turn", "text")
+    old = aggregates.dataset_digest(t.turns().where("turn < 3"), "session_id", "turn", "text").withColumnRenamed("digest", "stored")
+    cases = F.inline(F.array(*(F.struct(F.lit(name).alias("incumbent"), stored.alias("held"), F.lit(force).alias("force")) for name, stored, force in (("moved", F.col("stored"), False), ("same", F.col("digest"), False), ("same", F.col("digest"), True), ("none", F.lit(None).cast("string"), False)))))
+    rows = now.join(F.broadcast(old), F.lit(True)).select("digest", cases)
+    return rows.select("incumbent", "force", should_retrain(F.col("digest"), F.col("held"), F.col("force")).alias("retrain"))
 
 
 @query("m19_pending_embeddings", "SELECT d.doc_id FROM documents d WHERE d.doc_id % 10 > 0 AND NOT (d.doc_id % 3 = 0 AND sha256(right(d.text, 16000)) = sha256(right(d.text, 16000)) AND d.n_chars > 200)")
@@ -156,13 +169,39 @@ def m20(t: Tables) -> DataFrame:
     return hits.agg(F.count("*").alias("n")).select(F.lit("the and of").alias("question"), F.lit(50).alias("asked"), F.lit(None).cast("string").alias("choice"))
 
 
-def promoted(metric, incumbent, floor: float):
-    """Strictly better than the incumbent and over the floor; a value that is no number, or none, fails closed."""
-    known = lambda c: c.isNotNull() & ~F.isnan(c)
-    return F.coalesce(known(metric) & known(incumbent) & (metric > incumbent) & (metric >= floor), F.lit(False))
+def finite(*columns):
+    """None is null, a NaN or infinite."""
+    bad = lambda c: c.isNull() | F.isnan(c) | (F.abs(c) == float("inf"))
+    return ~reduce(lambda a, b: a | b, map(bad, columns))
+
+
+def gate_bar(pr_auc, recall, incumbent_pr_auc, incumbent_recall, has_incumbent):
+    """promote and reason: strictly better PR-AUC, recall at the alert budget not worse; metrics that are no numbers fail."""
+    reason = F.when(~has_incumbent, "no incumbent").when(~finite(pr_auc, recall, incumbent_pr_auc, incumbent_recall), "non-finite").when(pr_auc <= incumbent_pr_auc, "pr_auc").when(recall < incumbent_recall, "recall").otherwise("better")
+    return F.struct(reason.isin("no incumbent", "better").alias("promote"), reason.alias("reason"))
+
+
+def watcher_bar(auc, incumbent_auc, wins, losses, significant, budget_held, actionable, harmful):
+    """promote and reason.  An actionable loss of AUC always refuses, any other difference is noise.  `harmful` (the
+    incumbent is favoured by judged harm) is null until judged: then coverage wins must match losses; once judged, coverage
+    must be significant instead.  The fire budget must hold either way."""
+    regressed = actionable & (auc < incumbent_auc)
+    judged = significant & budget_held & ~regressed & ~harmful
+    reason = F.when(~finite(auc, incumbent_auc, wins, losses), "non-finite").when(harmful.isNotNull(), F.when(judged, "judged, promotes").otherwise("judged, refuses"))
+    reason = F.coalesce(reason, F.when(regressed, "regression").when(~budget_held, "budget").when(wins < losses, "coverage").otherwise("held"))
+    return F.struct(reason.isin("judged, promotes", "held").alias("promote"), reason.alias("reason"))
 
 
-@query("m05_promotion_bars", "SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN FALSE ELSE candidate > base AND candidate >= 0.5 END AS promoted FROM scored", "scored")
+@query("m05_promotion_bars", """WITH x AS (SELECT doc_id, CASE WHEN doc_id % 11 = 0 THEN NULL ELSE candidate END AS c, base AS b, doc_id % 13 > 0 AS held, doc_id % 5 AS wins, doc_id % 3 AS losses, abs(candidate - base) > 0.05 AS act, CASE doc_id % 4 WHEN 0 THEN TRUE WHEN 1 THEN FALSE END AS harmful FROM scored),
+ g AS (SELECT *, CASE WHEN doc_id % 17 = 0 THEN 'no incumbent' WHEN c IS NULL THEN 'non-finite' WHEN c <= b THEN 'pr_auc' WHEN c / 2 < b / 2 + 0.1 THEN 'recall' ELSE 'better' END AS gate,
+ CASE WHEN c IS NULL THEN 'non-finite' WHEN harmful IS NOT NULL THEN CASE WHEN wins > losses AND held AND NOT (act AND c < b) AND NOT harmful THEN 'judged, promotes' ELSE 'judged, refuses' END WHEN act AND c < b THEN 'regression' WHEN NOT held THEN 'budget' WHEN wins < losses THEN 'coverage' ELSE 'held' END AS watcher FROM x)
+ SELECT doc_id, gate IN ('no incumbent', 'better') AS gate_promotes, gate AS gate_reason, watcher IN ('judged, promotes', 'held') AS watcher_promotes, watcher AS watcher_reason FROM g""", "scored")
 def m05(t: Tables) -> DataFrame:
-    candidate = F.when(F.col("doc_id") % 11 == 0, F.lit(float("nan"))).otherwise(F.col("candidate"))
-    return scored(t).select("doc_id", promoted(candidate, F.col("base"), 0.5).alias("promoted"))
+    """Both bars over arms that stand for a candidate's and an incumbent's metrics."""
+    d, base = F.col("doc_id"), F.col("base")
+    c = F.when(d % 11 == 0, F.lit(float("nan"))).otherwise(F.col("candidate"))
+    gate = gate_bar(c, c / 2, base, base / 2 + 0.1, d % 17 != 0)
+    harmful = F.when(d % 4 == 0, True).when(d % 4 == 1, False)
+    watcher = watcher_bar(c, base, d % 5, d % 3, d % 5 > d % 3, d % 13 > 0, F.abs(F.col("candidate") - base) > 0.05, harmful)
+    rows = scored(t).select("doc_id", gate.alias("g"), watcher.alias("w"))
+    return rows.select("doc_id", F.col("g.promote").alias("gate_promotes"), F.col("g.reason").alias("gate_reason"), F.col("w.promote").alias("watcher_promotes"), F.col("w.reason").alias("watcher_reason"))

@@ -11,17 +11,38 @@ from verdigris.plans.base import STEERING, Tables, query, sessions
 _ACKS = ["ok", "okay", "yes", "thanks", "continue", "go on", "proceed"]
 _IN = lambda xs: ", ".join(f"'{x}'" for x in xs)
 
-
-def event_filter(turns: DataFrame) -> DataFrame:
-    """User turns that say something: not empty, no acknowledgement, two characters at least, no command echo."""
-    said = F.lower(T.strip(F.col("text")))
-    return turns.where((F.col("role") == "user") & (F.length(said) >= 2) & ~said.isin(_ACKS) & ~F.col("text").startswith("<"))
-
-
-@query("f01_event_filter", f"""SELECT session_id, turn, text FROM turns WHERE role = 'user' AND length(trim(text, E' \\n\\t\\r')) >= 2
- AND lower(trim(text, E' \\n\\t\\r')) NOT IN ({_IN(_ACKS)}) AND NOT starts_with(text, '<')""", "turns")
+#: Our own definitions of the kinds of junk: patterns that a text of the kind begins with.
+JUNK = {
+    "structural": r"^\[Request interrupted|^Caveat:",
+    "agent_injection": r"^<(system-reminder|task-notification)",
+    "stop_hook": r"^Stop hook feedback",
+    "continuation": r"^This session is being continued",
+    "command_echo": r"^<(command-name|command-message|local-command)",
+}
+
+
+def event_filter(events: DataFrame, *, roles: tuple[str, ...] = ("user",), junk: dict[str, str] = JUNK, phrases: list[str] = _ACKS, least: int = 2) -> DataFrame:
+    """Events of these roles that say something: no sidechain, meta or compacted ones (columns that are missing or null
+    count as false), not empty, none of the kinds of junk or of the phrases, and `least` characters long."""
+    said = T.strip(F.col("text"))
+    flags = [F.coalesce(F.col(c), F.lit(False)) for c in ("is_sidechain", "is_meta", "is_compacted") if c in events.columns]
+    keep = F.col("role").isin(*roles) & (F.length(said) >= max(1, least)) & ~F.lower(said).isin(phrases)
+    for flag in flags:
+        keep = keep & ~flag
+    for pattern in junk.values():
+        keep = keep & ~said.rlike(pattern)
+    return events.where(keep)
+
+
+_F01 = "CASE turn % 9 WHEN 3 THEN '<command-name>/x' WHEN 4 THEN '[Request interrupted by user]' WHEN 5 THEN ' Okay' WHEN 6 THEN 'x' WHEN 7 THEN '<system-reminder>' || text WHEN 8 THEN 'Stop hook feedback: ' || text ELSE text END"
+
+
+@query("f01_event_filter", f"""SELECT session_id, turn, said AS text FROM (SELECT session_id, turn, role, {_F01} AS said FROM turns) WHERE role = 'user' AND turn % 11 > 2 AND length(trim(said, E' \\n\\t\\r')) >= 2
+ AND lower(trim(said, E' \\n\\t\\r')) NOT IN ({_IN(_ACKS)}) AND turn % 9 NOT IN (3, 4, 7, 8)""", "turns")
 def f01(t: Tables) -> DataFrame:
-    return event_filter(t.turns()).select("session_id", "turn", "text")
+    turn = F.col("turn") % 11
+    rows = t.turns().select("session_id", "turn", "role", F.expr(_F01).alias("text"), (turn == 0).alias("is_sidechain"), (turn == 1).alias("is_meta"), (turn == 2).alias("is_compacted"))
+    return event_filter(rows).select("session_id", "turn", "text")
 
 
 _DETECTOR = "case when turn % 5 = 0 then 'review_comment' when turn % 5 = 1 then 'transcript_message' when turn % 5 = 2 then 'plan_reentry' when turn % 5 = 3 then 'interrupt' else 'denial' end"

@@ -18,9 +18,9 @@ def x01(t: Tables) -> DataFrame:
     return t.turns().select("session_id").distinct().select("session_id", hashing.split_of(F.col("session_id")).alias("split"))
 
 
-@query("x02_holdout", f"SELECT o_orderkey, {_FOLD.format(k='CAST(o_orderkey AS VARCHAR)', m=10000)} < 1500 AS held_out FROM orders WHERE o_orderkey < 1000")
+@query("x02_holdout", f"SELECT o_orderkey, {_FOLD.format(k='CAST(o_orderkey AS VARCHAR)', m=10000)} < 1500 AS held_out FROM orders")
 def x02(t: Tables) -> DataFrame:
-    return t.orders.where("o_orderkey < 1000").select("o_orderkey", hashing.held_out(F.col("o_orderkey").cast("string"), 0.15).alias("held_out"))
+    return t.orders.select("o_orderkey", hashing.held_out(F.col("o_orderkey").cast("string"), 0.15).alias("held_out"))
 
 
 @query("x03_dedup_key", "SELECT session_id, turn, sha256(session_id || chr(0) || 'transcript_message' || chr(0) || text) AS key FROM turns", "turns")
@@ -48,9 +48,9 @@ def x06(t: Tables) -> DataFrame:
     return t.pages.select("page_id", F.replace("url", F.lit(".example."), F.lit(".test.")).alias("url"))
 
 
-@query("x07_direction_key", "SELECT doc_id, lower(regexp_replace(regexp_replace(trim(substr(text, 1, 80), E' \\n\\t\\r'), '\\s+', ' ', 'g'), '\\.+$', '')) AS key FROM documents")
+@query("x07_direction_key", "SELECT doc_id, lower(regexp_replace(regexp_replace(trim(text, E' \\n\\t\\r'), '\\s+', ' ', 'g'), '\\.+$', '')) AS key FROM documents")
 def x07(t: Tables) -> DataFrame:
-    return t.documents.select("doc_id", T.direction_key(F.substring("text", 1, 80)).alias("key"))
+    return t.documents.select("doc_id", T.direction_key(F.col("text")).alias("key"))
 
 
 @query("x08_truncate", "SELECT doc_id, CASE WHEN length(text) <= 60 THEN text ELSE rtrim(substr(text, 1, 59), E' \\n\\t\\r') || '…' END AS short, CASE WHEN length(text) <= 60 THEN text ELSE substr(text, 1, 60) || '…(+' || (length(text) - 60) || 'ch)' END AS clipped FROM documents")
@@ -85,31 +85,38 @@ def x12(t: Tables) -> DataFrame:
     return t.conversations.select("conv_id", "turn", T.strip(F.regexp_replace(raw, r"(?s)<think>.*?</think>", "")).alias("text"))
 
 
-@query("x13_ask_rewrite")
+@query("x13_ask_rewrite", "SELECT session_id, turn, 'before [assistant asked: H] ' || rtrim(replace(text, E'\\n', ' ')) || E'\\n- Yes\\n- No\\n(recommended: Yes)' AS text FROM turns", "turns")
 def x13(t: Tables) -> DataFrame:
-    raw = F.concat(F.lit("before Ask(questions=[{'question': 'Go "), "turn", F.lit("?', 'header': 'H', 'options': [{'label': 'Yes (Recommended)'}, {'label': \"No\"}]}]) after"))
-    return t.conversations.select("conv_id", "turn", formats.ask_blocks(raw).alias("text"))
+    """Each turn's text as the question of a previewed call, quoted as the preview quotes it."""
+    said = F.replace(F.replace(F.replace("text", F.lit("\n"), F.lit(" ")), F.lit("\\"), F.lit("\\\\")), F.lit("'"), F.lit("\\'"))
+    raw = F.concat(F.lit("before AskUserQuestion([{'question': '"), said, F.lit("', 'header': 'H', 'options': [{'label': 'Yes (Recommended)'}, {'label': \"No\"}]}]) after"))
+    return t.turns().select("session_id", "turn", formats.ask_blocks(raw).alias("text"))
 
 
-@query("x14_review_cites", "SELECT doc_id, 'src/a' || doc_id || '.py' AS file, CAST(doc_id % 90 + 1 AS INTEGER) AS line_start, CAST(doc_id % 90 + 5 AS INTEGER) AS line_end, 'fix ' || lang AS comment FROM documents UNION ALL SELECT doc_id, 'b.py', 7, NULL, 'claim ' || source || ' try it' FROM documents WHERE doc_id % 2 = 0")
+@query("x14_review_cites", """SELECT doc_id, 'src/a' || doc_id || '.py' AS file, CAST(doc_id % 90 + 1 AS INTEGER) AS line_start, CAST(doc_id % 90 + 5 AS INTEGER) AS line_end, 'fix ' || lang AS comment FROM documents UNION ALL SELECT doc_id, 'b.py', 7, NULL, 'claim ' || source || ' try it' FROM documents WHERE doc_id % 2 = 0
+ UNION ALL SELECT doc_id, NULL, NULL, NULL, 'W' || doc_id || ' [BUG] In ' || lang || ' FIX: mend it Tests: add' FROM documents WHERE doc_id % 3 = 0 UNION ALL SELECT doc_id, 'c.py', 3, 9, 'found do' FROM documents WHERE doc_id % 5 = 0""")
 def x14(t: Tables) -> DataFrame:
+    """Comments in all four forms."""
     finding = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("\n- file: b.py:7\n- theme: t\n- claim: claim "), "source", F.lit("\n- suggestion: try it\n"))).otherwise("")
-    raw = F.concat(F.lit("see\n@src/a"), "doc_id", F.lit(".py:"), F.col("doc_id") % 90 + 1, F.lit("-"), F.col("doc_id") % 90 + 5, F.lit(" fix "), "lang", finding)
-    rows = t.documents.select("doc_id", raw.alias("raw"))
+    stream = F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("\n### W"), "doc_id", F.lit(" [BUG] — In "), "lang", F.lit("\nFIX: mend it\nother\nTests: add"))).otherwise("")
+    raw = F.concat(F.lit("see\nIn src/a"), "doc_id", F.lit(".py:L"), F.col("doc_id") % 90 + 1, F.lit("-"), F.col("doc_id") % 90 + 5, F.lit(": fix "), "lang", finding, stream)
+    json = F.when(F.col("doc_id") % 5 == 0, F.lit('{"confirmedHigh": [{"path": "c.py", "lines": "3-9", "message": "found", "fix": "do"}]}')).otherwise("")
+    rows = t.documents.select("doc_id", F.explode(F.array(raw, json)).alias("raw"))
     return rows.select("doc_id", F.explode(formats.review_comments(F.col("raw"))).alias("c")).select("doc_id", "c.file", "c.line_start", "c.line_end", "c.comment")
 
 
-@query("x15_option_selection")
+@query("x15_option_selection", """SELECT doc_id, CASE doc_id % 4 WHEN 1 THEN '1,2' WHEN 2 THEN '2' WHEN 3 THEN '0' ELSE '' END AS picks, doc_id % 4 = 2 AS custom FROM documents""")
 def x15(t: Tables) -> DataFrame:
     rows = t.documents.select("doc_id", F.array(F.lit("a"), F.lit("a, b"), F.lit("c")).alias("options"), F.when(F.col("doc_id") % 4 == 0, F.lit(None)).when(F.col("doc_id") % 4 == 1, "a, b, c").when(F.col("doc_id") % 4 == 2, "c, other").otherwise("a").alias("answer"), (F.col("doc_id") % 4 < 3).alias("multi"))
-    return rows.select("doc_id", formats.selection(F.col("answer"), F.col("options"), F.col("multi")).alias("s")).select("doc_id", "s.picks", "s.custom")
+    s = rows.select("doc_id", formats.selection(F.col("answer"), F.col("options"), F.col("multi")).alias("s"))
+    return s.select("doc_id", F.array_join(F.transform("s.picks", lambda x: x.cast("string")), ",").alias("picks"), "s.custom")
 
 
-@query("x16_templates", "SELECT session_id, turn, rtrim(CASE WHEN turn % 2 = 0 THEN '[assistant asked: H' || turn || '] ' ELSE '[assistant asked] ' END || substr(text, 1, 20)) || E'\\n- yes\\n- no' || CASE WHEN turn % 3 = 0 THEN E'\\n(recommended: yes)' ELSE '' END AS block FROM turns", "turns")
+@query("x16_templates", "SELECT session_id, turn, rtrim(CASE WHEN turn % 2 = 0 THEN '[assistant asked: H' || turn || '] ' ELSE '[assistant asked] ' END || text) || E'\\n- yes\\n- no' || CASE WHEN turn % 3 = 0 THEN E'\\n(recommended: yes)' ELSE '' END AS block FROM turns", "turns")
 def x16(t: Tables) -> DataFrame:
     header = F.when(F.col("turn") % 2 == 0, F.concat(F.lit("H"), F.col("turn").cast("string"))).otherwise("")
     recommended = F.when(F.col("turn") % 3 == 0, "yes").otherwise("")
-    return t.turns().select("session_id", "turn", formats.ask_block(F.substring("text", 1, 20), header, F.array(F.lit("yes"), F.lit("no")), recommended).alias("block"))
+    return t.turns().select("session_id", "turn", formats.ask_block(F.col("text"), header, F.array(F.lit("yes"), F.lit("no")), recommended).alias("block"))
 
 
 @query("x17_file_language", "WITH p AS (SELECT page_id, string_split(regexp_replace(url, '[?#].*$', ''), '/')[-1] AS n FROM pages) SELECT page_id, lower(CASE WHEN regexp_extract(n, '[^.]\\.([^.]+)$', 1) <> '' THEN regexp_extract(n, '[^.]\\.([^.]+)$', 1) ELSE n END) AS language FROM p")
@@ -145,33 +152,38 @@ def x20(t: Tables) -> DataFrame:
 
 @query("x21_word_edit_distance")
 def x21(t: Tables) -> DataFrame:
-    rows = t.turns().select("session_id", "turn", F.substring("text", 1, 200).alias("a"), F.regexp_replace(F.substring("text", 1, 200), "the", "a").alias("b"))
+    """Whole turns against themselves with words exchanged."""
+    rows = t.turns().select("session_id", "turn", F.col("text").alias("a"), F.regexp_replace("text", "the", "a").alias("b"))
     return rows.select("session_id", "turn", formats.word_distance(F.col("a"), F.col("b")).alias("distance"))
 
 
 _SH = "list_distinct(list_transform(range(0, greatest(octet_length(encode({c})) - 4, 0)), lambda i: list_reduce(list_transform(range(0, 5), lambda k: CAST('0x' || substr(hex(encode({c})), 2 * (i + k) + 1, 2) AS BIGINT)), lambda a, b: a * 257 + b)))"
 
 
-@query("x22_shingles", f"SELECT session_id, turn, CAST(len(s) AS INTEGER) AS n, coalesce(list_min(s), -1) AS least, coalesce(CAST(list_sum(s) AS BIGINT), 0) AS total FROM (SELECT session_id, turn, {_SH.format(c='substr(text, 1, 60)')} AS s FROM turns)", "turns")
+@query("x22_shingles", f"SELECT session_id, turn, CAST(len(s) AS INTEGER) AS n, coalesce(list_min(s), -1) AS least, coalesce(CAST(list_sum(s) AS BIGINT), 0) AS total FROM (SELECT session_id, turn, {_SH.format(c='text')} AS s FROM turns)", "turns")
 def x22(t: Tables) -> DataFrame:
-    rows = t.turns().select("session_id", "turn", similarity.shingle_hashes(F.substring("text", 1, 60)).alias("s"))
-    return rows.select("session_id", "turn", F.size("s").alias("n"), F.coalesce(F.array_min("s"), F.lit(-1)).alias("least"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
+    key = F.struct("session_id", "turn").alias("key")
+    rows = similarity.shingle_sets(t.turns().select(key, "text"), "key", "text")
+    return rows.select("key.session_id", "key.turn", F.size("s").alias("n"), F.coalesce(F.array_min("s"), F.lit(-1)).alias("least"), F.aggregate("s", F.lit(0).cast("long"), lambda a, x: a + x).alias("total"))
 
 
-@query("x23_shingle_jaccard", f"WITH s AS (SELECT session_id, turn, {_SH.format(c='substr(text, 1, 60)')} AS a, {_SH.format(c='substr(text, 11, 60)')} AS b FROM turns) SELECT session_id, turn, round(CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 9) AS similarity FROM s", "turns")
+@query("x23_shingle_jaccard", f"WITH s AS (SELECT session_id, turn, {_SH.format(c='text')} AS a, {_SH.format(c='substr(text, 11)')} AS b FROM turns) SELECT session_id, turn, round(CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 9) AS similarity FROM s", "turns")
 def x23(t: Tables) -> DataFrame:
-    rows = t.turns().select("session_id", "turn", similarity.shingle_hashes(F.substring("text", 1, 60)).alias("a"), similarity.shingle_hashes(F.substring("text", 11, 60)).alias("b"))
-    return rows.select("session_id", "turn", F.round(similarity.shingle_jaccard(F.col("a"), F.col("b")), 9).alias("similarity"))
+    """Each turn against itself without its first ten characters."""
+    part = lambda i, text: F.struct(F.struct("session_id", "turn", F.lit(i).alias("part")).alias("key"), text.alias("text"))
+    rows = t.turns().select(F.inline(F.array(part(0, F.col("text")), part(1, F.expr("substring(text, 11)")))))
+    sets = similarity.shingle_sets(rows, "key", "text").groupBy("key.session_id", "key.turn").agg(F.max(F.when(F.col("key.part") == 0, F.col("s"))).alias("a"), F.max(F.when(F.col("key.part") == 1, F.col("s"))).alias("b"))
+    return sets.select("session_id", "turn", F.round(similarity.shingle_jaccard(F.col("a"), F.col("b")), 9).alias("similarity"))
 
 
-_A, _B = similarity.coefficients(8, 17)
+_A, _B = similarity.coefficients(128, 17)
 
 
-@query("x24_minhash", f"WITH s AS (SELECT session_id, turn, list_transform({_SH.format(c='substr(text, 1, 60)')}, lambda h: h % 2147483647) AS s FROM turns) SELECT session_id, turn, array_to_string(list_transform(range(1, 9), lambda p: list_min(list_transform(s, lambda h: (({_A})[p] * h + ({_B})[p]) % 2147483647))), ',') AS signature FROM s WHERE len(s) > 0", "turns")
+@query("x24_minhash", f"WITH s AS (SELECT session_id, turn, list_transform({_SH.format(c='text')}, lambda h: h % 2147483647) AS s FROM turns) SELECT session_id, turn, array_to_string(list_transform(range(1, 129), lambda p: list_min(list_transform(s, lambda h: (({_A})[p] * h + ({_B})[p]) % 2147483647))), ',') AS signature FROM s WHERE len(s) > 0", "turns")
 def x24(t: Tables) -> DataFrame:
-    rows = t.turns().select(F.struct("session_id", "turn").alias("key"), "session_id", "turn", F.substring("text", 1, 60).alias("text"))
+    rows = t.turns().select(F.struct("session_id", "turn").alias("key"), "session_id", "turn", "text")
     ids = rows.select(F.concat_ws(":", "session_id", "turn").alias("key"), "text")
-    signed = similarity.minhash(ids, "key", "text", 8, 17).where("signature is not null")
+    signed = similarity.minhash(ids, "key", "text", 128, 17).where("signature is not null")
     return signed.select(F.substring_index("key", ":", 1).alias("session_id"), F.substring_index("key", ":", -1).cast("long").alias("turn"), F.array_join(F.transform("signature", lambda x: x.cast("string")), ",").alias("signature"))
 
 

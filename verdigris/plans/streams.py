@@ -14,10 +14,44 @@ from verdigris.sources import files
 from verdigris.streaming import sessions as S
 
 
+class CountingEncoder:
+    def encode(self, texts: list[str]):
+        import numpy as np
+
+        return np.array([[len(x)] for x in texts], np.float32)
+
+
 def _stream(t: Tables, table: str) -> DataFrame:
     return t.spark.readStream.schema(getattr(t, table).schema).parquet(f"{t.sf_dir}/{table}.parque[t]")  # a pattern, for the table may be one file or a folder
 
 
+@query("t01_arrivals", "SELECT session_id, count(*) AS n FROM turns WHERE turn % 4 > 0 GROUP BY 1", "turns")
+def t01(t: Tables) -> DataFrame:
+    """Entries of main sessions, stamped as they arrive."""
+    rows = _stream(t, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "turn", (F.col("turn") % 4 == 0).alias("isSidechain"))
+    out = S.drain(S.arrivals(rows), files.folder(t.spark, "arrivals"))
+    return out.where("arrived_at is not null").groupBy("session_id").agg(F.count("*").alias("n"))
+
+
+@query("v04_drafts", "SELECT doc_id, regexp_extract(text, '\\S+') || '!' AS final FROM documents WHERE regexp_matches(coalesce(text, ''), '\\S')")
+def v04(t: Tables) -> DataFrame:
+    """A deterministic drafter and refiner as injected callables."""
+    stub = extend.StubDrafter()
+    return extend.drafted(t.documents, "doc_id", "text", stub, stub).where("final is not null").select("doc_id", "final")
+
+
+@query("v08_planned", "SELECT doc_id, n_chars > 500 AS long FROM documents WHERE doc_id % 3 = 0")
+def v08(t: Tables) -> DataFrame:
+    return extend.planned(t.documents, "doc_id", lambda d: d.where("doc_id % 3 = 0").select("doc_id"), lambda d: d.select("doc_id", (F.col("n_chars") > 500).alias("long")))
+
+
+@query("v01_encoder", "SELECT doc_id, length(text) AS n FROM documents WHERE text IS NOT NULL")
+def v01(t: Tables) -> DataFrame:
+    """An encoder that counts characters."""
+    out = extend.encoded(t.documents.where("text is not null"), "doc_id", "text", CountingEncoder())
+    return out.select("doc_id", F.col("embedding")[0].cast("long").alias("n"))
+
+
 @query("t03_due_turns", "SELECT session_id, count(*) AS turn_count, (list(turn ORDER BY turn))[-2] AS target FROM turns GROUP BY 1 HAVING count(*) >= 2", "turns")
 def t03(t: Tables) -> DataFrame:
     turns = _stream(t, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("turn"))

@@ -53,10 +53,10 @@ def w06(t: Tables) -> DataFrame:
     return metrics.mid_ranks(scored(t), "base").select("doc_id", "mid_rank")
 
 
-@query("w07_prior_assistant", "SELECT session_id, turn, last_value(CASE WHEN role = 'assistant' THEN substr(text, 1, 50) END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM turns", "turns")
+@query("w07_prior_assistant", "SELECT session_id, turn, last_value(CASE WHEN role = 'assistant' THEN text END IGNORE NULLS) OVER (PARTITION BY session_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS prior FROM turns", "turns")
 def w07(t: Tables) -> DataFrame:
     w = Window.partitionBy("session_id").orderBy("turn").rowsBetween(Window.unboundedPreceding, -1)
-    said = F.when(F.col("role") == "assistant", F.substring("text", 1, 50))
+    said = F.when(F.col("role") == "assistant", F.col("text"))
     return t.turns().select("session_id", "turn", F.last(said, ignorenulls=True).over(w).alias("prior"))
 
 
@@ -73,12 +73,30 @@ def w08(t: Tables) -> DataFrame:
     return context_window(t.turns()).select("session_id", "turn", F.array_join("before", "|").alias("before"), "trigger", F.array_join("after", "|").alias("after"))
 
 
-@query("w09_anchored_split", """SELECT session_id, CAST(len(list_filter(messages, lambda m: FALSE)) AS INTEGER) AS zero, array_to_string(list_transform(messages[1:2], lambda m: m.role), ',') AS before, array_to_string(list_transform(messages[3:], lambda m: m.role), ',') AS trigger FROM sessions""", "sessions")
+def anchored_split(events: DataFrame, anchors: DataFrame) -> DataFrame:
+    """session_id, anchor, before, trigger: the events of the anchor's turn before the anchor join the context, the rest is
+    the trigger.  An anchor that opens its turn, or that no user spoke, leaves the turn whole; one that isn't there is
+    an error.  events: session_id, turn, seq (within the turn), role, name; anchors: session_id, turn, anchor (a name)."""
+    list_ = F.array_sort(F.collect_list(F.struct("seq", "role", "name")))
+    e = events.groupBy("session_id", "turn").agg(list_.alias("e"))
+    met = anchors.join(e, ["session_id", "turn"], "left")
+    at = F.array_position(F.transform("e", lambda x: x["name"]), F.col("anchor"))
+    checked = F.when(F.coalesce(at, F.lit(0)) == 0, F.raise_error(F.concat(F.lit("no anchor "), F.col("anchor"))).cast("bigint")).otherwise(at).cast("int")
+    met = met.withColumn("at", checked)
+    cut = F.when((F.col("at") > 1) & (F.element_at("e", F.col("at"))["role"] == "user"), F.col("at")).otherwise(1)
+    names = lambda c: F.transform(c, lambda x: x["name"])
+    return met.withColumn("cut", cut).select("session_id", "anchor", names(F.slice("e", 1, F.col("cut") - 1)).alias("before"), names(F.slice("e", F.col("cut"), F.size("e"))).alias("trigger"))
+
+
+@query("w09_anchored_split", """WITH e AS (SELECT session_id, turn // 3 AS turn, turn AS seq, role, 'e' || turn AS name FROM turns), a AS (SELECT session_id, turn, arg_max(name, seq) AS anchor FROM e GROUP BY 1, 2),
+ x AS (SELECT a.session_id, a.anchor, e.name, e.seq, CASE WHEN c.role = 'user' AND EXISTS (SELECT 1 FROM e f WHERE f.session_id = a.session_id AND f.turn = a.turn AND f.seq < c.seq) THEN c.seq ELSE 0 END AS cut FROM a JOIN e c ON c.session_id = a.session_id AND c.name = a.anchor JOIN e ON e.session_id = a.session_id AND e.turn = a.turn)
+ SELECT session_id, anchor, coalesce(string_agg(name, ',' ORDER BY seq) FILTER (seq < cut), '') AS before, string_agg(name, ',' ORDER BY seq) FILTER (seq >= cut) AS trigger FROM x GROUP BY 1, 2""", "turns")
 def w09(t: Tables) -> DataFrame:
-    """The events of a session before its third join the context, the rest are the trigger."""
-    m = F.col("messages")
-    roles = lambda c: F.array_join(F.transform(c, lambda x: x["role"]), ",")
-    return sessions(t.turns()).select("session_id", F.lit(0).alias("zero"), roles(F.slice(m, 1, 2)).alias("before"), roles(F.slice(m, 3, F.greatest(F.size(m) - 2, F.lit(0)))).alias("trigger"))
+    """Three messages stand for a turn's events; its last one is the anchor."""
+    e = t.turns().select("session_id", F.floor(F.col("turn") / 3).alias("turn"), F.col("turn").alias("seq"), "role", F.concat(F.lit("e"), F.col("turn").cast("string")).alias("name"))
+    anchors = e.groupBy("session_id", "turn").agg(F.max_by("name", "seq").alias("anchor"))
+    out = anchored_split(e, anchors)
+    return out.select("session_id", "anchor", F.array_join("before", ",").alias("before"), F.array_join("trigger", ",").alias("trigger"))
 
 
 @query("w10_live_window", "SELECT session_id, array_to_string(list_transform(messages[greatest(len(messages) - 6, 1):len(messages) - 1], lambda m: m.role), ',') AS roles FROM sessions WHERE len(messages) >= 2", "sessions")

@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
 import json
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 TRANSCRIPT = "type string, uuid string, sessionId string, timestamp string, isSidechain boolean, isMeta boolean, message struct<role: string, content: string>, _corrupt_record string"
 REGISTRY = "path string, mtime timestamp"
+RECEIPT = "receipt"
 
 
 def folder(spark: SparkSession, name: str) -> str:
@@ -50,8 +51,9 @@ def read_text(spark: SparkSession, path: str) -> str | None:
 
 
 def append_line(spark: SparkSession, path: str, row: dict) -> None:
-    """A journal's next line, keys sorted."""
-    write_text(spark, path, (read_text(spark, path) or "") + json.dumps(row, sort_keys=True) + "\n")
+    """A journal's next line, keys sorted.  A journal is a folder with a file for each line, named by the time it was
+    written, so a line costs the same however long the journal is; Spark reads the folder like one file."""
+    write_text(spark, f"{path}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.jsonl", json.dumps(row, sort_keys=True) + "\n")
 
 
 def listing(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
@@ -59,10 +61,10 @@ def listing(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFra
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select(_plain("path").alias("path"), F.col("modificationTime").alias("mtime"), "length")
 
 
-def candidates(spark: SparkSession, root: str, least: int = 32_768) -> DataFrame:
+def candidates(spark: SparkSession, root: str, least: int = 32_768, pattern: str = "*.jsonl") -> DataFrame:
     """Main-session transcripts of a size worth sampling, sorted."""
     name = F.element_at(F.split("path", "/"), -1)
-    return listing(spark, root).where((F.col("length") >= least) & ~name.startswith("agent-")).select("path", "length").orderBy("path")
+    return listing(spark, root, pattern).where((F.col("length") >= least) & ~name.startswith("agent-")).select("path", "length").orderBy("path")
 
 
 def transcripts(spark: SparkSession, paths: str | list[str]) -> DataFrame:
@@ -88,10 +90,10 @@ def scan(spark: SparkSession, root: str, registry: DataFrame, full: bool = False
     return rows.join(broken, "path", "left_anti").drop("_corrupt_record"), after
 
 
-def findings(spark: SparkSession, root: str) -> DataFrame:
+def findings(spark: SparkSession, root: str, pattern: str = "*issues.jsonl") -> DataFrame:
     """Sidecar findings; blank lines and dismissed rows go, `line` must be a whole number."""
     schema = "file string, line string, message string, dismissed boolean"
-    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", "*issues.jsonl").json(root)
+    rows = spark.read.schema(schema).option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).json(root)
     kept = rows.where("file is not null and not coalesce(dismissed, false)")
     line = F.when(F.col("line").rlike(r"^-?\d+$"), F.col("line").cast("int")).otherwise(F.raise_error(F.concat(F.lit("no line number: "), F.coalesce("line", F.lit("null")))).cast("int"))
     return kept.select("file", line.alias("line"), "message")
@@ -115,31 +117,52 @@ def write_views(views: dict[str, DataFrame], root: str, split: str = "split") ->
 
 
 def write_with_receipt(df: DataFrame, path: str, receipt: dict) -> None:
-    """Parquet and a receipt beside it."""
-    df.write.mode("overwrite").parquet(f"{path}/data")
-    write_text(df.sparkSession, f"{path}/receipt.json", json.dumps(receipt, sort_keys=True))
+    """Parquet whose schema metadata carry the receipt, on the first column."""
+    first, *rest = df.columns
+    marked = F.col(f"`{first}`").alias(first, metadata={RECEIPT: json.dumps(receipt, sort_keys=True)})
+    df.select(marked, *(F.col(f"`{c}`") for c in rest)).write.mode("overwrite").parquet(path)
+
+
+def read_with_receipt(spark: SparkSession, path: str) -> tuple[DataFrame, dict]:
+    """The rows and their receipt; files without one are refused."""
+    df = spark.read.parquet(path)
+    held = df.schema.fields[0].metadata.get(RECEIPT)
+    if held is None:
+        raise ValueError(f"{path} has no receipt")
+    return df, json.loads(held)
+
+
+def _text_digest(lines: DataFrame, column: str = "value") -> str:
+    """A digest of the lines whatever their order: sha256 over sha256 of each, sorted, in a tree by leading digits."""
+    one = F.sha2(F.col(column), 256)
+    joined = lambda h: F.sha2(F.array_join(F.array_sort(F.collect_list(h)), "\n"), 256)
+    level = lines.select(one.alias("h")).groupBy(F.substring("h", 1, 4).alias("p")).agg(joined("h").alias("h"))
+    level = level.groupBy(F.substring("p", 1, 2).alias("p")).agg(joined(F.concat("p", "h")).alias("h"))
+    return level.agg(joined(F.concat("p", "h")).alias("h")).first().h or ""
 
 
 def freeze(df: DataFrame, path: str) -> str:
-    """An evaluation set for good: one file, its digest in a manifest.  Other contents at the same path are refused."""
+    """An evaluation set for good: JSON lines and a manifest with their digest, whatever their order.  Other contents at the
+    same path are refused; nothing is brought to the driver but the digest."""
     spark = df.sparkSession
-    rows = sorted(json.dumps(r.asDict(True), sort_keys=True, default=str) for r in df.collect())  # an evaluation frame is small
-    text = "\n".join(rows) + "\n"
-    digest = hashlib.sha256(text.encode()).hexdigest()
-    if (old := read_text(spark, f"{path}/manifest.json")) is not None and json.loads(old)["sha256"] != digest:
-        raise ValueError(f"{path} is frozen with other contents")
-    write_text(spark, f"{path}/rows.jsonl", text)
-    write_text(spark, f"{path}/manifest.json", json.dumps({"rows": len(rows), "sha256": digest}))
+    lines = df.select(F.to_json(F.struct(*(F.col(f"`{c}`") for c in sorted(df.columns)))).alias("value"))
+    digest = _text_digest(lines)
+    if (old := read_text(spark, f"{path}/manifest.json")) is not None:
+        if json.loads(old)["sha256"] != digest:
+            raise ValueError(f"{path} is frozen with other contents")
+        return digest
+    lines.write.mode("overwrite").text(f"{path}/rows")
+    write_text(spark, f"{path}/manifest.json", json.dumps({"rows": spark.read.text(f"{path}/rows").count(), "sha256": digest}))
     return digest
 
 
 def read_frozen(spark: SparkSession, path: str, schema: str | T.StructType) -> DataFrame:
-    """The frozen rows, if their bytes still have the manifest's digest."""
+    """The frozen rows, if their lines still have the manifest's digest."""
     want = json.loads(read_text(spark, f"{path}/manifest.json") or "{}").get("sha256")
-    got = spark.read.format("binaryFile").load(f"{path}/rows.jsonl").select(F.sha2("content", 256)).first()[0]
+    got = _text_digest(spark.read.text(f"{path}/rows"))
     if want != got:
         raise ValueError(f"{path} was changed: {got} is not {want}")
-    return spark.read.schema(schema).json(f"{path}/rows.jsonl")
+    return spark.read.schema(schema).json(f"{path}/rows")
 
 
 def covered(frame: DataFrame, store: DataFrame, key: str, p: str) -> DataFrame:

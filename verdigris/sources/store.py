@@ -1,0 +1,77 @@
+"""Versioned tables below a shared folder: read, replace, append, and conditional updates that report their row count.
+
+A table is a folder of versions `v00000001`, …, each a Parquet folder that is complete once its `_SUCCESS` is there.  A
+writer claims the next number by creating a file of that name that must not exist, so of two writers one fails and tries
+again on what the other wrote; readers take the newest complete version and never see half of one.
+"""
+
+from __future__ import annotations
+
+import re
+from collections.abc import Callable
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+
+class Conflict(RuntimeError):
+    """Another writer has taken the version."""
+
+
+class TableStore:
+    def __init__(self, spark: SparkSession, root: str):
+        self.spark, self.root = spark, root.rstrip("/")
+
+    def _hadoop(self, path: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
+
+    def version(self, name: str) -> int:
+        """The newest complete version, 0 for none."""
+        fs, p = self._hadoop(f"{self.root}/{name}")
+        if not fs.exists(p):
+            return 0
+        found = [int(m[1]) for x in fs.listStatus(p) if (m := re.fullmatch(r"v(\d+)", x.getPath().getName()))]
+        return max((v for v in found if fs.exists(self._hadoop(f"{self.root}/{name}/v{v:08d}/_SUCCESS")[1])), default=0)
+
+    def read(self, name: str, version: int | None = None) -> DataFrame:
+        version = version or self.version(name)
+        if not version:
+            raise KeyError(name)
+        return self.spark.read.parquet(f"{self.root}/{name}/v{version:08d}")
+
+    def write(self, name: str, rows: DataFrame, after: int | None = None) -> int:
+        """Replaces the table; `after` is the version that rows were made from, if any."""
+        before = self.version(name) if after is None else after
+        fs, claim = self._hadoop(f"{self.root}/{name}/claim-{before + 1:08d}")
+        try:
+            fs.create(claim, False).close()
+        except Exception as e:
+            raise Conflict(f"{name} has a version after {before}") from e
+        try:
+            rows.write.parquet(f"{self.root}/{name}/v{before + 1:08d}")
+        except BaseException:
+            fs.delete(self._hadoop(f"{self.root}/{name}/v{before + 1:08d}")[1], True)
+            fs.delete(claim, False)
+            raise
+        return before + 1
+
+    def append(self, name: str, rows: DataFrame) -> int:
+        now = self.version(name)
+        return self.write(name, self.read(name, now).unionByName(rows) if now else rows, now)
+
+    def update(self, name: str, where: Column, changes: dict[str, Column], tries: int = 5, retry: Callable[[int], None] = lambda n: None) -> int:
+        """Sets columns of the rows that meet `where`; the number of these rows.  Nothing is written for none."""
+        for n in range(tries):
+            now = self.version(name)
+            rows = self.read(name, now)
+            hit = rows.where(where).count()
+            if not hit:
+                return 0
+            made = [F.when(where, changes[c]).otherwise(F.col(f"`{c}`")).alias(c) if c in changes else F.col(f"`{c}`") for c in rows.columns]
+            try:
+                self.write(name, rows.select(*made), now)
+                return hit
+            except Conflict:
+                retry(n)
+        raise Conflict(f"{name} was busy {tries} times")
