@@ -54,3 +54,13 @@ def test_bands_hold_the_promised_probability():
         run[at : at + len(own)] = own
         missed += (0, 1) not in bank.scan([run])
     assert missed <= 12
+
+
+def test_repeated_rows_and_the_query(spark, tmp_path):
+    from verdigris.llm.queries import op6_license_scan
+
+    text = "intro words " + dict(licenses.TEMPLATES)["MIT-whole"] + " and what follows"
+    rows = [("a", text), ("a", text), ("b", "nothing"), (None, "Released under the MIT License")]
+    spark.createDataFrame(rows, "doc_id string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = [(r.doc_id, r.license) for r in op6_license_scan(spark, str(tmp_path)).collect()]
+    assert sorted(got, key=str) == sorted([("a", "MIT-text"), ("a", "MIT-text"), ("a", "MIT-whole"), ("a", "MIT-whole"), (None, "MIT")], key=str)

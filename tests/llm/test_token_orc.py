@@ -1,8 +1,10 @@
 import zlib
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from verdigris.llm import token_orc
 from verdigris.llm.common import new_path
@@ -45,3 +47,34 @@ def test_empty_table(spark):
     path = new_path(spark, "t")
     token_orc.write_tokens(spark.createDataFrame([], "doc_id long, text string"), path)
     assert token_orc.digests(spark, path).collect() == []
+
+
+def test_stripes_and_pruning(spark):
+    """Small stripes make several to a file; a lookup reads few of the rows, by row indexes and Bloom filters."""
+    from pyarrow import orc
+
+    docs = spark.range(0, 60_000, 3).select("id", F.concat_ws(" ", *(F.xxhash64("id", F.lit(i)).cast("string") for i in range(6))).alias("text")).withColumnRenamed("id", "doc_id").coalesce(2)
+    path = new_path(spark, "t")
+    before = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        token_orc.write_tokens(docs, path, stripe_mb=1, row_index_stride=1000)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", before)
+    parts = [p for p in Path(path.removeprefix("file:")).iterdir() if p.suffix == ".orc"]
+    files = [orc.ORCFile(str(p)) for p in parts]
+    assert sum(f.nrows for f in files) == 20_000 and max(f.nstripes for f in files) > 1
+    ids = [i for f in sorted(files, key=lambda f: f.read(columns=["doc_id"])["doc_id"][0].as_py()) for i in f.read(columns=["doc_id"])["doc_id"].to_pylist()]
+    assert ids == sorted(ids) == list(range(0, 60_000, 3))
+    by_stripe = [f.read_stripe(i, columns=["doc_id"]) for f in files for i in range(f.nstripes)]
+    assert sum(len(s) for s in by_stripe) == 20_000
+
+    def scanned(wanted):
+        found = token_orc.lookup(spark, path, wanted)
+        assert sorted(r.doc_id for r in found.collect()) == [i for i in wanted if i % 3 == 0]
+        leaf = found._jdf.queryExecution().executedPlan().collectLeaves().head()
+        return leaf.metrics().get("numOutputRows").get().value()
+
+    assert 0 < scanned([30_000]) <= 2000
+    # between two stored ids, so statistics can't tell: only the Bloom filter can
+    assert scanned([30_001]) == 0
