@@ -2,6 +2,7 @@
 
 import math
 import random
+import re
 
 import numpy as np
 import pandas as pd
@@ -407,3 +408,22 @@ def test_drafters_and_planners(spark):
     assert extend.planned(df, "id", lambda d: d.where("id > 1").select("id"), lambda d: d.withColumn("k", F.lit(1))).count() == 2
     with pytest.raises(ValueError):
         extend.planned(df, "id", lambda d: d.select("text"), lambda d: d)
+
+
+def test_word_distance(spark):
+    rng = random.Random(12)
+    text = lambda: " ".join(rng.choice(["a", "b", "c,", "d.", "é"]) for _ in range(rng.randint(0, 90)))
+    rows = [(i, text(), text()) for i in range(60)] + [(90, None, "a b"), (91, "", ""), (92, "same, words", "same, words")]
+
+    def plain(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    tokens = lambda t: re.findall(r"\w+|[^\w\s]", t or "")
+    want = {i: plain(tokens(a), tokens(b)) / max(len(tokens(a)), len(tokens(b)), 1) for i, a, b in rows}
+    df = spark.createDataFrame(rows, "id long, a string, b string")
+    assert {r.id: r.d for r in df.select("id", formats.word_distance(F.col("a"), F.col("b")).alias("d")).collect()} == want

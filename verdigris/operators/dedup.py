@@ -42,9 +42,9 @@ def labelled(nodes: DataFrame, links: DataFrame, key: str, most: int = 60) -> Da
 def similar_sets(docs: DataFrame, pairs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """Those of the pairs (a, b) whose byte 5-grams have that Jaccard similarity."""
     needed = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
-    sets = shared(similarity.shingle_sets(docs.join(needed, key, "left_semi"), key, text), "sets")
+    sets = shared(similarity.shingle_bytes(docs.join(needed, key, "left_semi"), key, text), "sets")
     rows = pairs.join(sets.select(F.col(key).alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col(key).alias("b"), F.col("s").alias("y")), "b")
-    return shared(rows.where(similarity.shingle_jaccard(F.col("x"), F.col("y")) >= threshold).select("a", "b"), "links")
+    return shared(similarity.jaccard_at_least(rows, threshold), "links")
 
 
 def lexical_links(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:

@@ -93,6 +93,39 @@ def shingle_sets(df: DataFrame, key: str, text: str) -> DataFrame:
     return df.select(key, text).mapInArrow(run, f"{key} {kind}, s array<long>")
 
 
+def shingle_bytes(df: DataFrame, key: str, text: str) -> DataFrame:
+    """The same with s as sorted 64-bit integers in one binary."""
+    import pyarrow as pa
+
+    kind = df.schema[key].dataType.simpleString()
+
+    def run(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([byte_shingles(t).tobytes() for t in b.column(1).to_pylist()], pa.binary())], names=[key, "s"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, s binary")
+
+
+def jaccard_at_least(rows: DataFrame, threshold: float) -> DataFrame:
+    """(a, b) of the rows (a, b, x, y) whose sets x and y, sorted integers in binaries, have that Jaccard similarity."""
+    import pyarrow as pa
+
+    kinds = ", ".join(f"{c} {rows.schema[c].dataType.simpleString()}" for c in ("a", "b"))
+
+    def run(batches):
+        for batch in batches:
+            keep = []
+            for x, y in zip(batch.column(2).to_pylist(), batch.column(3).to_pylist(), strict=True):
+                x, y = np.frombuffer(x, np.int64), np.frombuffer(y, np.int64)
+                small, large = sorted((len(x), len(y)))
+                both = len(np.intersect1d(x, y, assume_unique=True)) if small >= threshold * large else 0
+                union = len(x) + len(y) - both
+                keep.append(union > 0 and both / union >= threshold)
+            yield batch.select(["a", "b"]).filter(pa.array(keep, pa.bool_()))
+
+    return rows.select("a", "b", "x", "y").mapInArrow(run, kinds)
+
+
 def minhash(df: DataFrame, key: str, text: str, perms: int = 128, seed: int = 17) -> DataFrame:
     """key, signature: min over byte 5-grams of (a·h + b) mod 2³¹ − 1, in an Arrow map (no shuffle); none below 5 bytes."""
     import pyarrow as pa
