@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import HashIndex, holds, mix, slices, span_hashes, staged, text_bytes, trimmed, word_spans
+from verdigris.llm.common import HashIndex, holds, mix, slices, span_hashes, staged, text_bytes, trim, trimmed, word_spans
 
 #: Stands for the end token among the words' hashes.
 END = 0
@@ -209,7 +209,7 @@ def unit_bigrams(texts: DataFrame, vocabulary: Vocabulary, parts: int) -> tuple[
 
     made = staged(texts.select("text").mapInArrow(trimmed(count), "part int, unit int, data binary, size long"), "contexts")
     rows = made.where("unit >= 0").select("unit", F.col("data").alias("row"))
-    out = np.zeros((size, size), np.int64)
+    out = np.zeros((size, size))
     for r in rows.repartition("unit").sortWithinPartitions("unit").mapInArrow(trimmed(add), "unit int, row binary").collect():  # a row for each unit
         out[r.unit] = np.frombuffer(zlib.decompress(r.row), np.int64)
     blocks = made.where("part >= 0").select("part", "data", "size").repartition("part").sortWithinPartitions("part")
@@ -223,7 +223,7 @@ def _phi(x: np.ndarray) -> np.ndarray:
 def exchange(bigrams: np.ndarray, classes: int) -> np.ndarray:
     """A class for each unit; the last unit (the end) keeps the last class to itself.  Every move raises the likelihood, so
     the sweeps end."""
-    n, b = len(bigrams), bigrams.astype(float)
+    n, b = len(bigrams), bigrams.astype(float, copy=False)
     weight = b.sum(0) + b.sum(1)
     own = np.zeros(n, np.int64)
     order = [int(i) for i in np.argsort(-weight, kind="stable") if i != n - 1 and weight[i]]
@@ -285,7 +285,7 @@ def best_classes(contexts: DataFrame, vocabulary: Vocabulary, table: np.ndarray)
                 gain[:, k - 1] = -np.inf  # the end's own
                 yield pa.RecordBatch.from_arrays([pa.array(words), pa.array(gain.argmax(1), pa.int16())], names=["word", "class"])
 
-    found = contexts.mapInArrow(trimmed(run), "word int, class short").toPandas()  # a row for each word of the vocabulary
+    found = contexts.mapInArrow(trimmed(run), "word int, class short").toArrow()  # a row for each word of the vocabulary
     own = vocabulary.own.copy()
     own[found["word"].to_numpy()] = found["class"].to_numpy()
     return own
@@ -350,9 +350,11 @@ def learn(texts: DataFrame, *, head: int = 2000, classes: int = 64, vocabulary:
             break
         least, held = r.level, held + r.n
     inside = (F.col("n") > 1) & (level >= least)
-    found = words.where(inside).toPandas()  # `vocabulary` words at most
-    order = np.argsort(found["h"].to_numpy(np.int64).view(np.uint64))
-    keys, sig, n = found["h"].to_numpy(np.int64).view(np.uint64)[order], found["sig"].to_numpy(np.int64)[order], found["n"].to_numpy(np.int64)[order]
+    found = words.where(inside).select("h", "sig", "n").toArrow()  # `vocabulary` words at most
+    keys, sig, n = found["h"].to_numpy().view(np.uint64), found["sig"].to_numpy().astype(np.int64), found["n"].to_numpy()
+    order = np.argsort(keys)
+    keys, sig, n = keys[order], sig[order], n[order]
+    del found, order
     first = np.lexsort((keys, -n))[:head]
     unit = len(first) + sig
     unit[first] = np.arange(len(first))
@@ -366,7 +368,9 @@ def learn(texts: DataFrame, *, head: int = 2000, classes: int = 64, vocabulary:
     v.own = v.classes[v.unit].astype(np.uint8)
     z = np.zeros((v.units, classes))
     z[np.arange(v.units), v.classes] = 1
-    table = z.T @ bigrams @ z
+    table = z.T @ (bigrams @ z)
+    del bigrams
+    trim()
     for _ in range(sweeps if len(keys) > len(first) else 0):
         v.own = best_classes(contexts, v, table)
         table = class_bigrams(texts, v, classes)
