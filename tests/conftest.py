@@ -17,7 +17,7 @@ def spark(tmp_path_factory):
     shared = tmp_path_factory.mktemp("shared")
     made = (
         SparkSession.builder.master("local[8]")
-        .config("spark.sql.shuffle.partitions", "8")
+        .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "8g")

@@ -427,3 +427,48 @@ def test_word_distance(spark):
     want = {i: plain(tokens(a), tokens(b)) / max(len(tokens(a)), len(tokens(b)), 1) for i, a, b in rows}
     df = spark.createDataFrame(rows, "id long, a string, b string")
     assert {r.id: r.d for r in df.select("id", formats.word_distance(F.col("a"), F.col("b")).alias("d")).collect()} == want
+
+
+def test_mmr_against_plain_loops():
+    rng = np.random.default_rng(3)
+    v, sims = rng.normal(size=(30, 5)), rng.random(30)
+    cos = lambda a, b: float(a @ b / (np.linalg.norm(a) * np.linalg.norm(b)))
+    want = []
+    while len(want) < 10:
+        rest = [i for i in range(30) if i not in want]
+        want.append(max(rest, key=lambda i: 0.6 * sims[i] - 0.4 * max((cos(v[i], v[j]) for j in want), default=0.0)))
+    assert mmr(v, sims, 10, 0.4) == want and len(mmr(v[:3], sims[:3], 10, 0.4)) == 3
+
+
+def test_temperature_against_a_fine_grid(spark):
+    rng = random.Random(4)
+    rows = [(z := rng.gauss(0, 3), rng.random() < 1 / (1 + math.exp(-z / 2))) for _ in range(400)]
+    loss = lambda t: sum(math.log1p(math.exp(-z / t if y else z / t)) for z, y in rows)
+    got = gate.temperature(spark.createDataFrame(rows, "z double, label boolean"), "z", "label")
+    assert loss(got) <= min(loss(0.05 * 1.01**k) for k in range(600)) + 1e-3
+
+
+def test_bootstrap_against_plain_resamples(spark):
+    rng = random.Random(5)
+    rows = [(i, rng.random() < 0.4, rng.randint(0, 12) / 12) for i in range(80)]
+    df = spark.createDataFrame(rows, "__id long, label boolean, x double")
+    u = {(r.i, r.k): (r.h & ((1 << 52) - 1)) / float(1 << 52) for r in df.select(F.col("__id").alias("i"), F.explode(F.sequence(F.lit(0), F.lit(39))).alias("k")).select("i", "k", F.xxhash64(F.lit(1), "k", "i").alias("h")).collect()}
+    share = [math.exp(-1) / math.factorial(k) for k in range(7)]
+    aucs = []
+    for k in range(40):
+        w = {i: sum(u[i, k] >= sum(share[: j + 1]) for j in range(7)) for i, _, _ in rows}
+        pairs = [(w[a] * w[b], (x > y) + 0.5 * (x == y)) for a, la, x in rows if la for b, lb, y in rows if not lb]
+        total = sum(n for n, _ in pairs)
+        if total:
+            aucs.append(sum(n * g for n, g in pairs) / total)
+    r = sampling.bootstrap_auc(df, "label", "x", 40, 1).first()
+    assert min(aucs) - 1e-9 <= r.low <= np.quantile(aucs, 0.1) and np.quantile(aucs, 0.9) <= r.high <= max(aucs) + 1e-9
+
+
+def test_lexical_gate_separates(spark):
+    rng = random.Random(6)
+    rows = [(i, " ".join(rng.choice(["plain", "words", "here", "again"] + ["awful", "wrong"] * (i % 2)) for _ in range(12)), i % 2) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, text string, label int")
+    model = gate.train(df.where("id < 80"), "text", "label")
+    held = gate.score(model, df.where("id >= 80"), "text").collect()
+    assert np.mean([(r.p > 0.5) == bool(r.label) for r in held]) > 0.9
