@@ -56,7 +56,15 @@ def staged(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
     spark = df.sparkSession
     path = path or new_path(spark, name)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.staged_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Removes staged tables that nothing reads any more."""
+    for df in tables:
+        discard(df.sparkSession, df.staged_at)
 
 
 def row_bytes(schema: T.StructType) -> Column:

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import CACHE_WORDS, as_bytes, holds, numbered, slices
+from verdigris.llm.common import CACHE_WORDS, as_bytes, holds, numbered, slices, trim
 
 BITS = 18
 _EDGE = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
@@ -144,7 +144,10 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, *, mo
     found.sort(key=lambda r: (r.grade, r.slots, r.vals))  # the order of rows must not matter
     rows = [(r.grade, np.frombuffer(r.slots, np.int32), np.frombuffer(r.vals, np.float32)) for r in found]
     del found
-    return fit(rows, grades, **options)
+    model = fit(rows, grades, **options)
+    del rows
+    trim()  # the driver goes on
+    return model
 
 
 def score(docs: DataFrame, model: Model | None, *, threshold: float = 0.5, text_column: str = "text") -> DataFrame:
