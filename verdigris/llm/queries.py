@@ -79,6 +79,24 @@ def op9_ordinal_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score(docs, model).drop("text")
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import near
+
+    return near.near_duplicates(load(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op12_vector_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import vector_codes
+
+    return vector_codes.compressed(load(spark, sf_dir, "embeddings"))
+
+
+def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from verdigris.llm import fim
+
+    return fim.digests(fim.transformed(load(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {k: v for k, v in globals().items() if k.startswith("op") and callable(v)}
 
@@ -87,7 +105,34 @@ _LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghi
 _WORDS7 = rf"regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
 _WORDS4 = rf"regexp_extract_all({_LOWER}, '[^\x20\x09-\x0D]+')"
 
+_H13 = ", ".join(f"CAST('0x' || substr(h, {8 * i + 1}, 8) AS UBIGINT)::BIGINT AS h{i + 1}" for i in range(4))
+
+
+def _codes(book: str) -> str:
+    """For each part of `parts` its nearest entry of a codebook: vec_id, part, x, entry, far."""
+    return f"SELECT vec_id, part, x, unnest(min_by({{'entry': entry, 'far': far}}, {{'far': far, 'entry': entry}})::STRUCT(entry BIGINT, far BIGINT), recursive := true) FROM (SELECT p.vec_id, p.part, p.x, b.entry, CAST(list_sum(list_transform(range(1, len(p.x) + 1), lambda i: (p.x[i] - b.x[i]) * (p.x[i] - b.x[i]))) AS BIGINT) AS far FROM parts p JOIN {book} b USING (part)) GROUP BY 1, 2, 3"
+
+
+def _refined(codes: str, book: str) -> str:
+    """The codebook after a round: integer means, rounded down; entries without parts stay."""
+    means = "SELECT part, entry, list(CAST((s - ((s % n) + n) % n) // n AS BIGINT) ORDER BY i) AS x FROM (SELECT part, entry, i, sum(v)::BIGINT AS s, count(*) AS n FROM (SELECT part, entry, unnest(x) AS v, unnest(range(len(x))) AS i FROM {codes}) GROUP BY 1, 2, 3) GROUP BY 1, 2".format(codes=codes)
+    return f"SELECT b.part, b.entry, coalesce(m.x, b.x) AS x FROM {book} b LEFT JOIN ({means}) m USING (part, entry)"
+
+
 ORACLES = {
+    "op12_vector_codes": f"""WITH kept AS (SELECT vec_id, label, list_transform(embedding, lambda c: CAST(floor(256 * CAST(c AS DOUBLE)) AS BIGINT)) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda c: c IS NULL OR NOT isfinite(c))) = 0),
+ parts AS (SELECT vec_id, part, q[part * len(q) // 16 + 1:(part + 1) * len(q) // 16] AS x FROM (SELECT vec_id, q, unnest(range(16)) AS part FROM kept)),
+ b0 AS (SELECT part, row_number() OVER (PARTITION BY part ORDER BY vec_id) - 1 AS entry, x FROM parts QUALIFY entry < 64),
+ c1 AS MATERIALIZED ({_codes("b0")}), b1 AS MATERIALIZED ({_refined("c1", "b0")}), c2 AS MATERIALIZED ({_codes("b1")}), b2 AS MATERIALIZED ({_refined("c2", "b1")}), c3 AS MATERIALIZED ({_codes("b2")}),
+ e AS (SELECT vec_id, string_agg(printf('%02x', entry), '' ORDER BY part) AS code, sum(far)::BIGINT AS error FROM c3 GROUP BY 1),
+ d AS (SELECT sha256(string_agg(array_to_string(x, ','), ',' ORDER BY part, entry)) AS codebooks_sha256 FROM b2),
+ l AS (SELECT label, sum(error)::BIGINT AS label_error FROM e JOIN kept USING (vec_id) GROUP BY 1)
+ SELECT e.vec_id, code, error, label_error, codebooks_sha256 FROM e JOIN kept USING (vec_id) JOIN l ON l.label IS NOT DISTINCT FROM kept.label, d""",
+    "op13_fill_in_middle": f"""WITH t AS (SELECT doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') AS u, sha256('7:' || doc_id) AS h FROM documents),
+ d AS (SELECT *, {_H13}, len(u) AS n FROM t),
+ c AS (SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b FROM d),
+ p AS (SELECT doc_id, t, n, array_to_string(u[1:a], '') AS prefix, array_to_string(u[a + 1:b], '') AS middle, array_to_string(u[b + 1:n], '') AS suffix, CASE WHEN n = 0 OR contains(t, '<P>') OR contains(t, '<S>') OR contains(t, '<M>') OR h3 % 100 >= 100 THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM c)
+ SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(prefix) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(middle) END AS middle_chars, sha256(CASE form WHEN 'plain' THEN t WHEN 'psm' THEN '<P>' || prefix || '<S>' || suffix || '<M>' || middle ELSE '<S>' || suffix || '<P>' || prefix || '<M>' || middle END) AS output_sha256, sha256(t) AS restored_sha256 FROM p""",
     "op4_jaccard_join": f"""WITH RECURSIVE w AS (SELECT doc_id, {_WORDS4} AS ws FROM documents),
  s AS (SELECT DISTINCT doc_id, array_to_string(ws[p:p + 4], ' ') AS g FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 4, 1) + 1)) AS p FROM w WHERE len(ws) > 0)),
  n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
