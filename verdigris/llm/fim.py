@@ -14,8 +14,8 @@ All of it is column expressions of a row: no shuffle, no state, nothing that gro
 
 Defined cases: a null or empty text has no unit and is plain, its output empty; a null id is drawn as the empty text would
 be; repeated rows and ids are cut alike; texts of any length are cut whole; an empty table gives an empty result; other
-columns stay, but for those that are named as one of the results, which are replaced; ids, texts and other columns may have
-any name, dots included.
+columns stay, but for those that are named as one of the results, which are replaced (an id or text so named raises); names
+may hold dots.
 """
 
 from __future__ import annotations
@@ -81,9 +81,11 @@ def transformed(docs: DataFrame, key: str = "doc_id", text: str = "text", gramma
     `rate` of 100 texts are rearranged, `spm` of 100 of these with the suffix first; `markers` stand before prefix, suffix
     and middle."""
     before, after, amid = map(F.lit, checked(markers))
-    whole, made = F.coalesce(F.col(f"`{text}`"), F.lit("")), ["n", "form", "prefix_chars", "middle_chars", "output"]
-    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(docs.columns) if c not in made or c in (key, text)]
-    names = [c for c in docs.columns if c not in made or c in (key, text)]
+    whole, made = F.coalesce(F.col(f"`{text}`"), F.lit("")), {"n", "form", "prefix_chars", "middle_chars", "output"}
+    if made & {key, text}:
+        raise ValueError(f"{key} and {text} must not be named as results")
+    names = [c for c in docs.columns if c not in made]
+    kept = [F.col(f"`{c}`").alias(f"c{i}") for i, c in enumerate(names)]
     h = draws(F.col(f"`{key}`"), seed)
     rows = docs.select(*kept, whole.alias("whole"), *(x.alias(f"h{i}") for i, x in enumerate(h)))
     rows = rows.withColumn("units", units(F.col("whole"), grammar)).withColumn("n", F.size("units").cast("long"))
@@ -95,7 +97,7 @@ def transformed(docs: DataFrame, key: str = "doc_id", text: str = "text", gramma
     rows = rows.withColumn("form", F.when(plain, "plain").when(F.col("h3") % 100 < spm, "spm").otherwise("psm"))
     output = F.when(F.col("form") == "plain", F.col("whole")).when(F.col("form") == "psm", F.concat(before, "prefix", after, "suffix", amid, "middle")).otherwise(F.concat(after, "suffix", before, "prefix", amid, "middle"))
     chars = lambda c: F.when(F.col("form") != "plain", F.length(c).cast("long"))
-    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in zip((i for i, c in enumerate(docs.columns) if c in names), names, strict=True)), "n", "form", chars("prefix").alias("prefix_chars"), chars("middle").alias("middle_chars"), output.alias("output"))
+    return rows.select(*(F.col(f"c{i}").alias(c) for i, c in enumerate(names)), "n", "form", chars("prefix").alias("prefix_chars"), chars("middle").alias("middle_chars"), output.alias("output"))
 
 
 def restored(output: Column, form: Column, markers: tuple[str, str, str] = ("<P>", "<S>", "<M>")) -> Column:
