@@ -6,61 +6,63 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from verdigris.operators import similarity
-
-
-def shared(df: DataFrame, name: str) -> DataFrame:
-    """df written to the folder that driver and executors share, and read again: its lineage ends."""
-    import uuid
-
-    from verdigris import shared_dir
-
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/verdigris/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+from verdigris.sources.staging import release, shared
 
 
 def labelled(nodes: DataFrame, links: DataFrame, key: str, most: int = 60) -> DataFrame:
-    """nodes with component, the smallest key reachable by links (a, b).
+    """nodes with component, the smallest key reachable by links (a, b); a row without links is its own.
 
-    Each round every node takes the smallest label among its own and its neighbours', then that label's own label, so
-    rounds grow with the logarithm of a component's length; a written table ends each round's lineage."""
+    Each round every linked row takes the smallest label among its own and its neighbours', then that label's own label, so
+    rounds grow with the logarithm of a component's length; a written table ends each round's lineage and replaces the last."""
     both = shared(links.select("a", "b").union(links.select("b", "a")).distinct(), "links")
-    now = shared(nodes.select(F.col(key).alias("id"), F.col(key).alias("c")), "labels")
+    now = shared(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("c")), "labels")
     for _ in range(most):
         heard = both.join(now, both.b == now.id).groupBy("a").agg(F.min("c").alias("m"))
-        new = now.join(heard, now.id == heard.a, "left").select("id", F.least("c", F.coalesce("m", "c")).alias("c"))
-        jump = new.select(F.col("id").alias("c"), F.col("c").alias("j"))
-        new = shared(new.join(jump, "c").select("id", F.least("c", "j").alias("c")), "labels")
-        changed = new.join(now.withColumnRenamed("c", "old"), "id").where("c <> old").limit(1).count()
+        new = now.join(heard, now.id == heard.a).select("id", F.least("c", "m").alias("c"), F.col("c").alias("was"))
+        jump = now.select(F.col("id").alias("c"), F.col("c").alias("j"))
+        new = shared(new.join(jump, "c").select("id", F.least("c", "j").alias("c"), "was"), "labels")
+        release(now)
         now = new
-        if not changed:
-            return nodes.join(now.select(F.col("id").alias(key), F.col("c").alias("component")), key)
+        if now.where("c <> was").isEmpty():
+            release(both)
+            return nodes.join(now.select(F.col("id").alias(key), F.col("c").alias("component")), key, "left").withColumn("component", F.coalesce("component", key))
     raise RuntimeError("components did not settle")
 
 
 def similar_sets(docs: DataFrame, pairs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """Those of the pairs (a, b) whose byte 5-grams have that Jaccard similarity."""
+    """Those of the pairs (a, b; a stored table) whose byte 5-grams have that Jaccard similarity, stored."""
     needed = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
     sets = shared(similarity.shingle_bytes(docs.join(needed, key, "left_semi"), key, text), "sets")
     rows = pairs.join(sets.select(F.col(key).alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col(key).alias("b"), F.col("s").alias("y")), "b")
-    return shared(similarity.jaccard_at_least(rows, threshold), "links")
+    out = shared(similarity.jaccard_at_least(rows, threshold), "links")
+    release(sets, pairs)
+    return out
 
 
 def lexical_links(docs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
-    """Links whose components are those of all pairs that share a MinHash band and have the similarity.
-
-    First each row is held against the smallest row of its buckets; then rows of a bucket that this leaves in different
-    components are held against each other, so a family whose smallest row is far from some of its members loses none."""
-    bands = shared(similarity.banded(similarity.minhash(docs, key, text), key), "bands")
-    first = similar_sets(docs, shared(similarity.bucket_stars(bands, key), "pairs"), key, text, threshold)
-    found = labelled(docs.select(key), first, key).select(key, "component")
-    rows = shared(bands.join(found, key), "open-bands")
-    still = rows.groupBy("band", "hash").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("band", "hash")
-    rows = shared(rows.join(still, ["band", "hash"]), "open-rows")
-    other = rows.select("band", "hash", F.col(key).alias("b"), F.col("component").alias("d"))
-    across = rows.withColumnRenamed(key, "a").join(other, ["band", "hash"]).where((F.col("a") < F.col("b")) & (F.col("component") != F.col("d"))).select("a", "b").distinct()
-    return first.union(similar_sets(docs, shared(across, "across"), key, text, threshold))
+    """Links (stored) whose components are those of all pairs that share a MinHash band and have the similarity.
+
+    Rows of equal sets are one node.  First each node is held against the smallest node of its buckets.  Then only buckets
+    whose nodes this leaves in different components matter: their nodes meet within the bucket, and of these pairs only
+    those whose sizes and sketches allow the similarity become candidates, so a bucket of thousands of unlike rows gives few.
+    Candidates of both steps are verified on whole sets."""
+    profiled = shared(similarity.profiles(docs, key, text), "profiles")
+    nodes, copies = similarity.distinct_sets(profiled, key)
+    cells = shared(similarity.cells(nodes, key), "cells")
+    hubs = cells.groupBy("band", "hash").agg(F.min(key).alias("a"), F.count("*").alias("n")).where("n > 1").select("band", "hash", "a")
+    stars = cells.join(hubs, ["band", "hash"]).where(F.col("a") < F.col(key)).select("a", F.col(key).alias("b")).distinct()
+    side = lambda p: nodes.select(F.col(key).alias(p), F.col("size").alias(f"{p}_size"), F.col("sketch").alias(f"{p}_sketch"))
+    stars = shared(stars.join(side("a"), "a").join(side("b"), "b").where(similarity.may_be_alike("a_", "b_", threshold)).select("a", "b"), "stars")
+    first = similar_sets(docs, stars, key, text, threshold)
+    found = labelled(nodes.select(key, "size", "sketch"), first, key).withColumnRenamed("component", "comp")
+    found = shared(found, "first-components")
+    of_cell = cells.join(found.select(key, "comp"), key)
+    still = of_cell.groupBy("band", "hash").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).where("low < high and n > 2").select("band", "hash")
+    rows = shared(cells.join(still, ["band", "hash"]).join(found, key), "open-rows")
+    across = similar_sets(docs, shared(similarity.met(rows, key, threshold), "across"), key, text, threshold)
+    out = shared(copies.union(first).union(across), "lexical-links")
+    release(profiled, nodes, cells, found, rows, first, across)
+    return out
 
 
 def collapse(docs: DataFrame, key: str, text: str, threshold: float = 0.8, *, embedder=None, vectors: DataFrame | None = None, cosine: float = 0.92) -> DataFrame:
@@ -81,7 +83,7 @@ def collapse(docs: DataFrame, key: str, text: str, threshold: float = 0.8, *, em
     if vectors is None and embedder is None:
         return kept(lexical).withColumn("marginal", F.lit(False))
     vectors = extend.encoded(docs, key, text, embedder) if vectors is None else vectors
-    links = similarity.cosine_pairs(vectors.select(F.col(key), F.col(vectors.columns[1]).alias("v")), key, "v", cosine)
+    links = similarity.cosine_pairs(vectors.select(F.col(key), F.col(vectors.columns[1]).alias("v")), key, "v", cosine, forest=True)
     alone = kept(lexical).select(key, (F.col(key) == F.col("representative")).alias("before"))
     return kept(lexical.union(links)).join(alone, key).select(key, "component", "representative", (F.col("before") & (F.col(key) != F.col("representative"))).alias("marginal"))
 

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 from typing import Protocol
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -87,6 +88,65 @@ def judged(df: DataFrame, key: str, judge: Callable[[object, str], str], breaker
     return df.select(key, df.columns[1]).mapInArrow(run, f"{key} {kind}, verdict string")
 
 
+@dataclass
+class Run:
+    """What a run left: key, verdict of the rows it answered (stored), the calls that were counted, and whether it was broken
+    off."""
+
+    answered: DataFrame
+    calls: int
+    broken: bool
+
+
+def judged_in_batches(df: DataFrame, key: str, judge: Callable[[object, str], str], breaker: int = 5, batch: int = 10_000, tasks: int = 8) -> Run:
+    """The judge over all rows in the order of their keys, batch by batch; `breaker` failures in a row end the run, and what
+    comes after them stays pending, as do failures.
+
+    A batch is a job over ranges of its keys.  A task stops calling at its own row of failures; the batch's outcome is then
+    read in key order, so where the run ends depends on neither tasks nor batches.  df: key (unique, of a type that sorts),
+    prompt; null keys are left out.  A batch's outcome is written, so a batch that was answered isn't asked again."""
+    from verdigris.sources.staging import shared
+
+    spark, kind = df.sparkSession, df.schema[key].dataType.simpleString()
+    calls = spark.sparkContext.accumulator(0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        failed = 0
+        for b in batches:
+            keys, verdicts = [], []
+            for k, prompt in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+                if failed >= breaker:
+                    break
+                calls.add(1)
+                keys.append(k)
+                try:
+                    verdicts.append(judge(k, prompt or ""))
+                    failed = 0
+                except Exception:  # whatever an outside judge raises leaves its key pending
+                    verdicts.append(None)
+                    failed += 1
+            yield pa.RecordBatch.from_arrays([pa.array(keys, b.column(0).type), pa.array(verdicts, pa.string())], names=[key, "verdict"])
+
+    rows = df.select(F.col(key), F.col(df.columns[1]).alias("prompt")).where(F.col(key).isNotNull())
+    answered, last, streak = None, None, 0
+    while True:
+        todo = rows if last is None else rows.where(F.col(key) > F.lit(last))
+        todo = shared(todo.orderBy(key).limit(batch), "pending")
+        got = shared(todo.repartitionByRange(tasks, key).sortWithinPartitions(key).mapInArrow(run, f"{key} {kind}, verdict string"), "outcome")
+        in_order = Window.orderBy(key)  # a batch's rows, so bounded
+        fails = F.col("verdict").isNull().cast("int")
+        # the place of the last success before each row: failures since then, with those that the batch before ended on
+        marked = todo.select(key).join(got.withColumn("called", F.lit(True)), key, "left").withColumn("at", F.row_number().over(in_order))
+        marked = marked.withColumn("since", F.col("at") - F.coalesce(F.max(F.when(F.col("verdict").isNotNull(), F.col("at"))).over(in_order.rowsBetween(Window.unboundedPreceding, 0)), F.lit(-streak)))
+        end = marked.where((F.col("since") >= breaker) & (fails == 1)).agg(F.min("at")).first()[0]
+        tail = marked.agg(F.max("at").alias("n"), F.max(key).alias("last"), F.max_by("since", "at").alias("streak")).first()
+        kept = marked.where("verdict is not null" + (f" and at < {end}" if end else "")).select(key, "verdict")
+        answered = kept if answered is None else answered.union(kept)
+        if end or not tail.n or tail.n < batch:
+            return Run(shared(answered, "answered"), calls.value, bool(end))
+        last, streak = tail.last, tail.streak
+
+
 class StubDrafter:
     """A deterministic stand-in: the first word is the draft, refined by a mark; nothing for an empty context."""
 

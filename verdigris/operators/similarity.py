@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import math
+from functools import reduce
+from operator import add
+
 import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -19,27 +23,121 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n == 0, F.lit(0.0)).otherwise(dot(a, b) / n)
 
 
-def cosine_pairs(df: DataFrame, key: str, vector: str, threshold: float, block: int = 512) -> DataFrame:
-    """(a, b), a < b, of all pairs with that cosine or more, exactly: blocks of vectors meet in groups of bounded size,
-    where one matrix product settles them; only pairs over the threshold leave a group."""
+def unit_rows(vectors: list) -> np.ndarray:
+    """The vectors as rows of length 1; a zero vector stays."""
+    v = np.array(vectors, float).reshape(len(vectors), -1)
+    norm = np.linalg.norm(v, axis=1, keepdims=True)
+    return np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
+
+
+def pivots(df: DataFrame, key: str, vector: str, most: int) -> np.ndarray:
+    """Up to `most` of the vectors, as drawn by hash, of 16 MB at most."""
+    drawn = df.where(F.exists(vector, lambda x: x != 0)).select(vector).orderBy(F.xxhash64(key), key)
+    one = drawn.first()
+    if one is None:
+        return np.zeros((1, 1))
+    return unit_rows([r[0] for r in drawn.limit(max(1, min(most, (16 << 20) // (8 * len(one[0]))))).collect()])
+
+
+def cosine_cells(df: DataFrame, key: str, vector: str, threshold: float, block: int) -> DataFrame:
+    """cell, guest, core, id, v: each vector in the cell of its nearest pivot, and as a guest wherever a vector of that cell
+    can have the cosine with it.
+
+    Let x live with pivot p, y with q, and their angle be t at most.  Then angle(y, p) is at most angle(x, p) + t, so at most
+    the cell's radius + t; and as x is nearer to p than to q, it is at most angle(y, q) + 2t.  A guest is only sent to cells
+    before its own, so two vectors meet once.  `core`: within t/2 of the pivot, so that all of a core are alike."""
+    import pyarrow as pa
+
+    reach = float(np.arccos(np.clip(threshold, -1, 1))) + 1e-7
+    centres = pivots(df, key, vector, -(-df.count() // block))
+    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"))
+
+    def angles(b):
+        v = unit_rows(b.column(1).to_pylist())
+        if v.shape[1] != centres.shape[1]:
+            return v, np.zeros((len(v), len(centres)))
+        return v, np.arccos(np.clip(v @ centres.T, -1, 1))
+
+    def radius(batches):
+        far = np.zeros(len(centres))
+        for b in batches:
+            if b.num_rows:
+                _, at = angles(b)
+                np.maximum.at(far, at.argmin(1), at.min(1))
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(far)), pa.int32()), pa.array(far)], names=["cell", "far"])
+
+    radii = np.zeros(len(centres))
+    for cell, far in rows.mapInArrow(radius, "cell int, far double").groupBy("cell").agg(F.max("far")).collect():  # a row a pivot
+        radii[cell] = far
+
+    def dealt(batches):
+        for b in batches:
+            if not b.num_rows:
+                continue
+            v, at = angles(b)
+            home, near = at.argmin(1), at.min(1)
+            may = (at <= radii[None, :] + reach) & (at <= near[:, None] + 2 * reach) & (np.arange(len(centres))[None, :] < home[:, None])
+            row, cell = np.nonzero(may)
+            take = np.concatenate([np.arange(len(v)), row])
+            guest = np.arange(len(take)) >= len(v)
+            core = ~guest & (near[take] <= reach / 2 - 1e-6) & (np.abs(v[take]).sum(1) > 0)
+            cut = np.arange(len(take) + 1) * v.shape[1]
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate([home, cell]), pa.int32()), pa.array(guest), pa.array(core), b.column(0).take(pa.array(take)), pa.ListArray.from_arrays(pa.array(cut, pa.int32()), pa.array(v[take].ravel()))], names=["cell", "guest", "core", "id", "v"])
+
+    return rows.mapInArrow(dealt, "cell int, guest boolean, core boolean, id long, v array<double>")
+
+
+def cosine_pairs(df: DataFrame, key: str, vector: str, threshold: float, block: int = 512, forest: bool = False) -> DataFrame:
+    """(a, b), a < b, of all pairs with that cosine or more, exactly: vectors meet in the cells of `cosine_cells`, in groups
+    of two blocks, where one matrix product settles them.  Null and empty vectors have no pairs.
+
+    forest: pairs with the same components only, fewer than the vectors of a group; a cell's core is a star."""
     import pyarrow as pa
 
-    n = max(1, -(-df.count() // block))
-    rows = df.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias("block"))
-    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select("id", "v", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+    from verdigris.sources.staging import shared
+
+    cells = shared(cosine_cells(df.where(F.size(vector) > 0), key, vector, threshold, block), "cells")
+    kind = F.when(F.col("guest"), 2).when(F.col("core") & F.lit(forest), 0).otherwise(1)
+    cells = cells.select("cell", "id", "v", kind.alias("kind"))
+    size = cells.groupBy("cell").agg(*(F.ceil(F.count_if(F.col("kind") == k) / block).cast("int").alias(f"n{k}") for k in (0, 1, 2)))
+    rows = cells.join(F.broadcast(size), "cell").where("n0 + n1 > 0")  # a row a pivot, and these are bounded
+    dealt = lambda k: F.pmod(F.xxhash64("id"), F.col(f"n{k}")).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("kind") == 0, dealt(0)).when(F.col("kind") == 1, F.col("n0") + dealt(1)).otherwise(F.col("n0") + F.col("n1") + dealt(2)))
+    # blocks of the core meet all but the core, those of the rim meet all, guests' meet the cell's own
+    every = F.sequence(F.lit(0), F.col("n0") + F.col("n1") + F.col("n2") - 1)
+    meets = lambda j: F.when(F.col("kind") == 0, j >= F.col("n0")).when(F.col("kind") == 1, True).otherwise(j < F.col("n0") + F.col("n1"))
+    rows = rows.withColumn("other", F.explode(F.filter(every, meets))).select("cell", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "id", "v")
 
     def meet(group: pa.Table) -> pa.Table:
         ids, blocks = group["id"].to_numpy(), group["block"].to_numpy()
         v = np.array(group["v"].to_pylist(), float).reshape(len(ids), -1)
-        norm = np.linalg.norm(v, axis=1, keepdims=True)
-        v = np.divide(v, norm, out=np.zeros_like(v), where=norm > 0)
         same = group["i"][0].as_py() == group["j"][0].as_py()
-        a, b = np.nonzero(np.triu(v @ v.T, 1) >= threshold)
+        a, b = np.nonzero(np.triu(v @ v.T >= threshold, 1))
         if not same:
             a, b = a[blocks[a] != blocks[b]], b[blocks[a] != blocks[b]]
+        if forest:
+            a, b = spanning(a, b, len(ids))
         return pa.table({"a": np.minimum(ids[a], ids[b]), "b": np.maximum(ids[a], ids[b])})
 
-    return rows.groupBy("i", "j").applyInArrow(meet, "a long, b long")
+    found = rows.groupBy("cell", "i", "j").applyInArrow(meet, "a long, b long")
+    if forest:
+        least = cells.where("kind = 0").groupBy("cell").agg(F.min("id").alias("a"))
+        found = found.union(cells.where("kind = 0").join(F.broadcast(least), "cell").select("a", F.col("id").alias("b")))
+    return found.where("a <> b")
+
+
+def spanning(a: np.ndarray, b: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Of the links a–b of n places as many as connect the same places."""
+    root, keep = list(range(n)), []
+    for k, (x, y) in enumerate(zip(a.tolist(), b.tolist(), strict=True)):
+        while root[x] != x:
+            root[x] = x = root[root[x]]
+        while root[y] != y:
+            root[y] = y = root[root[y]]
+        if x != y:
+            root[x] = y
+            keep.append(k)
+    return a[keep], b[keep]
 
 
 def shingle_hashes(text: Column, width: int = 5, base: int = 257) -> Column:
@@ -155,18 +253,100 @@ def banded(signed: DataFrame, key: str, bands: int = 32) -> DataFrame:
     return signed.where("signature is not null").select(key, F.explode(keys).alias("k")).select(key, "k.band", "k.hash")
 
 
-def bucket_stars(bands: DataFrame, key: str) -> DataFrame:
-    """(a, b): each row of a bucket with the bucket's smallest row."""
-    hub = bands.groupBy("band", "hash").agg(F.min(key).alias("a"), F.count("*").alias("n")).where("n > 1")
-    return bands.join(hub, ["band", "hash"]).where(F.col("a") < F.col(key)).select("a", F.col(key).alias("b")).distinct()
+#: One-bit minima of a sketch.
+SKETCH = 512
+
+
+def minima(h: np.ndarray, count: int, of) -> np.ndarray:
+    """The minima over h of `count` functions; of(i, j, part) gives those from i to j of a part of h as rows."""
+    out = None
+    for at in range(0, len(h), 1 << 15):
+        part = h[at : at + (1 << 15)]
+        low = np.concatenate([of(i, i + 16, part).min(1) for i in range(0, count, 16)])
+        out = low if out is None else np.minimum(out, low)
+    return out
+
+
+def profiles(df: DataFrame, key: str, text: str, perms: int = 128, bands: int = 32, seed: int = 17) -> DataFrame:
+    """key, size (of the set of byte 5-grams), same (equal for equal sets), bands (a hash for each band of the MinHash
+    signature), sketch (512 bits: one of each of as many further minima).  Texts below 5 bytes have no row."""
+    import hashlib
 
+    import pyarrow as pa
+
+    a, b = (np.array(c, np.uint64) for c in coefficients(perms, seed))
+    odd = np.random.default_rng(seed + 1).integers(0, 1 << 63, SKETCH).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    kind = df.schema[key].dataType.simpleString()
+
+    def mixed(x: np.ndarray) -> np.ndarray:
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(0x9E3779B97F4A7C15)
+        return (x ^ (x >> np.uint64(29))) * np.uint64(0xD6E8FEB86659FD93)
 
-def lsh_pairs(signed: DataFrame, key: str, bands: int = 32) -> DataFrame:
-    """(a, b), a < b, of all rows with an equal band.  Rows of one signature are one row here, held against their smallest
-    only: copies don't become pairs of each other."""
-    alike = signed.where("signature is not null").groupBy("signature").agg(F.min(key).alias(key))
-    rows = banded(alike, key, bands)
-    other = rows.select("band", "hash", F.col(key).alias("b"))
-    pairs = rows.withColumnRenamed(key, "a").join(other, ["band", "hash"]).where("a < b").select("a", "b")
-    copies = signed.join(alike.select("signature", F.col(key).alias("a")), "signature").where(F.col("a") < F.col(key)).select("a", F.col(key).alias("b"))
-    return pairs.union(copies).distinct()
+    def run(batches):
+        for batch in batches:
+            at, size, same, held, sketch = [], [], [], [], []
+            for i, t in enumerate(batch.column(1).to_pylist()):
+                s = byte_shingles(t)
+                if not len(s):
+                    continue
+                h = s.astype(np.uint64)
+                signature = minima(h % np.uint64(P), perms, lambda i, j, x: (a[i:j, None] * x + b[i:j, None]) % np.uint64(P)).reshape(bands, -1)
+                band = np.arange(bands, dtype=np.uint64)
+                for c in range(signature.shape[1]):
+                    band = mixed(band * np.uint64(31) + signature[:, c])
+                low = minima(mixed(h), SKETCH, lambda i, j, x: odd[i:j, None] * x)
+                at.append(i)
+                size.append(len(s))
+                same.append(hashlib.md5(s.tobytes()).digest())
+                held.append(band.view(np.int64))
+                sketch.append(np.packbits((low >> np.uint64(20)).astype(np.uint8) & 1).view(np.int64))
+            lists = lambda x: pa.array(x, pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(size, pa.int64()), pa.array(same, pa.binary()), lists(held), lists(sketch)], names=[key, "size", "same", "bands", "sketch"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, size long, same binary, bands array<long>, sketch array<long>")
+
+
+def may_be_alike(a: str, b: str, threshold: float) -> Column:
+    """Whether two profiles (column prefixes) leave it possible that their sets have that Jaccard similarity: by their sizes
+    for certain, by their sketches up to six standard deviations (1 in 10⁹ of the pairs at the threshold is lost)."""
+    off = SKETCH * (1 - threshold) / 2
+    most = math.ceil(off + 6 * math.sqrt(off * (1 + threshold) / 2))
+    x, y = F.col(f"{a}size"), F.col(f"{b}size")
+    apart = reduce(add, (F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH // 64)))
+    return (F.least(x, y) >= threshold * F.greatest(x, y)) & (apart <= most)
+
+
+def cells(nodes: DataFrame, key: str) -> DataFrame:
+    """key, band, hash: a row for each band of a profile."""
+    return nodes.select(key, F.posexplode("bands").alias("band", "hash"))
+
+
+def met(rows: DataFrame, key: str, threshold: float, portion: int = 1024) -> DataFrame:
+    """(a, b), a < b, of rows (key, band, hash, comp, size, sketch; a stored table) that share a bucket, are of different
+    components and may be alike.  Of a large bucket each row of one side goes to one portion and the other side's to all, so no
+    task holds more than `portion` rows against a bucket's; what the profiles rule out never leaves the join."""
+    often = rows.groupBy("band", "hash").agg(F.count("*").alias("n")).where(F.col("n") > portion)
+    dealt = rows.join(often, ["band", "hash"], "left").withColumn("n", F.coalesce(F.ceil(F.col("n") / portion), F.lit(1)).cast("int"))
+    left = dealt.select("band", "hash", F.pmod(F.xxhash64(key), F.col("n")).cast("int").alias("part"), F.col(key).alias("a"), F.col("comp").alias("a_comp"), F.col("size").alias("a_size"), F.col("sketch").alias("a_sketch"))
+    right = dealt.select("band", "hash", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("part"), F.col(key).alias("b"), F.col("comp").alias("b_comp"), F.col("size").alias("b_size"), F.col("sketch").alias("b_sketch"))
+    same = (F.col("a") < F.col("b")) & (F.col("a_comp") != F.col("b_comp"))
+    return left.join(right, ["band", "hash", "part"]).where(same & may_be_alike("a_", "b_", threshold)).select("a", "b").distinct()
+
+
+def lsh_pairs(profiled: DataFrame, key: str, threshold: float = 0.8) -> DataFrame:
+    """(a, b), a < b, of rows that share a band and may be alike at the threshold.  Rows of equal sets are one row here, held
+    against their smallest only: copies don't become pairs of each other.  profiled: a stored table of `profiles`."""
+    from verdigris.sources.staging import shared
+
+    nodes, copies = distinct_sets(profiled, key)
+    rows = shared(cells(nodes, key).join(nodes.select(key, F.col(key).alias("comp"), "size", "sketch"), key), "lsh-rows")
+    return met(rows, key, threshold).union(copies)
+
+
+def distinct_sets(profiled: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """The profile of the smallest row of each set (stored), and (a, b) of that row and each other of the set."""
+    from verdigris.sources.staging import shared
+
+    nodes = shared(profiled.groupBy("same").agg(F.min(F.struct(key, "size", "bands", "sketch")).alias("x")).select("same", "x.*"), "nodes")
+    copies = profiled.select("same", F.col(key).alias("b")).join(nodes.select("same", F.col(key).alias("a")), "same").where("a < b").select("a", "b")
+    return nodes, copies

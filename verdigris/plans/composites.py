@@ -7,21 +7,47 @@ from pyspark.sql import functions as F
 
 from verdigris.functions import hashing
 from verdigris.functions import text as T
-from verdigris.operators import dedup, latest, metrics, search
-from verdigris.plans import aggregates, joins
+from verdigris.operators import asks, dedup, latest, metrics
+from verdigris.plans import aggregates, decisions, joins
 from verdigris.plans.decisions import HITS
 from verdigris.plans.base import Tables, query, scored, sessions
-
-
-@query("n01_decision_rounds", """SELECT session_id, turn, i AS question_index, 'q' || i AS question, CASE WHEN i = 0 THEN 'a' || turn END AS answer FROM turns, range(0, 2) r(i) WHERE role = 'assistant' AND turn % 3 > 0
- UNION ALL SELECT session_id, turn, NULL, 'untyped', NULL FROM turns WHERE role = 'assistant' AND turn % 3 = 0""", "turns")
+from verdigris.sources.staging import shared
+
+
+def ask_entries(t: Tables) -> DataFrame:
+    """session_id, line_no, line: transcript lines in which assistant turns ask with words of their text, as recorded over
+    several versions: options as objects or labels, answers as text or list, results that are a text, missing or typed."""
+    w = lambda i: F.coalesce(F.get("w", F.lit(i)), F.lit(""))
+    turns = t.turns().where("role = 'assistant'").withColumn("w", F.regexp_extract_all("text", F.lit(r"\S+"), 0))
+    said = F.concat_ws(" ", w(0), w(1), w(2))
+    name = F.when(F.col("turn") % 5 < 4, asks.TOOL).otherwise("Bash")
+    struct = lambda **fields: F.struct(*(v.alias(k) for k, v in fields.items()))
+    call = struct(type=F.lit("tool_use"), id=F.concat(F.lit("t"), "turn"), name=name)
+    content = F.when(F.col("turn") % 5 == 3, F.to_json(F.array(call))).otherwise(F.concat(F.lit('[{"type":"text","text":"asking"},'), F.to_json(call), F.lit("]")))
+    use = F.concat(F.lit('{"type":"assistant","uuid":"u'), "turn", F.lit('","timestamp":"2024-01-01T00:00:00Z","message":{"role":"assistant","content":'), content, F.lit("}}"))
+    first = struct(question=F.concat(said, F.lit("?")), header=w(0), options=F.array(*(struct(label=F.concat(w(i), F.lit(f"-{i}"))) for i in (0, 1))))
+    second = struct(question=F.concat(said, F.lit(" more?")), options=F.array(*(F.concat(w(i), F.lit(f"-{i}")) for i in (2, 0))), multiSelect=F.lit(True))
+    one = F.when(F.col("turn") % 3 < 2, F.concat(F.when(F.col("turn") % 3 == 0, w(0)).otherwise(w(1)), F.lit("-"), F.col("turn") % 3)).otherwise("something else")
+    answers = F.concat(F.lit("{"), F.to_json(F.create_map(first["question"], one)).substr(F.lit(2), F.length(F.to_json(F.create_map(first["question"], one))) - 2), F.when(F.col("turn") % 2 == 0, F.concat(F.lit(","), F.to_json(F.create_map(second["question"], F.array(F.concat(w(0), F.lit("-0")), F.concat(w(2), F.lit("-2"))))).substr(F.lit(2), F.lit(1 << 20)))).otherwise("}"))
+    typed = F.concat(F.lit('{"questions":['), F.to_json(first), F.lit(","), F.to_json(second), F.lit('],"answers":'), answers, F.lit("}"))
+    result = F.when(F.col("turn") % 7 == 6, F.lit('"declined"')).when(F.col("turn") % 7 == 4, F.lit('{"error":{"code":1}}')).otherwise(typed)
+    came = F.concat(F.lit('{"type":"user","message":{"content":[{"type":"tool_result","tool_use_id":"t'), "turn", F.lit('"}]},"toolUseResult":'), result, F.lit("}"))
+    rows = turns.select("session_id", F.posexplode(F.array(use, F.when(F.col("turn") % 7 != 5, came), F.substring(use, 1, 40))).alias("i", "line"), "turn")
+    return rows.where("line is not null").select("session_id", (F.col("turn") * 3 + F.col("i")).alias("line_no"), "line")
+
+
+_ASKED = """asked AS (SELECT session_id, turn, [coalesce(x, '') FOR x IN [w[1], w[2], w[3]]] AS w FROM (SELECT session_id, turn, regexp_extract_all(text, '\\S+') AS w FROM turns WHERE role = 'assistant' AND turn % 5 < 4)),
+ rounds AS (SELECT session_id, turn, 0 AS i, w[1] || ' ' || w[2] || ' ' || w[3] || '?' AS question, w[1] AS header, w[1] || '-0|' || w[2] || '-1' AS options, CASE turn % 3 WHEN 0 THEN w[1] || '-0' WHEN 1 THEN w[2] || '-1' ELSE 'something else' END AS answer, CASE turn % 3 WHEN 0 THEN '0' WHEN 1 THEN '1' ELSE '' END AS picks, turn % 3 = 2 AS custom FROM asked WHERE turn % 7 NOT IN (4, 5, 6)
+ UNION ALL SELECT session_id, turn, 1, w[1] || ' ' || w[2] || ' ' || w[3] || ' more?', '', w[3] || '-2|' || w[1] || '-0', CASE WHEN turn % 2 = 0 THEN w[1] || '-0, ' || w[3] || '-2' END, CASE WHEN turn % 2 = 0 THEN '1,0' ELSE '' END, FALSE FROM asked WHERE turn % 7 NOT IN (4, 5, 6))"""
+
+
+@query("n01_decision_rounds", f"""WITH {_ASKED} SELECT session_id, 'u' || turn AS event_uuid, i AS round_index, question, header, options, answer, picks, custom, NULL AS result_type FROM rounds
+ UNION ALL SELECT session_id, 'u' || turn, NULL, NULL, NULL, NULL, NULL, NULL, NULL, CASE turn % 7 WHEN 4 THEN 'object' WHEN 5 THEN 'none' ELSE 'string' END FROM asked WHERE turn % 7 IN (4, 5, 6)""", "turns")
 def n01(t: Tables) -> DataFrame:
-    """A row a question of typed rounds, its answer looked up by its text; untyped rounds are set apart with what displaced them."""
-    rows = t.turns().where("role = 'assistant'").withColumn("questions", F.array(F.lit("q0"), F.lit("q1"))).withColumn("answers", F.create_map(F.lit("q0"), F.concat(F.lit("a"), F.col("turn").cast("string"))))
-    typed = rows.where("turn % 3 > 0").select("session_id", "turn", "answers", F.posexplode("questions").alias("i", "question"))
-    typed = typed.select("session_id", "turn", F.col("i").cast("long").alias("question_index"), "question", F.try_element_at("answers", F.col("question")).alias("answer"))
-    apart = rows.where("turn % 3 = 0").select("session_id", "turn", F.lit(None).cast("long").alias("question_index"), F.lit("untyped").alias("question"), F.lit(None).cast("string").alias("answer"))
-    return typed.unionByName(apart)
+    """Rounds of raw entries, and the uses whose result isn't typed with what stands in its place."""
+    rounds, apart = asks.ask_rounds(ask_entries(t))
+    rows = rounds.select("session_id", "event_uuid", "round_index", "question", "header", F.array_join("options", "|").alias("options"), "answer", F.array_join(F.transform("chosen_index", lambda x: x.cast("string")), ",").alias("picks"), F.col("is_custom").alias("custom"), F.lit(None).cast("string").alias("result_type"))
+    return rows.unionByName(apart.select("session_id", "event_uuid", "result_type"), allowMissingColumns=True)
 
 
 @query("n02_steer_type_rows")
@@ -34,14 +60,19 @@ def n02(t: Tables) -> DataFrame:
     return rows.join(kept, "dedup_key").select("dedup_key", "text", "category")
 
 
+def picks(rounds: DataFrame) -> DataFrame:
+    """Rounds of the test split with one choice, on the menu, of two options at least, one of each group of near-duplicates by
+    question and options."""
+    rows = rounds.where("split = 'test' and not multi_select and not is_custom and size(chosen_index) = 1 and size(options) >= 2")
+    rows = shared(rows.select("id", "session_id", "event_uuid", F.concat_ws("\n", "question", "options").alias("text"), F.col("chosen_index")[0].alias("chosen")), "picks")
+    kept = dedup.collapse(rows.select("id", "text"), "id", "text").where("id = representative").select("id")
+    return rows.join(kept, "id")
+
+
 @query("n03_pick_rows")
 def n03(t: Tables) -> DataFrame:
-    """Single choices on the menu with two options at least, of the test split, one of each group of near-duplicates."""
-    options = F.array(*map(F.lit, "abc"))
-    at = (F.array_position(options, F.element_at(F.array(*map(F.lit, "abcde")), (F.col("id") % 5 + 1).cast("int"))) - 1).cast("int")
-    rows = t.feedback().where(hashing.split_of(F.col("session_id")) == "test").select("dedup_key", "text", options.alias("options"), at.alias("chosen")).where("chosen >= 0 and size(options) >= 2")
-    kept = dedup.collapse(rows.select("dedup_key", "text"), "dedup_key", "text").where("dedup_key = representative").select("dedup_key")
-    return rows.join(kept, "dedup_key").select("dedup_key", "chosen")
+    rounds, _ = asks.ask_rounds(ask_entries(t))
+    return picks(rounds).select("session_id", "event_uuid", "chosen")
 
 
 @query("n04_visible_turns", "SELECT session_id, CAST(CASE WHEN messages[-1].role = 'assistant' THEN len(messages) ELSE len(messages) - 1 END AS INTEGER) AS visible FROM sessions", "sessions")
@@ -51,10 +82,17 @@ def n04(t: Tables) -> DataFrame:
     return sessions(t.turns()).select("session_id", F.size(seen).alias("visible"))
 
 
-@query("n05_ask_recovery", """SELECT event_id, CASE WHEN event_id % 2 = 0 THEN '[assistant asked] k=' || (props->>'$.k') ELSE 'none' END AS block FROM events""")
+@query("n05_ask_recovery", """WITH c AS (SELECT session_id, len(messages) AS n, messages[-1].content AS last, [coalesce(x, '') FOR x IN [w[1], w[2], w[3]]] AS w FROM (SELECT *, regexp_extract_all(coalesce(messages[1].content, ''), '\\S+') AS w FROM sessions))
+ SELECT session_id, CAST(CASE WHEN n % 2 = 0 OR n % 3 > 0 THEN n + 1 ELSE n END AS INTEGER) AS messages, CASE WHEN n % 2 = 0 THEN '[assistant asked: H] same' WHEN n % 3 = 0 THEN coalesce(last, '') ELSE CASE WHEN w[1] = '' THEN '[assistant asked] ' ELSE '[assistant asked: ' || w[1] || '] ' END || w[1] || ' ' || w[2] || ' ' || w[3] || '?' || CASE WHEN n % 5 = 0 AND w[2] <> '' THEN E'\\n(recommended: ' || w[2] || ')' ELSE '' END END AS last FROM c""", "sessions")
 def n05(t: Tables) -> DataFrame:
-    asked = F.concat(F.lit("[assistant asked] k="), F.get_json_object("props", "$.k"))
-    return t.events.select("event_id", F.when(F.col("event_id") % 2 == 0, asked).otherwise("none").alias("block"))
+    """Contexts of which some hold a previewed ask, which is rewritten; answered questions whose ask is missing get it back."""
+    n, w = F.size("messages"), F.regexp_extract_all(F.coalesce(F.get("messages", F.lit(0))["content"], F.lit("")), F.lit(r"\S+"), 0)
+    word = lambda i: F.coalesce(F.get(w, F.lit(i)), F.lit(""))
+    meta = F.to_json(F.struct(F.concat(F.concat_ws(" ", word(0), word(1), word(2)), F.lit("?")).alias("question"), word(0).alias("header"), F.when(n % 5 == 0, word(1)).alias("recommended_pick"), F.lit("no one's business").alias("answer")))
+    preview = F.array(F.struct(F.lit("assistant").alias("role"), F.lit("AskUserQuestion([{'question': 'same', 'header': 'H'}])").alias("content")))
+    context = F.when(n % 2 == 0, F.concat("messages", preview)).otherwise(F.col("messages"))
+    prompt = asks.with_ask(context, F.when(n % 3 == 0, "free_text").otherwise("question_answer"), meta)
+    return sessions(t.turns()).select("session_id", prompt.alias("p")).select("session_id", F.size("p").alias("messages"), F.element_at("p", -1)["content"].alias("last"))
 
 
 @query("n06_preference_pairs", "SELECT o_orderkey, l_linenumber, o_orderpriority || '>' || l_returnflag AS chosen, o_orderstatus || '>' || l_linestatus AS rejected FROM orders JOIN lineitem ON o_orderkey = l_orderkey WHERE o_orderpriority IS NOT NULL AND l_returnflag IS NOT NULL AND o_orderstatus IS NOT NULL AND l_linestatus IS NOT NULL")
@@ -180,7 +218,7 @@ def n24(t: Tables) -> DataFrame:
 @query("n25_hydrated_hits", "WITH " + HITS + " SELECT CAST(row_number() OVER (ORDER BY round(score, 9) DESC, h.doc_id) AS INTEGER) AS place, h.doc_id, d.lang FROM hits h JOIN documents d ON d.doc_id = h.doc_id")
 def n25(t: Tables) -> DataFrame:
     """Hits of a search in their order with their documents; stale hits drop out.  The hits are the limit's at most."""
-    hits = search.bm25(t.documents, "doc_id", ["text"], "the and of", 50)
+    hits = decisions.index_of(t).search("the and of", 50).withColumnRenamed("id", "doc_id")
     placed = hits.select("doc_id", F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "doc_id")).alias("place"))
     return F.broadcast(placed).join(t.documents, "doc_id").select("place", "doc_id", "lang")
 
@@ -196,7 +234,6 @@ def until_settled(step, cap: int) -> int:
 @query("n20_sweep", "SELECT count(DISTINCT session_id) AS sampled, CAST(ceil(count(DISTINCT session_id) / greatest(10, ceil(count(DISTINCT session_id) / 4))) + 1 AS INTEGER) AS passes FROM turns", "turns")
 def n20(t: Tables) -> DataFrame:
     """Sampling a quarter of the sessions at a time until a pass finds none; what is done is a written table."""
-    from verdigris.operators.dedup import shared
     from verdigris.operators.sampling import draw
 
     every = t.turns().select("session_id").distinct()

@@ -2,15 +2,18 @@
 
 from __future__ import annotations
 
+import hashlib
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris import shared_dir
 from verdigris.functions import text as T
-from verdigris.operators import dedup, gate, metrics, search, similarity
+from verdigris.operators import dedup, exemplars, gate, metrics, search, similarity
 from verdigris.plans import aggregates
 from verdigris.plans.base import Tables, query, scored
+from verdigris.sources.staging import folder
 
 
 @query("m01_minimum_detectable", f"WITH {aggregates._DELONG} SELECT round(2.801585218112969 * sqrt(va + vb - 2 * cab), 9) AS mde FROM s", "scored")
@@ -86,10 +89,17 @@ HITS = r"""tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}
  hits AS (SELECT tf.doc_id, sum(ln(1 + (docs - d + 0.5) / (d + 0.5)) * f * 2.2 / (f + 1.2 * (0.25 + 0.75 * n / a))) AS score FROM tf JOIN df USING (term) JOIN len USING (doc_id), st GROUP BY 1 HAVING count(*) = 3 ORDER BY score DESC, doc_id LIMIT 50)"""
 
 
+def index_of(t: Tables) -> search.Index:
+    """The stored index of these documents, kept in the shared folder as long as the corpus's key stays."""
+    name = hashlib.sha256(t.sf_dir.encode()).hexdigest()[:16]
+    index = search.Index(t.spark, f"{shared_dir(t.spark)}/verdigris/search-{name}")
+    index.ensure(t.documents, "doc_id", ["text"], m12(t).first().key)
+    return index
+
+
 @query("m11_bm25", f"WITH {HITS} SELECT doc_id, round(score, 6) AS score FROM hits")
 def m11(t: Tables) -> DataFrame:
-    hits = search.bm25(t.documents, "doc_id", ["text"], "the and of", 50)
-    return hits.select("doc_id", F.round("score", 6).alias("score"))
+    return index_of(t).search("the and of", 50).select(F.col("id").alias("doc_id"), F.round("score", 6).alias("score"))
 
 
 @query("m12_index_staleness", "SELECT count(*) || ':' || max(refined_at) || ':' || (SELECT count(*) || ':' || max(judged_at) FROM verdicts) AS key FROM pairs", "pairs", "verdicts")
@@ -97,6 +107,18 @@ def m12(t: Tables) -> DataFrame:
     return search.staleness(t.pairs(), "refined_at", t.verdicts(), "judged_at")
 
 
+@query("m12_index_rebuilds", r"""WITH tok AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{N}_]+')) AS term FROM documents), n AS (SELECT doc_id % 2 = 0 AS even, count(DISTINCT doc_id) AS docs, count(DISTINCT CASE WHEN term = 'the' THEN doc_id END) AS hits FROM tok GROUP BY 1)
+ SELECT 'first' AS step, TRUE AS built, docs, hits FROM n WHERE even UNION ALL SELECT 'same key', FALSE, docs, hits FROM n WHERE even UNION ALL SELECT 'moved key', TRUE, CAST(sum(docs) AS BIGINT), CAST(sum(hits) AS BIGINT) FROM n""")
+def m12_rebuilds(t: Tables) -> DataFrame:
+    """An index over every other document, opened again, and after the rest has come: whether it was built, and what it holds."""
+    index, key = search.Index(t.spark, folder(t.spark, "search")), search.staleness(t.documents, "doc_id", t.labels, "doc_id").first().key
+    even, rows = t.documents.where("doc_id % 2 = 0"), []
+    for step, docs, stale in (("first", even, "even:" + key), ("same key", even, "even:" + key), ("moved key", t.documents, key)):
+        built = index.ensure(docs, "doc_id", ["text"], stale)
+        rows.append((step, built, index.state().docs, index.frequencies(["the"]).get("the", 0)))
+    return t.spark.createDataFrame(rows, "step string, built boolean, docs long, hits long")
+
+
 @query("m13_near_duplicates")
 def m13(t: Tables) -> DataFrame:
     return dedup.collapse(t.documents.select("doc_id", "text"), "doc_id", "text")
@@ -153,20 +175,45 @@ def m18(t: Tables) -> DataFrame:
     return rows.select("incumbent", "force", should_retrain(F.col("digest"), F.col("held"), F.col("force")).alias("retrain"))
 
 
-@query("m19_pending_embeddings", "SELECT d.doc_id FROM documents d WHERE d.doc_id % 10 > 0 AND NOT (d.doc_id % 3 = 0 AND sha256(right(d.text, 16000)) = sha256(right(d.text, 16000)) AND d.n_chars > 200)")
-def m19(t: Tables) -> DataFrame:
-    """Train rows whose stored digest isn't that of their last 16,000 characters."""
-    digest = F.sha2(F.substring("text", -16_000, 16_000), 256)
-    rows = t.documents.where("doc_id % 10 > 0").select("doc_id", F.when(F.length("text") <= 16_000, F.sha2("text", 256)).otherwise(digest).alias("digest"))
-    stored = t.documents.where("doc_id % 3 = 0 and n_chars > 200").select("doc_id", F.when(F.length("text") <= 16_000, F.sha2("text", 256)).otherwise(digest).alias("digest"))
-    return rows.join(stored, ["doc_id", "digest"], "left_anti").select("doc_id")
+class Lengths:
+    """A deterministic encoder: the text's length."""
+
+    def encode(self, texts: list[str]):
+        import numpy as np
 
+        return np.array([[len(x)] for x in texts], np.float32)
 
-@query("m20_prediction_stub", "SELECT 'the and of' AS question, 50 AS asked, CAST(NULL AS VARCHAR) AS choice")
+
+@query("m19_pending_embeddings", "SELECT d.doc_id FROM documents d WHERE d.doc_id % 10 > 0 AND NOT (d.doc_id % 3 = 0 AND coalesce(d.n_chars, 0) > 200)")
+def m19(t: Tables) -> DataFrame:
+    """Rows of the train split that a stored index of some of them has no vector for."""
+    index, train = exemplars.EmbeddingIndex(t.spark, folder(t.spark, "exemplars")), t.documents.where("doc_id % 10 > 0")
+    index.refresh(train.where("doc_id % 3 = 0 and n_chars > 200"), "doc_id", "text", Lengths())
+    return index.pending(train, "doc_id", "text").select("doc_id")
+
+
+@query("m19_embedding_index", """WITH d AS (SELECT *, CASE WHEN doc_id % 4 = 1 AND length(coalesce(text, '')) <= 16000 THEN 1 ELSE 0 END AS changed FROM documents WHERE doc_id % 10 > 0)
+ SELECT 'first' AS step, count(*) AS encoded, 0 AS kept, 0 AS removed, sum(least(length(coalesce(text, '')), 16000))::BIGINT AS length FROM d UNION ALL SELECT 'unchanged', 0, count(*), 0, sum(least(length(coalesce(text, '')), 16000))::BIGINT FROM d
+ UNION ALL SELECT 'some changed', sum(changed)::BIGINT, sum(1 - changed)::BIGINT, 0, sum(least(length(coalesce(text, '')) + changed, 16000))::BIGINT FROM d
+ UNION ALL SELECT 'some gone', 0, count(*) FILTER (doc_id % 7 > 0), count(*) FILTER (doc_id % 7 = 0), sum(least(length(coalesce(text, '')) + changed, 16000)) FILTER (doc_id % 7 > 0)::BIGINT FROM d""")
+def m19_runs(t: Tables) -> DataFrame:
+    """Four runs of one index over the train split: first, unchanged, with some texts changed, with some rows gone.  `length`
+    sums what the index then holds."""
+    index, train = exemplars.EmbeddingIndex(t.spark, folder(t.spark, "exemplars")), t.documents.where("doc_id % 10 > 0").select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    changed = train.withColumn("text", F.when((F.col("doc_id") % 4 == 1) & (F.length("text") <= 16_000), F.concat(F.lit("+"), "text")).otherwise(F.col("text")))
+    rows = []
+    for step, docs in (("first", train), ("unchanged", train), ("some changed", changed), ("some gone", changed.where("doc_id % 7 > 0"))):
+        r = index.refresh(docs, "doc_id", "text", Lengths())
+        rows.append((step, r.encoded, r.kept, r.removed, index.table().agg(F.sum(F.col("embedding")[0].cast("long"))).first()[0]))
+    return t.spark.createDataFrame(rows, "step string, encoded long, kept long, removed long, length long")
+
+
+@query("m20_prediction_stub", f"WITH {HITS} SELECT 'the and of' AS question, CAST(row_number() OVER (ORDER BY round(score, 9) DESC, doc_id) AS INTEGER) AS place, doc_id, round(score, 6) AS score, CAST(NULL AS VARCHAR) AS choice FROM hits")
 def m20(t: Tables) -> DataFrame:
-    """Evidence only: it never chooses."""
-    hits = search.bm25(t.documents, "doc_id", ["text"], "the and of", 50)
-    return hits.agg(F.count("*").alias("n")).select(F.lit("the and of").alias("question"), F.lit(50).alias("asked"), F.lit(None).cast("string").alias("choice"))
+    """Evidence only: the documents that speak for an answer, best first; it never chooses."""
+    hits = index_of(t).search("the and of", 50)
+    place = F.row_number().over(Window.orderBy(F.desc(F.round("score", 9)), "id"))  # of the limit's hits
+    return hits.select(F.lit("the and of").alias("question"), place.alias("place"), F.col("id").alias("doc_id"), F.round("score", 6).alias("score"), F.lit(None).cast("string").alias("choice"))
 
 
 def finite(*columns):

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris.operators import latest, similarity, temporal
+from verdigris.sources.staging import shared
 from verdigris.plans.base import Tables, query
 
 
@@ -186,7 +187,7 @@ def j18(t: Tables) -> DataFrame:
 
 @query("j19_minhash_candidates")
 def j19(t: Tables) -> DataFrame:
-    return similarity.lsh_pairs(similarity.minhash(t.documents.select("doc_id", "text"), "doc_id", "text"), "doc_id")
+    return similarity.lsh_pairs(shared(similarity.profiles(t.documents.select("doc_id", "text"), "doc_id", "text"), "profiles"), "doc_id")
 
 
 @query("j20_best_copy", """WITH c AS (SELECT l_orderkey AS k, l_linenumber AS copy, CAST(l_quantity AS BIGINT) AS len, l_shipdate AS mtime FROM lineitem), b AS (SELECT k, max(struct_pack(len := len, mtime := mtime)) AS best FROM c GROUP BY k)

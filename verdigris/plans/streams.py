@@ -25,12 +25,20 @@ def _stream(t: Tables, table: str) -> DataFrame:
     return t.spark.readStream.schema(getattr(t, table).schema).parquet(f"{t.sf_dir}/{table}.parque[t]")  # a pattern, for the table may be one file or a folder
 
 
-@query("t01_arrivals", "SELECT session_id, count(*) AS n FROM turns WHERE turn % 4 > 0 GROUP BY 1", "turns")
+@query("t01_arrivals", "SELECT session_id, least(count(*), 4000) AS n, (list(turn ORDER BY turn))[greatest(count(*) - 4000, 0) + 1] AS oldest FROM turns WHERE turn % 4 > 0 GROUP BY 1", "turns")
 def t01(t: Tables) -> DataFrame:
-    """Entries of main sessions, stamped as they arrive."""
-    rows = _stream(t, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), "turn", (F.col("turn") % 4 == 0).alias("isSidechain"))
-    out = S.drain(S.arrivals(rows), files.folder(t.spark, "arrivals"))
-    return out.where("arrived_at is not null").groupBy("session_id").agg(F.count("*").alias("n"))
+    """Entries of main sessions, stamped as they arrive, in each session's buffer of the newest 4,000."""
+    rows = _stream(t, "conversations").select(F.col("conv_id").cast("string").alias("session_id"), F.col("turn").cast("long").alias("turn"), (F.col("turn") % 4 == 0).alias("isSidechain"))
+    out = S.drain(S.buffered(S.arrivals(rows), 4000, None), files.folder(t.spark, "arrivals"))
+    return latest.first_by(out.where("arrived_at is not null"), ["session_id"], [F.desc("seen")]).select("session_id", F.col("kept").alias("n"), "oldest")
+
+
+@query("t02_debounced", """WITH g AS (SELECT session_id, ts, (epoch_us(ts) // 1000) AS ms, CASE WHEN (epoch_us(ts) // 1000) - lag((epoch_us(ts) // 1000)) OVER w < 1800000 THEN 0 ELSE 1 END AS new FROM moments WINDOW w AS (PARTITION BY session_id ORDER BY ts)), s AS (SELECT session_id, ms, sum(new) OVER (PARTITION BY session_id ORDER BY ts) AS k FROM g), b AS (SELECT session_id, count(*) AS n, max(ms) AS last_ms, k FROM s GROUP BY session_id, k)
+ SELECT session_id, n, last_ms FROM b WHERE last_ms + 1800000 <= (SELECT max((epoch_us(ts) // 1000)) FROM moments)""", "moments")
+def t02(t: Tables) -> DataFrame:
+    """Sessions that have been silent for half an hour of event time, once for each burst of events."""
+    rows = _stream(t, "events").select(F.col("user_id").cast("string").alias("session_id"), F.col("ts").cast("timestamp").alias("ts"))
+    return S.drain(S.debounced_by_event(rows, 1_800_000), files.folder(t.spark, "debounced"))
 
 
 @query("v04_drafts", "SELECT doc_id, regexp_extract(text, '\\S+') || '!' AS final FROM documents WHERE regexp_matches(coalesce(text, ''), '\\S')")
@@ -117,3 +125,22 @@ def v03(t: Tables) -> DataFrame:
 def v05(t: Tables) -> DataFrame:
     """Failures give no row, so their keys stay pending."""
     return extend.judged(t.documents.select("doc_id", "text"), "doc_id", extend.StubJudge())
+
+
+class Unreachable:
+    """A judge whose service answers with the prompt's length, but not for the ids of one stretch."""
+
+    def __init__(self, low: int, high: int):
+        self.low, self.high = low, high
+
+    def __call__(self, key: int, prompt: str) -> str:
+        if key % 7 == 0 or self.low <= key < self.high:
+            raise RuntimeError("no answer")
+        return str(len(prompt))
+
+
+@query("v06_circuit_breaker", """WITH r AS (SELECT doc_id, coalesce(text, '') AS text, doc_id % 7 = 0 OR (doc_id >= 120 AND doc_id < 140) AS fails, row_number() OVER (ORDER BY doc_id) AS pos FROM documents), s AS (SELECT *, sum(fails::INTEGER) OVER (ORDER BY pos ROWS 4 PRECEDING) AS f FROM r)
+ SELECT doc_id, CAST(length(text) AS VARCHAR) AS verdict FROM s WHERE NOT fails AND pos < (SELECT coalesce(min(pos), 1 << 60) FROM s WHERE f = 5)""")
+def v06(t: Tables) -> DataFrame:
+    """Verdicts until five failures in a row; all that comes after them stays pending."""
+    return extend.judged_in_batches(t.documents.select("doc_id", "text"), "doc_id", Unreachable(120, 140), batch=1000).answered

@@ -10,18 +10,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from verdigris.sources.staging import folder, shared  # noqa: F401
+
 TRANSCRIPT = "type string, uuid string, sessionId string, timestamp string, isSidechain boolean, isMeta boolean, message struct<role: string, content: string>, _corrupt_record string"
 REGISTRY = "path string, mtime timestamp"
 RECEIPT = "receipt"
 
 
-def folder(spark: SparkSession, name: str) -> str:
-    """A fresh path in the folder that driver and executors share."""
-    from verdigris import shared_dir
-
-    return f"{shared_dir(spark)}/verdigris/{name}-{uuid.uuid4().hex}"
-
-
 def _path(spark: SparkSession, path: str):
     p = spark._jvm.org.apache.hadoop.fs.Path(path)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
@@ -43,6 +38,11 @@ def write_text(spark: SparkSession, path: str, text: str) -> None:
     fs.rename(part, p)
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    fs, p = _path(spark, path)
+    return fs.exists(p)
+
+
 def read_text(spark: SparkSession, path: str) -> str | None:
     fs, p = _path(spark, path)
     if not fs.exists(p):
@@ -77,8 +77,6 @@ def scan(spark: SparkSession, root: str, registry: DataFrame, full: bool = False
     """Entries of files that are new or newer than the registry says, and the registry afterwards.
 
     A file with a broken line is skipped whole and stays unrecorded."""
-    from verdigris.operators.dedup import shared
-
     rows = transcripts(spark, root)
     files = listing(spark, root, pattern).select("path", "mtime")
     known = registry.select("path", F.col("mtime").alias("seen"))
