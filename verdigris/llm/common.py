@@ -274,7 +274,7 @@ def components(links: DataFrame, src: str, dst: str, name: str = "components", m
 
     Alternating large-star and small-star rounds (Kiveris et al. 2014): each round is a group and a join on node keys, a
     written table ends the lineage, and rounds stop when the set of links stays the same.  Rounds grow as log² of a
-    component's size at most.  Self-links and nulls are ignored.
+    component's size at most.  Self-links and nulls are ignored.  The result is a stored table.
     """
     spark = links.sparkSession
     edges = links.select(F.greatest(src, dst).alias("u"), F.least(src, dst).alias("v")).where("u <> v").distinct()
@@ -299,7 +299,9 @@ def components(links: DataFrame, src: str, dst: str, name: str = "components", m
     else:
         raise RuntimeError(f"components did not settle within {most} rounds")
     roots = edges.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out = edges.select(F.col("u").alias("node"), F.col("v").alias("component")).union(roots)
+    out.staged_at = paths[0]
+    return out
 
 
 def narrow_batches(spark: SparkSession, most: int = 2000) -> None:

@@ -35,7 +35,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.llm.common import WORDS, as_bytes, components, mix, shingles, slices, small, staged, trimmed
+from verdigris.llm.common import WORDS, as_bytes, components, mix, release, shingles, slices, small, staged, trimmed
 
 #: Entries of the table of common shingles: 9 bytes each.  Others count as rare, which costs time and no results.
 MOST_COMMON = 1 << 21
@@ -101,7 +101,9 @@ def census(texts: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray, float, dic
     found = counts.where((F.col("sort") == 0) & (level >= least)).select("key", F.least(level, F.lit(255)).cast("short").alias("level")).toPandas()
     keys = found["key"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(keys)
-    return keys[order], found["level"].to_numpy(np.uint8)[order], scanned, {r.key: r.n for r in counts.where("sort = 1 and key > 0 and n > 0").collect()}
+    sizes = {r.key: r.n for r in counts.where("sort = 1 and key > 0 and n > 0").collect()}
+    release(counts)
+    return keys[order], found["level"].to_numpy(np.uint8)[order], scanned, sizes
 
 
 def boundary(sizes: dict[int, int], scanned: float, similarity: float) -> int:
@@ -187,8 +189,8 @@ def node_rows(docs: DataFrame, k: int, similarity: float, light: int, common: tu
 
 
 def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, similarity: float, name: str) -> DataFrame:
-    """Those of the pairs (a, b) whose sets are similar: a's set meets b's sets one after the other, b's in portions of
-    about 256.  Each set is made from its text and goes straight to the places where it is needed."""
+    """Those of the pairs (a, b; a stored table, which goes) whose sets are similar: a's set meets b's sets one after the
+    other, b's in portions of about 256.  Each set is made from its text and goes straight to the places where it is needed."""
     portions = pairs.groupBy("a").agg(F.ceil(F.count("*") / 256).alias("portions"))
     dealt = staged(pairs.join(portions, "a").select("a", F.pmod(F.xxhash64("b"), "portions").alias("portion"), "b"), f"{name}-dealt")
     mine = dealt.select(F.col("a").alias("node"), "a", "portion", F.lit(None).cast("long").alias("b")).distinct()
@@ -218,7 +220,9 @@ def verified(docs: DataFrame, nodes: DataFrame, pairs: DataFrame, k: int, simila
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     met = made.repartition("a", "portion").sortWithinPartitions("a", "portion", F.col("b").asc_nulls_first())
-    return staged(met.mapInArrow(trimmed(compare), "a long, b long"), f"{name}-links")
+    out = staged(met.mapInArrow(trimmed(compare), "a long, b long"), f"{name}-links")
+    release(pairs, dealt, places, needed)
+    return out
 
 
 def may_be_similar(n: np.ndarray, m: np.ndarray, counts: np.ndarray, others: np.ndarray, similarity: float) -> np.ndarray:
@@ -242,7 +246,7 @@ def hub_members(rows: DataFrame) -> DataFrame:
     cold = entries.join(hot, "key", "left_anti").select("node", least["node"].alias("hub"), (low != high).alias("several")).where("several").select("hub", "node")
     warm = entries.join(hot, "key")
     first = F.min_by("node", F.shiftleft(F.col("rank").cast("long"), 57).bitwiseOR(F.shiftrightunsigned("node", 7)))
-    hubs = staged(warm.groupBy("key").agg(first.alias("hub")), "hot-hubs")
+    hubs = staged(warm.groupBy("key").agg(first.alias("hub")), "hot-hubs")  # 2,000 rows at most
     return cold.union(warm.join(F.broadcast(hubs), "key").select("hub", "node")).groupBy("hub", "node").agg(F.count("*").alias("lists"))
 
 
@@ -302,7 +306,8 @@ def across(members: DataFrame, info: DataFrame, similarity: float) -> DataFrame:
 
 
 def grouped(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, id_column: str = "doc_id", text_column: str = "text") -> DataFrame:
-    """doc_id, hash (of the text), n, component of every row; rows of one component are linked.  Null without words."""
+    """doc_id, hash (of the text), n, component of every row (a stored table); rows of one component are linked.  Null without
+    words.  What it stores on the way goes as soon as nothing reads it."""
     texts = docs.select(F.col(f"`{id_column}`").alias("doc_id"), F.col(f"`{text_column}`").alias("text"))
     keys, times, scanned, sizes = census(texts, k)
     light = boundary(sizes, scanned, similarity)
@@ -321,19 +326,26 @@ def grouped(docs: DataFrame, *, k: int = 5, similarity: float = 0.8, id_column:
     sized = sized.withColumn("place", nearest).where(F.col("place") <= FIRST_HUBS)
     pairs = sized.join(info.select(F.col("node").alias("a"), "counts"), "a").join(info.select(F.col("node").alias("b"), F.col("counts").alias("others")), "b")
     first = verified(texts, nodes, staged(plausible(pairs, similarity), "pairs"), k, similarity, "sets")
-    found = components(first, "a", "b", "contracted")
-    members = hubs.join(found, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component"))
-    second = verified(texts, nodes, staged(across(staged(members, "members"), info, similarity), "pairs"), k, similarity, "sets")
-    found = components(first.union(second), "a", "b", "groups")
+    groups = components(first, "a", "b", "contracted")
+    members = staged(hubs.join(groups, "node", "left").select("hub", "node", F.coalesce("component", "node").alias("component")), "members")
+    release(groups, hubs)
+    second = staged(across(members, info, similarity), "pairs")
+    release(members, info)
+    second = verified(texts, nodes, second, k, similarity, "sets")
+    groups = components(first.union(second), "a", "b", "groups")
+    release(first, second, nodes)
 
     # most nodes are in no link: only the others are looked up
-    found = small(staged(found.where("node <> component"), "components"))
-    return rows.select("doc_id", "hash", "n", "node").join(found, "node", "left").select("doc_id", "hash", "n", F.coalesce("component", "node").alias("component"))
+    found = staged(groups.where("node <> component"), "components")
+    rows_of = rows.select("doc_id", "hash", "n", "node").join(small(found), "node", "left").select("doc_id", "hash", "n", F.coalesce("component", "node").alias("component"))
+    out = staged(rows_of, "grouped")
+    release(groups, found, rows)
+    return out
 
 
 def similar_groups(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id (the component's smallest id) of every row; similarity is a whole number of hundredths, over one half."""
-    rows = staged(grouped(docs, **options), "grouped")
+    rows = grouped(docs, **options)
     # rows that share their component with others; the rest are their own
     least = rows.where("component is not null").groupBy("component").agg(F.min("doc_id").alias("component_id"), F.count("*").alias("times")).where("times > 1")
     least = small(staged(least, "component-ids").select("component", "component_id"))
@@ -343,12 +355,14 @@ def similar_groups(docs: DataFrame, **options) -> DataFrame:
 def representatives(docs: DataFrame, *, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """docs with one row of each component: the one with the smallest id (nulls last), then text hash; of rows that are
     equal in both, one.  Rows without words all stay."""
-    rows = staged(grouped(docs, id_column=id_column, text_column=text_column, **options).where("component is not null"), "grouped")
+    every = grouped(docs, id_column=id_column, text_column=text_column, **options)
+    rows = every.where("component is not null")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "hash")
     best = rows.groupBy("component").agg(F.min(place).alias("best"), F.count("*").alias("times")).where("times > 1")
-    best = small(staged(best.select("component", "best"), "best"))
-    met = rows.join(best, "component").select("doc_id", "hash", (place == F.col("best")).alias("stays"))
+    best = staged(best.select("component", "best"), "best")
+    met = rows.join(small(best), "component").select("doc_id", "hash", (place == F.col("best")).alias("stays"))
     met = staged(met.groupBy("doc_id", "hash").agg(F.max("stays").alias("stays"), F.count("*").alias("times")), "met")
+    release(every, best)
     own, text = F.col(f"`{id_column}`"), F.col(f"`{text_column}`")
     same = own.eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__hash"))
     of = lambda df: df.select(F.col("doc_id").alias("__id"), F.col("hash").alias("__hash"))
