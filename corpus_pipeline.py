@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from verdigris.llm import decontaminate, jaccard, lines, packing, quality
-from verdigris.llm.common import load, narrow_batches, staged
+from verdigris.llm.common import load, narrow_batches, release, staged
 
 
 def _with_plain_names(docs: DataFrame, change: Callable[[DataFrame], DataFrame]) -> DataFrame:
@@ -77,7 +77,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = load(spark, sf_dir, "documents")
+    docs, before = load(spark, sf_dir, "documents"), []
     for name, stage in STAGES[:-1]:
         docs = staged(stage(spark, docs, sf_dir), name.replace(" ", "-"))
+        release(*before)
+        before = [docs]
     return STAGES[-1][1](spark, docs, sf_dir)
