@@ -253,29 +253,32 @@ def banded(signed: DataFrame, key: str, bands: int = 32) -> DataFrame:
     return signed.where("signature is not null").select(key, F.explode(keys).alias("k")).select(key, "k.band", "k.hash")
 
 
-#: One-bit minima of a sketch.
-SKETCH = 512
-
-
-def minima(h: np.ndarray, count: int, of) -> np.ndarray:
-    """The minima over h of `count` functions; of(i, j, part) gives those from i to j of a part of h as rows."""
-    out = None
-    for at in range(0, len(h), 1 << 15):
-        part = h[at : at + (1 << 15)]
-        low = np.concatenate([of(i, i + 16, part).min(1) for i in range(0, count, 16)])
-        out = low if out is None else np.minimum(out, low)
+#: Minima of a sketch, four bits of each.
+SKETCH = 192
+
+
+def minima(h: np.ndarray, times: np.ndarray, plus: np.ndarray) -> np.ndarray:
+    """The minima over h of times·h + plus (mod 2³²), one for each pair of coefficients."""
+    out = np.full(len(times), np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(h), 1 << 13):
+        part = h[at : at + (1 << 13)]
+        for i in range(0, len(times), 16):
+            rows = times[i : i + 16, None] * part
+            rows += plus[i : i + 16, None]
+            np.minimum(out[i : i + 16], rows.min(1), out=out[i : i + 16])
     return out
 
 
 def profiles(df: DataFrame, key: str, text: str, perms: int = 128, bands: int = 32, seed: int = 17) -> DataFrame:
-    """key, size (of the set of byte 5-grams), same (equal for equal sets), bands (a hash for each band of the MinHash
-    signature), sketch (512 bits: one of each of as many further minima).  Texts below 5 bytes have no row."""
+    """key, size (of the set of byte 5-grams), same (equal for equal sets), bands (a hash for each band of the first `perms`
+    minima), sketch (four bits of each of 192 minima, 16 to an integer).  Texts below 5 bytes have no row."""
     import hashlib
 
     import pyarrow as pa
 
-    a, b = (np.array(c, np.uint64) for c in coefficients(perms, seed))
-    odd = np.random.default_rng(seed + 1).integers(0, 1 << 63, SKETCH).astype(np.uint64) * np.uint64(2) + np.uint64(1)
+    rng = np.random.default_rng(seed)
+    times, plus = (rng.integers(0, 1 << 32, max(perms, SKETCH), np.uint32) for _ in range(2))
+    times |= np.uint32(1)
     kind = df.schema[key].dataType.simpleString()
 
     def mixed(x: np.ndarray) -> np.ndarray:
@@ -289,30 +292,39 @@ def profiles(df: DataFrame, key: str, text: str, perms: int = 128, bands: int =
                 s = byte_shingles(t)
                 if not len(s):
                     continue
-                h = s.astype(np.uint64)
-                signature = minima(h % np.uint64(P), perms, lambda i, j, x: (a[i:j, None] * x + b[i:j, None]) % np.uint64(P)).reshape(bands, -1)
+                low = minima((mixed(s.astype(np.uint64)) >> np.uint64(32)).astype(np.uint32), times, plus)
                 band = np.arange(bands, dtype=np.uint64)
-                for c in range(signature.shape[1]):
-                    band = mixed(band * np.uint64(31) + signature[:, c])
-                low = minima(mixed(h), SKETCH, lambda i, j, x: odd[i:j, None] * x)
+                for c in low[:perms].reshape(bands, -1).T:
+                    band = mixed(band * np.uint64(31) + c)
                 at.append(i)
                 size.append(len(s))
                 same.append(hashlib.md5(s.tobytes()).digest())
                 held.append(band.view(np.int64))
-                sketch.append(np.packbits((low >> np.uint64(20)).astype(np.uint8) & 1).view(np.int64))
+                # middle bits: the high ones of a minimum are 0, the low ones of a product are not mixed
+                four = (low[:SKETCH] >> np.uint32(7)).astype(np.uint8) & 15
+                sketch.append((four[::2] << 4 | four[1::2]).view(np.int64))
             lists = lambda x: pa.array(x, pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(at, pa.int64())), pa.array(size, pa.int64()), pa.array(same, pa.binary()), lists(held), lists(sketch)], names=[key, "size", "same", "bands", "sketch"])
 
-    return df.select(key, text).mapInArrow(run, f"{key} {kind}, size long, same binary, bands array<long>, sketch array<long>")
+    rows, cores = df.select(key, text), df.sparkSession.sparkContext.defaultParallelism
+    if rows.rdd.getNumPartitions() < cores:  # less than a split for each core, so little
+        rows = rows.repartition(cores)
+    return rows.mapInArrow(run, f"{key} {kind}, size long, same binary, bands array<long>, sketch array<long>")
 
 
 def may_be_alike(a: str, b: str, threshold: float) -> Column:
     """Whether two profiles (column prefixes) leave it possible that their sets have that Jaccard similarity: by their sizes
     for certain, by their sketches up to six standard deviations (1 in 10⁹ of the pairs at the threshold is lost)."""
-    off = SKETCH * (1 - threshold) / 2
-    most = math.ceil(off + 6 * math.sqrt(off * (1 + threshold) / 2))
+    off = (1 - threshold) * 15 / 16  # two unlike minima have the same four bits once in 16
+    most = math.ceil(SKETCH * off + 6 * math.sqrt(SKETCH * off * (1 - off)))
     x, y = F.col(f"{a}size"), F.col(f"{b}size")
-    apart = reduce(add, (F.bit_count(F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])) for i in range(SKETCH // 64)))
+
+    def unlike(i: int) -> Column:
+        d = F.col(f"{a}sketch")[i].bitwiseXOR(F.col(f"{b}sketch")[i])
+        d = d.bitwiseOR(F.shiftrightunsigned(d, 1))
+        return F.bit_count(d.bitwiseOR(F.shiftrightunsigned(d, 2)).bitwiseAND(F.lit(0x1111111111111111)))
+
+    apart = reduce(add, (unlike(i) for i in range(SKETCH // 16)))
     return (F.least(x, y) >= threshold * F.greatest(x, y)) & (apart <= most)
 
 
