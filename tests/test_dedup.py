@@ -82,6 +82,49 @@ def test_a_family_of_unlike_rows_gives_few_candidates(spark):
     assert dedup.collapse(df, "doc_id", "text").where("doc_id <> component").count() == 0
 
 
+def brute(rows):
+    """component of each id and the texts' representative by all pairs; rows: (key, text)."""
+    want = components([i for i, _ in rows], alike({i: similarity.byte_shingles(t) for i, t in rows}))
+    return want
+
+
+def representatives(spark, want):
+    """The member with the smallest hash of each component."""
+    df = spark.createDataFrame(list(want.items()), ["k", "c"])
+    return {r.k for r in df.selectExpr("k", "c", "xxhash64(k) as h").selectExpr("min_by(k, struct(h, k)) over (partition by c) as k").distinct().collect()}
+
+
+def test_statistics_of_the_pass_that_writes(spark, tmp_path):
+    import json
+
+    rows = [(f"k{i}", t, i) for i, (_, t) in enumerate(texts(5, 6, 12, 0.5))] + [("n", None, -1), ("e", "", -2)]
+    df = spark.createDataFrame(rows, "key string, text string, more int").repartition(4)
+    want = representatives(spark, brute([(k, t) for k, t, _ in rows]))
+    stats = dedup.write_collapsed(df, "key", "text", str(tmp_path))
+    assert stats == {"rows": len(rows), "kept": len(want), "lexical": len(rows) - len(want), "marginal": 0}
+    assert json.loads((tmp_path / "stats.json").read_text()) == stats
+    assert {(r.key, r.text, r.more) for r in spark.read.parquet(f"{tmp_path}/rows").collect()} == {r for r in rows if r[0] in want}
+
+
+def test_queries_keep_what_all_pairs_keep(spark, sf_dir):
+    from verdigris.plans import composites, decisions
+    from verdigris.plans.base import Tables
+    from verdigris.operators import latest
+
+    t = Tables(spark, sf_dir)
+    j = latest.latest_verdict(t.verdicts(), "judge").select("dedup_key", "category")
+    rows = [(r.dedup_key, f"<user>\n{r.text}") for r in t.feedback().join(j, "dedup_key").where("text is not null").collect()]
+    none = [r.dedup_key for r in t.feedback().join(j, "dedup_key").where("text is null").collect()]
+    want = representatives(spark, brute(rows)) | set(none)
+    assert {r.dedup_key for r in composites.n02(t).collect()} == want
+    docs = {r.doc_id: r.text for r in t.documents.collect()}
+    kept = representatives(spark, brute(list(docs.items())))
+    pool = decisions.m17(t).collect()
+    assert {r.doc_id for r in pool} <= kept and all(r.prompt == docs[r.doc_id] for r in pool)
+    n = {c: sum(r.completion == c for r in pool) for c in ("yes", "no")}
+    assert n["yes"] == n["no"] > 0 and len({(r.doc_id, r.copy) for r in pool}) == len(pool)
+
+
 def clustered(seed, n, dim=24, centres=30, spread=0.08):
     rng = np.random.default_rng(seed)
     c = rng.normal(size=(centres, dim))

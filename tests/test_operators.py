@@ -340,7 +340,7 @@ def test_anchors(spark):
 
 
 def test_a_family_whose_smallest_row_is_far_from_some(spark):
-    """Members drift from a core; groups must be those of all pairs that share a band."""
+    """Members drift from a core; groups must be those of all pairs."""
     rng, docs = random.Random(11), []
     core = [rng.choice("abcdefghij") * rng.randint(2, 6) + str(rng.randint(0, 99)) for _ in range(60)]
     for i in range(150):
@@ -357,9 +357,10 @@ def test_a_family_whose_smallest_row_is_far_from_some(spark):
             i = root[i]
         return i
 
-    for r in similarity.lsh_pairs(similarity.minhash(df, "doc_id", "text"), "doc_id").collect():
-        if len(sets[r.a] & sets[r.b]) / len(sets[r.a] | sets[r.b]) >= 0.8:
-            root[max(find(r.a), find(r.b))] = min(find(r.a), find(r.b))
+    for a, x in sets.items():
+        for b, y in sets.items():
+            if a < b and len(x & y) / len(x | y) >= 0.8:
+                root[max(find(a), find(b))] = min(find(a), find(b))
     assert {r.doc_id: r.component for r in dedup.collapse(df, "doc_id", "text").collect()} == {i: find(i) for i in root}
     assert len(set(map(find, root))) > 1
 
@@ -469,6 +470,59 @@ def test_lexical_gate_separates(spark):
     rng = random.Random(6)
     rows = [(i, " ".join(rng.choice(["plain", "words", "here", "again"] + ["awful", "wrong"] * (i % 2)) for _ in range(12)), i % 2) for i in range(120)]
     df = spark.createDataFrame(rows, "id long, text string, label int")
-    model = gate.train(df.where("id < 80"), "text", "label")
-    held = gate.score(model, df.where("id >= 80"), "text").collect()
+    model = gate.train(df.where("id < 80"), "id", "text", "label")
+    held = gate.score(model, df.where("id >= 80"), "id", "text").join(df, "id").collect()
     assert np.mean([(r.p > 0.5) == bool(r.label) for r in held]) > 0.9
+
+
+def test_gate_against_plain_numpy(spark):
+    """Vocabulary, weights and scores are those of a version in plain Python."""
+    from collections import Counter
+
+    rng = random.Random(8)
+    pool = ["plain", "words", "here", "a", "b-c", "été", "x1"] + ["awful", "wrong", "bad"]
+    rows = [(i, " ".join(rng.choices(pool, [3] * 7 + [1 + 5 * (i % 3 == 0)] * 3, k=rng.randint(0, 14))), int(i % 3 == 0)) for i in range(90)] + [(90, None, 0), (91, "?", 1)]
+    df = spark.createDataFrame(rows, "id long, text string, label int").repartition(3)
+
+    def grams(text):
+        text, out = (text or "").lower(), Counter()
+        w = re.findall(r"\b\w\w+\b", text)
+        out.update((0, x) for x in w + [f"{x} {y}" for x, y in zip(w, w[1:])])
+        for x in text.split():
+            p = f" {x} "
+            for n in (3, 4, 5):
+                out.update((1, p[i : i + n]) for i in range(max(1, len(p) - n + 1)))
+                if len(p) <= n:
+                    break
+        return out
+
+    counts, n = [grams(t) for _, t, _ in rows], len(rows)
+    df_of, total = Counter(g for c in counts for g in c), Counter()
+    for c in counts:
+        total.update(c)
+    words = [g for g in df_of if g[0] == 0 and df_of[g] >= 2]
+    chars = sorted((g for g in df_of if g[0] == 1 and df_of[g] >= 3), key=lambda g: (-total[g], g))[:40]
+    place = {g: i for i, g in enumerate(sorted(words + chars))}
+    x = np.zeros((n, len(place)))
+    for i, c in enumerate(counts):
+        for g, f in c.items():
+            if g in place:
+                x[i, place[g]] = (1 + math.log(f)) * (math.log((1 + n) / (1 + df_of[g])) + 1)
+        for block in (0, 1):
+            at = [j for g, j in place.items() if g[0] == block]
+            norm = np.linalg.norm(x[i, at])
+            x[i, at] /= norm or 1
+    y = np.array([lab for _, _, lab in rows])
+    weight = np.where(y == 1, n / (2 * y.sum()), n / (2 * (n - y.sum())))
+    full, w = np.hstack([x, np.ones((n, 1))]), np.zeros(len(place) + 1)
+    ridge = np.eye(len(w))
+    ridge[-1, -1] = 0
+    for _ in range(60):  # Newton
+        p = 1 / (1 + np.exp(-full @ w))
+        w -= np.linalg.solve(4.0 * full.T @ (full * (weight * p * (1 - p))[:, None]) + ridge, 4.0 * full.T @ (weight * (p - y)) + ridge @ w)
+    model = gate.train(df, "id", "text", "label", char_min_df=3, most=(1 << 20, 40))
+    got = {(r.block, r.gram): r.weight for r in model.weights().collect()}
+    assert set(got) == set(place)
+    assert max(abs(got[g] - w[j]) for g, j in place.items()) < 1e-3
+    p = 1 / (1 + np.exp(-full @ w))
+    assert {r.id: round(r.p, 3) for r in gate.score(model, df, "id", "text").collect()} == pytest.approx({i: p[i] for i, _, _ in rows}, abs=2e-3)

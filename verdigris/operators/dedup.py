@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -88,6 +90,23 @@ def collapse(docs: DataFrame, key: str, text: str, threshold: float = 0.8, *, em
     return kept(lexical.union(links)).join(alone, key).select(key, "component", "representative", (F.col("before") & (F.col(key) != F.col("representative"))).alias("marginal"))
 
 
+def write_collapsed(rows: DataFrame, key: str, text: str, path: str, **options) -> dict[str, int]:
+    """Writes one row of each group to path/rows and, beside it, statistics of the same pass: rows seen and kept, and those
+    removed by kind (`lexical`, or `marginal`: by vectors alone).  rows: key is unique."""
+    from pyspark.sql import Observation
+
+    from verdigris.sources.files import write_text
+
+    found = collapse(rows.select(key, text), key, text, **options).select(key, (F.col(key) == F.col("representative")).alias("__kept"), F.col("marginal").alias("__marginal"))
+    seen = Observation("collapse")
+    gone = ~F.col("__kept")
+    counts = {"rows": F.count("*"), "kept": F.count_if("__kept"), "lexical": F.count_if(gone & ~F.col("__marginal")), "marginal": F.count_if(gone & F.col("__marginal"))}
+    rows.join(found, key).observe(seen, *(c.alias(n) for n, c in counts.items())).where("__kept").drop("__kept", "__marginal").write.mode("overwrite").parquet(f"{path}/rows")
+    stats = {n: int(seen.get[n]) for n in counts}
+    write_text(rows.sparkSession, f"{path}/stats.json", json.dumps(stats, sort_keys=True))
+    return stats
+
+
 def contained(items: DataFrame, item: str, item_text: str, docs: DataFrame, text: str, block: int = 8 << 20) -> DataFrame:
     """Items whose whole text stands in some document.
 

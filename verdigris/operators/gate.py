@@ -1,35 +1,123 @@
-"""The lexical gate: TF-IDF of words and character grams with a balanced logistic regression; temperature scaling."""
+"""The lexical gate: TF-IDF over a vocabulary of words and character grams with a balanced logistic regression; temperature
+scaling.
+
+Two blocks of features: words of two letters or more with their pairs, and character grams of 3 to 5 within words (a space
+stands for either border).  A gram needs `min_df` texts; of character grams the most frequent are kept.  A text's weight for
+a gram is (1 + ln tf)·idf with idf = ln((1 + n) / (1 + df)) + 1, and each block is scaled to length 1.  The vocabulary, with
+document frequencies and places, is a stored table that rows join; it is counted by a shuffle of grams that tasks have
+already counted, and never comes to the driver.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from dataclasses import dataclass
+
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from verdigris.sources.staging import shared
+
+WORD, CHAR = 0, 1
+
+
+def grams_of(text: str, low: int = 3, high: int = 5) -> Iterator[tuple[int, str]]:
+    """(block, gram) with repeats."""
+    import re
+
+    text = text.lower()
+    words = re.findall(r"\b\w\w+\b", text)
+    yield from ((WORD, w) for w in words)
+    yield from ((WORD, f"{a} {b}") for a, b in zip(words, words[1:], strict=False))
+    for word in text.split():
+        padded = f" {word} "
+        for n in range(low, high + 1):
+            if len(padded) <= n:  # a short word is one gram, of the shortest length that holds it
+                yield CHAR, padded
+                break
+            yield from ((CHAR, padded[i : i + n]) for i in range(len(padded) - n + 1))
+
+
+def counted(rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, block, gram, tf: the grams of each text, counted where the text is read."""
+    import pyarrow as pa
+
+    kind = rows.schema[key].dataType.simpleString()
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from collections import Counter
+
+        for b in batches:
+            for i in range(b.num_rows):  # a text at a time bounds what is held
+                found = Counter(grams_of(b.column(1)[i].as_py() or ""))
+                if found:
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(found), pa.int64())), pa.array([k for k, _ in found], pa.int32()), pa.array([g for _, g in found]), pa.array(list(found.values()), pa.int64())], names=[key, "block", "gram", "tf"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, block int, gram string, tf long")
+
+
+def vocabulary(grams: DataFrame, key: str, texts: int, word_min_df: int, char_min_df: int, most: tuple[int, int]) -> DataFrame:
+    """block, gram, place, idf (stored): of each block the `most` frequent grams of enough texts, ties by gram, in the order of
+    block and gram."""
+    enough = F.when(F.col("block") == WORD, word_min_df).otherwise(char_min_df)
+    found = grams.groupBy("block", "gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= enough)
+    kept = [found.where(F.col("block") == k).orderBy(F.desc("total"), "gram").limit(most[k]) for k in (WORD, CHAR)]
+    idf = F.log((1.0 + texts) / (1.0 + F.col("df"))) + 1
+    place = F.row_number().over(Window.orderBy("block", "gram")) - 1  # of the bounded vocabulary
+    return shared(kept[WORD].union(kept[CHAR]).select("block", "gram", place.alias("place"), idf.alias("idf")), "vocabulary")
+
+
+@dataclass
+class Gate:
+    vocabulary: DataFrame
+    size: int
+    model: object  # a fitted logistic regression
+
+    def weights(self) -> DataFrame:
+        """block, gram, weight."""
+        held = [(i, float(w)) for i, w in enumerate(self.model.coefficients)]
+        return self.vocabulary.join(self.vocabulary.sparkSession.createDataFrame(held, "place int, weight double"), "place").select("block", "gram", "weight")
+
+
+def vectors(grams: DataFrame, key: str, held: DataFrame, size: int) -> DataFrame:
+    """key, features: a sparse vector for each text with a gram of the vocabulary."""
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-def grams(df: DataFrame, text: str) -> DataFrame:
-    words = F.filter(F.split(F.lower(text), r"\W+"), lambda w: w != "")
-    pairs = F.zip_with(F.slice("w", 1, F.greatest(F.size("w") - 1, F.lit(0))), F.slice("w", 2, F.greatest(F.size("w") - 1, F.lit(0))), lambda a, b: F.concat_ws(" ", a, b))
-    chars = F.flatten(F.transform("w", lambda w: F.transform(F.sequence(F.lit(1), F.greatest(F.length(w), F.lit(1))), lambda i: F.concat(F.lit("#"), F.substring(F.concat(F.lit(" "), w, F.lit(" ")), i, F.lit(3))))))
-    return df.withColumn("w", words).withColumn("grams", F.concat("w", pairs, chars))
+    rows = grams.join(held, ["block", "gram"]).select(key, "block", "place", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("x"))
+    texts = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "block", "x"))).alias("g"))
+    length = lambda k: F.sqrt(F.aggregate("g", F.lit(0.0), lambda s, e: s + F.when(e["block"] == k, e["x"] * e["x"]).otherwise(0.0)))
+    texts = texts.withColumn("word", length(WORD)).withColumn("char", length(CHAR))
+    scaled = F.transform("g", lambda e: e["x"] / F.when(e["block"] == WORD, F.col("word")).otherwise(F.col("char")))
+    made = F.udf(lambda at, x: SparseVector(size, at, x), VectorUDT())  # the vector type has no constructor on the JVM's side
+    return texts.select(key, made(F.transform("g", lambda e: e["place"]), scaled).alias("features"))
 
 
-def train(rows: DataFrame, text: str, label: str, features: int = 1 << 16, c: float = 4.0):
-    """A fitted pipeline model; classes weigh the same."""
-    from pyspark.ml import Pipeline
+def train(rows: DataFrame, key: str, text: str, label: str, *, word_min_df: int = 2, char_min_df: int = 5, most: tuple[int, int] = (1 << 20, 200_000), c: float = 4.0, steps: int = 200) -> Gate:
+    """key: unique; label: 0 or 1.  Both classes weigh the same: a row's weight is n / (2·rows of its class).  The loss is
+    c·Σ weight·log loss + |w|²/2, which is Spark's with the mean loss and regParam 1 / (c·n)."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.feature import IDF, HashingTF, Normalizer
+    from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    n = rows.groupBy(label).agg(F.count("*").alias("__n"))
-    total = rows.agg(F.count("*").alias("__total"))
-    data = grams(rows, text).join(F.broadcast(n), label).join(F.broadcast(total), F.lit(True)).withColumn("weight", F.col("__total") / (2.0 * F.col("__n")))
-    stages = [HashingTF(inputCol="grams", outputCol="tf", numFeatures=features), IDF(inputCol="tf", outputCol="tfidf", minDocFreq=2), Normalizer(inputCol="tfidf", outputCol="unit"), LogisticRegression(featuresCol="unit", labelCol=label, weightCol="weight", regParam=1.0 / (c * 1000), maxIter=30)]
-    return Pipeline(stages=stages).fit(data)
+    n = {bool(r["y"]): r["n"] for r in rows.groupBy(F.col(label).cast("boolean").alias("y")).agg(F.count("*").alias("n")).collect()}
+    total = sum(n.values())
+    grams = shared(counted(rows, key, text), "grams")
+    held = vocabulary(grams, key, total, word_min_df, char_min_df, most)
+    size = held.count()
+    empty = F.udf(lambda: SparseVector(size, [], []), VectorUDT())
+    data = rows.select(key, F.col(label).cast("double").alias("y")).join(vectors(grams, key, held, size), key, "left")
+    weight = F.when(F.col("y") == 1, total / (2.0 * n.get(True, 1))).otherwise(total / (2.0 * n.get(False, 1)))
+    data = data.select("y", F.coalesce("features", empty()).alias("features"), weight.alias("weight"))
+    fit = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=steps, tol=1e-9)
+    return Gate(held, size, fit.fit(shared(data, "gate-rows")))
 
 
-def score(model, rows: DataFrame, text: str) -> DataFrame:
+def score(gate: Gate, rows: DataFrame, key: str, text: str) -> DataFrame:
+    """key, p of every row; a text without a known gram has the p of the intercept."""
     from pyspark.ml.functions import vector_to_array
 
-    return model.transform(grams(rows, text)).withColumn("p", vector_to_array("probability")[1])
+    known = gate.model.transform(vectors(counted(rows, key, text), key, gate.vocabulary, gate.size)).select(key, vector_to_array("probability")[1].alias("p"))
+    plain = 1 / (1 + F.exp(F.lit(-float(gate.model.intercept))))
+    return rows.select(key).join(known, key, "left").select(key, F.coalesce("p", plain).alias("p"))
 
 
 def temperature(rows: DataFrame, logit: str, label: str, low: float = 0.05, high: float = 20.0, steps: int = 40) -> float:

@@ -1,8 +1,8 @@
 """Ranking and calibration metrics over scored rows.
 
-Ranks come from counts by distinct score.  These are dealt into ranges between approximate quantiles; running sums are
-taken within each range and what the ranges before add up to, a row for each range, is broadcast.  So no task sees all of
-the scores, however many of them are distinct.
+Ranks come from counts by distinct score.  These are dealt into ranges by one range shuffle; running sums are taken within
+each range and what the ranges before add up to, a row for each range, is broadcast.  So no task sees all of the scores,
+however many of them are distinct.
 """
 
 from __future__ import annotations
@@ -13,16 +13,16 @@ from statistics import NormalDist
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-
-RANGES = 64
+from verdigris.sources.staging import shared
 
 
 def running(rows: DataFrame, order: str, sums: list[str], *, descending: bool = False) -> DataFrame:
-    """rows (one for each value of `order`) with `<c>_before` for each of the sums: c added up over the rows before it."""
-    edges = sorted(set(rows.where(F.col(order).isNotNull() & ~F.isnan(F.col(order).cast("double"))).select(F.col(order).cast("double").alias(order)).approxQuantile(order, [i / RANGES for i in range(1, RANGES)], 0.01)))
-    place = sum((F.col(order) > F.lit(e)).cast("int") for e in edges) if edges else F.lit(0)
-    dealt = rows.withColumn("__range", F.coalesce(place, F.lit(0)) * (-1 if descending else 1))
-    by = F.desc(order) if descending else F.col(order)
+    """rows (one for each value of `order`) with `<c>_before` for each of the sums: c added up over the rows before it.
+
+    One range shuffle deals the rows into as many ranges as the session has shuffle partitions and writes them down with
+    their range's number; sums within a range and what the ranges before add up to come from there."""
+    by = F.desc(order) if descending else F.asc(order)
+    dealt = shared(rows.repartitionByRange(by).withColumn("__range", F.spark_partition_id()), "ranges")
     inner = Window.partitionBy("__range").orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
     outer = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)  # over the ranges alone
     zero = lambda c: F.coalesce(c, F.lit(0))

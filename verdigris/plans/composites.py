@@ -11,7 +11,7 @@ from verdigris.operators import asks, dedup, latest, metrics
 from verdigris.plans import aggregates, decisions, joins
 from verdigris.plans.decisions import HITS
 from verdigris.plans.base import Tables, query, scored, sessions
-from verdigris.sources.staging import shared
+from verdigris.sources.staging import folder, shared
 
 
 def ask_entries(t: Tables) -> DataFrame:
@@ -56,15 +56,16 @@ def n02(t: Tables) -> DataFrame:
     j = latest.latest_verdict(t.verdicts(), "judge").select("dedup_key", "category")
     blocks = T.flatten(F.array(F.struct(F.lit("user").alias("role"), F.col("text").alias("content"))))
     rows = t.feedback().join(j, "dedup_key").select("dedup_key", blocks.alias("text"), "category")
-    kept = dedup.collapse(rows, "dedup_key", "text").where("dedup_key = representative").select("dedup_key")
-    return rows.join(kept, "dedup_key").select("dedup_key", "text", "category")
+    path = folder(t.spark, "steer-types")
+    dedup.write_collapsed(rows, "dedup_key", "text", path)
+    return t.spark.read.schema(rows.schema).parquet(f"{path}/rows")
 
 
 def picks(rounds: DataFrame) -> DataFrame:
     """Rounds of the test split with one choice, on the menu, of two options at least, one of each group of near-duplicates by
     question and options."""
     rows = rounds.where("split = 'test' and not multi_select and not is_custom and size(chosen_index) = 1 and size(options) >= 2")
-    rows = shared(rows.select("id", "session_id", "event_uuid", F.concat_ws("\n", "question", "options").alias("text"), F.col("chosen_index")[0].alias("chosen")), "picks")
+    rows = shared(rows.dropDuplicates(["id"]).select("id", "session_id", "event_uuid", F.concat_ws("\n", "question", "options").alias("text"), F.col("chosen_index")[0].alias("chosen")), "picks")
     kept = dedup.collapse(rows.select("id", "text"), "id", "text").where("id = representative").select("id")
     return rows.join(kept, "id")
 

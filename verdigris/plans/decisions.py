@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from verdigris import shared_dir
-from verdigris.functions import text as T
 from verdigris.operators import dedup, exemplars, gate, metrics, search, similarity
 from verdigris.plans import aggregates
 from verdigris.plans.base import Tables, query, scored
@@ -81,7 +80,7 @@ def m09(t: Tables) -> DataFrame:
 @query("m10_lexical_gate")
 def m10(t: Tables) -> DataFrame:
     rows = t.labels.select("doc_id", F.col("toxic").cast("int").alias("label")).join(t.documents.select("doc_id", "text"), "doc_id")
-    return gate.score(gate.train(rows, "text", "label"), t.documents.select("doc_id", "text"), "text").select("doc_id", "p")
+    return gate.score(gate.train(rows, "doc_id", "text", "label"), t.documents.select("doc_id", "text"), "doc_id", "text")
 
 
 #: BM25 of three terms in the oracle's dialect, as common table expressions.
@@ -157,7 +156,7 @@ def m17(t: Tables) -> DataFrame:
     top = n.agg(F.max("n").alias("top"))
     extra = n.join(F.broadcast(top), F.lit(True)).select("quality", (F.col("top") - F.col("n")).alias("n_extra"))
     pool = S.repeat_to(train, extra, "doc_id", 22, ["quality"])
-    return pool.join(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", "copy", T.clip(F.col("text"), 500).alias("prompt"), F.when(F.col("quality") == 1, "yes").otherwise("no").alias("completion"))
+    return pool.join(t.documents.select("doc_id", "text"), "doc_id").select("doc_id", "copy", F.col("text").alias("prompt"), F.when(F.col("quality") == 1, "yes").otherwise("no").alias("completion"))
 
 
 def should_retrain(digest, incumbent, force):
