@@ -14,8 +14,7 @@ from verdigris.functions import text as T
 from verdigris.operators import dedup, extend, gate, metrics, sampling, similarity, temporal
 from verdigris.plans.sampling import mmr
 from verdigris.plans.windows import anchored_split, confidence_sequence
-from verdigris.sources import files
-from verdigris.sources.store import Conflict, TableStore
+from verdigris.sources import files, tables
 from verdigris.streaming import sessions as S
 
 
@@ -294,17 +293,35 @@ def test_debounce_waits_for_silence(spark, tmp_path):
         q.stop()
 
 
-def test_table_store(spark, tmp_path):
-    store = TableStore(spark, str(tmp_path))
-    rows = spark.createDataFrame([(1, "queued"), (2, "done")], "id long, state string")
-    assert store.write("t", rows) == 1 and store.append("t", rows) == 2
-    assert store.update("t", F.col("state") == "queued", {"state": F.lit("claimed")}) == 2
-    assert store.update("t", F.col("state") == "queued", {"state": F.lit("claimed")}) == 0
-    assert store.version("t") == 3 and store.read("t", 1).count() == 2
-    with pytest.raises(Conflict):
-        store.write("t", rows, after=1)
-    with pytest.raises(KeyError):
-        store.read("none")
+def test_claims_are_first_wins_and_outlive_a_dead_writer(spark, tmp_path):
+    asked = lambda rows: spark.createDataFrame(rows, tables.CLAIMS).coalesce(1).write.mode("append").parquet(f"{tmp_path}/in")
+    run = lambda: sorted((r.key, r.owner) for r in tables.claim(spark.readStream.schema(tables.CLAIMS).parquet(f"{tmp_path}/in"), f"{tmp_path}/claims", f"{tmp_path}/c").collect())
+    assert tables.claims(spark, f"{tmp_path}/claims").count() == 0
+    asked([("a", "x", 2), ("a", "y", 1), ("b", "x", 1), (None, "x", 1)])
+    assert run() == [("a", "y"), ("b", "x")]
+    asked([("a", "x", 0), ("c", "x", 5), ("c", "w", 5)])
+    # a writer that died in the middle of the next batch has left half of its folder
+    (tmp_path / "claims" / "epoch=1" / "_temporary").mkdir(parents=True)
+    assert run() == [("a", "y"), ("b", "x"), ("c", "w")]
+    assert run() == [("a", "y"), ("b", "x"), ("c", "w")]
+
+
+def test_leaks_against_plain_containment(spark):
+    rng = random.Random(14)
+    text = lambda n: "".join(rng.choice("ab cdéf\n") for _ in range(n))
+    docs = [(i, text(rng.choice([5, 40, 400, 3000]))) for i in range(60)] + [(90, None), (91, ""), (92, "x" * 100), (93, "x" * 100)]
+    items = []
+    for i in range(120):
+        body = rng.choice(docs[:60])[1]
+        n = rng.choice([16, 17, 20, 63, 64, 65, 90, 200])
+        at = rng.randrange(max(1, len(body) - n))
+        cut = body[at : at + n]
+        items.append((i, cut if i % 3 else cut[: len(cut) // 2] + "Z" + cut[len(cut) // 2 :]))
+    items += [(500, "x" * 64), (501, "x" * 101), (502, None), (503, ""), (504, "é"), (505, "ab"), (506, "q"), (507, "xxxxxxxxx")]
+    want = {i for i, x in items if x and any(x in (d or "") for _, d in docs)}
+    got = dedup.contained(spark.createDataFrame(items, "i long, t string"), "i", "t", spark.createDataFrame(docs, "d long, body string").repartition(3), "d", "body")
+    rows = [r.i for r in got.collect()]
+    assert set(rows) == want and len(rows) == len(want) and 500 in want and 501 not in want
 
 
 def test_files_by_size_and_name(spark, tmp_path):
@@ -520,7 +537,7 @@ def test_gate_against_plain_numpy(spark):
     for _ in range(60):  # Newton
         p = 1 / (1 + np.exp(-full @ w))
         w -= np.linalg.solve(4.0 * full.T @ (full * (weight * p * (1 - p))[:, None]) + ridge, 4.0 * full.T @ (weight * (p - y)) + ridge @ w)
-    model = gate.train(df, "id", "text", "label", char_min_df=3, most=(1 << 20, 40))
+    model = gate.train(df, "id", "text", "label", char_min_df=3, most=(1 << 20, 40), steps=400, tol=1e-9)
     got = {(r.block, r.gram): r.weight for r in model.weights().collect()}
     assert set(got) == set(place)
     assert max(abs(got[g] - w[j]) for g, j in place.items()) < 1e-3

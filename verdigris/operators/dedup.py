@@ -107,38 +107,67 @@ def write_collapsed(rows: DataFrame, key: str, text: str, path: str, **options)
     return stats
 
 
-def contained(items: DataFrame, item: str, item_text: str, docs: DataFrame, text: str, block: int = 8 << 20) -> DataFrame:
-    """Items whose whole text stands in some document.
+#: (bytes of a gram, grams of a window) by the least length of an item that they serve.
+WINNOW = {64: (32, 33), 16: (8, 9)}
 
-    The items are the stated set: they come to the driver in blocks of bounded size, each block's automaton goes to all
-    texts in one map, and no text moves."""
+
+def winnowed(df: DataFrame, key: str, text: str, k: int, w: int, first: bool = False) -> DataFrame:
+    """key, fp: the smallest hash of each w consecutive k-byte grams, so that two texts with w + k − 1 bytes in common share
+    one; `first`: that of the first window alone.  Shorter texts have none."""
+    import numpy as np
     import pyarrow as pa
 
-    def found(held: list[tuple[int, str]]) -> DataFrame:
-        sent = docs.sparkSession.sparkContext.broadcast(held)
-
-        def run(batches):
-            import ahocorasick
-
-            machine, seen = ahocorasick.Automaton(), set()
-            by_text: dict[str, list[int]] = {}
-            for i, x in sent.value:
-                by_text.setdefault(x, []).append(i)
-            for x, ids in by_text.items():
-                machine.add_word(x, ids)
-            machine.make_automaton()
-            for b in batches:
-                for t in b.column(0).to_pylist():
-                    for _, ids in machine.iter(t or ""):
-                        seen.update(ids)
-            yield pa.RecordBatch.from_arrays([pa.array(sorted(seen), pa.int64())], names=[item])
-
-        return docs.select(text).mapInArrow(run, f"{item} long")
-
-    out, held, size = docs.sparkSession.createDataFrame([], f"{item} long"), [], 0
-    for i, x in items.select(F.col(item).cast("long"), item_text).where(F.length(item_text) > 0).toLocalIterator():
-        held.append((i, x))
-        size += len(x)
-        if size >= block:
-            out, held, size = out.union(found(held)), [], 0
-    return (out.union(found(held)) if held else out).distinct()
+    kind = df.schema[key].dataType.simpleString()
+    odd = np.uint64(0x9E3779B97F4A7C15)
+
+    def of(text: str) -> np.ndarray:
+        raw = np.frombuffer(text.encode(), np.uint8).astype(np.uint64)
+        if first:
+            raw = raw[: w + k - 1]
+        n = len(raw) - k + 1
+        if n < w:
+            return np.empty(0, np.int64)
+        h = np.zeros(n, np.uint64)
+        for i in range(k):
+            h = h * odd + raw[i : i + n] + np.uint64(1)
+        h ^= h >> np.uint64(29)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        h ^= h >> np.uint64(32)
+        step, low = 1, h  # the minimum over w places from minima over powers of two
+        while step * 2 <= w:
+            low, step = np.minimum(low[:-step], low[step:]), step * 2
+        rest = w - step
+        low = np.minimum(low[: len(low) - rest], low[rest:]) if rest else low
+        return np.unique(low).view(np.int64)
+
+    def run(batches):
+        for b in batches:
+            for i in range(b.num_rows):  # a text at a time bounds what is held
+                fps = of(b.column(1)[i].as_py() or "")
+                if len(fps):
+                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array(np.full(len(fps), i))), pa.array(fps)], names=[key, "fp"])
+
+    return df.select(key, text).mapInArrow(run, f"{key} {kind}, fp long")
+
+
+def contained(items: DataFrame, item: str, item_text: str, docs: DataFrame, doc: str, text: str) -> DataFrame:
+    """Items whose whole text stands in some document; empty and null items don't.
+
+    An item has one fingerprint, that of its first window; a document has that of each window, so it has the item's wherever
+    it holds the item's text.  Fingerprints join, and `contains` decides on the texts of the pairs that this leaves; of
+    documents of equal text one is asked."""
+    length, out = F.octet_length(item_text), None
+    texts = docs.where(F.col(text).isNotNull()).groupBy(F.xxhash64(text).alias("h"), F.octet_length(text).alias("n")).agg(F.min(doc).alias(doc)).select(doc)
+    once = shared(docs.select(doc, text).join(texts, doc), "distinct-texts")
+    short = [r.n for r in items.select(length.alias("n")).where(f"n > 0 and n < {min(WINNOW)}").distinct().collect()]
+    for least, (k, w) in {**WINNOW, **{n: (n, 1) for n in short}}.items():  # shorter items ask for all grams of their length
+        most = least + 1 if w == 1 else min((x for x in WINNOW if x > least), default=1 << 40)
+        asked = items.where((length >= least) & (length < most)).select(item, item_text)
+        fps = shared(winnowed(asked, item, item_text, k, w, first=True), "item-fingerprints")
+        if fps.isEmpty():
+            continue
+        pairs = winnowed(once, doc, text, k, w).join(fps, "fp").select(item, doc).distinct()
+        met = pairs.join(asked.select(item, F.col(item_text).alias("__asked")), item).join(once.select(doc, F.col(text).alias("__held")), doc)
+        found = met.where(F.contains("__held", "__asked")).select(item).distinct()
+        out = found if out is None else out.union(found)
+    return shared(out if out is not None else items.select(item).where("false"), "contained")

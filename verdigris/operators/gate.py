@@ -92,7 +92,7 @@ def vectors(grams: DataFrame, key: str, held: DataFrame, size: int) -> DataFrame
     return texts.select(key, made(F.transform("g", lambda e: e["place"]), scaled).alias("features"))
 
 
-def train(rows: DataFrame, key: str, text: str, label: str, *, word_min_df: int = 2, char_min_df: int = 5, most: tuple[int, int] = (1 << 20, 200_000), c: float = 4.0, steps: int = 200) -> Gate:
+def train(rows: DataFrame, key: str, text: str, label: str, *, word_min_df: int = 2, char_min_df: int = 5, most: tuple[int, int] = (1 << 20, 200_000), c: float = 4.0, steps: int = 100, tol: float = 1e-6) -> Gate:
     """key: unique; label: 0 or 1.  Both classes weigh the same: a row's weight is n / (2·rows of its class).  The loss is
     c·Σ weight·log loss + |w|²/2, which is Spark's with the mean loss and regParam 1 / (c·n)."""
     from pyspark.ml.classification import LogisticRegression
@@ -107,7 +107,7 @@ def train(rows: DataFrame, key: str, text: str, label: str, *, word_min_df: int
     data = rows.select(key, F.col(label).cast("double").alias("y")).join(vectors(grams, key, held, size), key, "left")
     weight = F.when(F.col("y") == 1, total / (2.0 * n.get(True, 1))).otherwise(total / (2.0 * n.get(False, 1)))
     data = data.select("y", F.coalesce("features", empty()).alias("features"), weight.alias("weight"))
-    fit = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=steps, tol=1e-9)
+    fit = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=steps, tol=tol)
     return Gate(held, size, fit.fit(shared(data, "gate-rows")))
 
 

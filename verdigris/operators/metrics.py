@@ -120,6 +120,16 @@ def minimum_detectable(se: float, alpha: float = 0.05, power: float = 0.8) -> fl
     return (NormalDist().inv_cdf(1 - alpha / 2) + NormalDist().inv_cdf(power)) * se
 
 
+def fewest_negatives(a: Column, p: Column, target: Column) -> Column:
+    """The least number of negatives for which Hanley and McNeil's standard error of an AUC of a with p positives is the target
+    at most; null if none is.  The squared error is linear in 1 / n, so the number is a quotient, checked at both sides."""
+    q1, q2 = a / (2 - a) - a * a, 2 * a * a / (1 + a) - a * a
+    gain = target * target * p - q2
+    n = F.greatest(F.ceil((a * (1 - a) + (p - 1) * q1 - q2) / gain), F.lit(1).cast("long"))
+    fits = lambda k: hanley_mcneil(a, p, k) <= target
+    return F.when(gain > 0, F.when((n > 1) & fits(n - 1), n - 1).when(fits(n), n).otherwise(n + 1))
+
+
 def hanley_mcneil(auc: Column, pos: Column, neg: Column) -> Column:
     q1, q2 = auc / (2 - auc), 2 * auc * auc / (1 + auc)
     return F.sqrt((auc * (1 - auc) + (pos - 1) * (q1 - auc * auc) + (neg - 1) * (q2 - auc * auc)) / (pos * neg))

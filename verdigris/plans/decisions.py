@@ -38,11 +38,14 @@ def m03(t: Tables) -> DataFrame:
     return rows.select("p", "n", F.round(se, 9).alias("se"), F.round(F.lit(metrics.minimum_detectable(1.0)) * se * F.sqrt(F.lit(2 * (1 - 0.8))), 9).alias("mde"))
 
 
-@query("m04_fewest_negatives", f"SELECT target, min(n) AS negatives FROM (SELECT unnest([0.02, 0.015, 0.013])::DOUBLE AS target) t, (SELECT n, {_HM} AS se FROM (SELECT 0.93::DOUBLE AS a, 335 AS p, unnest(range(1, 20001)) AS n)) s WHERE se <= target GROUP BY 1")
+@query("m04_fewest_negatives", f"SELECT source, target, min(n) AS negatives FROM (SELECT d.source, 0.93::DOUBLE AS a, count(*) AS p FROM labels l JOIN documents d USING (doc_id) WHERE l.quality = 1 GROUP BY 1) g, (SELECT unnest(range(1, 20001)) AS n) r, (SELECT unnest([0.08, 0.06, 0.04])::DOUBLE AS target) t WHERE {_HM} <= target GROUP BY 1, 2")
 def m04(t: Tables) -> DataFrame:
-    targets = t.spark.createDataFrame([(0.02,), (0.015,), (0.013,)], "target double")
-    n = t.spark.range(1, 20001).select(F.col("id").alias("n"), metrics.hanley_mcneil(F.lit(0.93), F.lit(335), F.col("id")).alias("se"))
-    return n.join(F.broadcast(targets), F.col("se") <= F.col("target")).groupBy("target").agg(F.min("n").alias("negatives"))
+    """For each source, with its positives: how many negatives bring the standard error of an AUC of 0.93 down to a target;
+    targets that no number below 20,000 reaches are left out."""
+    p = t.labels.where("quality = 1").join(t.documents.select("doc_id", "source"), "doc_id").groupBy("source").agg(F.count("*").alias("p"))
+    rows = p.withColumn("target", F.explode(F.array(*map(F.lit, (0.08, 0.06, 0.04)))))
+    n = metrics.fewest_negatives(F.lit(0.93), F.col("p"), F.col("target"))
+    return rows.select("source", "target", n.alias("negatives")).where("negatives <= 20000")
 
 
 @query("m06_paired_comparison", f"WITH {aggregates._DELONG.replace('FROM scored a, scored b', 'FROM fire a, fire b')} SELECT round(auc_candidate - auc_base, 9) AS delta FROM s".replace("WITH p AS", "WITH fire AS (SELECT doc_id, NOT label AS label, 1 - base AS base, 1 - candidate AS candidate FROM scored), p AS"), "scored")
@@ -133,8 +136,8 @@ def m14(t: Tables) -> DataFrame:
 
 @query("m15_leaks", "SELECT DISTINCT b.item_id FROM benchmark b JOIN documents d ON contains(d.text, b.text)")
 def m15(t: Tables) -> DataFrame:
-    """Items whose text stands in some document; the stated items are bounded by blocks and meet texts inside an expression."""
-    return dedup.contained(t.benchmark, "item_id", "text", t.documents, "text")
+    """Items whose text stands in some document, by fingerprints of windows."""
+    return dedup.contained(t.benchmark, "item_id", "text", t.documents, "doc_id", "text")
 
 
 @query("m16_corrected_labels", "WITH v AS (SELECT doc_id, quality AS frame, unnest([toxic, CASE WHEN doc_id % 3 = 0 THEN 1 ELSE toxic END, CASE WHEN doc_id % 7 = 0 THEN 1 - toxic ELSE toxic END]) AS vote FROM labels) SELECT doc_id, CAST(CASE WHEN min(vote) = max(vote) THEN max(vote) ELSE max(frame) END AS INTEGER) AS label, min(vote) <> max(vote) AS split FROM v GROUP BY 1")

@@ -56,6 +56,11 @@ def append_line(spark: SparkSession, path: str, row: dict) -> None:
     write_text(spark, f"{path}/{time.time_ns():020d}-{uuid.uuid4().hex[:8]}.jsonl", json.dumps(row, sort_keys=True) + "\n")
 
 
+def append_rows(rows: DataFrame, path: str) -> None:
+    """Many of a journal's next lines at once; a reader sees all of an append or none."""
+    rows.write.mode("append").json(path)
+
+
 def listing(spark: SparkSession, root: str, pattern: str = "*.jsonl") -> DataFrame:
     """path, mtime, length of all files below root; contents stay where they are."""
     return spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", pattern).load(root).select(_plain("path").alias("path"), F.col("modificationTime").alias("mtime"), "length")
