@@ -8,6 +8,7 @@ however many of them are distinct.
 from __future__ import annotations
 
 import math
+from functools import reduce
 from statistics import NormalDist
 
 from pyspark.sql import Column, DataFrame, Window
@@ -52,6 +53,17 @@ def auc(rows: DataFrame, label: str, score: str) -> DataFrame:
     return by_score(rows, label, score).agg(F.try_divide(wins, (pos * neg).cast("double")).alias("auc"), F.coalesce(pos, F.lit(0)).alias("n_pos"), F.coalesce(neg, F.lit(0)).alias("n_neg"))
 
 
+def ranked_checkpoints(rows: DataFrame, label: str, checkpoint: str, p: str) -> DataFrame:
+    """checkpoint, auc, place of every checkpoint, the best first, ties by name; one whose rows are all of one class raises.
+    rows: one for each checkpoint and case.  Checkpoints are few; each is ranked over ranges of its own scores."""
+    names = [r[0] for r in rows.select(checkpoint).where(F.col(checkpoint).isNotNull()).distinct().orderBy(checkpoint).collect()]
+    value = F.coalesce("auc", F.raise_error("a checkpoint has cases of one class only").cast("double"))
+    found = [auc(rows.where(F.col(checkpoint) == n), label, p).select(F.lit(n).alias("checkpoint"), F.round(value, 9).alias("auc")) for n in names]
+    if not found:
+        return rows.sparkSession.createDataFrame([], "checkpoint string, auc double, place int")
+    return reduce(DataFrame.union, found).withColumn("place", F.row_number().over(Window.orderBy(F.desc("auc"), "checkpoint")))
+
+
 def components(rows: DataFrame, label: str, score: str, key: str, name: str) -> DataFrame:
     """DeLong's structural component of each row: the share of the other class on its right side."""
     n = by_score(rows, label, score)

@@ -153,10 +153,13 @@ def a18(t: Tables) -> DataFrame:
 @query("a19_profile", """WITH l AS (SELECT lang AS category, doc_id, text AS line FROM documents), k AS (SELECT category, lower(regexp_replace(regexp_replace(trim(line, E' \\n\\t\\r'), '\\s+', ' ', 'g'), '\\.+$', '')) AS key, count(*) AS support, max(doc_id) AS latest, min_by(line, doc_id) AS line FROM l GROUP BY 1, 2)
  SELECT category, key, support, line, CAST(row_number() OVER (PARTITION BY category ORDER BY support DESC, latest DESC) AS INTEGER) AS place FROM k QUALIFY place <= 12""")
 def a19(t: Tables) -> DataFrame:
-    line = t.documents.select(F.col("lang").alias("category"), "doc_id", F.col("text").alias("line"))
-    k = line.groupBy("category", T.direction_key(F.col("line")).alias("key")).agg(F.count("*").alias("support"), F.max("doc_id").alias("latest"), F.min_by("line", "doc_id").alias("line"))
+    """Groups are counted by a digest of their key; texts are read again for the twelve of each category that stay."""
+    line = t.documents.select(F.col("lang").alias("category"), "doc_id", F.col("text").alias("line"), T.direction_key(F.col("text")).alias("key")).withColumn("h", F.md5("key"))
+    k = line.groupBy("category", "h").agg(F.count("*").alias("support"), F.max("doc_id").alias("latest"), F.min("doc_id").alias("first"))
     place = F.row_number().over(Window.partitionBy("category").orderBy(F.desc("support"), F.desc("latest")))
-    return k.withColumn("place", place).where("place <= 12").select("category", "key", "support", "line", "place")
+    best = k.withColumn("place", place).where("place <= 12").withColumnsRenamed({"category": "of", "h": "digest"})
+    same = (F.col("doc_id") == F.col("first")) & F.col("category").eqNullSafe(F.col("of")) & F.col("h").eqNullSafe(F.col("digest"))
+    return line.join(best, same).select("category", "key", "support", "line", "place")
 
 
 @query("a20_candidate_pool", "SELECT source, doc_id FROM documents WHERE n_chars > 50 QUALIFY row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) <= 8")

@@ -174,11 +174,11 @@ def n17(t: Tables) -> DataFrame:
     return scored(t).agg(F.round(F.max(d), 9).alias("worst"), F.round(F.median(d), 9).alias("middle"), F.count_if(d > 0.25).alias("over"))
 
 
-@query("n18_checkpoint_ranking", "WITH a AS (SELECT avg(CASE WHEN p.base > n.base THEN 1.0 WHEN p.base = n.base THEN 0.5 ELSE 0.0 END) AS x, avg(CASE WHEN p.candidate > n.candidate THEN 1.0 WHEN p.candidate = n.candidate THEN 0.5 ELSE 0.0 END) AS y FROM scored p, scored n WHERE p.label AND NOT n.label) SELECT CASE WHEN x >= y THEN 'base' ELSE 'candidate' END AS checkpoint, round(greatest(x, y), 9) AS auc FROM a", "scored")
+@query("n18_checkpoint_ranking", "WITH c AS (SELECT label, unnest(['base', 'candidate', 'mean', 'steady']) AS checkpoint, unnest([base, candidate, (base + candidate) / 2, 0.5]) AS p FROM scored), a AS (SELECT checkpoint, round(avg(CASE WHEN p.p > n.p THEN 1.0 WHEN p.p = n.p THEN 0.5 ELSE 0.0 END), 9) AS auc FROM c p JOIN c n USING (checkpoint) WHERE p.label AND NOT n.label GROUP BY 1) SELECT checkpoint, auc, CAST(row_number() OVER (ORDER BY auc DESC, checkpoint) AS INTEGER) AS place FROM a", "scored")
 def n18(t: Tables) -> DataFrame:
-    rows = scored(t)
-    arms = [metrics.auc(rows, "label", c).select(F.lit(c).alias("checkpoint"), F.round("auc", 9).alias("auc")) for c in ("base", "candidate")]
-    return arms[0].union(arms[1]).orderBy(F.desc("auc"), "checkpoint").limit(1)
+    """Stored probabilities of any number of checkpoints, ranked by AUC."""
+    arms = F.create_map(F.lit("base"), "base", F.lit("candidate"), "candidate", F.lit("mean"), (F.col("base") + F.col("candidate")) / 2, F.lit("steady"), F.lit(0.5))
+    return metrics.ranked_checkpoints(scored(t).select("label", F.explode(arms).alias("checkpoint", "p")), "label", "checkpoint", "p")
 
 
 @query("n19_comparison", "SELECT doc_id, base, candidate, label FROM scored", "scored")

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.functions import hashing
-from verdigris.operators import extend, latest
+from verdigris.functions import formats, hashing
+from verdigris.operators import dedup, extend, latest
 from verdigris.plans import filters
 from verdigris.plans.base import Tables, query
 from verdigris.plans.scalars import _FOLD
@@ -144,3 +144,34 @@ class Unreachable:
 def v06(t: Tables) -> DataFrame:
     """Verdicts until five failures in a row; all that comes after them stays pending."""
     return extend.judged_in_batches(t.documents.select("doc_id", "text"), "doc_id", Unreachable(120, 140), batch=1000).answered
+
+
+def first_lines(text: str) -> list[tuple]:
+    """A caller's own review format: the first word of a text is the file, its second the comment."""
+    words = text.encode().split(maxsplit=2)[:2]
+    return [(words[0].decode(), 1, None, words[1].decode())] if len(words) == 2 else []
+
+
+@query("v07_review_formats", r"""WITH c AS (SELECT doc_id, lang, source, regexp_extract_all(coalesce(coalesce(text, '') || E'\n@src/' || lang || ':7 from ' || source, text, ''), '\S+') AS w FROM documents) SELECT doc_id, w[1] AS file, 1 AS line_start, w[2] AS comment FROM c WHERE len(w) >= 2 UNION ALL SELECT doc_id, 'src/' || lang, 7, 'from ' || source FROM c WHERE lang IS NOT NULL AND source IS NOT NULL""")
+def v07(t: Tables) -> DataFrame:
+    """A registry of one pattern and one callable beside the formats that come with the library."""
+    registry = (formats.PatternFormat("cite", r"(?m)^@(\S+):(\d+) (.+)$", 1, 2, 0, (3,)), formats.CallableFormat("words", first_lines))
+    cited = F.concat(F.coalesce("text", F.lit("")), F.lit("\n@src/"), "lang", F.lit(":7 from "), "source")
+    rows = t.documents.select("doc_id", F.explode(formats.review_comments(F.coalesce(cited, "text"), registry)).alias("c"))
+    return rows.select("doc_id", "c.file", "c.line_start", "c.comment")
+
+
+class Letters:
+    """A deterministic embedder: how often each letter of the alphabet stands in a text."""
+
+    def encode(self, texts: list[str]):
+        import numpy as np
+
+        counts = [np.bincount(np.frombuffer(x.lower().encode(), np.uint8), minlength=256)[97:123] for x in texts]
+        return np.array(counts, np.float32).reshape(len(texts), 26)
+
+
+@query("v02_embedder")
+def v02(t: Tables) -> DataFrame:
+    """Near-duplicates by text, and on top of them by an embedder that the caller gives."""
+    return dedup.collapse(t.documents.select("doc_id", "text"), "doc_id", "text", embedder=Letters(), cosine=0.9999)
