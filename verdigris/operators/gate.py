@@ -84,9 +84,8 @@ def vectors(grams: DataFrame, key: str, held: DataFrame, size: int) -> DataFrame
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
     rows = grams.join(held, ["block", "gram"]).select(key, "block", "place", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("x"))
-    texts = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "block", "x"))).alias("g"))
-    length = lambda k: F.sqrt(F.aggregate("g", F.lit(0.0), lambda s, e: s + F.when(e["block"] == k, e["x"] * e["x"]).otherwise(0.0)))
-    texts = texts.withColumn("word", length(WORD)).withColumn("char", length(CHAR))
+    length = lambda k: F.sqrt(F.sum(F.when(F.col("block") == k, F.col("x") * F.col("x"))))
+    texts = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "block", "x"))).alias("g"), length(WORD).alias("word"), length(CHAR).alias("char"))
     scaled = F.transform("g", lambda e: e["x"] / F.when(e["block"] == WORD, F.col("word")).otherwise(F.col("char")))
     made = F.udf(lambda at, x: SparseVector(size, at, x), VectorUDT())  # the vector type has no constructor on the JVM's side
     return texts.select(key, made(F.transform("g", lambda e: e["place"]), scaled).alias("features"))
