@@ -543,3 +543,11 @@ def test_gate_against_plain_numpy(spark):
     assert max(abs(got[g] - w[j]) for g, j in place.items()) < 1e-3
     p = 1 / (1 + np.exp(-full @ w))
     assert {r.id: round(r.p, 3) for r in gate.score(model, df, "id", "text").collect()} == pytest.approx({i: p[i] for i, _, _ in rows}, abs=2e-3)
+
+
+def test_fold_of_a_digest_is_compiled(spark):
+    """No function of higher order, which Spark interprets digit by digit."""
+    plan = spark.range(1).select(hashing.sha_mod(F.col("id").cast("string"), 10_000))._jdf.queryExecution().executedPlan().toString()
+    assert "lambdafunction" not in plan
+    with pytest.raises(ValueError, match="modulus"):
+        hashing.sha_mod(F.lit("a"), 1 << 28)

@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import add
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
 def sha_mod(key: Column, modulus: int) -> Column:
-    """int(sha256(key), 16) % modulus, folded over the 64 hex digits."""
+    """int(sha256(key), 16) % modulus, summed over eight parts of eight hex digits, each times its power of 2 (mod modulus)."""
+    if not 0 < modulus < 1 << 28:
+        raise ValueError("the modulus must be positive and below 2**28")
     digest = F.sha2(key, 256)
-    return F.aggregate(F.sequence(F.lit(1), F.lit(64)), F.lit(0).cast("long"), lambda a, i: (a * 16 + F.conv(F.substring(digest, i, F.lit(1)), 16, 10).cast("long")) % modulus)
+    part = lambda i: F.conv(F.substring(digest, 8 * i + 1, 8), 16, 10).cast("long") % modulus
+    return reduce(add, (part(i) * pow(2, 32 * (7 - i), modulus) for i in range(8))) % modulus
 
 
 def split_of(session: Column) -> Column:
