@@ -551,3 +551,14 @@ def test_fold_of_a_digest_is_compiled(spark):
     assert "lambdafunction" not in plan
     with pytest.raises(ValueError, match="modulus"):
         hashing.sha_mod(F.lit("a"), 1 << 28)
+
+
+def test_transcripts_are_not_a_file_a_session(spark, tmp_path):
+    from verdigris.plans import sources
+    from verdigris.plans.base import Tables
+
+    rows = [(i // 3, i % 3, "user", f"text {i}") for i in range(300)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").coalesce(2).write.parquet(f"{tmp_path}/conversations.parquet")
+    t = Tables(spark, str(tmp_path))
+    assert files.listing(spark, sources._written(t), "*.txt").count() <= 2
+    assert sorted((r.session_id, r.turn, r.text) for r in sources.s02(t).collect()) == sorted((str(c), n, x) for c, n, _, x in rows)
