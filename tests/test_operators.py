@@ -562,3 +562,11 @@ def test_transcripts_are_not_a_file_a_session(spark, tmp_path):
     t = Tables(spark, str(tmp_path))
     assert files.listing(spark, sources._written(t), "*.txt").count() <= 2
     assert sorted((r.session_id, r.turn, r.text) for r in sources.s02(t).collect()) == sorted((str(c), n, x) for c, n, _, x in rows)
+
+
+def test_similarity_of_each_row(spark):
+    """A row a row, repeated keys too, and no shuffle."""
+    rows = [("s", 1, "same text", "same text"), ("s", 1, "same text", "other one"), ("s", 2, None, ""), (None, 3, "abcdef", "bcdefg")]
+    made = similarity.shingle_similarity(spark.createDataFrame(rows, "k string, n long, a string, b string"), ["k", "n"], "a", "b")
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
+    assert sorted((str(r.k), r.n, r.similarity) for r in made.collect()) == [("None", 3, 1 / 3), ("s", 1, 0.0), ("s", 1, 1.0), ("s", 2, 0.0)]

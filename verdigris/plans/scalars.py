@@ -170,10 +170,8 @@ def x22(t: Tables) -> DataFrame:
 @query("x23_shingle_jaccard", f"WITH s AS (SELECT session_id, turn, {_SH.format(c='text')} AS a, {_SH.format(c='substr(text, 11)')} AS b FROM turns) SELECT session_id, turn, round(CASE WHEN len(a) + len(b) = 0 THEN 0.0 ELSE len(list_intersect(a, b)) / (len(a) + len(b) - len(list_intersect(a, b))) END, 9) AS similarity FROM s", "turns")
 def x23(t: Tables) -> DataFrame:
     """Each turn against itself without its first ten characters."""
-    part = lambda i, text: F.struct(F.struct("session_id", "turn", F.lit(i).alias("part")).alias("key"), text.alias("text"))
-    rows = t.turns().select(F.inline(F.array(part(0, F.col("text")), part(1, F.expr("substring(text, 11)")))))
-    sets = similarity.shingle_sets(rows, "key", "text").groupBy("key.session_id", "key.turn").agg(F.max(F.when(F.col("key.part") == 0, F.col("s"))).alias("a"), F.max(F.when(F.col("key.part") == 1, F.col("s"))).alias("b"))
-    return sets.select("session_id", "turn", F.round(similarity.shingle_jaccard(F.col("a"), F.col("b")), 9).alias("similarity"))
+    rows = t.turns().select("session_id", "turn", "text", F.expr("substring(text, 11)").alias("rest"))
+    return similarity.shingle_similarity(rows, ["session_id", "turn"], "text", "rest").withColumn("similarity", F.round("similarity", 9))
 
 
 _A, _B = similarity.coefficients(128, 17)
