@@ -570,3 +570,13 @@ def test_similarity_of_each_row(spark):
     made = similarity.shingle_similarity(spark.createDataFrame(rows, "k string, n long, a string, b string"), ["k", "n"], "a", "b")
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString()
     assert sorted((str(r.k), r.n, r.similarity) for r in made.collect()) == [("None", 3, 1 / 3), ("s", 1, 0.0), ("s", 1, 1.0), ("s", 2, 0.0)]
+
+
+def test_cells_leave_in_parts(spark, monkeypatch):
+    """What a worker holds at once depends on neither the pivots nor the visits of a batch; the cells are the same."""
+    rng = np.random.default_rng(5)
+    df = spark.createDataFrame([(i, [float(x) for x in rng.normal(size=6)]) for i in range(90)], "id long, v array<double>").coalesce(1)
+    got = lambda: sorted((r.cell, r.guest, r.core, r.id) for r in similarity.cosine_cells(df, "id", "v", 0.5, 4).collect())
+    whole = got()
+    monkeypatch.setattr(similarity, "ANGLES", 40)
+    assert got() == whole and len(whole) > 90
