@@ -71,3 +71,10 @@ def test_blocks_are_bounded_and_pruned(spark, tmp_path):
         search.Index(spark, f"{tmp_path}/none").search("x", 1)
     assert search.Index(spark, f"{tmp_path}/e").ensure(spark.createDataFrame([], "id long, text string"), "id", ["text"], "k")
     assert search.Index(spark, f"{tmp_path}/e").search("common", 3).count() == 0
+
+
+def test_postings_are_not_shuffled_as_rows(spark):
+    """One shuffle, of documents to their blocks; no list is collected by a sort."""
+    docs = spark.createDataFrame(corpus(4, 60), "id long, text string")
+    plan = search.postings(docs, "id", ["text"], 4, 3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "collect_list" not in plan

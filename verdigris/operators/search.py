@@ -17,6 +17,7 @@ import json
 import uuid
 from dataclasses import asdict, dataclass
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -40,29 +41,45 @@ def staleness(pairs: DataFrame, at: str, ledger: DataFrame, ledger_at: str) -> D
 
 
 def postings(docs: DataFrame, key: str, columns: list[str], buckets: int, blocks: int) -> DataFrame:
-    """bucket, term, block, n, most, shortest, posts [(id, f, n)].  Rows without a word or an id have no postings."""
+    """bucket, term, block, n, most, shortest, posts [(id, f, n)].  Rows without a word or an id have no postings.
+
+    A document is counted where it is read and then moves once, as a row, to its block; a block's postings are made there,
+    at once, so no posting is shuffled or sorted as a row of its own."""
     import pyarrow as pa
     import pyarrow.compute as pc
 
     def counted(batches):
         for b in batches:
-            at, terms, f = [], [], []
             for i, found in enumerate(b.column(2)):
                 seen = pc.value_counts(found.values)
-                terms.append(seen.field(0))
-                f.append(seen.field(1))
-                at.append(pa.repeat(pa.scalar(i, pa.int64()), len(seen)))
-            if at:
-                rows = pa.concat_arrays(at)
-                yield pa.RecordBatch.from_arrays([b.column(0).take(rows), b.column(1).take(rows), pa.concat_arrays(terms), pa.concat_arrays(f)], names=["id", "n", "term", "f"])
+                lists = [pa.ListArray.from_arrays(pa.array([0, len(seen)], pa.int32()), seen.field(k)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), b.column(1).slice(i, 1), *lists], names=["id", "n", "terms", "fs"])
 
     cut = docs.select(F.col(f"`{key}`").alias("id"), words(F.concat_ws(" ", *columns)).alias("words"))
     cut = cut.where("id is not null and size(words) > 0").select("id", F.size("words").cast("long").alias("n"), F.concat("words", F.transform("words", lambda _: F.lit(ALL))).alias("words"))
-    rows = cut.mapInArrow(counted, f"id {cut.schema['id'].dataType.simpleString()}, n long, term string, f long")
+    kind = cut.schema["id"].dataType.simpleString()
+    rows = cut.mapInArrow(counted, f"id {kind}, n long, terms array<string>, fs array<long>")
     of_length = F.floor(F.log2(F.col("n").cast("double"))).cast("long") * blocks
-    rows = rows.select("id", "n", "term", "f", F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), (of_length + F.pmod(F.xxhash64("id"), F.lit(blocks))).alias("block"))
-    each = F.sort_array(F.collect_list(F.struct("id", "f", "n")))
-    return rows.groupBy("bucket", "term", "block").agg(F.count("*").alias("n"), F.max("f").alias("most"), F.min("n").alias("shortest"), each.alias("posts"))
+    rows = rows.withColumn("block", of_length + F.pmod(F.xxhash64("id"), F.lit(blocks)))
+
+    def gathered(group: pa.Table) -> pa.Table:
+        group = group.take(pc.sort_indices(group["id"])).combine_chunks()
+        terms, fs, ids, n = (group[c].chunk(0) for c in ("terms", "fs", "id", "n"))
+        sizes = np.diff(terms.offsets.to_numpy())
+        coded = pc.dictionary_encode(terms.flatten())
+        codes, doc = coded.indices.to_numpy(), np.repeat(np.arange(len(ids)), sizes)
+        order = np.argsort(codes, kind="stable")  # within a term documents stay in the order of their ids
+        doc, f = doc[order], fs.flatten().to_numpy()[order]
+        first = np.flatnonzero(np.diff(codes[order], prepend=-1))
+        cuts = np.append(first, len(order))
+        length = n.to_numpy()[doc]
+        posts = pa.StructArray.from_arrays([ids.take(pa.array(doc)), pa.array(f), pa.array(length)], names=["id", "f", "n"])
+        lists = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), posts)
+        block = pa.repeat(group["block"][0], len(first))
+        return pa.table({"term": coded.dictionary, "block": block, "n": np.diff(cuts), "most": np.maximum.reduceat(f, first), "shortest": np.minimum.reduceat(length, first), "posts": lists})
+
+    made = rows.groupBy("block").applyInArrow(gathered, f"term string, block long, n long, most long, shortest long, posts array<struct<id: {kind}, f: long, n: long>>")
+    return made.select(F.pmod(F.xxhash64("term"), F.lit(buckets)).cast("int").alias("bucket"), "*")
 
 
 @dataclass
