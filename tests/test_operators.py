@@ -580,3 +580,13 @@ def test_cells_leave_in_parts(spark, monkeypatch):
     whole = got()
     monkeypatch.setattr(similarity, "ANGLES", 40)
     assert got() == whole and len(whole) > 90
+
+
+def test_grams_stay_where_texts_are_read(spark):
+    """Counts leave a task summed up over its texts, and places are found without a shuffle."""
+    df = spark.createDataFrame([(i, "same words") for i in range(50)], "id long, text string").coalesce(1)
+    tallies = gate.tallied(df, "text")
+    assert {(r.df, r.total) for r in tallies.where("block = 0").collect()} == {(50, 50)} and tallies.where("gram = 'same words'").count() == 1
+    held = gate.vocabulary(tallies, 50, 2, 5, (10, 10))
+    made = gate.placed(df, "id", "text", held)
+    assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString() and made.count() == 50

@@ -4,8 +4,8 @@ scaling.
 Two blocks of features: words of two letters or more with their pairs, and character grams of 3 to 5 within words (a space
 stands for either border).  A gram needs `min_df` texts; of character grams the most frequent are kept.  A text's weight for
 a gram is (1 + ln tf)·idf with idf = ln((1 + n) / (1 + df)) + 1, and each block is scaled to length 1.  The vocabulary, with
-document frequencies and places, is a stored table that rows join; it is counted by a shuffle of grams that tasks have
-already counted, and never comes to the driver.
+document frequencies and places, is a stored table of bounded size; it is counted by a shuffle of grams that tasks have
+already summed up over their texts, and is broadcast to where texts are read, so that a text's grams stay in its task.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from verdigris.sources.staging import shared
+from verdigris.sources.staging import release, shared
 
 WORD, CHAR = 0, 1
 
@@ -38,33 +38,69 @@ def grams_of(text: str, low: int = 3, high: int = 5) -> Iterator[tuple[int, str]
             yield from ((CHAR, padded[i : i + n]) for i in range(len(padded) - n + 1))
 
 
-def counted(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """key, block, gram, tf: the grams of each text, counted where the text is read."""
+#: Grams that a task counts before it passes them on.
+TALLY = 200_000
+
+
+def tallied(rows: DataFrame, text: str) -> DataFrame:
+    """block, gram, df, total: in how many texts a gram stands and how often, summed up in parts where the texts are read."""
     import pyarrow as pa
 
-    kind = rows.schema[key].dataType.simpleString()
+    def batch(held: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.int32()), pa.array([g for _, g in held], pa.string()), pa.array([d for d, _ in held.values()], pa.int64()), pa.array([t for _, t in held.values()], pa.int64())], names=["block", "gram", "df", "total"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from collections import Counter
 
+        held: dict[tuple[int, str], list[int]] = {}
         for b in batches:
-            for i in range(b.num_rows):  # a text at a time bounds what is held
-                found = Counter(grams_of(b.column(1)[i].as_py() or ""))
-                if found:
-                    yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([i] * len(found), pa.int64())), pa.array([k for k, _ in found], pa.int32()), pa.array([g for _, g in found]), pa.array(list(found.values()), pa.int64())], names=[key, "block", "gram", "tf"])
+            for x in b.column(0):
+                for g, tf in Counter(grams_of(x.as_py() or "")).items():
+                    n = held.setdefault(g, [0, 0])
+                    n[0] += 1
+                    n[1] += tf
+                if len(held) >= TALLY:
+                    yield batch(held)
+                    held = {}
+        if held:
+            yield batch(held)
 
-    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, block int, gram string, tf long")
+    return rows.select(text).mapInArrow(run, "block int, gram string, df long, total long")
 
 
-def vocabulary(grams: DataFrame, key: str, texts: int, word_min_df: int, char_min_df: int, most: tuple[int, int]) -> DataFrame:
+def vocabulary(tallies: DataFrame, texts: int, word_min_df: int, char_min_df: int, most: tuple[int, int]) -> DataFrame:
     """block, gram, place, idf (stored): of each block the `most` frequent grams of enough texts, ties by gram, in the order of
     block and gram."""
     enough = F.when(F.col("block") == WORD, word_min_df).otherwise(char_min_df)
-    found = grams.groupBy("block", "gram").agg(F.count("*").alias("df"), F.sum("tf").alias("total")).where(F.col("df") >= enough)
+    found = shared(tallies.groupBy("block", "gram").agg(F.sum("df").alias("df"), F.sum("total").alias("total")).where(F.col("df") >= enough), "grams")
     kept = [found.where(F.col("block") == k).orderBy(F.desc("total"), "gram").limit(most[k]) for k in (WORD, CHAR)]
     idf = F.log((1.0 + texts) / (1.0 + F.col("df"))) + 1
     place = F.row_number().over(Window.orderBy("block", "gram")) - 1  # of the bounded vocabulary
-    return shared(kept[WORD].union(kept[CHAR]).select("block", "gram", place.alias("place"), idf.alias("idf")), "vocabulary")
+    out = shared(kept[WORD].union(kept[CHAR]).select("block", "gram", place.alias("place"), idf.alias("idf")), "vocabulary")
+    release(found)
+    return out
+
+
+def placed(rows: DataFrame, key: str, text: str, held: DataFrame) -> DataFrame:
+    """key, at, tf: the places of the vocabulary's grams in each text, ascending, and how often they stand there; no row for a
+    text without any.  The vocabulary, which is bounded, is broadcast, so no gram is shuffled."""
+    import pyarrow as pa
+
+    kind, sent = rows.schema[key].dataType.simpleString(), rows.sparkSession.sparkContext.broadcast(held.select("block", "gram", "place").toArrow())
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from collections import Counter
+
+        table = sent.value
+        places = dict(zip(zip(table["block"].to_pylist(), table["gram"].to_pylist(), strict=True), table["place"].to_pylist(), strict=True))
+        for b in batches:
+            for i in range(b.num_rows):  # a text at a time bounds what is held
+                found = sorted((places[g], tf) for g, tf in Counter(grams_of(b.column(1)[i].as_py() or "")).items() if g in places)
+                if found:
+                    at, tf = zip(*found, strict=True)
+                    yield pa.RecordBatch.from_arrays([b.column(0).slice(i, 1), pa.array([at], pa.list_(pa.int32())), pa.array([tf], pa.list_(pa.int32()))], names=[key, "at", "tf"])
+
+    return rows.select(key, text).mapInArrow(run, f"{key} {kind}, at array<int>, tf array<int>")
 
 
 @dataclass
@@ -79,42 +115,54 @@ class Gate:
         return self.vocabulary.join(self.vocabulary.sparkSession.createDataFrame(held, "place int, weight double"), "place").select("block", "gram", "weight")
 
 
-def vectors(grams: DataFrame, key: str, held: DataFrame, size: int) -> DataFrame:
-    """key, features: a sparse vector for each text with a gram of the vocabulary."""
+def vectors(rows: DataFrame, held: DataFrame, size: int) -> DataFrame:
+    """rows (of `placed`, or a left join with it) with features in place of at and tf: a sparse vector, empty without a gram."""
+    import numpy as np
     from pyspark.ml.linalg import SparseVector, VectorUDT
 
-    rows = grams.join(held, ["block", "gram"]).select(key, "block", "place", ((1 + F.log(F.col("tf").cast("double"))) * F.col("idf")).alias("x"))
-    length = lambda k: F.sqrt(F.sum(F.when(F.col("block") == k, F.col("x") * F.col("x"))))
-    texts = rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("place", "block", "x"))).alias("g"), length(WORD).alias("word"), length(CHAR).alias("char"))
-    scaled = F.transform("g", lambda e: e["x"] / F.when(e["block"] == WORD, F.col("word")).otherwise(F.col("char")))
-    made = F.udf(lambda at, x: SparseVector(size, at, x), VectorUDT())  # the vector type has no constructor on the JVM's side
-    return texts.select(key, made(F.transform("g", lambda e: e["place"]), scaled).alias("features"))
+    idf, words = np.zeros(size), held.where(F.col("block") == WORD).count()  # their places come first
+    for b in held.select("place", "idf").toArrow().to_batches():
+        idf[b.column(0).to_numpy()] = b.column(1).to_numpy()
+    sent = rows.sparkSession.sparkContext.broadcast(idf)
+
+    def made(at: list[int] | None, tf: list[int] | None) -> SparseVector:
+        if not at:
+            return SparseVector(size, [], [])
+        places = np.array(at)
+        x = (1 + np.log(np.array(tf, float))) * sent.value[places]
+        cut = int(np.searchsorted(places, words))
+        for part in (x[:cut], x[cut:]):
+            if len(part):
+                part /= np.sqrt(part @ part)
+        return SparseVector(size, places, x)
+
+    of = F.udf(made, VectorUDT())  # the vector type has no constructor on the JVM's side
+    return rows.select(*(c for c in rows.columns if c not in ("at", "tf")), of("at", "tf").alias("features"))
 
 
 def train(rows: DataFrame, key: str, text: str, label: str, *, word_min_df: int = 2, char_min_df: int = 5, most: tuple[int, int] = (1 << 20, 200_000), c: float = 4.0, steps: int = 100, tol: float = 1e-6) -> Gate:
     """key: unique; label: 0 or 1.  Both classes weigh the same: a row's weight is n / (2·rows of its class).  The loss is
     c·Σ weight·log loss + |w|²/2, which is Spark's with the mean loss and regParam 1 / (c·n)."""
     from pyspark.ml.classification import LogisticRegression
-    from pyspark.ml.linalg import SparseVector, VectorUDT
 
     n = {bool(r["y"]): r["n"] for r in rows.groupBy(F.col(label).cast("boolean").alias("y")).agg(F.count("*").alias("n")).collect()}
     total = sum(n.values())
-    grams = shared(counted(rows, key, text), "grams")
-    held = vocabulary(grams, key, total, word_min_df, char_min_df, most)
+    held = vocabulary(tallied(rows, text), total, word_min_df, char_min_df, most)
     size = held.count()
-    empty = F.udf(lambda: SparseVector(size, [], []), VectorUDT())
-    data = rows.select(key, F.col(label).cast("double").alias("y")).join(vectors(grams, key, held, size), key, "left")
     weight = F.when(F.col("y") == 1, total / (2.0 * n.get(True, 1))).otherwise(total / (2.0 * n.get(False, 1)))
-    data = data.select("y", F.coalesce("features", empty()).alias("features"), weight.alias("weight"))
+    data = rows.select(key, F.col(label).cast("double").alias("y")).join(placed(rows, key, text, held), key, "left")
+    data = shared(data.select("y", weight.alias("weight"), "at", "tf"), "gate-rows")
     fit = LogisticRegression(featuresCol="features", labelCol="y", weightCol="weight", regParam=1.0 / (c * total), standardization=False, maxIter=steps, tol=tol)
-    return Gate(held, size, fit.fit(shared(data, "gate-rows")))
+    model = fit.fit(vectors(data, held, size))
+    release(data)
+    return Gate(held, size, model)
 
 
 def score(gate: Gate, rows: DataFrame, key: str, text: str) -> DataFrame:
     """key, p of every row; a text without a known gram has the p of the intercept."""
     from pyspark.ml.functions import vector_to_array
 
-    known = gate.model.transform(vectors(counted(rows, key, text), key, gate.vocabulary, gate.size)).select(key, vector_to_array("probability")[1].alias("p"))
+    known = gate.model.transform(vectors(placed(rows, key, text, gate.vocabulary), gate.vocabulary, gate.size)).select(key, vector_to_array("probability")[1].alias("p"))
     plain = 1 / (1 + F.exp(F.lit(-float(gate.model.intercept))))
     return rows.select(key).join(known, key, "left").select(key, F.coalesce("p", plain).alias("p"))
 
