@@ -158,3 +158,22 @@ def test_clustered_vectors_meet_in_few_groups(spark):
     assert met[1] < 8 * met[0]
     same = spark.createDataFrame([(i, [1.0, 2.0] if i % 3 else [float(i), 1.0]) for i in range(900)], "id long, v array<double>")
     assert similarity.cosine_pairs(same, "id", "v", 0.999, 64, forest=True).count() < 4 * 900
+
+
+def test_rows_of_a_bucket_meet_in_classes_of_size(spark):
+    """Crowded buckets in portions of 16 against all pairs, keys of text: each pair once, those that sizes keep apart not at all."""
+    from pyspark.sql import functions as F
+
+    rows = [(f"k{i}", t) for i, t in texts(11, 6, 40, 0.6)]
+    rows += [(f"x{i}", t[: len(t) // (1 + i % 5)]) for i, (_, t) in enumerate(texts(12, 4, 30, 0.7))]
+    nodes, _ = similarity.distinct_sets(shared(similarity.profiles(spark.createDataFrame(rows, "k string, text string"), "k", "text"), "t"), "k")
+    side = lambda p: nodes.select(F.col("k").alias(p), F.col("bands").alias(f"{p}_bands"), F.col("size").alias(f"{p}_size"), F.col("sketch").alias(f"{p}_sketch"))
+    shares = F.exists(F.zip_with("a_bands", "b_bands", lambda x, y: x == y), lambda x: x)
+    want = {(r.a, r.b) for r in side("a").crossJoin(side("b")).where((F.col("a") < F.col("b")) & shares & similarity.may_be_alike("a_", "b_", 0.8)).select("a", "b").collect()}
+    held = shared(similarity.cells(nodes, "k").join(nodes.select("k", F.col("k").alias("comp"), "size", "sketch", "bands"), "k"), "t")
+    for portion in (16, 1024):
+        for part in (held, held.drop("bands")):
+            got = [(r.a, r.b) for r in similarity.met(part, "k", 0.8, portion).collect()]
+            assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
+    x, y = (np.concatenate(z) for z in zip(*similarity.alike_places(np.zeros(3, int), np.array([0, 0, 2]), np.array([100, 70, 90]), np.zeros((12, 3), np.uint64), 0.8), strict=True))
+    assert list(zip(x.tolist(), y.tolist(), strict=True)) == [(0, 2)]
