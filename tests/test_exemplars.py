@@ -72,3 +72,27 @@ def test_a_run_that_dies_changes_nothing(spark, tmp_path):
         assert "no model" in str(e)
     assert [r.key for r in index.table().collect()] == [1]
     assert index.refresh(spark.createDataFrame([(1, "a"), (2, "b")], SEEN), "id", "text", One()).encoded == 1
+
+
+def test_texts_do_not_move_where_nothing_is_pending(spark, tmp_path):
+    """The index is too large to be broadcast, and what it lacks isn't: the texts are joined where they are read."""
+
+    class One:
+        def encode(self, texts):
+            import numpy as np
+
+            return np.ones((len(texts), 1))
+
+    index, rows = exemplars.EmbeddingIndex(spark, f"{tmp_path}/index"), [(i, f"text {i}") for i in range(2000)] + [(None, "no key")]
+    spark.createDataFrame(rows, SEEN).write.parquet(f"{tmp_path}/docs")
+    docs = spark.read.parquet(f"{tmp_path}/docs")
+    index.refresh(docs.where("id is not null"), "id", "text", One())
+    key = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3000")
+    try:
+        todo = index.pending(docs, "id", "text")
+        assert [(r.id, r.text) for r in todo.collect()] == [(None, "no key")]
+        assert "SortMergeJoin" not in todo._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set(key, before)
