@@ -590,3 +590,14 @@ def test_grams_stay_where_texts_are_read(spark):
     held = gate.vocabulary(tallies, 50, 2, 5, (10, 10))
     made = gate.placed(df, "id", "text", held)
     assert "Exchange" not in made._jdf.queryExecution().executedPlan().toString() and made.count() == 50
+
+
+def test_files_of_rows_share_a_folder(spark, tmp_path):
+    """A file for each row, however many; no folder for each, and none where there are no rows."""
+    rows = spark.range(80).selectExpr("concat('{\"type\":\"a\"}\n{\"type\":\"b', id, '\"}') as value").repartition(3)
+    files.append_files(rows.where("false"), f"{tmp_path}/each")
+    files.append_files(rows, f"{tmp_path}/each")
+    files.append_files(rows.where("value like '%b7%'"), f"{tmp_path}/each")
+    paths = [r.path for r in files.listing(spark, f"{tmp_path}/each", "*.txt").collect()]
+    assert len(set(paths)) == 91 and len({p.rsplit("/", 1)[0] for p in paths}) == 1
+    assert files.transcripts(spark, f"{tmp_path}/each").groupBy("path").count().where("count <> 2").count() == 0
