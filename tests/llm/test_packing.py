@@ -53,3 +53,29 @@ def test_plan_uses_each_piece_once():
         used = sum(t for _, t in packing.plan(h, size))
         assert used <= 1.03 * -(-int((h * np.arange(size + 1)).sum()) // size) + 1
     assert packing.plan(np.zeros(11, int), 10) == []
+
+
+def test_a_worker_encodes_little_text_at_once(spark, monkeypatch):
+    """Beside a cache of units, a worker's memory grows with the text that it encodes at once: half a megabyte."""
+    from verdigris.llm import encoding
+
+    asked, plain = [], encoding.UnitEncoder.encode
+    monkeypatch.setattr(encoding.UnitEncoder, "encode", lambda self, texts: asked.append(sum(len(t) for t in texts.to_pylist())) or plain(self, texts))
+    monkeypatch.setattr("pyspark.TaskContext.get", classmethod(lambda cls: type("C", (), {"partitionId": lambda self: 0})()))
+
+    class Docs:
+        """Hands its map over instead of running it."""
+
+        schema = spark.createDataFrame([], "doc_id long, text string").schema
+
+        def select(self, *_):
+            return self
+
+        def mapInArrow(self, run, _):
+            import pyarrow as pa
+
+            batch = pa.RecordBatch.from_pydict({"doc_id": list(range(400)), "text": ["some words " * 500] * 400})
+            return sum(b.num_rows for b in run([batch]))
+
+    assert packing.token_pieces(Docs()) == 400
+    assert sum(asked) == 400 * 5500 and max(asked) <= 512 << 10

@@ -30,6 +30,8 @@ from pyspark.sql import functions as F
 from verdigris.llm.common import slices, staged, trimmed
 from verdigris.llm.encoding import encoder, with_end
 
+#: Most bytes of text that a worker encodes at once: units and ids of a slice take many times its bytes.
+SLICE = 512 << 10
 PIECES = "piece int, start long, length long, ids_crc32 long, shard int, local_rank long"
 
 
@@ -41,7 +43,7 @@ def token_pieces(docs: DataFrame, *, size: int = 2048, tokenizer: str = "word_bp
 
         enc, shard = encoder(tokenizer, kind, 300_000), TaskContext.get().partitionId()
         seen = np.zeros(size + 1, np.int64)
-        for b in slices(batches, limit=2 << 20):
+        for b in slices(batches, limit=SLICE):
             ids, cuts = with_end(*enc.encode(b.column(1)), end_id)
             total = np.diff(cuts)
             n = -(-total // size)
