@@ -107,3 +107,25 @@ def test_query(spark, sf_dir):
     got = queries.op11_simhash(spark, sf_dir).collect()
     assert sorted((r.doc_id, r.fingerprint) for r in got) == sorted((i, f"{f:016x}") for i, f in fps)
     assert sorted((r.doc_id, r.component_id) for r in got) == sorted(groups(fps))
+
+
+def test_what_grows_is_not_broadcast(spark, monkeypatch):
+    """Staged tables take few bytes on disk, so Spark would take them for small ones and send them through the driver."""
+    plans = []
+
+    def seen(df, name, *rest):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return kept(df, name, *rest)
+
+    kept = common.staged
+    monkeypatch.setattr(near, "staged", seen)
+    monkeypatch.setattr(common, "staged", seen)
+    rng = random.Random(5)
+    family = [7 ^ (1 << b) for b in range(64)] + [rng.getrandbits(64) for _ in range(50)]
+    rows = list(enumerate([*family, *family[:9]]))
+    assert grouped(spark, rows) == groups(rows)
+    assert int(spark.conf.get("spark.sql.autoBroadcastJoinThreshold").rstrip("b")) >= 10 << 20
+    assert any("SortMergeJoin" in p for p in plans) and not any("BroadcastHashJoin" in p for p in plans)
+    monkeypatch.setattr(common, "MOST_BROADCAST", 0)
+    table = kept(spark.range(9), "test-large")
+    assert "SortMergeJoin" in table.join(common.small(table), "id")._jdf.queryExecution().executedPlan().toString()
