@@ -120,6 +120,7 @@ def test_what_grows_is_not_broadcast(spark, monkeypatch):
     kept = common.staged
     monkeypatch.setattr(near, "staged", seen)
     monkeypatch.setattr(common, "staged", seen)
+    monkeypatch.setattr(common, "MOST_ROWS", 0, raising=False)
     rng = random.Random(5)
     family = [7 ^ (1 << b) for b in range(64)] + [rng.getrandbits(64) for _ in range(50)]
     rows = list(enumerate([*family, *family[:9]]))

@@ -108,7 +108,7 @@ def dense_links(nodes: DataFrame, segments: int, dense: int) -> DataFrame | None
     """(a, b) that connect what centres connect among the fingerprints of dense values; None where no value is dense."""
     cells = table(nodes.select("fp"), segments)
     often = cells.groupBy("slot", "value").agg(F.count("*").alias("n")).where(F.col("n") > dense).select("slot", "value")
-    near = staged(cells.join(shuffled(often), ["slot", "value"]).select("fp").distinct(), "simhash-dense")
+    near = staged(cells.join(shuffled(often, nodes.count()), ["slot", "value"]).select("fp").distinct(), "simhash-dense")
     if near.isEmpty():
         release(near)
         return None
@@ -123,17 +123,18 @@ def dense_links(nodes: DataFrame, segments: int, dense: int) -> DataFrame | None
 
 def links(nodes: DataFrame, segments: int, radius: int) -> DataFrame:
     """(a, b) of fingerprints in other components, at `radius` bits or fewer; nodes: fp, comp."""
-    held = staged(table(nodes, segments), "simhash-table")
+    held, n = staged(table(nodes, segments), "simhash-table"), nodes.count()
     cells = ["slot", "value"]
     most = held.groupBy(*cells, "comp").agg(F.count("*").alias("n")).groupBy(*cells).agg(F.max(F.struct("n", "comp")).alias("most"), F.min("comp").alias("low"), F.max("comp").alias("high"))
     most = most.select(*cells, F.col("most.comp").alias("top"), "low", "high")
-    asked = probes(nodes, segments, radius).withColumnsRenamed({"fp": "a", "comp": "from"}).join(shuffled(most), cells).where("not (low = high and low = from)")
+    asked = probes(nodes, segments, radius).withColumnsRenamed({"fp": "a", "comp": "from"}).join(shuffled(most, 34 * n), cells).where("not (low = high and low = from)")
     asked = staged(asked.select(*cells, "a", "from", "top"), "simhash-asked")
-    answers = held.withColumnsRenamed({"fp": "b", "comp": "to"}).join(shuffled(most.select(*cells, F.col("top").alias("mine"))), cells)
+    n = max(n, asked.count())
+    answers = held.withColumnsRenamed({"fp": "b", "comp": "to"}).join(shuffled(most.select(*cells, F.col("top").alias("mine")), n), cells)
     few, many = answers.where("to <> mine").drop("mine"), answers.where("to = mine").drop("mine")
     near = (F.col("from") != F.col("to")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= radius)
     # whoever asks meets the value's few; its most meet only those who are not of them
-    found = asked.join(shuffled(few), cells).where(near).select("a", "b").union(asked.where("from <> top").join(shuffled(many), cells).where(near).select("a", "b"))
+    found = asked.join(shuffled(few, n), cells).where(near).select("a", "b").union(asked.where("from <> top").join(shuffled(many, n), cells).where(near).select("a", "b"))
     out = staged(found.distinct(), "simhash-links")
     release(held, asked)
     return out
@@ -144,18 +145,18 @@ def grouped(rows: DataFrame, key: str = "doc_id", radius: int = 3, segments: int
     if segments < 2 or 64 % segments or radius // segments > 1:
         raise ValueError("segments must be at least 2, divide 64 and be more than half the radius")
     nodes = staged(rows.groupBy("fp").agg(F.min(F.col(f"`{key}`")).alias("id"), F.count("*").alias("times")), "simhash-nodes")
-    plain = nodes.select("fp", F.col("fp").alias("comp"))
+    plain, n = nodes.select("fp", F.col("fp").alias("comp")), nodes.count()
     first = dense_links(nodes, segments, dense) if radius >= 2 else None
     if first is None:
         found = links(plain, segments, radius)
         made = [found]
     else:
         roots = components(first, "a", "b", "simhash-dense-components")
-        known = staged(nodes.select("fp").join(shuffled(roots), nodes.fp == roots.node, "left").select("fp", F.coalesce("component", "fp").alias("comp")), "simhash-known")
+        known = staged(nodes.select("fp").join(shuffled(roots, n), nodes.fp == roots.node, "left").select("fp", F.coalesce("component", "fp").alias("comp")), "simhash-known")
         more = links(known, segments, radius)
         found, made = first.union(more), [first, more, known]
     whole = components(found, "a", "b", "simhash-components")
-    comp = staged(nodes.join(shuffled(whole), nodes.fp == whole.node, "left").select("fp", "id", "times", F.coalesce("component", "fp").alias("comp")), "simhash-comp")
+    comp = staged(nodes.join(shuffled(whole, n), nodes.fp == whole.node, "left").select("fp", "id", "times", F.coalesce("component", "fp").alias("comp")), "simhash-comp")
     least = comp.groupBy("comp").agg(F.min("id").alias("component_id"), F.count("*").alias("times"))
     least = staged(least, "simhash-least")
     by_fp = staged(spread_join(comp.withColumnRenamed("times", "rows_of"), least, "comp").select("fp", F.col("rows_of").alias("times"), "component_id"), "simhash-by-fp")
