@@ -177,3 +177,16 @@ def test_rows_of_a_bucket_meet_in_classes_of_size(spark):
             assert len(got) == len(set(got)) and set(got) == want and len(want) > 100
     x, y = (np.concatenate(z) for z in zip(*similarity.alike_places(np.zeros(3, int), np.array([0, 0, 2]), np.array([100, 70, 90]), np.zeros((12, 3), np.uint64), 0.8), strict=True))
     assert list(zip(x.tolist(), y.tolist(), strict=True)) == [(0, 2)]
+
+
+def test_pairs_are_verified_on_texts(spark, monkeypatch):
+    """What is stored and joined to the pairs are texts, not their sets, which take eight times the bytes."""
+    texts = [None, "", "abc", "the quick brown fox jumps", "the quick brown fox jumped", "the quick brown fox jumps", "héllo wörld, héllo", "héllo wörld, hello", "something else"]
+    kinds, kept = [], dedup.shared
+    monkeypatch.setattr(dedup, "shared", lambda df, name: (kinds.append((name, dict(df.dtypes))), kept(df, name))[1])
+    docs = spark.createDataFrame(list(enumerate(texts)), "id long, text string")
+    every = [(i, j) for i in range(len(texts)) for j in range(i + 1, len(texts))]
+    found = dedup.similar_sets(docs, kept(spark.createDataFrame(every, "a long, b long"), "pairs"), "id", "text", 0.8)
+    sets = [{(t or "").encode()[k : k + 5] for k in range(len((t or "").encode()) - 4)} for t in texts]
+    assert {(r.a, r.b) for r in found.collect()} == {(i, j) for i, j in every if sets[i] | sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
+    assert ("texts", {"id": "bigint", "text": "string"}) in kinds and not any("binary" in k.values() for _, k in kinds)

@@ -34,10 +34,10 @@ def labelled(nodes: DataFrame, links: DataFrame, key: str, most: int = 60) -> Da
 def similar_sets(docs: DataFrame, pairs: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
     """Those of the pairs (a, b; a stored table) whose byte 5-grams have that Jaccard similarity, stored."""
     needed = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
-    sets = shared(similarity.shingle_bytes(docs.join(needed, key, "left_semi"), key, text), "sets")
-    rows = pairs.join(sets.select(F.col(key).alias("a"), F.col("s").alias("x")), "a").join(sets.select(F.col(key).alias("b"), F.col("s").alias("y")), "b")
-    out = shared(similarity.jaccard_at_least(rows, threshold), "links")
-    release(sets, pairs)
+    texts = shared(docs.select(key, text).join(needed, key, "left_semi"), "texts")
+    rows = pairs.join(texts.select(F.col(key).alias("a"), F.col(text).alias("x")), "a").join(texts.select(F.col(key).alias("b"), F.col(text).alias("y")), "b")
+    out = shared(similarity.alike_texts(rows, threshold), "links")
+    release(texts, pairs)
     return out
 
 
