@@ -35,7 +35,8 @@ def similar_sets(docs: DataFrame, pairs: DataFrame, key: str, text: str, thresho
     """Those of the pairs (a, b; a stored table) whose byte 5-grams have that Jaccard similarity, stored."""
     needed = pairs.select(F.col("a").alias(key)).union(pairs.select("b")).distinct()
     texts = shared(docs.select(key, text).join(needed, key, "left_semi"), "texts")
-    rows = pairs.join(texts.select(F.col(key).alias("a"), F.col(text).alias("x")), "a").join(texts.select(F.col(key).alias("b"), F.col(text).alias("y")), "b")
+    side = lambda of, name: texts.select(F.col(key).alias(of), F.col(text).alias(name)).hint("merge")  # noqa: E731  # broadcast, they leave the pairs to a few tasks
+    rows = pairs.join(side("a", "x"), "a").join(side("b", "y"), "b")
     out = shared(similarity.alike_texts(rows, threshold), "links")
     release(texts, pairs)
     return out
