@@ -1,8 +1,9 @@
 import random
 
 import numpy as np
+import pyarrow as pa
 
-from verdigris.llm import quality
+from verdigris.llm import common, quality
 
 
 def corpus(n, seed):
@@ -128,3 +129,15 @@ def test_defined_cases(spark):
     assert all(r.rejected and r.expected_grade == 0 for r in some if not (r.text or "").strip())
     assert quality.score(docs.where("false"), None).collect() == []
     assert quality.train(docs.where("false"), labels, quality.grade(), 3) is None
+
+
+def test_workers_give_memory_back(spark, monkeypatch):
+    """The map over batches ends with common.trim, so that a worker that waits beside the next stage holds little."""
+    maps, trims = [], []
+    docs = spark.createDataFrame([(1, "some words"), (2, None)], "doc_id long, text string")
+    real = type(docs).mapInArrow
+    monkeypatch.setattr(type(docs), "mapInArrow", lambda self, run, *a, **k: maps.append(run) or real(self, run, *a, **k))
+    quality.score(docs, None)
+    monkeypatch.setattr(common, "trim", lambda: trims.append(1))
+    out = list(maps[0](iter([pa.RecordBatch.from_pydict({"c0": [1, 2], "c1": ["some words", None]})])))
+    assert [b.num_rows for b in out] == [2] and trims

@@ -27,7 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from verdigris.llm.common import CACHE_WORDS, as_bytes, holds, numbered, release, slices, staged, trim
+from verdigris.llm.common import CACHE_WORDS, as_bytes, holds, numbered, release, slices, staged, trim, trimmed
 
 BITS = 18
 _EDGE = b"".join(bytes([c]) for c in range(33, 127) if not chr(c).isalnum())
@@ -157,6 +157,7 @@ def train(docs: DataFrame, ratings: DataFrame, grade: Column, grades: int, *, mo
 
     kind = chosen.schema["id"].dataType.simpleString()
 
+    @trimmed
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             made = [features(x) for x in as_bytes(b.column(2))]
@@ -181,6 +182,7 @@ def score(docs: DataFrame, model: Model | None, *, threshold: float = 0.5, text_
     held = docs.sparkSession.sparkContext.broadcast(model)  # 2**BITS weights
     at = [f.name for f in own].index(text_column)
 
+    @trimmed
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = held.value
         holds("tokens", _tokens.clear)
