@@ -601,3 +601,44 @@ def test_files_of_rows_share_a_folder(spark, tmp_path):
     paths = [r.path for r in files.listing(spark, f"{tmp_path}/each", "*.txt").collect()]
     assert len(set(paths)) == 91 and len({p.rsplit("/", 1)[0] for p in paths}) == 1
     assert files.transcripts(spark, f"{tmp_path}/each").groupBy("path").count().where("count <> 2").count() == 0
+
+
+def test_grams_are_counted_by_arrays(monkeypatch):
+    """Counts and places are those of grams as strings, with letters beyond those that have a number too; and 1 MB of text
+    takes a few seconds of a core."""
+    import time
+    from collections import Counter
+
+    import pyarrow as pa
+
+    def grams(text):
+        text, out = (text or "").lower(), Counter()
+        w = re.findall(r"\b\w\w+\b", text)
+        out.update((0, x) for x in w + [f"{x} {y}" for x, y in zip(w, w[1:])])
+        for p in (f" {x} " for x in text.split()):
+            out.update((1, p[i : i + n]) for n in (3, 4, 5) for i in range(len(p) - n + 1))
+        return out
+
+    rng = random.Random(4)
+    texts = [" ".join("".join(rng.choices("abcdeé-ß漢字Ωİ", k=rng.randint(1, 9))) for _ in range(60)) for _ in range(40)] + [None, "", " ", "a", "b\0c \0", "x y  z"]
+    want, total = Counter(), Counter()
+    for c in map(grams, texts):
+        want.update(set(c))
+        total.update(c)
+    kept = sorted(want)[::2]
+    table = pa.table({"block": pa.array([k for k, _ in kept], pa.int32()), "gram": [g for _, g in kept], "place": pa.array(range(len(kept)), pa.int32())})
+    for letters in (gate.LETTERS, 7):
+        monkeypatch.setattr(gate, "LETTERS", letters)
+        held, places = gate.Tally(), gate.Places(table)
+        for x in texts:
+            held.add(x)
+        assert {(r["block"], r["gram"]): (r["df"], r["total"]) for r in held.batch().to_pylist()} == {g: (n, total[g]) for g, n in want.items()}
+        for x in texts:
+            c = grams(x)
+            assert list(zip(*(y.tolist() for y in places.find(x)))) == [(i, c[g]) for i, g in enumerate(kept) if g in c]
+    monkeypatch.undo()
+    held, words = gate.Tally(), ["".join(rng.choices("abcdefghij", k=7)) for _ in range(2000)]
+    began = time.process_time()
+    for _ in range(25):
+        held.add(" ".join(rng.choices(words, k=5000)))
+    assert time.process_time() - began < 3
