@@ -642,3 +642,20 @@ def test_grams_are_counted_by_arrays(monkeypatch):
     for _ in range(25):
         held.add(" ".join(rng.choices(words, k=5000)))
     assert time.process_time() - began < 3
+
+
+def test_files_are_scanned_by_portions(spark, tmp_path, monkeypatch):
+    """No reader is given more than a portion of the files, and the scan and the listing are whole."""
+    monkeypatch.setattr(files, "PORTION", 10)
+    rows = spark.range(45).selectExpr("""concat('{"type":"a', id, '"}') as value""")
+    files.append_files(rows, f"{tmp_path}/each")
+    files.append_files(rows.limit(3), f"{tmp_path}/each")
+    (tmp_path / "each/plain.txt").write_text('{"type":"b"}\n')
+    (tmp_path / "each/broken.txt").write_text("{no\n")
+    seen, read = [], files._listed
+    monkeypatch.setattr(files, "_listed", lambda s, paths, pattern: seen.append(made := read(s, paths, pattern)) or made)
+    entries, registry = files.scan(spark, f"{tmp_path}/each", spark.createDataFrame([], files.REGISTRY), pattern="*.txt")
+    assert entries.count() == registry.count() == 49 and entries.where("type = 'b'").count() == 1
+    assert len(seen) > 2 and max(x.count() for x in seen) < 30
+    assert files.scan(spark, f"{tmp_path}/each", registry, pattern="*.txt")[0].count() == 0
+    assert files.listing(spark, f"{tmp_path}/each", "*.txt").select("path").distinct().count() == 50
