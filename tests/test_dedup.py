@@ -190,3 +190,22 @@ def test_pairs_are_verified_on_texts(spark, monkeypatch):
     sets = [{(t or "").encode()[k : k + 5] for k in range(len((t or "").encode()) - 4)} for t in texts]
     assert {(r.a, r.b) for r in found.collect()} == {(i, j) for i, j in every if sets[i] | sets[j] and len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j])}
     assert ("texts", {"id": "bigint", "text": "string"}) in kinds and not any("binary" in k.values() for _, k in kinds)
+
+
+def test_vectors_travel_once_for_each_part(spark, monkeypatch):
+    """Vectors without clusters are shuffled once for each part that they meet, whatever the blocks; parts of few give the same."""
+    rng = np.random.default_rng(9)
+    v = rng.normal(size=(700, 12))
+    v[600:] = v[:100] + 0.02 * rng.normal(size=(100, 12))
+    df = spark.createDataFrame([(i, x.tolist()) for i, x in enumerate(v)], "id long, v array<double>").repartition(3)
+    u = similarity.unit_rows(v.tolist())
+    want = {(i, j) for i, j in zip(*np.nonzero(np.triu(u @ u.T >= 0.5, 1)))}
+    made, read = [], similarity.cosine_cells
+    monkeypatch.setattr(similarity, "cosine_cells", lambda *a: made.append(x := read(*a)) or x)
+    for part in (similarity.PART, 64):
+        monkeypatch.setattr(similarity, "PART", part)
+        got = [(r.a, r.b) for r in similarity.cosine_pairs(df, "id", "v", 0.5, 8).collect()]
+        assert set(got) == want and len(got) == len(want)
+        forest = [(r.a, r.b) for r in similarity.cosine_pairs(df, "id", "v", 0.5, 8, forest=True).collect()]
+        assert set(forest) <= want and components(range(700), lambda i, j, h=set(forest): (i, j) in h) == components(range(700), lambda i, j: (i, j) in want)
+    assert made[0].count() == 700

@@ -85,7 +85,7 @@ def collapse(docs: DataFrame, key: str, text: str, threshold: float = 0.8, *, em
 
     if vectors is None and embedder is None:
         return kept(lexical).withColumn("marginal", F.lit(False))
-    vectors = extend.encoded(docs, key, text, embedder) if vectors is None else vectors
+    vectors = shared(extend.encoded(docs, key, text, embedder), "vectors") if vectors is None else vectors
     links = similarity.cosine_pairs(vectors.select(F.col(key), F.col(vectors.columns[1]).alias("v")), key, "v", cosine, forest=True)
     alone = kept(lexical).select(key, (F.col(key) == F.col("representative")).alias("before"))
     return kept(lexical.union(links)).join(alone, key).select(key, "component", "representative", (F.col("before") & (F.col(key) != F.col("representative"))).alias("marginal"))
