@@ -209,3 +209,21 @@ def test_vectors_travel_once_for_each_part(spark, monkeypatch):
         forest = [(r.a, r.b) for r in similarity.cosine_pairs(df, "id", "v", 0.5, 8, forest=True).collect()]
         assert set(forest) <= want and components(range(700), lambda i, j, h=set(forest): (i, j) in h) == components(range(700), lambda i, j: (i, j) in want)
     assert made[0].count() == 700
+
+
+def test_staged_tables_leave_no_shuffle_files(spark):
+    import time
+
+    from verdigris.sources.staging import shared
+
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, manager = spark.conf.get(key), spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    files = lambda: {f for f in (manager.getAllFiles().apply(i).getName() for i in range(manager.getAllFiles().size())) if f.startswith("shuffle")}
+    held = files()
+    shared(spark.range(1000).repartition(3, "id"), "ids")  # no count here, for it has a shuffle of its own
+    left = lambda: {f for f in files() - held if f.endswith(".data")}
+    for _ in range(50):  # files go a moment after the write
+        if not left():
+            break
+        time.sleep(0.1)
+    assert not left() and spark.conf.get(key) == before
